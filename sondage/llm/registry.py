@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, substring_dedup
 
-QUERIES = {"op6_decontam": decontam.op6_decontam}
-ORACLES = {"op6_decontam": decontam.ORACLE}
+QUERIES = {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op6_decontam": decontam.op6_decontam}
+ORACLES = {"op1_substring_dedup": substring_dedup.ORACLE, "op6_decontam": decontam.ORACLE}
