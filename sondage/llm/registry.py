@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, substring_dedup
+from . import bpe, decontam, simhash, substring_dedup
 
-QUERIES = {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op6_decontam": decontam.op6_decontam}
+QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op4_simhash": simhash.op4_simhash,
+    "op6_decontam": decontam.op6_decontam,
+    "op8_bpe": bpe.op8_bpe,
+}
 ORACLES = {"op1_substring_dedup": substring_dedup.ORACLE, "op6_decontam": decontam.ORACLE}
