@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, simhash, substring_dedup
+from . import ann, bpe, decontam, langid, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_langid": langid.op2_langid,
     "op4_simhash": simhash.op4_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontam": decontam.op6_decontam,
     "op8_bpe": bpe.op8_bpe,
+    "op9_ann": ann.op9_ann,
 }
 ORACLES = {"op1_substring_dedup": substring_dedup.ORACLE, "op6_decontam": decontam.ORACLE}
