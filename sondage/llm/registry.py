@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontam, langid, simhash, substring_dedup, toxicity
+from . import ann, bpe, decontam, langid, licenses, simhash, substring_dedup, token_pack, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_langid": langid.op2_langid,
+    "op3_token_pack": token_pack.op3_token_pack,
     "op4_simhash": simhash.op4_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontam": decontam.op6_decontam,
     "op8_bpe": bpe.op8_bpe,
     "op9_ann": ann.op9_ann,
+    "op10_licenses": licenses.op10_licenses,
 }
-ORACLES = {"op1_substring_dedup": substring_dedup.ORACLE, "op6_decontam": decontam.ORACLE}
+ORACLES = {"op1_substring_dedup": substring_dedup.ORACLE, "op6_decontam": decontam.ORACLE, "op10_licenses": licenses.ORACLE}
