@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontam, langid, licenses, simhash, substring_dedup, token_pack, toxicity
+from . import ann, bpe, decontam, langid, licenses, secret_scan, simhash, substring_dedup, token_pack, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontam": decontam.op6_decontam,
+    "op7_secrets": secret_scan.op7_secrets,
     "op8_bpe": bpe.op8_bpe,
     "op9_ann": ann.op9_ann,
     "op10_licenses": licenses.op10_licenses,
