@@ -240,7 +240,8 @@ def remove_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_cov
     without hits come back unchanged, null texts included.
     """
     columns = documents.columns
-    marked = hits(documents.withColumn("_row", F.struct(*[F.col(c) for c in columns])).select("text", "_row"), benchmark, n, **limits)
+    rest = F.struct(F.lit(0).alias("text"), *[F.col(c) for c in columns if c != "text"]).alias("_row")
+    marked = hits(documents.select("text", rest), benchmark, n, **limits)
     kept = marked.where((F.size("hit_words") == 0) | (F.size("hit_words") <= max_coverage * F.col("n_words")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
