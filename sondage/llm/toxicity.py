@@ -144,17 +144,18 @@ def learn(texts: list[bytes], labels: np.ndarray, max_entries: int = 2000, lengt
     seen: dict[str, int] = {}
     for t, y in zip(folded(texts), labels.tolist(), strict=True):
         seen[t] = max(y, seen.get(t, 0))
-    toxic = [_terms(t, lengths) for t, y in seen.items() if y]
+    toxic = [t for t, y in seen.items() if y]
     clean = [t for t, y in seen.items() if not y]
-    with_term = Counter(x for s in toxic for x in s)
-    wanted = {x for x, n in with_term.items() if n >= least}
+    with_term = Counter(x for t in toxic for x in _terms(t, lengths))
+    with_term = {x: n for x, n in with_term.items() if n >= least}
+    wanted = with_term.keys()
     without = Counter(x for t in clean for x in _terms(t, lengths) if x in wanted)
     p, n = max(1, len(toxic)), max(1, len(clean))
     odds = {x: float(np.log((with_term[x] + 0.5) / (p + 1)) - np.log((without[x] + 0.5) / (n + 1))) for x in wanted}
     good = {x for x in wanted if odds[x] > 2 and without[x] <= 0.02 * with_term[x]}
     of: dict[str, list[int]] = {}
-    for i, s in enumerate(toxic):
-        for x in s & good:
+    for i, t in enumerate(toxic):
+        for x in _terms(t, lengths) & good:
             of.setdefault(x, []).append(i)
     missing = np.full(len(toxic), cover)
     chosen: dict[str, float] = {}
@@ -188,14 +189,19 @@ def learn(texts: list[bytes], labels: np.ndarray, max_entries: int = 2000, lengt
     return Lexicon(chosen, spared, coef)
 
 
-def fit(labelled: DataFrame, toxic_rows: int = 3000, clean_rows: int = 6000, **options) -> Lexicon:
-    """From the columns doc_id, text and toxic. About so many rows of each label are used,
-    chosen by a hash of doc_id; rows with a null in any of the columns teach nothing."""
-    rows = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).dropna().where("toxic in (0, 1)")
+def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_rows: int = 5000, **options) -> Lexicon:
+    """From texts (doc_id, text) and labels (doc_id, toxic).
+
+    About so many labelled rows of each label are used, chosen by a hash of doc_id before
+    their texts are looked up, so that only these few keys are broadcast and no text is
+    shuffled. Rows with a null in any of the columns and other labels teach nothing.
+    """
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().where("toxic in (0, 1)")
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     share = F.when(F.col("toxic") == 1, min(1.0, toxic_rows / counts.get(1, 1))).otherwise(min(1.0, clean_rows / counts.get(0, 1)))
-    sample = rows.where(place < share).select("text", "toxic").toArrow()
+    chosen = F.broadcast(rows.where(place < share))
+    sample = documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("text", "toxic").toArrow()
     return learn(T.byte_list(sample["text"]), sample["toxic"].to_numpy(), **options)
 
 
@@ -220,5 +226,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with a lexicon learned from labels that are not held out."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(3, 1)).select("doc_id", "toxic")
-    out = score(documents, fit(documents.join(labels, "doc_id")))
+    out = score(documents, fit(documents, labels))
     return out.select("doc_id", held_out(3, 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
