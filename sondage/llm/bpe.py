@@ -204,7 +204,7 @@ class Vocabulary:
 class Encoder:
     """Encodes blocks of texts; keeps the ids of at most `keep` strings between white space."""
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 150_000):
         self.v, self.keep = vocabulary, keep
         self._forget()
 
@@ -213,17 +213,15 @@ class Encoder:
         self.at = [0]
         self.ids: list[np.ndarray] = []
         self.flat: np.ndarray | None = None
-        self.pieces: dict[str, np.ndarray] = {}
 
     def _learn(self, chunks: set[str]) -> None:
         split = {c: self.v.pieces(c) for c in chunks}
-        new = {p for ps in split.values() for p in ps if p not in self.pieces and not isinstance(p, int)}
-        self.pieces |= self.v.encode_pieces(list(new))
+        pieces = self.v.encode_pieces(list({p for ps in split.values() for p in ps if not isinstance(p, int)}))
         parts, total = [], self.at[-1]
         for c, ps in split.items():
             self.index[c] = len(self.at) - 1
             for p in ps:
-                own = np.array([p], np.int32) if isinstance(p, int) else self.pieces[p]
+                own = np.array([p], np.int32) if isinstance(p, int) else pieces[p]
                 parts.append(own)
                 total += len(own)
             self.at.append(total)
@@ -279,7 +277,7 @@ def _pieces_of(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def encode(documents: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", block_bytes: int = 2 << 20) -> DataFrame:
+def encode(documents: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", block_bytes: int = 1 << 20) -> DataFrame:
     """`documents` with the array<int> column `ids` of the token ids of `text`.
 
     The ids are those of the tokenizers library with add_special_tokens=False, without
@@ -293,7 +291,7 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text", id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            for b in _pieces_of(batch, 2000):
+            for b in _pieces_of(batch, 1000):
                 values, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
                 texts = [t or "" for t in b.column(text).to_pylist()]
                 low, size = 0, 0
