@@ -1,4 +1,6 @@
 """All queries over the driver tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import evaluation  # noqa: F401  (registers its queries)
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
