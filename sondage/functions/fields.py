@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of printed labels and headings.
 STOP = ["REPUBLICA", "FEDERATIVA", "BRASIL", "MINISTERIO", "CIDADES", "DEPARTAMENTO", "NACIONAL", "TRANSITO", "CARTEIRA", "HABILITACAO", "NOME", "DOC", "IDENTIDADE", "ORG", "EMISSOR", "CPF", "DATA", "NASCIMENTO", "FILIACAO", "PERMISSAO", "CAT", "HAB", "VALIDADE", "REGISTRO", "VALIDA", "TERRITORIO", "ESTADO", "SECRETARIA", "SEGURANCA", "PUBLICA", "INSTITUTO", "IDENTIFICACAO", "PROIBIDO", "PLASTIFICAR", "ASSINATURA", "DIRETOR", "TITULAR", "POLEGAR", "DIREITO", "NATURALIDADE", "EXPEDICAO", "GERAL", "ORIGEM", "FAZENDA", "RECEITA", "FEDERAL", "CADASTRO", "PESSOAS", "FISICAS", "NUMERO", "INSCRICAO", "LV", "FL", "NAS", "CMC", "SEDE"]
@@ -27,7 +28,7 @@ def strip_accents(text: Column) -> Column:
     return F.upper(F.translate(F.regexp_replace(text, "[̀-ͯ]", ""), *_accents()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents_nfkd(texts: pd.Series) -> pd.Series:
     """Upper case of the NFKD form without combining marks; for text beyond Latin letters."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).upper())

@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: a string with a slash or backslash, or that ends as an image file does.
 PATH_LIKE = r"(?i)[/\\]|\.(?:jpe?g|png|tif?f|bmp)$"
@@ -56,7 +57,7 @@ def _clean(v: object) -> object:
     return [_clean(x) for x in v] if isinstance(v, list) else v
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sanitize_json(texts: pd.Series) -> pd.Series:
     """JSON text with every path-like string in it, at any depth, as its pseudonym. Null for a
     text that is not JSON. The one place where depth is open, so it runs in Arrow batches."""

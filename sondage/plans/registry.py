@@ -36,7 +36,7 @@ L = f"""L AS (
 D = "D AS (SELECT doc_id, toxic AS y, source AS fonte, lang AS tecnica, CAST(n_chars AS DOUBLE) AS score FROM documents JOIN labels USING (doc_id))"
 E = "E AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, label % 2 AS fonte, vec_id // 5 AS grupo FROM embeddings)"
 G = """G AS (
-  SELECT img, i, j, list_transform(v, x -> x / greatest(sqrt(list_sum(list_transform(v, z -> z * z))), 1e-12)) AS v
+  SELECT img, i, j, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda z: z * z))), 1e-12)) AS v
   FROM (SELECT vec_id // 25 AS img, CAST((vec_id % 25) // 5 AS INT) AS i, CAST(vec_id % 5 AS INT) AS j, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER (PARTITION BY vec_id // 25) AS n FROM embeddings) WHERE n = 25)"""
 V = """V AS (
   SELECT event_id, ts, user_id AS run, CASE event_type WHEN 'signup' THEN 'inicio' WHEN 'view' THEN 'epoca' WHEN 'click' THEN 'epoca' WHEN 'purchase' THEN 'estado_gerador' ELSE 'desconhecido' END AS tipo,
