@@ -19,9 +19,10 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def read(spark: SparkSession, path: str, like: DataFrame | None = None, files_per_trigger: int = 16) -> DataFrame:
-    """A stream of the Parquet files at `path`, with the schema of `like` or of the files."""
-    schema = (like or spark.read.parquet(path)).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A stream of the Parquet file or folder at `path`, with the schema of `like` or of the files."""
+    schema = (spark.read.parquet(path) if like is None else like).schema
+    # as a pattern, since a stream takes a plain path for a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, mode: str, folder: str, put: Callable[[DataFrame, int], None]) -> None:
