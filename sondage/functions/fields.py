@@ -40,7 +40,7 @@ def digits_only(text: Column) -> Column:
 
 def check_digit(digits: Column, count: int) -> Column:
     """Check digit over the first `count` digits with weights from count + 1 down to 2."""
-    weighted = sum((F.substring(digits, i + 1, 1).cast("int") * (count + 1 - i) for i in range(count)), F.lit(0))
+    weighted = sum((F.substring(digits, i + 1, 1).try_cast("int") * (count + 1 - i) for i in range(count)), F.lit(0))
     return (weighted * 10) % 11 % 10
 
 
@@ -48,7 +48,8 @@ def valid_cpf(text: Column) -> Column:
     """Whether the digits of a text are eleven, not all equal, and end in their two check digits."""
     d = digits_only(text)
     both = F.concat(check_digit(d, 9).cast("string"), check_digit(F.concat(F.substring(d, 1, 9), check_digit(d, 9).cast("string")), 10).cast("string"))
-    return (F.length(d) == 11) & ~d.rlike(r"^([0-9])\1{10}$") & (F.substring(d, 10, 2) == both)
+    good = (F.length(d) == 11) & ~d.rlike(r"^([0-9])\1{10}$") & (F.substring(d, 10, 2) == both)
+    return F.when(text.isNotNull(), F.coalesce(good, F.lit(False)))
 
 
 def with_check_digits(nine: Column) -> Column:
