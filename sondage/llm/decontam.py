@@ -228,7 +228,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int
                 columns |= {"n_words": pa.array(counts, pa.int64()), "hit_words": pa.array(marked, pa.list_(pa.int32())), "hit_items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-        out = out.mapInArrow(scan, out.schema)
+        out = out.mapInArrow(T.lean(scan), out.schema)
     return out
 
 
@@ -260,7 +260,7 @@ def remove_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_cov
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kept = kept.select("text", "_row", "hit_words")
-    return kept.mapInArrow(cut, kept.schema).select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns])
+    return kept.mapInArrow(T.lean(cut), kept.schema).select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns])
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def predict(documents: DataFrame, model: Model, block_bytes: int = 1 << 20) -> D
             columns = dict(zip(b.schema.names, b.columns, strict=True)) | {"lang_pred": pa.array(names, pa.string()), "lang_score": pa.array(np.concatenate(scores)), "lang_rejected": pa.array(np.concatenate(far))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(T.lean(run), out.schema)
 
 
 def held_out(modulus: int, remainder: int):

@@ -59,7 +59,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42, block_bytes: int = 2 << 20) -> DataFrame:
+def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id and the 64-bit fingerprint (long) of each row.
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text with fewer words than
@@ -75,7 +75,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42, block_b
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), column], names=["doc_id", "fingerprint"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long")
+    return rows.mapInArrow(T.lean(run), "doc_id long, fingerprint long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -255,7 +255,7 @@ def _jaccard(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, keep: int)
     return np.searchsorted(common, union[-1], "right") / len(union)
 
 
-def _sketches(documents: DataFrame, shingle: int, keep: int, keys: int, block_bytes: int = 2 << 20) -> DataFrame:
+def _sketches(documents: DataFrame, shingle: int, keep: int, keys: int, block_bytes: int = 1 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = T.byte_list(b.column("text"))
@@ -275,7 +275,7 @@ def _sketches(documents: DataFrame, shingle: int, keep: int, keys: int, block_by
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(whole, pa.int64()), pa.array(smallest, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "fingerprint", "n", "whole", "keys", "sketch"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long, n long, whole long, keys array<long>, sketch binary")
+    return rows.mapInArrow(T.lean(run), "doc_id long, fingerprint long, n long, whole long, keys array<long>, sketch binary")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 18, keep: int = 256, keys: int = 3, rows: int = 100_000) -> DataFrame:

@@ -8,7 +8,9 @@ splits characters correctly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,41 @@ def spans(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _TRIM = None
+
+
+def tidy() -> None:
+    """Give free memory back to the system: workers live on between tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Run, batch_bytes: int = 6 << 20) -> Run:
+    """`run` over slices of the batches of about `batch_bytes`, memory given back after each batch."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = max(1, int(b.num_rows * batch_bytes / max(1, b.nbytes)))
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+            del b
+            tidy()
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(slices(batches))
+        tidy()
+
+    return small
+
+
 class Words:
     """Words of a block of texts.
 

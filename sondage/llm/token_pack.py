@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import text as T
+
 SCHEMA = "shard int, block int, row int, n_tokens int, ids binary, cumulative array<int>, positions binary, segments array<struct<doc_id:long,piece:int,tokens:int>>"
 _SEGMENT = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("tokens", pa.int32())])
 
@@ -140,7 +142,7 @@ def packed(documents: DataFrame, path: str | None = None, length: int = 2048, pa
             yield _window(shard, block, items, length, kind, pad)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(T.lean(run), SCHEMA)
 
 
 def write(rows: DataFrame, folder: str) -> None:
@@ -162,7 +164,7 @@ def unpack(rows: DataFrame, length: int = 2048) -> DataFrame:
             out = [np.concatenate([np.frombuffer(p["raw"], "<u2" if p["wide"] == 2 else "<u4") for p in ps]).astype(np.int32) for ps in b.column("ps").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return joined.mapInArrow(run, "doc_id long, ids array<int>")
+    return joined.mapInArrow(T.lean(run), "doc_id long, ids array<int>")
 
 
 def op3_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
