@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from . import text as T
 from .langid import held_out
 
-#: Letters of Greek and Cyrillic that look like a Latin letter, and that letter.
-LOOKALIKES = dict(zip("αβεικνορτυχϲаеорсухіјѕһԁвкмнтғ", "abeiknoptuxcaeopcyxijshdbkmhtf", strict=True))
-#: Digits and signs that stand for a letter. Signs count only between letters or digits.
+#: Letters of other alphabets that look like a Latin letter, and that letter.
+LOOKALIKES = dict(zip("αβεικνορτυχϲаеорсухіјѕһԁвкмнтғı", "abeiknoptuxcaeopcyxijshdbkmhtfi", strict=True))
+#: Digits and signs that stand for a letter. Signs count only between letters.
 SUBSTITUTES = dict(zip("0134578@$!|+", "oieastbasiit", strict=True))
 SIGNS = "@$!|+"
 _SPACE = 0x20
@@ -60,7 +60,8 @@ def fold(raw: np.ndarray) -> np.ndarray:
     out, keep = _ONE[raw], np.ones(len(raw), dtype=bool)
     signs = np.flatnonzero(_SIGN[raw])
     signs = signs[(signs > 0) & (signs < len(raw) - 1)]
-    inside = signs[(out[signs - 1] != _SPACE) & (out[signs + 1] != _SPACE)]
+    letter = (out >= 97) & (out <= 122)
+    inside = signs[letter[signs - 1] & letter[signs + 1]]
     out[inside] = _SIGN[raw[inside]]
     lead = np.flatnonzero((raw[:-1] >= 0xC2) & (raw[:-1] <= 0xDF))
     to = _TWO[((raw[lead].astype(np.int64) & 0x1F) << 6) | (raw[lead + 1] & 0x3F)]
@@ -78,6 +79,8 @@ def fold(raw: np.ndarray) -> np.ndarray:
 def folded(texts: list[bytes]) -> list[str]:
     """Each text folded, its words with one space before each and one at the end, one
     character for a byte."""
+    if not texts:
+        return []
     joined = fold(np.frombuffer(b"\xff" + b"\xff".join(texts) + b"\xff", dtype=np.uint8))
     same = (joined[1:] == _SPACE) & (joined[:-1] == _SPACE)
     joined = joined[np.concatenate(([True], ~same))]
@@ -147,6 +150,9 @@ def learn(texts: list[bytes], labels: np.ndarray, max_entries: int = 2000, lengt
     toxic = [t for t, y in seen.items() if y]
     clean = [t for t, y in seen.items() if not y]
     with_term = Counter(x for t in toxic for x in _terms(t, lengths))
+    # of so many terms none should be in this many toxic texts and no clean one by chance
+    chance = (len(toxic) + 1) / (len(seen) + 2)
+    least = max(least, int(np.ceil(np.log(len(with_term) + 1) / -np.log(chance))))
     with_term = {x: n for x, n in with_term.items() if n >= least}
     wanted = with_term.keys()
     without = Counter(x for t in clean for x in _terms(t, lengths) if x in wanted)
@@ -219,7 +225,7 @@ def score(documents: DataFrame, lexicon: Lexicon, block_bytes: int = 1 << 20) ->
             columns = dict(zip(b.schema.names, b.columns, strict=True)) | {"toxicity": pa.array(np.concatenate(parts))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(T.lean(run), out.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
