@@ -99,29 +99,27 @@ class Vocabulary:
             other = other[(seen != key[other]) & (seen >= 0)]
         return at.reshape(shape)
 
-    def encode_equal(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces that all have the same number of bytes, at most SHORT."""
+    def encode_equal(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of pieces that all have the same number of bytes, at most SHORT: indexes and, as rows
+        of a matrix, ids of those that end with the same number of parts."""
         length = len(pieces[0])
         raw = np.frombuffer(b"".join(pieces), dtype=np.uint8).reshape(len(pieces), length)
         parts = self.inner[raw]
         parts[:, -1] = self.final[raw[:, -1]]
-        out: list[np.ndarray] = [None] * len(pieces)
         rows = np.arange(len(pieces))
         slots = self.look(parts[:, :-1], parts[:, 1:])
         ranks = self.ranks[slots]
         while len(rows):
-            if ranks.shape[1] == 0:
-                at = least = None
-                done = np.ones(len(rows), dtype=bool)
-            else:
-                at = ranks.argmin(axis=1)
-                least = ranks[np.arange(len(rows)), at]
-                done = least == NONE
-            for r, p in zip(rows[done].tolist(), parts[done], strict=True):
-                out[r] = p
-            if done.all():
-                break
-            rows, parts, slots, ranks, at = rows[~done], parts[~done], slots[~done], ranks[~done], at[~done]
+            if not ranks.shape[1]:
+                yield rows, parts
+                return
+            at = ranks.argmin(axis=1)
+            done = ranks[np.arange(len(rows)), at] == NONE
+            if done.any():
+                yield rows[done], parts[done]
+                rows, parts, slots, ranks, at = rows[~done], parts[~done], slots[~done], ranks[~done], at[~done]
+                if not len(rows):
+                    return
             n, width = np.arange(len(rows)), parts.shape[1]
             made = self.made[slots[n, at]]
             columns = np.arange(width - 1)
@@ -135,7 +133,6 @@ class Vocabulary:
                 new = self.look(parts[r, c], parts[r, c + 1])
                 slots[r, c] = new
                 ranks[r, c] = self.ranks[new]
-        return out
 
     def encode_long(self, piece: bytes) -> np.ndarray:
         """Ids of one piece by a heap of ranks; leftmost first among equal ranks."""
@@ -165,27 +162,36 @@ class Vocabulary:
                 push(before[i])
         return np.array([p for p in parts if p >= 0], dtype=np.int32)
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, np.ndarray]:
-        by_size: dict[int, tuple[list[str], list[bytes]]] = {}
-        out = {}
-        for p in pieces:
+    def encode_pieces(self, pieces: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and where each begins (one more at the end). An
+        int stands for itself."""
+        by_size: dict[int, tuple[list[int], list[bytes]]] = {}
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, p in enumerate(pieces):
+            if isinstance(p, int):
+                found.append((np.array([i]), np.array([[p]], dtype=np.int32)))
+                continue
             raw = p.encode()
             if len(raw) > SHORT:
-                out[p] = self.encode_long(raw)
+                found.append((np.array([i]), self.encode_long(raw)[None]))
             else:
-                names, raws = by_size.setdefault(len(raw), ([], []))
-                names.append(p)
+                own, raws = by_size.setdefault(len(raw), ([], []))
+                own.append(i)
                 raws.append(raw)
-        for names, raws in by_size.values():
-            out.update(zip(names, self.encode_equal(raws), strict=True))
-        return out
+        for own, raws in by_size.values():
+            own = np.array(own)
+            found += [(own[rows], ids) for rows, ids in self.encode_equal(raws)]
+        at = np.zeros(len(pieces) + 1, dtype=np.int64)
+        for rows, ids in found:
+            at[rows + 1] = ids.shape[1]
+        at = np.cumsum(at)
+        out = np.empty(at[-1], dtype=np.int32)
+        for rows, ids in found:
+            out[at[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return out, at
 
     def pieces(self, chunk: str) -> list[str | int]:
         """Pieces of a string without white space; special tokens as ids."""
-        if chunk.isascii():
-            folded = chunk.lower()
-            if folded.isalpha():
-                return [folded]
         if self.splits and "<|" in chunk:
             out, last = [], 0
             for m in self.splits.finditer(chunk):
@@ -198,7 +204,19 @@ class Vocabulary:
     def _plain(s: str) -> list[str]:
         if not s.isascii():
             s = unicodedata.normalize("NFC", s).replace("Σ", "σ")  # capital sigma: no final form
-        return _PIECE.findall(s.lower())
+        s = s.lower()
+        if s.isalpha():
+            return [s]
+        if s[-1:] in (".", ",") and s[:-1].isalpha():
+            return [s[:-1], s[-1]]
+        return _PIECE.findall(s)
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of `flat`, one after another, and where each begins (one more at the end)."""
+    at = np.zeros(len(size) + 1, dtype=np.int64)
+    np.cumsum(size, out=at[1:])
+    return flat[np.repeat(start - at[:-1], size) + np.arange(at[-1])], at
 
 
 class Encoder:
@@ -210,43 +228,42 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.at = [0]
-        self.ids: list[np.ndarray] = []
-        self.flat: np.ndarray | None = None
-
-    def _learn(self, chunks: set[str]) -> None:
-        split = {c: self.v.pieces(c) for c in chunks}
-        pieces = self.v.encode_pieces(list({p for ps in split.values() for p in ps if not isinstance(p, int)}))
-        parts, total = [], self.at[-1]
-        for c, ps in split.items():
-            self.index[c] = len(self.at) - 1
-            for p in ps:
-                own = np.array([p], np.int32) if isinstance(p, int) else pieces[p]
-                parts.append(own)
-                total += len(own)
-            self.at.append(total)
-        self.flat = np.concatenate([self.flat, *parts]) if self.flat is not None else np.concatenate([np.empty(0, np.int32), *parts])
+        self.at, self.flat = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32)
+
+    def _learn(self, chunks: list[str]) -> None:
+        split = list(map(self.v.pieces, chunks))
+        number: dict[str | int, int] = {}
+        which = np.array([number.setdefault(p, len(number)) for p in chain.from_iterable(split)], dtype=np.int64)
+        ids, at = self.v.encode_pieces(list(number))
+        ids, at = _gather(ids, at[which], at[which + 1] - at[which])
+        edge = np.zeros(len(chunks) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(len, split), np.int64, len(split)), out=edge[1:])
+        self.index.update(zip(chunks, range(len(self.at) - 1, len(self.at) - 1 + len(chunks)), strict=True))
+        self.at = np.concatenate([self.at, self.at[-1] + at[edge[1:]]])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _shrink(self, used: set[str]) -> None:
+        """Forget all strings but those in `used`."""
+        kept = [(c, i) for c, i in self.index.items() if c in used]
+        which = np.array([i for _, i in kept], dtype=np.int64)
+        self.flat, self.at = _gather(self.flat, self.at[which], self.at[which + 1] - self.at[which])
+        self.index = {c: k for k, (c, _) in enumerate(kept)}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids of each."""
         split = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else _SPLIT.findall(t) for t in texts]
         chunks = list(chain.from_iterable(split))
         if len(self.index) > self.keep:
-            self._forget()
+            self._shrink(set(chunks))
         got = list(map(self.index.get, chunks))
-        if missing := {c for c, i in zip(chunks, got, strict=True) if i is None}:
-            self._learn(missing)
+        if None in got:
+            self._learn(list({c for c, i in zip(chunks, got, strict=True) if i is None}))
             got = list(map(self.index.get, chunks))
-        if not chunks:
-            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        which, edges = np.array(got, dtype=np.int64), np.array(self.at, dtype=np.int64)
-        start, size = edges[which], edges[which + 1] - edges[which]
-        out_at = np.zeros(len(which) + 1, dtype=np.int64)
-        np.cumsum(size, out=out_at[1:])
-        ids = self.flat[np.repeat(start - out_at[:-1], size) + np.arange(out_at[-1])]
+        which = np.array(got, dtype=np.int64)
+        ids, at = _gather(self.flat, self.at[which], self.at[which + 1] - self.at[which])
         first = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum(np.fromiter(map(len, split), np.int64, len(split)), out=first[1:])
-        return ids, np.diff(out_at[first])
+        return ids, np.diff(at[first])
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -271,12 +288,6 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _pieces_of(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    """Shares of a batch, so that lists and texts of a share stay far below 2 GB."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def encode(documents: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", block_bytes: int = 1 << 20) -> DataFrame:
     """`documents` with the array<int> column `ids` of the token ids of `text`.
 
@@ -290,21 +301,20 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text", id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
-        for batch in batches:
-            for b in _pieces_of(batch, 1000):
-                values, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-                texts = [t or "" for t in b.column(text).to_pylist()]
-                low, size = 0, 0
-                for i, t in enumerate([*texts, None]):
-                    if t is None or size > block_bytes:
-                        own = encoder.encode(texts[low:i])
-                        values.append(own[0])
-                        counts.append(own[1])
-                        low, size = i, 0
-                    size += len(t or "")
-                yield _with(b, ids, _lists(np.concatenate(values), np.concatenate(counts), pa.int32()))
-
-    return out.mapInArrow(run, out.schema)
+        for b in batches:
+            values, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            low, size = 0, 0
+            for i, t in enumerate([*texts, None]):
+                if t is None or size > block_bytes:
+                    own = encoder.encode(texts[low:i])
+                    values.append(own[0])
+                    counts.append(own[1])
+                    low, size = i, 0
+                size += len(t or "")
+            yield _with(b, ids, _lists(np.concatenate(values), np.concatenate(counts), pa.int32()))
+
+    return out.mapInArrow(T.lean(run), out.schema)
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -322,21 +332,20 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", text: s
         size = np.fromiter(map(len, spelled), np.int64, len(spelled))
         begin = np.concatenate(([0], np.cumsum(size)[:-1]))
         flat = np.frombuffer(b"".join(spelled), dtype=np.uint8)
-        for batch in batches:
-            for b in _pieces_of(batch, 500):
-                column = b.column(ids)
-                own = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                counts = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], dtype=np.int64)
-                if len(own) and (own.min() < 0 or own.max() >= len(size)):
-                    raise ValueError("an id is outside the vocabulary")
-                at = np.zeros(len(own) + 1, dtype=np.int64)
-                np.cumsum(size[own], out=at[1:])
-                raw = flat[np.repeat(begin[own] - at[:-1], size[own]) + np.arange(at[-1])].tobytes()
-                edge = at[np.concatenate(([0], np.cumsum(counts)))].tolist()
-                texts = [raw[x : max(x, y - 1)] for x, y in zip(edge, edge[1:], strict=False)]
-                yield _with(b, text, pa.array(texts, pa.binary()).cast(pa.string()))
-
-    return out.mapInArrow(run, out.schema)
+        for b in batches:
+            column = b.column(ids)
+            own = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], dtype=np.int64)
+            if len(own) and (own.min() < 0 or own.max() >= len(size)):
+                raise ValueError("an id is outside the vocabulary")
+            at = np.zeros(len(own) + 1, dtype=np.int64)
+            np.cumsum(size[own], out=at[1:])
+            raw = flat[np.repeat(begin[own] - at[:-1], size[own]) + np.arange(at[-1])].tobytes()
+            edge = at[np.concatenate(([0], np.cumsum(counts)))].tolist()
+            texts = [raw[x : max(x, y - 1)] for x, y in zip(edge, edge[1:], strict=False)]
+            yield _with(b, text, pa.array(texts, pa.binary()).cast(pa.string()))
+
+    return out.mapInArrow(T.lean(run), out.schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
