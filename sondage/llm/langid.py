@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
 Texts become vectors of hashed letter n-grams (bytes 2 and 3 long within words and across
-their edges), weighted by damped counts and inverse document frequency and scaled to unit
+their edges), weighted by counts and a smoothed inverse document frequency and scaled to unit
 length. Each language of the labelled sample gets several centroids by spherical
 k-means. A text takes the language of its nearest centroid by cosine; its score is that
 cosine. A text too far from every centroid for its length is marked as rejected.
@@ -31,7 +31,7 @@ _FOLD[:0x80][~np.isin(np.arange(0x80), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 
 
 def vectors(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Damped counts of hashed n-grams (texts x size), and the number of n-grams of each text."""
+    """Counts of hashed n-grams (texts x size), and the number of n-grams of each text."""
     begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     raw = _FOLD[np.frombuffer(b" ".join(texts) + b"   ", dtype=np.uint8)]
     upper = np.flatnonzero((raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)) + 1
@@ -48,7 +48,7 @@ def vectors(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
         own = owner[use]
         counts += np.bincount(own * size + (code[use] >> shift), minlength=len(counts)).astype(np.float32)
         total += np.bincount(own, minlength=len(texts))
-    return np.log1p(counts).reshape(len(texts), size), total
+    return counts.reshape(len(texts), size), total
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -99,20 +99,22 @@ def _length_class(total: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(total, 1)).astype(np.int64), 15)
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, clusters: int = 4, size: int = 4096) -> Model:
+def fit(labelled: DataFrame, per_language: int = 1000, max_rows: int = 8000, clusters: int = 4, size: int = 4096) -> Model:
     """A model from the columns doc_id, text and lang; rows with a null in any of them and
-    texts without letters teach nothing. About `per_language` rows of a language are used."""
+    texts without letters teach nothing. About `per_language` rows of a language are used, and
+    about `max_rows` in all."""
     rows = labelled.select("doc_id", "text", "lang").dropna().where(F.expr(r"text rlike '\\p{L}'"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     if not counts:
         return Model([], np.zeros(size, np.float32), np.zeros((0, size), np.float32), np.zeros(0, np.int64), np.zeros(16))
+    per_language = min(per_language, max_rows / len(counts))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     sample = rows.where(place < share[F.col("lang")]).select("lang", "text").toArrow()
     names, texts = sample["lang"].to_pylist(), T.byte_list(sample["text"])
     counts_of, totals = zip(*(vectors(texts[i:j], size) for i, j in T.spans(texts, 1 << 20)), strict=True)
     x, total = np.concatenate(counts_of), np.concatenate(totals)
-    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
+    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(2)  # smoothed: a rare passage in another language must not outweigh the rest
     x = _unit(x * weights)
     languages = sorted(set(names))
     label = np.array([languages.index(n) for n in names])
@@ -123,7 +125,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, clusters: int = 4, size:
     language_of = np.repeat(np.arange(len(languages)), [len(c) for c in centroids])
     centroids = np.concatenate(centroids)
     best, length = (x[own] @ centroids.T).max(axis=1), _length_class(total[own])
-    floors = np.array([0.5 * best[length == k].min() if (length == k).sum() >= 20 else 0.02 for k in range(16)])
+    floors = np.array([0.3 * best[length == k].min() if (length == k).sum() >= 20 else 0.02 for k in range(16)])
     return Model(languages, weights, centroids, language_of, floors)
 
 
