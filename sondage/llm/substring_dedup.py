@@ -6,7 +6,7 @@ any two equal windows, wherever they stand, have a shift below `period` at which
 positions fall on D. So only runs of `window - period + 1` words that start at a
 position of D modulo `period` are hashed (3 of 7 positions by default), and each equal
 pair of windows shares such an anchor. Anchors that more than one document has are then
-extended: the windows around them are compared as a whole, by 127 bits.
+extended: the windows around them are compared as a whole, by 95 bits.
 
 Documents are dealt to chunks of about `chunk_bytes` by a hash of doc_id. A chunk sends
 each of its different anchors once, and later each candidate window once with its
@@ -32,7 +32,9 @@ U = T.U
 LAST = np.iinfo(np.int64).max
 PACKED = "bucket int, chunk int, hash binary, more binary, doc binary"
 REPLY = "chunk int, hash binary, more binary, doc binary"
+MARKS = "chunk int, bucket int, n int, marks binary"
 _NAMES = [x.split()[0] for x in PACKED.split(", ")]
+SECOND = np.uint32
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -121,8 +123,8 @@ def _first_of(*sorted_keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _send_anchors(plan: Plan, table: pa.Table) -> pa.Table:
-    """A chunk's different anchors; the lowest bit says that two of its documents have it."""
+def _own_anchors(plan: Plan, table: pa.Table) -> np.ndarray:
+    """A chunk's different anchors, sorted; the lowest bit says that two of its documents have it."""
     ids, found, docs, low = _ids(table), [np.empty(0, U)], [np.empty(0, np.int64)], 0
     for words, owner, place, prefix in plan.blocks(table):
         at, hashes = plan.anchors(words, owner, place, prefix, low)
@@ -134,9 +136,15 @@ def _send_anchors(plan: Plan, table: pa.Table) -> pa.Table:
     hashes, docs = hashes[order], docs[order]
     start, _ = _runs(_first_of(hashes))
     if not len(start):
-        return plan.deal(0, hashes)
+        return hashes
     several = np.minimum.reduceat(docs, start) < np.maximum.reduceat(docs, start)
-    return plan.deal(table["chunk"][0].as_py(), hashes[start] | several.astype(U))
+    return hashes[start] | several.astype(U)
+
+
+def _send_anchors(plan: Plan, table: pa.Table) -> pa.Table:
+    out = plan.deal(table["chunk"][0].as_py(), _own_anchors(plan, table))
+    T.tidy()
+    return out
 
 
 def _by_chunk(chunks: np.ndarray, *columns: np.ndarray) -> pa.Table:
@@ -157,22 +165,33 @@ def _chunks_of(table: pa.Table) -> np.ndarray:
 
 
 def _shared_anchors(table: pa.Table) -> pa.Table:
-    """Anchors of several documents, to each chunk that has them."""
-    chunks, hashes = _chunks_of(table), _unpack(table, "hash")
-    several = (hashes & U(1)).astype(bool)
+    """For each chunk's anchors of this range, in the order sent, a bit: another document has it too."""
+    hashes = _unpack(table, "hash")
+    keep = (hashes & U(1)).astype(bool)
     hashes = hashes & ~U(1)
     order = np.argsort(hashes)
-    hashes, chunks, several = hashes[order], chunks[order], several[order]
-    start, size = _runs(_first_of(hashes))
-    keep = np.repeat(size > 1, size) | several
-    return _by_chunk(chunks[keep], hashes[keep])
+    start, size = _runs(_first_of(hashes[order]))
+    keep[order] |= np.repeat(size > 1, size)
+    sizes = [len(x) // 8 for x in table["hash"].to_pylist()]
+    edge = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    marks = [np.packbits(keep[a:b]).tobytes() for a, b in zip(edge, edge[1:], strict=False)]
+    return pa.table([table["chunk"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary())], names=["chunk", "bucket", "n", "marks"])
+
+
+def _marked(hashes: np.ndarray, marks: pa.Table) -> np.ndarray:
+    """Of a chunk's sorted anchors those that are marked."""
+    rows = sorted(zip(marks["bucket"].to_pylist(), marks["n"].to_pylist(), marks["marks"].to_pylist(), strict=True))
+    keep = [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for _, n, m in rows]
+    return hashes[np.concatenate(keep).astype(bool)] & ~U(1) if keep else hashes[:0]
 
 
 def _send_windows(plan: Plan, table: pa.Table, shared: pa.Table) -> pa.Table:
     """A chunk's different windows around shared anchors, each with its smallest doc_id; the
     lowest bit of the hash says that another of its documents has it too."""
-    ids, known = _ids(table), Lookup(np.sort(_unpack(shared, "hash")))
-    parts, low = [(np.empty(0, U), np.empty(0, U), np.empty(0, np.int64))], 0
+    if not table.num_rows:
+        return plan.deal(0, np.empty(0, U))
+    ids, known = _ids(table), Lookup(_marked(_own_anchors(plan, table), shared))
+    parts, low = [(np.empty(0, U), np.empty(0, SECOND), np.empty(0, np.int64))], 0
     for words, owner, place, prefix in plan.blocks(table) if len(known.keys) else ():
         at, hashes = plan.anchors(words, owner, place, prefix, low)
         at = at[known.find(hashes)[0]]
@@ -192,16 +211,19 @@ def _send_windows(plan: Plan, table: pa.Table, shared: pa.Table) -> pa.Table:
         return plan.deal(0, hashes, more, docs)
     least = np.minimum.reduceat(docs, start)
     several = least < np.maximum.reduceat(docs, start)
-    return plan.deal(table["chunk"][0].as_py(), hashes[start] | several.astype(U), more[start], least)
+    out = plan.deal(table["chunk"][0].as_py(), hashes[start] | several.astype(U), more[start], least)
+    T.tidy()
+    return out
 
 
 def _second(words: T.Words, start: np.ndarray, plan: Plan) -> np.ndarray:
-    return T.sequence_hash(T.sequence_prefix(T.mix(words.hashes()), 1), start, plan.window, 1)
+    """32 more bits for each window, from words hashed anew."""
+    return (T.sequence_hash(T.sequence_prefix(T.mix(words.hashes()), 1), start, plan.window, 1) >> U(32)).astype(SECOND)
 
 
 def _smallest(table: pa.Table) -> pa.Table:
     """Windows with the smallest doc_id of all, to each chunk with a greater one."""
-    chunks, hashes, more, docs = _chunks_of(table), _unpack(table, "hash"), _unpack(table, "more"), _unpack(table, "doc", np.int64)
+    chunks, hashes, more, docs = _chunks_of(table), _unpack(table, "hash"), _unpack(table, "more", SECOND), _unpack(table, "doc", np.int64)
     several = (hashes & U(1)).astype(bool)
     hashes = hashes & ~U(1)
     order = np.lexsort((more, hashes))
@@ -214,7 +236,7 @@ def _smallest(table: pa.Table) -> pa.Table:
 
 def _cut(plan: Plan, table: pa.Table, reply: pa.Table) -> pa.Table:
     ids = _ids(table)
-    hashes, more, least = _unpack(reply, "hash"), _unpack(reply, "more"), _unpack(reply, "doc", np.int64)
+    hashes, more, least = _unpack(reply, "hash"), _unpack(reply, "more", SECOND), _unpack(reply, "doc", np.int64)
     order = np.lexsort((more, hashes))
     hashes, more, least = hashes[order], more[order], least[order]
     # windows of equal first hash but other second: kept apart by looking at each in turn
@@ -249,11 +271,12 @@ def _cut(plan: Plan, table: pa.Table, reply: pa.Table) -> pa.Table:
         counts.append(words.counts)
         removed.append(cut)
         low += n
+    T.tidy()
     whole = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (counts, removed)]
     return pa.table([table["doc_id"].combine_chunks(), pa.array(whole[0], pa.int64()), pa.array(whole[1], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def dedup(documents: DataFrame, window: int = 13, period: int = 7, chunk_bytes: int = 24 << 20, block_bytes: int = 1 << 20) -> DataFrame:
+def dedup(documents: DataFrame, window: int = 13, period: int = 7, chunk_bytes: int = 24 << 20, block_bytes: int = 512 << 10) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of each row.
 
     Words are `[^\\x20\\x09-\\x0D]+`. A word goes if it is in a window whose words also
@@ -269,7 +292,7 @@ def dedup(documents: DataFrame, window: int = 13, period: int = 7, chunk_bytes:
     dealt = documents.select(F.expr(f"cast(pmod(xxhash64(doc_id), {chunks}) as int)").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     by_chunk = dealt.groupBy("chunk")
     anchors = by_chunk.applyInArrow(lambda t: _send_anchors(plan, t), PACKED)
-    shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, REPLY)
+    shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, MARKS)
     windows = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(lambda a, b: _send_windows(plan, a, b), PACKED)
     smallest = windows.groupBy("bucket").applyInArrow(_smallest, REPLY)
     return by_chunk.cogroup(smallest.groupBy("chunk")).applyInArrow(lambda a, b: _cut(plan, a, b), "doc_id long, n_words long, n_removed long, kept_text string")
