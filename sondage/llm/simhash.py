@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -203,16 +203,32 @@ def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, buckets[order], prints[order]
 
 
-def near_prints(prints: DataFrame, radius: int = 3, rows: int = 200_000) -> DataFrame:
+def _block(value: Column, low: int, high: int) -> Column:
+    """Bits low to high - 1 of a long, at its lowest place."""
+    return F.shiftrightunsigned(F.shiftleft(value, 64 - high), 64 - (high - low))
+
+
+def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
+    edges = [bits * k // parts for k in range(parts + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def near_prints(prints: DataFrame, radius: int = 3, split: int = 20_000, rows: int = 200_000) -> DataFrame:
     """Links a, b between different fingerprints that join all within `radius` bits of each other.
 
     Of radius + 1 blocks of bits, two such fingerprints agree in one at least, so each
-    fingerprint goes to one bucket for each of its blocks. `prints` has the one column
+    fingerprint goes to one bucket for each of its blocks. The bits beside the block differ
+    in `radius` places at most too, so a bucket of more than `split` fingerprints is dealt
+    again, by radius + 1 blocks of those bits; no link is lost. Fingerprints are
+    different, so copies, however many, don't fill a bucket. `prints` has the one column
     `fingerprint` (long) without repeats or nulls.
     """
-    blocks = radius + 1
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    keys = [F.xxhash64(F.lit(k), F.shiftrightunsigned(F.shiftleft("fingerprint", 64 - b), 64 - (b - a))) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    x, keys, again = F.col("fingerprint"), [], []
+    for k, (low, high) in enumerate(_blocks(64, radius + 1)):
+        keys.append(F.xxhash64(F.lit(k), _block(x, low, high)))
+        rest = F.shiftleft(_block(x, high, 64), low) if high < 64 else F.lit(0).cast("long")
+        rest = rest.bitwiseOR(_block(x, 0, low)) if low else rest
+        again.append(F.array(*[F.xxhash64(F.lit(k), _block(x, low, high), F.lit(j), _block(rest, a, b)) for j, (a, b) in enumerate(_blocks(64 - (high - low), radius + 1))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_buckets(batches, rows):
@@ -220,8 +236,11 @@ def near_prints(prints: DataFrame, radius: int = 3, rows: int = 200_000) -> Data
             i, j = link(buckets, own, radius)
             yield pa.RecordBatch.from_arrays([pa.array(own[i].view(np.int64)), pa.array(own[j].view(np.int64))], names=["a", "b"])
 
-    dealt = prints.select("fingerprint", F.explode(F.array(*keys)).alias("bucket"))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    dealt = prints.select("fingerprint", F.posexplode(F.array(*keys)).alias("k", "bucket"))
+    large = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select("bucket", F.lit(True).alias("large"))
+    to = F.when(F.col("large"), F.element_at(F.array(*again), F.col("k") + 1)).otherwise(F.array("bucket"))
+    fine = dealt.join(large, "bucket", "left").select("fingerprint", F.explode(to).alias("bucket"))
+    return fine.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
 def groups(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:

@@ -109,6 +109,24 @@ def test_simhash_groups(spark, docs):
     assert simhash.groups(docs).count() == len(corpus())
 
 
+@pytest.mark.parametrize("split", [20_000, 2, 0])
+def test_large_buckets_are_dealt_again(spark, split):
+    rng = random.Random(3)
+    prints = {0, 1, 3, 2**64 - 1}
+    for _ in range(8):
+        base = rng.getrandbits(64)
+        for _ in range(40):
+            x = base
+            for _ in range(rng.randint(0, 6)):
+                x ^= 1 << rng.randrange(64)
+            prints.add(x)
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+    want = joined(signed, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    links = simhash.near_prints(spark.createDataFrame([(x,) for x in signed], "fingerprint long"), 3, split)
+    got = {r["u"]: r["v"] for r in components.components(links).collect()}
+    assert {x: got.get(x, x) for x in signed} == want
+
+
 def test_near_duplicates(spark):
     rng = random.Random(4)
     base = [f"v{rng.randint(0, 3000)}" for _ in range(220)]
@@ -251,7 +269,7 @@ def test_bpe(docs, empty):
 
 def test_secrets(spark, docs, empty):
     trees = secret_scan.forest(secret_scan.train(secret_scan.labelled_findings(spark)))
-    fresh = secret_scan.labelled_findings(spark, 9000).withColumn("text", F.concat_ws(" ", "before", "word", F.lit("and more"))).select("label", secret_scan.F.col("text"))
+    fresh = secret_scan.labelled_findings(spark, 9000).withColumn("text", F.concat_ws(" ", "before", "word", "after", F.lit("and more"))).select("label", "text")
     counts = {(r["label"], r["found"]): r["count"] for r in secret_scan.scan(fresh, trees).groupBy("label", (F.size("secrets") > 0).alias("found")).count().collect()}
     assert counts.get((0, True), 0) == 0 and counts[(1, True)] > 100 * counts.get((1, False), 0)
     key = "AKIA" + "J5XKQ2M7RT4WZ8PL"
