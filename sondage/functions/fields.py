@@ -38,24 +38,37 @@ def digits_only(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def once(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def check_digit(digits: Column, count: int) -> Column:
-    """Check digit over the first `count` digits with weights from count + 1 down to 2."""
-    weighted = sum((F.substring(digits, i + 1, 1).try_cast("int") * (count + 1 - i) for i in range(count)), F.lit(0))
-    return (weighted * 10) % 11 % 10
+    """Check digit over the first `count` digits with weights from count + 1 down to 2; null if one is missing."""
+    codes = [F.ascii(F.substr(digits, F.lit(i), F.lit(1))) - 48 for i in range(1, count + 1)]
+    total = sum((c * (count + 2 - i) for i, c in enumerate(codes, 1)), F.lit(0))
+    return F.when(F.length(digits) >= count, total * 10 % 11 % 10)
+
+
+def _tail(nine: Column) -> Column:
+    """The two check digits behind nine digits."""
+    with_first = once(check_digit(nine, 9).cast("string"), lambda c: F.concat(nine, c))
+    return once(with_first, lambda ten: F.concat(F.substr(ten, F.lit(10), F.lit(1)), check_digit(ten, 10).cast("string")))
 
 
 def valid_cpf(text: Column) -> Column:
-    """Whether the digits of a text are eleven, not all equal, and end in their two check digits."""
-    d = digits_only(text)
-    both = F.concat(check_digit(d, 9).cast("string"), check_digit(F.concat(F.substring(d, 1, 9), check_digit(d, 9).cast("string")), 10).cast("string"))
-    good = (F.length(d) == 11) & ~d.rlike(r"^([0-9])\1{10}$") & (F.substring(d, 10, 2) == both)
-    return F.when(text.isNotNull(), F.coalesce(good, F.lit(False)))
+    """Whether the digits of a text are eleven, not all equal, and end in their two check digits. Null for null."""
+
+    def check(d: Column) -> Column:
+        right = F.substr(d, F.lit(10), F.lit(2)) == _tail(F.substr(d, F.lit(1), F.lit(9)))
+        return (F.length(d) == 11) & ~d.rlike(r"^([0-9])\1{10}$") & F.coalesce(right, F.lit(False))
+
+    return F.when(text.isNotNull(), once(digits_only(text), check))
 
 
 def with_check_digits(nine: Column) -> Column:
     """Nine digits with their two check digits."""
-    ten = F.concat(nine, check_digit(nine, 9).cast("string"))
-    return F.concat(ten, check_digit(ten, 10).cast("string"))
+    return once(nine, lambda n: F.concat(n, _tail(n)))
 
 
 def format_id(digits: Column) -> Column:

@@ -40,23 +40,25 @@ def auc(rows: DataFrame, by: tuple[str, ...] = (), label: str = "y", score: str
     return from_histogram(histogram(rows, by, label, score), by)
 
 
-def auc_of_held_out(rows: DataFrame, key: str, same_source: bool = True, source: str = "fonte", label: str = "y", score: str = "score") -> DataFrame:
+def auc_of_held_out(rows: DataFrame, key: str, same_source: bool = True, source: str = "fonte", label: str = "y", score: str = "score", count: str | None = None) -> DataFrame:
     """key, n_pos, n_neg and auc of each key's positives against negatives.
 
     same_source: only negatives from sources in which the key has positives; otherwise all
     negatives. Negatives are counted by source and score before they meet the keys, so
-    nothing is multiplied but histogram rows.
+    nothing is multiplied but histogram rows. `count` names a column that says how many
+    samples a row stands for.
     """
+    many = F.sum(count) if count else F.count(F.lit(1))
     named = F.col(key).isNotNull() & (F.col(key) != "")
     positives = rows.where((F.col(label) == 1) & named)
     negatives = rows.where(F.col(label) == 0)
-    pos = positives.groupBy(key, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("p"), F.lit(0).cast("long").alias("n"))
+    pos = positives.groupBy(key, F.col(score).alias("score")).agg(many.alias("p"), F.lit(0).cast("long").alias("n"))
     if same_source:
         where = positives.select(key, source).distinct()
-        counted = negatives.groupBy(source, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+        counted = negatives.groupBy(source, F.col(score).alias("score")).agg(many.alias("n"))
         neg = counted.join(where, source)
     else:
-        counted = negatives.groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+        counted = negatives.groupBy(F.col(score).alias("score")).agg(many.alias("n"))
         neg = counted.crossJoin(positives.select(key).distinct())
     neg = neg.groupBy(key, "score").agg(F.lit(0).cast("long").alias("p"), F.sum("n").alias("n"))
     both = pos.unionByName(neg)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fold_of, hash_rank
+from ..storage import checkpoint
 from . import auc as A
 
 
@@ -91,37 +92,39 @@ def held_out_sources(rows: DataFrame, key: str, source: str = "fonte", label: st
     return mine.join(negatives, source)
 
 
-def held_out_auc(rows: DataFrame, key: str, same_source: bool = True, source: str = "fonte", label: str = "y", score: str = "score") -> DataFrame:
-    """key, n_pos, n_neg, auc with each key held out in turn.
+def held_out_auc(rows: DataFrame, key: str, same_source: bool = True, source: str = "fonte", label: str = "y", score: str = "score", count: str | None = None) -> DataFrame:
+    """key, n_pos, n_neg, auc with each key held out in turn. `count` names a column that says
+    how many samples a row stands for.
 
     The model is the linear score whose sign is learned from the training set: the score itself
     if training positives score higher on average than negatives, else its negative.
     Each training mean is the total less the held-out key's part.
     """
     valid = rows.where(F.col(label).isin(0, 1) & F.col(score).isNotNull())
+    many = F.col(count) if count else F.lit(1)
     named = F.col(key).isNotNull() & (F.col(key) != "")
-    total = valid.agg(*[f(F.when(F.col(label) == c, F.col(score))).alias(f"_{a}{c}") for c in (0, 1) for a, f in (("s", F.sum), ("c", F.count))])
-    own = valid.where((F.col(label) == 1) & named).groupBy(key).agg(F.sum(score).alias("_s"), F.count(F.lit(1)).alias("_c"))
+    total = valid.agg(*[F.sum(F.when(F.col(label) == c, x)).alias(f"_{a}{c}") for c in (0, 1) for a, x in (("s", many * F.col(score)), ("c", many))])
+    own = valid.where((F.col(label) == 1) & named).groupBy(key).agg(F.sum(many * F.col(score)).alias("_s"), F.sum(many).alias("_c"))
     rise = (F.col("_s1") - F.col("_s")) / F.nullif(F.col("_c1") - F.col("_c"), F.lit(0)) - F.col("_s0") / F.nullif(F.col("_c0"), F.lit(0))
     signs = own.crossJoin(F.broadcast(total)).select(F.col(key).alias("_key"), F.when(rise < 0, -1.0).otherwise(1.0).alias("_sign"))
-    return _signed_auc(valid, signs, key, same_source, source, label, score)
-
-
-def _signed_auc(rows: DataFrame, signs: DataFrame, key: str, same_source: bool, source: str, label: str, score: str) -> DataFrame:
-    """AUC by key, turned where the key's sign is negative (all its scores change sign, so areas a become 1 - a)."""
-    plain = A.auc_of_held_out(rows, key, same_source, source, label, score)
+    plain = A.auc_of_held_out(valid, key, same_source, source, label, score, count)
+    # where the sign is negative all of a key's scores change sign, so an area a becomes 1 - a
     return plain.join(signs, plain[key] == signs["_key"]).select(key, "n_pos", "n_neg", F.when(F.col("_sign") < 0, 1 - F.col("auc")).otherwise(F.col("auc")).alias("auc"))
 
 
 def snapshot(rows: DataFrame, key: str, group: str, source: str = "fonte", label: str = "y", score: str = "score", folds: int = 5) -> DataFrame:
     """One row on the state of a data set: counts after balancing, the source-only AUC before it,
     the mean grouped AUC and the lowest and highest held-out technique AUC after it."""
-    even = balance_by_source(rows, key, source, label)
-    counts = even.agg(F.count(F.lit(1)).alias("n_amostras"), F.count_if(F.col(label) == 1).alias("n_fraude"), F.count_if(F.col(label) == 0).alias("n_legitimo"), F.countDistinct(source).alias("n_fontes"))
+    even = group_kfold(balance_by_source(rows, key, source, label), group, folds)
+    # all that follows needs no more than how often each combination occurs
+    cells = checkpoint(even.groupBy("fold", source, "tecnica", label, score).agg(F.count(F.lit(1)).alias("_c")))
+    y = F.col(label)
+    counts = cells.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_amostras"), F.coalesce(F.sum(F.when(y == 1, F.col("_c"))), F.lit(0)).alias("n_fraude"), F.coalesce(F.sum(F.when(y == 0, F.col("_c"))), F.lit(0)).alias("n_legitimo"), F.countDistinct(source).alias("n_fontes"))
+    by_fold = cells.groupBy("fold", F.col(score).alias("score")).agg(F.sum(F.when(y == 1, F.col("_c")).otherwise(0)).alias("p"), F.sum(F.when(y == 0, F.col("_c")).otherwise(0)).alias("n"))
     parts = [
         auc_source_only(rows, source, label).select(F.col("auc").alias("auc_fonte_sozinha")),
-        fold_summary(group_kfold(even, group, folds), label, score).select(F.col("mean_auc").alias("auc_agrupada")),
-        held_out_auc(even, "tecnica", True, source, label, score).agg(F.min("auc").alias("loto_min"), F.max("auc").alias("loto_max")),
+        A.from_histogram(by_fold, ("fold",)).agg(F.avg("auc").alias("auc_agrupada")),
+        held_out_auc(cells, "tecnica", True, source, label, score, "_c").agg(F.min("auc").alias("loto_min"), F.max("auc").alias("loto_max")),
     ]
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts, counts)
 
