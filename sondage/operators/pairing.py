@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..functions import fields
 
 
 def sidecar(items: DataFrame, sidecars: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,3 +86,35 @@ def word_score(words: DataFrame, by: list[str], least: float = 60.0) -> DataFram
     good = (F.col("conf") > 0) & (F.length(F.regexp_replace("texto", r"[^\p{L}]", "")) >= 3)
     per = words.groupBy(*by).agg(F.sum(F.when(good, F.col("conf")).otherwise(0.0)).alias("score"))
     return per.withColumn("readable", F.col("score") >= least)
+
+
+def rotation(rows: DataFrame, scores: DataFrame, doc: str, least: float = 60.0) -> DataFrame:
+    """doc and rotation (clockwise degrees that set a document upright).
+
+    The boxes' axis leaves two turns; of these the one with the greater reading score wins, the
+    smaller turn of equals. A document whose better score is under `least` has no row.
+    `scores` has doc, rot and score.
+    """
+    vote = axis_vote(rows, doc).select(doc, "axis")
+    fitting = scores.join(vote, doc).where(F.col("rot") % 180 == F.col("axis") % 180)
+    best = fitting.groupBy(doc).agg(F.min(F.struct((-F.col("score")).alias("s"), "rot")).alias("b"))
+    return best.where(-F.col("b.s") >= least).select(doc, F.col("b.rot").alias("rotation"))
+
+
+def classify_fields(rows: DataFrame, doc: str, place: list[str], keywords: dict[str, Column], label: Column) -> DataFrame:
+    """doc, place, tipo and texto of the boxes that hold editable data.
+
+    Boxes no wider than high and label texts are passed over; the others are of the kind
+    of their text's form, and a name becomes filiacao when the nearest of the horizontal
+    label boxes (`keywords` says which texts make one, by name) is called FILIACAO.
+    """
+    wide = rows.where(F.col("w") > F.col("h"))
+    marks = [wide.where(test).select(doc, *B.SIDES, F.lit(name).alias("_name"), F.lit(i).alias("_kind"), *[F.col(p).alias(f"_p_{p}") for p in place]) for i, (name, test) in enumerate(keywords.items())]
+    labels = marks[0]
+    for m in marks[1:]:
+        labels = labels.unionByName(m)
+    data = wide.where(~label).withColumn("tipo", fields.shape(F.col("texto"))).where("tipo is not null")
+    near = nearest_label(data.where("tipo = 'nome'"), labels, doc, place, "_name", ["_kind", *[f"_p_{p}" for p in place]])
+    out = data.join(near.select(doc, *place, F.col("label").alias("_near")), [doc, *place], "left")
+    kind = F.when((F.col("tipo") == "nome") & (F.col("_near") == "FILIACAO"), "filiacao").otherwise(F.col("tipo"))
+    return out.select(doc, *place, kind.alias("tipo"), "texto")

@@ -244,3 +244,32 @@ def range_join_lines(spark, d):
     return pairing.values_of_labels(views.boxes(spark, d), F.col("texto").rlike("(ring|gear)$"), "doc", "key")
 
 
+
+
+@query("detect_rotation", f"""WITH {BOXES}, v AS (SELECT doc, CASE WHEN count(*) FILTER (w >= h) >= count(*) FILTER (w < h) THEN 0 ELSE 90 END AS axis, round(sum(conf)) AS conf FROM B GROUP BY doc),
+  s AS (SELECT doc, r.rot, axis, conf * ((doc + r.rot // 90) % 4) AS score FROM v, (VALUES (0), (90), (180), (270)) r(rot))
+  SELECT doc, rotation FROM (SELECT doc, rot AS rotation, score, row_number() OVER (PARTITION BY doc ORDER BY score DESC, rot) AS k FROM s WHERE rot % 180 = axis % 180) WHERE k = 1 AND score >= 60""")
+def detect_rotation(spark, d):
+    rows = views.boxes(spark, d)
+    per = rows.groupBy("doc").agg(F.round(F.sum("conf")).alias("conf")).withColumn("rot", F.explode(F.array(*map(F.lit, (0, 90, 180, 270)))))
+    scores = per.select("doc", "rot", (F.col("conf") * ((F.col("doc") + F.floor(F.col("rot") / 90)) % 4)).alias("score"))
+    return pairing.rotation(rows, scores, "doc")
+
+
+_CASES = "CASE line % 5 WHEN 0 THEN '01/02/2024' WHEN 1 THEN texto || ' da Silva' WHEN 2 THEN '1234567890' WHEN 3 THEN 'NOME: ' || texto ELSE 'FILIACAO ' || texto END"
+_D2 = "(a.x + a.w / 2 - l.x - l.w / 2) * (a.x + a.w / 2 - l.x - l.w / 2) + (a.y + a.h / 2 - l.y - l.h / 2) * (a.y + a.h / 2 - l.y - l.h / 2)"
+
+
+@query("classify_fields", f"""WITH {BOXES}, t AS (SELECT key, doc, x, y, w, h, {_CASES} AS texto FROM B WHERE w > h),
+  l AS (SELECT *, CASE WHEN contains(texto, 'NOME') THEN 0 ELSE 1 END AS kind FROM t WHERE contains(texto, 'NOME') OR contains(texto, 'FILIACAO')),
+  c AS (SELECT *, CASE WHEN regexp_matches(texto, '^[0-9]{{2}}/') THEN 'data' WHEN regexp_matches(texto, '^[0-9]{{7,}}$') THEN 'registro' ELSE 'nome' END AS tipo FROM t WHERE NOT contains(texto, 'NOME') AND NOT contains(texto, 'FILIACAO')),
+  n AS (SELECT key, kind FROM (SELECT a.key, l.kind, row_number() OVER (PARTITION BY a.key ORDER BY {_D2}, l.kind, l.key) AS r FROM c a JOIN l ON a.doc = l.doc AND a.tipo = 'nome') WHERE r = 1)
+  SELECT c.doc, c.key, CASE WHEN c.tipo = 'nome' AND n.kind = 1 THEN 'filiacao' ELSE c.tipo END AS tipo, c.texto FROM c LEFT JOIN n ON c.key = n.key""")
+def classify_fields(spark, d):
+    rows = views.boxes(spark, d)
+    n = F.col("line") % 5
+    text = F.when(n == 0, "01/02/2024").when(n == 1, F.concat("texto", F.lit(" da Silva"))).when(n == 2, "1234567890").when(n == 3, F.concat(F.lit("NOME: "), "texto")).otherwise(F.concat(F.lit("FILIACAO "), "texto"))
+    rows = rows.withColumn("texto", text)
+    plain = fields.strip_accents(F.col("texto"))
+    keywords = {k: F.contains(plain, F.lit(k)) for k in ("NOME", "FILIACAO")}
+    return pairing.classify_fields(rows, "doc", ["key"], keywords, fields.is_label(F.regexp_replace("texto", ":", " ")))
