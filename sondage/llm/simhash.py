@@ -297,7 +297,7 @@ def _sketches(documents: DataFrame, shingle: int, keep: int, keys: int, block_by
     return rows.mapInArrow(T.lean(run), "doc_id long, fingerprint long, n long, whole long, keys array<long>, sketch binary")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 18, keep: int = 256, keys: int = 3, rows: int = 100_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 18, keep: int = 512, keys: int = 3, rows: int = 20_000) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable) of each row, by shingle sets.
 
     Rows with equal shingle sets are one node. Different nodes are compared when they share
@@ -308,10 +308,13 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float =
     fewer words than `shingle` are one shingle; null and wordless texts are equal to each
     other. A null doc_id gets a null component_id when its group has no other.
     """
-    prints = checkpoint(_sketches(documents, shingle, keep, keys))
-    node = ["fingerprint", "n", "whole"]
-    nodes = prints.groupBy(*node).agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    nodes = nodes.withColumn("node", F.xxhash64(*node))
+    prints = checkpoint(_sketches(documents, shingle, keep, keys).withColumn("node", F.xxhash64("fingerprint", "n", "whole")))
+    pairs = prints.select("node", F.explode("keys").alias("bucket")).distinct()
+    shared = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # sketches travel only to buckets where they meet another
+    wanted = pairs.join(shared, "bucket", "left_semi").groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_buckets(batches, rows):
@@ -328,9 +331,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float =
             i, j = link(buckets, own, radius, same)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
-    dealt = nodes.select("node", "fingerprint", "n", "sketch", F.explode("keys").alias("bucket"))
+    dealt = nodes.join(wanted, "node").select("node", "fingerprint", "n", "sketch", F.explode("buckets").alias("bucket"))
     star = components(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long"))
-    roots = nodes.select("node", "least").join(star.select(F.col("u").alias("node"), "v"), "node", "left").select("node", "least", F.coalesce("v", "node").alias("root"))
+    roots = least.join(star.select(F.col("u").alias("node"), "v"), "node", "left").select("node", "least", F.coalesce("v", "node").alias("root"))
     roots = checkpoint(roots)
     found = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", F.xxhash64(*node).alias("node")).join(roots.join(found, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "node").join(roots.join(found, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
