@@ -1,20 +1,11 @@
-"""Connected components of links in a table, and checkpoints in the shared folder."""
+"""Connected components of links in a table."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """`frame`, written to the folder that spark.checkpoint.dir names. Only where the
-    session names none, as in tests, a local folder serves."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return frame.checkpoint()
+from ..storage import checkpoint
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ def _scan(auto: Automaton, texts: list[bytes], limit: int) -> Iterator[tuple[int
             yield count, np.flatnonzero(np.cumsum(edge)[:-1] > 0), {auto.ids[k] for k in found[d]}
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 16 << 20, block_bytes: int = 1 << 20) -> DataFrame:
+def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 2 << 20, block_bytes: int = 1 << 20) -> DataFrame:
     """`documents` with n_words (long), hit_words (array of word indexes) and hit_items
     (array of item ids as strings, sorted).
 
