@@ -53,7 +53,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids, how many they are, and the text decoded from them."""
-    return bpe.decode(bpe.encode(docs.select(*COLUMNS))).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.encode(docs.select(*COLUMNS), decoded="decoded").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

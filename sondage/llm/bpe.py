@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -266,15 +267,34 @@ class Encoder:
         return ids, np.diff(at[first])
 
 
-_ENCODERS: dict[int, Encoder] = {}
+class Decoder:
+    """Texts of ids: their tokens joined by one space, as the library decodes with a vocabulary
+    file that names no decoder."""
 
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.fromiter((len(t) + 1 for t in tokens), np.int64, len(tokens))
+        self.begin = np.concatenate(([0], np.cumsum(self.size)[:-1]))
+        self.flat = np.frombuffer(b"".join(t + b" " for t in tokens), dtype=np.uint8)
 
-def _encoder(shared) -> Encoder:
-    """This worker's encoder of a broadcast vocabulary."""
-    if shared.value not in [e.v for e in _ENCODERS.values()]:
-        _ENCODERS.clear()
-        _ENCODERS[0] = Encoder(shared.value)
-    return _ENCODERS[0]
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """A text for each stretch of ids."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size)):
+            raise ValueError("an id is outside the vocabulary")
+        pieces = [ids[i : i + 65536] for i in range(0, len(ids), 65536)]  # gathering takes many bytes for each of a text
+        raw = b"".join(_gather(self.flat, self.begin[p], self.size[p])[0].tobytes() for p in pieces)
+        at = np.concatenate(([0], np.cumsum(self.size[ids])))
+        edge = at[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return pa.array([raw[x : max(x, y - 1)] for x, y in zip(edge, edge[1:], strict=False)], pa.binary()).cast(pa.string())
+
+
+_KEPT: dict[str, object] = {}
+
+
+def _worker(shared) -> tuple[Encoder, Decoder]:
+    """This worker's encoder and decoder of a broadcast vocabulary."""
+    if _KEPT.get("vocabulary") is not shared.value:
+        _KEPT.update(vocabulary=shared.value, encoder=Encoder(shared.value), decoder=Decoder(shared.value.tokens))
+    return _KEPT["encoder"], _KEPT["decoder"]
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -283,27 +303,28 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
 
 
-def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {name: column}
+def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | columns
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def encode(documents: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", block_bytes: int = 1 << 20) -> DataFrame:
-    """`documents` with the array<int> column `ids` of the token ids of `text`.
+def encode(documents: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None, block_bytes: int = 1 << 20) -> DataFrame:
+    """`documents` with the array<int> column `ids` of the token ids of `text`, and, if `decoded`
+    names one, a string column of the text decoded from these ids.
 
     The ids are those of the tokenizers library with add_special_tokens=False, without
-    truncation and padding. Null and empty texts have no ids. Other columns pass through; a
-    column that already has the name `ids` is replaced. Rows are independent: repeated rows
-    give equal results and an empty table gives no rows.
+    truncation and padding. Null and empty texts have no ids. Other columns pass through;
+    columns that already have the new names are replaced. Rows are independent: repeated
+    rows give equal results and an empty table gives no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
-    out = documents.drop(ids).withColumn(ids, F.lit(None).cast("array<int>"))
+    new = {ids: F.lit(None).cast("array<int>")} | ({decoded: F.lit(None).cast("string")} if decoded else {})
+    out = documents.drop(*new).withColumns(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder, decoder = _worker(shared)
         for b in batches:
-            values, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-            texts = [t or "" for t in b.column(text).to_pylist()]
+            values, counts, texts = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [t or "" for t in b.column(text).to_pylist()]
             low, size = 0, 0
             for i, t in enumerate([*texts, None]):
                 if t is None or size > block_bytes:
@@ -312,7 +333,8 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text", id
                     counts.append(own[1])
                     low, size = i, 0
                 size += len(t or "")
-            yield _with(b, ids, _lists(np.concatenate(values), np.concatenate(counts), pa.int32()))
+            found, n = np.concatenate(values), np.concatenate(counts)
+            yield _with(b, {ids: _lists(found, n, pa.int32())} | ({decoded: decoder.decode(found, n)} if decoded else {}))
 
     return out.mapInArrow(T.lean(run), out.schema)
 
@@ -320,30 +342,18 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text", id
 def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`tokens` with the string column `text` decoded from the column `ids`.
 
-    As the tokenizers library's decode(ids, skip_special_tokens=False) of a vocabulary file
-    without a decoder: the tokens joined by one space. No ids and null give an empty text;
-    an id outside the vocabulary is an error.
+    As the tokenizers library's decode(ids, skip_special_tokens=False). No ids and null give an
+    empty text; an id outside the vocabulary is an error.
     """
-    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()).tokens)
+    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
     out = tokens.drop(text).withColumn(text, F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = [t + b" " for t in shared.value]
-        size = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        flat = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        _, decoder = _worker(shared)
         for b in batches:
             column = b.column(ids)
-            own = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], dtype=np.int64)
-            if len(own) and (own.min() < 0 or own.max() >= len(size)):
-                raise ValueError("an id is outside the vocabulary")
-            at = np.zeros(len(own) + 1, dtype=np.int64)
-            np.cumsum(size[own], out=at[1:])
-            raw = flat[np.repeat(begin[own] - at[:-1], size[own]) + np.arange(at[-1])].tobytes()
-            edge = at[np.concatenate(([0], np.cumsum(counts)))].tolist()
-            texts = [raw[x : max(x, y - 1)] for x, y in zip(edge, edge[1:], strict=False)]
-            yield _with(b, text, pa.array(texts, pa.binary()).cast(pa.string()))
+            counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield _with(b, {text: decoder.decode(column.flatten().to_numpy(zero_copy_only=False), counts)})
 
     return out.mapInArrow(T.lean(run), out.schema)
 
@@ -351,7 +361,7 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", text: s
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, then decoded from its ids."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    tokens = decode(encode(documents).select("doc_id", "ids"))
+    tokens = encode(documents, decoded="decoded")
     return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -103,16 +103,16 @@ def tidy() -> None:
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def lean(run: Run, batch_bytes: int = 6 << 20) -> Run:
-    """`run` over slices of the batches of about `batch_bytes`, memory given back after each batch."""
+def lean(run: Run, batch_bytes: int = 4 << 20) -> Run:
+    """`run` over slices of the batches of about `batch_bytes`, memory given back after each."""
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = max(1, int(b.num_rows * batch_bytes / max(1, b.nbytes)))
             for i in range(0, b.num_rows, rows):
                 yield b.slice(i, rows)
+                tidy()
             del b
-            tidy()
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(slices(batches))
