@@ -317,6 +317,7 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text", id
     columns that already have the new names are replaced. Rows are independent: repeated
     rows give equal results and an empty table gives no rows.
     """
+    T.small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
     new = {ids: F.lit(None).cast("array<int>")} | ({decoded: F.lit(None).cast("string")} if decoded else {})
     out = documents.drop(*new).withColumns(new)

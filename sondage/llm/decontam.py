@@ -211,6 +211,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int
     """
     if n < 1:
         raise ValueError("n must be at least 1")
+    T.small_batches(documents)
     out = documents.drop("n_words", "hit_words", "hit_items")
     out = out.withColumns({"n_words": F.lit(None).cast("long"), "hit_words": F.lit(None).cast("array<int>"), "hit_items": F.lit(None).cast("array<string>")})
     for auto in automata(benchmark, n, max_bytes):

@@ -132,6 +132,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, max_rows: int = 8000, clu
 def predict(documents: DataFrame, model: Model, block_bytes: int = 1 << 20) -> DataFrame:
     """`documents` with lang_pred (`und` for a null text or one without a letter), lang_score
     (0 to 1) and lang_rejected. Columns of these names are replaced, others pass through."""
+    T.small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     out = documents.drop("lang_pred", "lang_score", "lang_rejected")
     out = out.withColumns({"lang_pred": F.lit(None).cast("string"), "lang_score": F.lit(None).cast("double"), "lang_rejected": F.lit(None).cast("boolean")})

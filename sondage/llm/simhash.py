@@ -74,6 +74,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42, block_b
             column = pa.array(np.concatenate(prints).view(np.int64) if prints else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), column], names=["doc_id", "fingerprint"])
 
+    T.small_batches(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(T.lean(run), "doc_id long, fingerprint long")
 
@@ -293,6 +294,7 @@ def _sketches(documents: DataFrame, shingle: int, keep: int, keys: int, block_by
             fp = np.concatenate(prints).view(np.int64) if prints else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(whole, pa.int64()), pa.array(smallest, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "fingerprint", "n", "whole", "keys", "sketch"])
 
+    T.small_batches(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(T.lean(run), "doc_id long, fingerprint long, n long, whole long, keys array<long>, sketch binary")
 

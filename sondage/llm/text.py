@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 U = np.uint64
 
@@ -100,6 +101,14 @@ def tidy() -> None:
         _TRIM(0)
 
 
+def small_batches(frame: DataFrame, rows: int = 1000) -> None:
+    """Let Spark send texts to Python in batches of `rows`, unless the session names another
+    number than Spark's own 10000: whole texts make large batches, in the JVM and here."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", frame.sparkSession.conf
+    if conf.get(name) == "10000":
+        conf.set(name, rows)
+
+
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 

@@ -141,6 +141,7 @@ def packed(documents: DataFrame, path: str | None = None, length: int = 2048, pa
         if items:
             yield _window(shard, block, items, length, kind, pad)
 
+    T.small_batches(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(T.lean(run), SCHEMA)
 
