@@ -110,7 +110,7 @@ def _name_like_sql(c: str) -> str:
 def name_like(spark, d):
     c = table(spark, d, "customer").select(F.lit("c").alias("kind"), F.col("c_custkey").alias("id"), fields.name_like(F.col("c_name")).alias("v"))
     p = table(spark, d, "part").select(F.lit("p"), "p_partkey", fields.name_like(F.col("p_name")))
-    s = table(spark, d, "documents").select(F.lit("s"), "doc_id", fields.name_like(F.substring("text", 1, 30)))
+    s = table(spark, d, "documents").select(F.lit("s"), "doc_id", fields.name_like(F.col("text")))
     return c.unionAll(p).unionAll(s)
 
 
@@ -218,7 +218,7 @@ def nearest_neighbor(spark, d):
 
 @query("mode_label", f"WITH {BOXES}, c AS (SELECT doc, texto, count(*) AS n FROM (SELECT doc, substr(texto, 1, 6) AS texto FROM B) GROUP BY ALL) SELECT doc, texto, n FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, texto) AS r FROM c) WHERE r = 1")
 def mode_label(spark, d):
-    return grouping.most_frequent(views.boxes(spark, d).withColumn("texto", F.substring("texto", 1, 6)), "doc", "texto")
+    return grouping.most_frequent(views.boxes(spark, d), "doc", "texto")
 
 
 @query("axis_vote", f"WITH {BOXES} SELECT doc, count(*) FILTER (w >= h) AS horizontal, count(*) FILTER (w < h) AS vertical, CASE WHEN count(*) FILTER (w >= h) >= count(*) FILTER (w < h) THEN 0 ELSE 90 END AS axis FROM B GROUP BY doc")

@@ -2,7 +2,9 @@
 
 import hashlib
 import unicodedata
+from collections import Counter
 
+from sondage.plans import views
 from sondage.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,3 +28,27 @@ def test_strip_accents_has_every_document(spark, tmp_path):
     want = sorted((d, t if t is None else hashlib.md5(plain(t).encode()).hexdigest()) for d, t in rows)
     got = sorted(tuple(r) for r in QUERIES["strip_accents"](spark, folder_of(spark, tmp_path, rows)).collect())
     assert any("ß" in (t or "") for _, t in rows) and got == want
+
+
+def name_like(text):
+    if text is None:
+        return None
+    words = [w for w in text.split() if any(unicodedata.category(c)[0] == "L" for c in w)]
+    return len(words) >= 2 and all(len(w) >= 2 for w in words) and not any(unicodedata.category(c) == "Nd" for c in text)
+
+
+def test_name_like_reads_whole_texts(spark, tmp_path):
+    rows = texts(spark, [(900001, "long words of which none is short and then 7"), (900002, "long words of which none is short but x"), (900003, "long words whose thirtieth is x-shaped")])
+    got = {r["id"]: r["v"] for r in QUERIES["name_like"](spark, folder_of(spark, tmp_path, rows)).where("kind = 's'").collect()}
+    assert got == {d: name_like(t) for d, t in rows}
+    assert (got[900001], got[900002], got[900003]) == (False, False, True)
+
+
+def test_mode_label_counts_whole_labels(spark):
+    counts = {}
+    for r in views.boxes(spark, FOLDER).select("doc", "texto").collect():
+        own = counts.setdefault(r["doc"], Counter())
+        own[r["texto"]] += 1
+    want = {d: min((-n, t) for t, n in c.items()) for d, c in counts.items()}
+    got = {r["doc"]: (-r["n"], r["texto"]) for r in QUERIES["mode_label"](spark, FOLDER).collect()}
+    assert got == want and max(len(t) for _, t in got.values()) > 6
