@@ -19,11 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = r"A-Za-z0-9_\-+/=.~"
-#: A word with 16 key characters in a row of which one is a digit, or 16 capitals and digits.
-_WORD = rf"(?:\S{{0,200}}?(?:(?=[{_KEY}]{{0,200}}[0-9])[{_KEY}]{{16,}}|[A-Z0-9]{{16,}})\S{{0,400}})"
+#: A whole run of 16 key characters or more, with a digit or 16 capitals, and the name it is given to.
+_RUN = rf"(?<![{_KEY}])(?:[A-Za-z0-9_\-]{{1,30}}[=:][\x22']?)?(?=[{_KEY}]*(?:[0-9]|[A-Z]{{16}}))[{_KEY}]{{16,}}"
 _CHEAP = rf"[{_KEY}]{{16}}"
-#: Up to two words before, each with its space, and the word itself.
-_FINDING = rf"(?:(?<!\S)\S{{1,40}}[ \t]{{1,3}}){{0,2}}(?<!\S){_WORD}(?=\s|$)"
 _VALUE = rf"((?:[A-Za-z0-9_\-]{{1,30}}[=:])?[\x22']?(?=[{_KEY}]*[0-9A-Z])[{_KEY}]{{16,}})"
 
 #: Word parts of ordinary names, hosts, paths and code.
@@ -38,13 +36,27 @@ def _share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.greatest(F.length(value), F.lit(1))
 
 
+def _value(whole: Column) -> Column:
+    """A run without the name that it is given to, if 16 characters or more are left."""
+    value = F.regexp_replace(whole, r"^(?:[A-Za-z0-9_\-]{1,30}[=:])?[\x22']?", "")
+    return F.when(F.length(value) >= 16, value).otherwise(whole)
+
+
+def _name(whole: Column) -> Column:
+    return F.regexp_extract(whole, r"^([A-Za-z0-9_\-]{1,30})[=:]", 1)
+
+
 def features(before: Column, word: Column, after: Column) -> Column:
-    """Struct of value and FEATURES of a candidate word between the words around it."""
+    """Struct of value and FEATURES of a word with one candidate between the words around it."""
     whole = F.regexp_extract(word, _VALUE, 1)
-    value = F.regexp_replace(whole, r"^(?:[A-Za-z0-9_\-]{1,30}[=:])?[\x22']?", "")
-    value = F.when(F.length(value) >= 16, value).otherwise(whole)
+    return _features(_value(whole), before, _name(whole), word, word, after)
+
+
+def _features(value: Column, before: Column, name: Column, word: Column, bare: Column, after: Column) -> Column:
+    """Struct of value and FEATURES: `word` is the value with what stands around it without
+    blanks, `bare` that without what is cut off by quotes, commas and the like."""
     n = F.greatest(F.length(value), F.lit(1))
-    near = F.lower(F.concat_ws(" ", before, F.regexp_extract(whole, r"^([A-Za-z0-9_\-]{1,30})[=:]", 1), after))
+    near = F.lower(F.concat_ws(" ", before, name, after))
     entropy = F.aggregate(
         F.array_distinct(F.split(value, "")),
         F.lit(0.0),
@@ -66,22 +78,64 @@ def features(before: Column, word: Column, after: Column) -> Column:
         "assigned": F.when(F.concat_ws(" ", before, word).rlike(r"[=:]\s*[\x22']?\S{12,}"), 1).otherwise(0),
         "prefix": F.when(value.rlike("^(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk[_-]|pk_live|xox[abprs]-|glpat-|AIza|ya29|eyJ|npm_)"), 1).otherwise(0),
         "repeats": F.when(value.rlike(r"(.)\1{4}|(..)\2{3}|123456|abcdef"), 1).otherwise(0),
-        "at_sign": F.when(F.instr(word, "@") > 0, 1).otherwise(0),
+        "at_sign": F.when(F.instr(bare, "@") > 0, 1).otherwise(0),
     }
     return F.struct(value.alias("value"), *[c.cast("double").alias(k) for k, c in columns.items()])
 
 
-def candidates(text: Column) -> Column:
-    """Array of candidates of a text in order: value and features."""
-    found = F.when(text.rlike(_CHEAP), F.regexp_extract_all(text, F.lit(f"({_FINDING})"), 1)).otherwise(F.array().cast("array<string>"))
+#: Characters before and after a run that are looked at, and runs that they can hold.
+_NEAR, _RUNS = 300, 20
+
+
+def _around(runs: Column, gaps: Column, i: Column) -> tuple[Column, Column]:
+    """What stands before and after run i (from 0) of a text that is gap 0, run 0, gap 1, ..."""
+    low = F.greatest(i - _RUNS, F.lit(0))
+    earlier = F.zip_with(F.slice(gaps, low + 1, i - low), F.slice(runs, low + 1, i - low), lambda g, r: F.concat(F.right(g, F.lit(_NEAR)), F.right(r, F.lit(_NEAR))))
+    later = F.zip_with(F.slice(runs, i + 2, F.lit(_RUNS)), F.slice(gaps, i + 3, F.lit(_RUNS)), lambda r, g: F.concat(F.left(r, F.lit(_NEAR)), F.left(g, F.lit(_NEAR))))
+    before = F.concat(F.array_join(earlier, ""), F.right(F.element_at(gaps, i + 1), F.lit(_NEAR)))
+    after = F.concat(F.left(F.element_at(gaps, i + 2), F.lit(_NEAR)), F.array_join(later, ""))
+    return F.right(before, F.lit(_NEAR)), F.left(after, F.lit(_NEAR))
 
-    def parts(s: Column) -> Column:
-        words = F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " ")
-        behind = F.substr(text, F.position(s, text) + F.length(s), F.lit(80))  # where it stands first
-        after = F.regexp_extract(behind, r"^[ \t]{1,3}(\S{1,40})", 1)
-        return features(F.concat_ws(" ", F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))), F.element_at(words, -1), after)
 
-    return F.filter(F.transform(found, parts), lambda c: F.length(c["value"]) >= 16)
+def _given(whole: Column) -> Column:
+    """Array of struct(name, value) of a run."""
+    main = F.struct(_name(whole).alias("name"), _value(whole).alias("value"))
+    return F.array(main)
+
+
+def candidates(text: Column) -> Column:
+    """Array of candidates of a text in order: value and features. Every run of key characters
+    is one, wherever it stands in a word and however long that is; each has its own
+    surroundings, so that neighbours don't take them from each other."""
+    none = F.array().cast("array<string>")
+    found = F.when(text.rlike(_CHEAP), F.regexp_extract_all(text, F.lit(f"({_RUN})"), 1)).otherwise(none)
+    parts = F.struct(found.alias("runs"), F.when(text.rlike(_CHEAP), F.split(text, _RUN, -1)).otherwise(none).alias("gaps"))
+
+    def placed(p: Column) -> Column:
+        def one(run: Column, i: Column) -> Column:
+            before, after = _around(p["runs"], p["gaps"], i)
+            return F.struct(run.alias("run"), before.alias("before"), after.alias("after"))
+
+        return F.transform(p["runs"], one)
+
+    def seen(c: Column) -> Column:
+        words = F.trim(F.regexp_replace(F.regexp_extract(c["before"], r"(?<!\S)((?:\S{1,40}[ \t]{1,3}){0,2})\S{0,200}$", 1), r"\s+", " "))
+        left, right = F.regexp_extract(F.right(c["before"], F.lit(40)), r"(\S*)$", 1), F.regexp_extract(F.left(c["after"], F.lit(40)), r"^(\S*)", 1)
+        outer = F.regexp_extract(left, r"([A-Za-z0-9_\-]{1,30})[\x22']?[=:][\x22']?$", 1)
+        end = r"[^\s\x22',;{}\[\]()<>&?|]*"
+        word = lambda a, b: F.concat(a, c["run"], b)
+        own = {
+            "before": words,
+            "word": word(left, right),
+            "bare": word(F.regexp_extract(left, f"({end})$", 1), F.regexp_extract(right, f"^({end})", 1)),
+            "after": F.regexp_extract(c["after"], r"^\S{0,200}[ \t]{1,3}(\S{1,40})", 1),
+        }
+        around = F.struct(*[v.alias(k) for k, v in own.items()], outer.alias("outer"))
+        return F.transform(_given(c["run"]), lambda g: F.struct(g["value"].alias("value"), F.when(g["name"] != "", g["name"]).otherwise(around["outer"]).alias("name"), *[around[k].alias(k) for k in own]))
+
+    each = F.flatten(F.flatten(F.transform(F.array(parts), lambda p: F.transform(placed(p), seen))))
+    scored = F.transform(each, lambda c: _features(*[c[k] for k in ("value", "before", "name", "word", "bare", "after")]))
+    return F.filter(scored, lambda c: F.length(c["value"]) >= 16)
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
