@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = r"A-Za-z0-9_\-+/=.~"
+#: A name before a value that is a key itself, as in id:secret.
+_OWN = r"(?=[A-Za-z_\-]*[0-9])(?:gh[pousr]_)?[A-Za-z0-9]{16,}"
 #: A whole run of 16 key characters or more, with a digit or 16 capitals, and the name it is given to.
-_RUN = rf"(?<![{_KEY}])(?:[A-Za-z0-9_\-]{{1,30}}[=:][\x22']?)?(?=[{_KEY}]*(?:[0-9]|[A-Z]{{16}}))[{_KEY}]{{16,}}"
+_RUN = rf"(?<![{_KEY}])(?:(?!{_OWN}[=:])[A-Za-z0-9_\-]{{1,30}}[=:][\x22']?)?(?=[{_KEY}]*(?:[0-9]|[A-Z]{{16}}))[{_KEY}]{{16,}}"
 _CHEAP = rf"[{_KEY}]{{16}}"
 _VALUE = rf"((?:[A-Za-z0-9_\-]{{1,30}}[=:])?[\x22']?(?=[{_KEY}]*[0-9A-Z])[{_KEY}]{{16,}})"
 
@@ -98,9 +100,13 @@ def _around(runs: Column, gaps: Column, i: Column) -> tuple[Column, Column]:
 
 
 def _given(whole: Column) -> Column:
-    """Array of struct(name, value) of a run."""
+    """Array of struct(name, value) of a run: its value, and if there are equals signs in
+    it, the parts between them that could be values of their own."""
     main = F.struct(_name(whole).alias("name"), _value(whole).alias("value"))
-    return F.array(main)
+    pieces = F.split(whole, "=")
+    parts = F.transform(pieces, lambda p, j: F.struct(F.regexp_extract(F.coalesce(F.get(pieces, j - 1), F.lit("")), r"([A-Za-z0-9_\-]{1,30})$", 1).alias("name"), p.alias("value")))
+    own = F.filter(parts, lambda p: (F.length(p["value"]) >= 16) & p["value"].rlike("[0-9]|[A-Z]{16}") & (p["value"] != main["value"]))
+    return F.when(_value(whole).rlike("[^=]=[^=]") | whole.rlike(f"^{_OWN}="), F.concat(F.array(main), own)).otherwise(F.array(main))
 
 
 def candidates(text: Column) -> Column:
@@ -230,7 +236,9 @@ def redact(documents: DataFrame, trees: list[tuple], mark: str = "[SECRET]") ->
     """`documents`, with the same columns, with every secret's value replaced in `text`."""
     rest = F.struct(F.lit(0).alias("text"), *[F.col(c) for c in documents.columns if c != "text"]).alias("_row")
     found = scan(documents.select("text", rest), trees)
-    clean = F.aggregate("secrets", F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(mark)))
+    # longest first, so that none is cut by another that it holds
+    longest = F.array_sort("secrets", lambda a, b: F.length(b["value"]) - F.length(a["value"]))
+    clean = F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(mark)))
     return found.select(*[clean.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in documents.columns])
 
 

@@ -38,3 +38,24 @@ def test_secrets_anywhere_in_long_words(spark, trees):
     found, clean = values(spark, trees, texts)
     assert found == [[token(i)] for i in range(1, 6)]
     assert clean == [t.replace(token(i), "[SECRET]") for i, t in enumerate(texts, 1)]
+
+
+def test_secrets_beside_each_other(spark, trees):
+    aws = "AKIA" + "J5XKQ2M7RT4WZ8PL"
+    texts = [
+        f"https://host.example/services/v1/path2?token={token(1)}",
+        f'{{"id":"2024-01-01-abcdef123456","token":"{token(2)}"}}',
+        f"{aws} {token(3)} rest",
+        f"one {aws} {token(4)} rest",
+        f"{token(5)} {aws} {token(6)}",
+        f"{aws}:{token(7)}",
+        f"{aws}={token(8)}",
+        f"{token(9)},{token(10)};{token(11)}",
+    ]
+    found, clean = values(spark, trees, texts)
+    want = [[token(1)], [token(2)], [aws, token(3)], [aws, token(4)], [token(5), aws, token(6)], [aws, token(7)], [aws, token(8)], [token(9), token(10), token(11)]]
+    assert [sorted(v) for v in found] == [sorted(v) for v in want]
+    for v, t, c in zip(want, texts, clean, strict=True):
+        for s in v:
+            t = t.replace(s, "[SECRET]")
+        assert c == t
