@@ -178,22 +178,25 @@ def link(buckets: np.ndarray, prints: np.ndarray, radius: int, same: Callable[[i
     return pairs[:, 0], pairs[:, 1]
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Tables of whole buckets from batches sorted by the column `bucket`, of about `rows` rows."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int, most: int = 1 << 30) -> Iterator[pa.Table]:
+    """Tables of whole buckets from batches sorted by the column `bucket`, of about `rows` rows
+    or `most` bytes."""
     kept: list[pa.RecordBatch] = []
-    size = 0
+    size = held = 0
     for b in batches:
         if not b.num_rows:
             continue
         kept.append(b)
         size += b.num_rows
-        if size >= rows:
+        held += b.nbytes
+        if size >= rows or held >= most:
             table = pa.Table.from_batches(kept)
             buckets = table["bucket"].to_numpy()
             cut = int(np.searchsorted(buckets, buckets[-1]))
             if cut:
                 yield table.slice(0, cut)
                 kept, size = table.slice(cut).to_batches(), table.num_rows - cut
+                held = sum(x.nbytes for x in kept)
     if kept:
         yield pa.Table.from_batches(kept)
 
@@ -266,20 +269,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, keep: int) -> float:
-    """Similarity of two shingle sets from their smallest hashes (sorted); exact when both are whole."""
-    common = np.intersect1d(a, b, assume_unique=True)
-    if size_a <= keep and size_b <= keep:
-        return len(common) / max(1, size_a + size_b - len(common))
-    union = np.union1d(a, b)[:keep]
-    return np.searchsorted(common, union[-1], "right") / len(union)
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of hashes."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, len(a) + len(b) - common)
 
 
-def _sketches(documents: DataFrame, shingle: int, keep: int, keys: int, block_bytes: int = 1 << 20) -> DataFrame:
+def _sets(documents: DataFrame, shingle: int, keys: int, block_bytes: int = 1 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = T.byte_list(b.column("text"))
-            prints, sizes, whole, smallest, sketch = [], [], [], [], []
+            prints, sizes, whole, smallest, sets = [], [], [], [], []
             for i, j in T.spans(texts, block_bytes):
                 hashes, n = shingle_hashes(texts[i:j], shingle, 42)
                 prints.append(majority(hashes, n))
@@ -290,50 +290,51 @@ def _sketches(documents: DataFrame, shingle: int, keep: int, keys: int, block_by
                     sizes.append(len(own))
                     whole.append(int(T.mix(own.astype(U) + U(1)).sum(dtype=U).view(np.int64)) if len(own) else 0)
                     smallest.append(own[:keys].astype(np.int64).tolist())
-                    sketch.append(own[:keep].tobytes())
+                    sets.append(own.tobytes())
             fp = np.concatenate(prints).view(np.int64) if prints else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(whole, pa.int64()), pa.array(smallest, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "fingerprint", "n", "whole", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(whole, pa.int64()), pa.array(smallest, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "fingerprint", "n", "whole", "keys", "own"])
 
     T.small_batches(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(T.lean(run), "doc_id long, fingerprint long, n long, whole long, keys array<long>, sketch binary")
+    return rows.mapInArrow(T.lean(run), "doc_id long, fingerprint long, n long, whole long, keys array<long>, own binary")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 18, keep: int = 512, keys: int = 3, rows: int = 20_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 18, keys: int = 3, rows: int = 20_000, set_bytes: int = 64 << 20) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable) of each row, by shingle sets.
 
     Rows with equal shingle sets are one node. Different nodes are compared when they share
     one of their `keys` smallest shingle hashes and the Gray-order index finds their
-    fingerprints within `radius` bits; they link when their sets' similarity, measured on the
-    `keep` smallest hashes (exact up to that many shingles), is `similarity` or more. Two sets
+    fingerprints within `radius` bits; they link when the similarity of their
+    whole sets, of any size, is `similarity` or more. Two sets
     of similarity 0.8 share one of three smallest hashes in 99 of 100 cases. Texts with
     fewer words than `shingle` are one shingle; null and wordless texts are equal to each
     other. A null doc_id gets a null component_id when its group has no other.
     """
-    prints = checkpoint(_sketches(documents, shingle, keep, keys).withColumn("node", F.xxhash64("fingerprint", "n", "whole")))
+    prints = checkpoint(_sets(documents, shingle, keys).withColumn("node", F.xxhash64("fingerprint", "n", "whole")))
     pairs = prints.select("node", F.explode("keys").alias("bucket")).distinct()
     shared = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    # sketches travel only to buckets where they meet another
+    # sets travel only to buckets where they meet another
     wanted = pairs.join(shared, "bucket", "left_semi").groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
-    nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("n").alias("n"), F.first("own").alias("own"))
     least = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_buckets(batches, rows):
+        for table in _whole_buckets(batches, rows, set_bytes):
             order, buckets, own = _sorted(table)
             ids, sizes = table["node"].to_numpy()[order], table["n"].to_numpy()[order]
-            raw = table["sketch"].combine_chunks().take(pa.array(order))
+            raw = table["own"].cast(pa.large_binary()).combine_chunks()
+            at = order.tolist()
 
-            def same(a: int, b: int, raw=raw, sizes=sizes) -> bool:
+            def same(a: int, b: int, raw=raw, at=at, sizes=sizes) -> bool:
                 n, m = int(sizes[a]), int(sizes[b])
                 if min(n, m) < similarity * max(n, m):
                     return False
-                return _jaccard(*(np.frombuffer(raw[x].as_buffer(), np.uint32) for x in (a, b)), n, m, keep) >= similarity
+                return _jaccard(*(np.frombuffer(raw[at[x]].as_buffer(), np.uint32) for x in (a, b))) >= similarity
 
             i, j = link(buckets, own, radius, same)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
-    dealt = nodes.join(wanted, "node").select("node", "fingerprint", "n", "sketch", F.explode("buckets").alias("bucket"))
+    dealt = nodes.join(wanted, "node").select("node", "fingerprint", "n", "own", F.explode("buckets").alias("bucket"))
     star = components(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long"))
     roots = least.join(star.select(F.col("u").alias("node"), "v"), "node", "left").select("node", "least", F.coalesce("v", "node").alias("root"))
     roots = checkpoint(roots)
