@@ -282,15 +282,18 @@ def _sets(documents: DataFrame, shingle: int, keys: int, block_bytes: int = 1 <<
             prints, sizes, whole, smallest, sets = [], [], [], [], []
             for i, j in T.spans(texts, block_bytes):
                 hashes, n = shingle_hashes(texts[i:j], shingle, 42)
-                prints.append(majority(hashes, n))
                 edge = np.concatenate(([0], np.cumsum(n))).tolist()
                 mixed = (T.mix(hashes) >> U(32)).astype(np.uint32)
+                spread, first = [], len(sizes)
                 for x, y in zip(edge, edge[1:], strict=False):
                     own = np.unique(mixed[x:y])
                     sizes.append(len(own))
-                    whole.append(int(T.mix(own.astype(U) + U(1)).sum(dtype=U).view(np.int64)) if len(own) else 0)
+                    spread.append(T.mix(own.astype(U) + U(1)))
+                    whole.append(int(spread[-1].sum(dtype=U).view(np.int64)) if len(own) else 0)
                     smallest.append(own[:keys].astype(np.int64).tolist())
                     sets.append(own.tobytes())
+                if spread:
+                    prints.append(majority(np.concatenate(spread), np.array(sizes[first:], dtype=np.int64)))
             fp = np.concatenate(prints).view(np.int64) if prints else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(whole, pa.int64()), pa.array(smallest, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "fingerprint", "n", "whole", "keys", "own"])
 
@@ -299,18 +302,18 @@ def _sets(documents: DataFrame, shingle: int, keys: int, block_bytes: int = 1 <<
     return rows.mapInArrow(T.lean(run), "doc_id long, fingerprint long, n long, whole long, keys array<long>, own binary")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 18, keys: int = 3, rows: int = 20_000, set_bytes: int = 64 << 20) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, keys: int = 6, rows: int = 20_000, set_bytes: int = 64 << 20) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable) of each row, by shingle sets.
 
     Rows with equal shingle sets are one node. Different nodes are compared when they share
     one of their `keys` smallest shingle hashes and the Gray-order index finds their
     fingerprints within `radius` bits; they link when the similarity of their
-    whole sets, of any size, is `similarity` or more. Two sets
-    of similarity 0.8 share one of three smallest hashes in 99 of 100 cases. Texts with
+    whole sets, of any size, is `similarity` or more. Fingerprints
+    are of the sets: repeated shingles count once. README has what keys and radius lose. Texts with
     fewer words than `shingle` are one shingle; null and wordless texts are equal to each
     other. A null doc_id gets a null component_id when its group has no other.
     """
-    prints = checkpoint(_sets(documents, shingle, keys).withColumn("node", F.xxhash64("fingerprint", "n", "whole")))
+    prints = checkpoint(_sets(documents, shingle, keys).withColumn("node", F.xxhash64("n", "whole")))
     pairs = prints.select("node", F.explode("keys").alias("bucket")).distinct()
     shared = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     # sets travel only to buckets where they meet another

@@ -20,3 +20,24 @@ def test_large_sets_are_compared_as_a_whole(spark):
     near = [pair(f"n{i}", 966, 117) for i in range(12)]  # 966 of 1200
     far = [pair(f"f{i}", 948, 126) for i in range(12)]  # 948 of 1200
     assert same(spark, near + far) == [True] * 12 + [False] * 12
+
+
+def test_repeated_shingles_count_once(spark):
+    pairs = []
+    for i in range(12):
+        body, footer = " ".join(f"b{i}w{j}" for j in range(300)), " ".join(f"f{i}w{j}" for j in range(8))
+        pairs.append(tuple(" ".join([body] + [footer] * k) for k in (2, 60)))
+    assert same(spark, pairs) == [True] * 12
+
+
+def test_small_sets_at_the_limit(spark):
+    pairs = []
+    for i in range(1500):
+        words = [f"s{i}w{j}" for j in range(9)]
+        pairs.append((" ".join(words), " ".join(words[:8])))
+    assert same(spark, pairs) == [True] * 1500
+
+
+def test_keys_find_sets_at_the_limit(spark):
+    pairs = [pair(f"k{i}", 80, 10) for i in range(1500)]
+    assert same(spark, pairs) == [True] * 1500
