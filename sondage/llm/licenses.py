@@ -69,6 +69,9 @@ RULES = {
 #: A word of every known sentence; texts without any have no known sentence.
 ANCHORS = "licen|permission|copyright|software|warrant|redistribut|rights reserved"
 
+#: The piece of a known sentence that has no such word (v. 2.0).
+_SHORT = r"|^[^a-z0-9]*2\.0[^a-z0-9]*$"
+
 
 def _squeeze(text: str) -> str:
     words, word = [], ""
@@ -81,9 +84,24 @@ def _squeeze(text: str) -> str:
     return " ".join(words)
 
 
+def _known() -> tuple[dict[str, str], dict[str, int]]:
+    """Normalised piece -> identifier, and how many pieces a sentence has that is cut at a stop
+    inside it (v. 2.0). Each of its pieces has an identifier of its own: name#0, name#1, ..."""
+    out, several = {}, {}
+    for name, sentence in SENTENCES.items():
+        cut = sentence
+        for stop in ".;:!?":
+            cut = cut.replace(f"{stop} ", f"{stop}\n")
+        parts = [x for x in map(_squeeze, cut.split("\n")) if x]
+        out |= {x: f"{name}#{k}" if len(parts) > 1 else name for k, x in enumerate(parts)}
+        if len(parts) > 1:
+            several[name] = len(parts)
+    return out, several
+
+
 def _pieces() -> dict[str, str]:
-    """Normalised sentence -> identifier. Sentences are cut as texts are, so a stop inside one
-    (v. 2.0) ends it: its first part stands for the whole."""
+    """Normalised first piece of each sentence -> identifier, for the SQL alone: it takes the first
+    piece for the whole sentence."""
     out = {}
     for name, sentence in SENTENCES.items():
         cut = sentence
@@ -97,7 +115,7 @@ def sentences(text: Column) -> Column:
     """Normalised sentences of a text: it is cut at line feeds and after stops before space."""
     folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = F.split(F.regexp_replace(folded, r"([.;:!?])[ \t\r]+", "$1\n"), "\n")
-    return F.transform(F.filter(cut, lambda s: s.rlike(ANCHORS)), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    return F.transform(F.filter(cut, lambda s: s.rlike(ANCHORS + _SHORT)), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
 def _rules() -> list[tuple[str, str]]:
@@ -112,9 +130,15 @@ def scan(documents: DataFrame) -> DataFrame:
 
     Columns of these names are replaced, others pass through; repeated rows give equal results.
     """
-    known = F.create_map(*[F.lit(x) for pair in _pieces().items() for x in pair])
+    pieces, several = _known()
+    known = F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair])
     found = F.when(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike(ANCHORS), F.filter(F.transform(sentences(F.col("text")), lambda s: known[s]), lambda x: x.isNotNull()))
-    out = documents.withColumn("license_sentences", F.coalesce(found, F.array().cast("array<string>")))
+    # A sentence of several pieces counts when all of them stand in order; others of its pieces go.
+    line = F.concat(F.lit(";"), F.array_join(found, ";;"), F.lit(";"))
+    for name, n in several.items():
+        line = F.replace(line, F.lit("".join(f";{name}#{k};" for k in range(n))), F.lit(f";{name};"))
+    whole = F.filter(F.split(line, ";"), lambda x: (x != "") & ~F.contains(x, F.lit("#")))
+    out = documents.withColumn("license_sentences", F.coalesce(whole, F.array().cast("array<string>")))
     # Each rule in turn takes its sequences out of the row's identifiers and leaves its name.
     rest = F.concat(F.lit(";"), F.array_join("license_sentences", ";;"), F.lit(";"))
     for seq, name in _rules():
