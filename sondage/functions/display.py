@@ -52,8 +52,8 @@ def technique_text(key: Column, v: Column) -> Column:
 
 
 def gauge_position(v: Column) -> Column:
-    """Percent of the way from 0.5 to 1, kept between 0 and 100; null stands at the start."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce(v, F.lit(0.5)) - 0.5) / 0.5)) * 100
+    """Percent of the way from 0.5 to 1, kept between 0 and 100; null and NaN stand at the start."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.when(missing(v), 0.5).otherwise(v) - 0.5) / 0.5)) * 100
 
 
 def shown_name(key: Column, names: dict[str, str] | None = None) -> Column:

@@ -12,7 +12,7 @@ from . import views
 from .registry import B as BOXES
 from .registry import GRID, query, r6
 
-PATH = r"(?i)[/\\]|\.(?:jpe?g|png|tif?f|bmp)$"
+PATH = privacy.PATH_LIKE
 
 
 @query("pseudonymize", "SELECT page_id, substr(sha256(url), 1, 16) AS documento_id FROM pages")
@@ -87,7 +87,7 @@ def format_id(spark, d):
     return views.ids(spark, d).select("c_custkey", fields.format_id(F.col("cpf")).alias("formatted"))
 
 
-@query("strip_accents", "SELECT doc_id, md5(upper(strip_accents(text))) AS digest FROM documents WHERE NOT contains(text, 'ß')")
+@query("strip_accents", "SELECT doc_id, md5(upper(replace(strip_accents(text), 'ß', 'SS'))) AS digest FROM documents")
 def strip_accents(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(fields.strip_accents(F.col("text"))).alias("digest"))
 
@@ -106,7 +106,7 @@ def _name_like_sql(c: str) -> str:
     return rf"(len({words}) >= 2 AND len(list_filter({words}, lambda w: length(w) < 2)) = 0 AND NOT regexp_matches({c}, '\p{{Nd}}'))"
 
 
-@query("name_like", f"SELECT 'c' AS kind, c_custkey AS id, {_name_like_sql('c_name')} AS v FROM customer UNION ALL SELECT 'p', p_partkey, {_name_like_sql('p_name')} FROM part UNION ALL SELECT 's', doc_id, {_name_like_sql('substr(text, 1, 30)')} FROM documents")
+@query("name_like", f"SELECT 'c' AS kind, c_custkey AS id, {_name_like_sql('c_name')} AS v FROM customer UNION ALL SELECT 'p', p_partkey, {_name_like_sql('p_name')} FROM part UNION ALL SELECT 's', doc_id, {_name_like_sql('text')} FROM documents")
 def name_like(spark, d):
     c = table(spark, d, "customer").select(F.lit("c").alias("kind"), F.col("c_custkey").alias("id"), fields.name_like(F.col("c_name")).alias("v"))
     p = table(spark, d, "part").select(F.lit("p"), "p_partkey", fields.name_like(F.col("p_name")))
@@ -156,9 +156,9 @@ def verdict(spark, d):
     return rows.select("i", "sep", display.verdict(F.col("v"), F.col("sep")).alias("verdict"), display.technique_text(key, F.col("v")).alias("technique"))
 
 
-@query("gauge_position", f"WITH {GRID} SELECT CAST(i AS BIGINT) AS i, round(greatest(0, least(1, (coalesce(v, 0.5) - 0.5) / 0.5)) * 100, 6) AS position FROM S WHERE i <> 66")
+@query("gauge_position", f"WITH {GRID} SELECT CAST(i AS BIGINT) AS i, round(greatest(0, least(1, (coalesce(CASE WHEN isnan(v) THEN 0.5 ELSE v END, 0.5) - 0.5) / 0.5)) * 100, 6) AS position FROM S")
 def gauge_position(spark, d):
-    return views.score_grid(spark).where("i != 66").select("i", r6(display.gauge_position(F.col("v"))).alias("position"))
+    return views.score_grid(spark).select("i", r6(display.gauge_position(F.col("v"))).alias("position"))
 
 
 @query("lookup_default", "SELECT event_id, CASE event_type WHEN 'click' THEN 'Clique' WHEN 'view' THEN 'Visita' ELSE event_type END AS nome, ['#4c8dff','#2ea56b','#a78bfa','#c8922a','#d9544d','#22b8cf'][CAST(event_id % 6 AS INT) + 1] AS cor FROM events")
@@ -216,7 +216,7 @@ def nearest_neighbor(spark, d):
     return out.withColumn("distance", F.round("distance", 4))
 
 
-@query("mode_label", f"WITH {BOXES}, c AS (SELECT doc, texto, count(*) AS n FROM (SELECT doc, substr(texto, 1, 6) AS texto FROM B) GROUP BY ALL) SELECT doc, texto, n FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, texto) AS r FROM c) WHERE r = 1")
+@query("mode_label", f"WITH {BOXES}, c AS (SELECT doc, texto, count(*) AS n FROM B GROUP BY ALL) SELECT doc, texto, n FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, texto) AS r FROM c) WHERE r = 1")
 def mode_label(spark, d):
     return grouping.most_frequent(views.boxes(spark, d), "doc", "texto")
 
