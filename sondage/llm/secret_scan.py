@@ -38,10 +38,17 @@ def _share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.greatest(F.length(value), F.lit(1))
 
 
+def _once(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+_NAMED = r"^(?:[A-Za-z0-9_\-]{1,30}[=:])?[\x22']?"
+
+
 def _value(whole: Column) -> Column:
     """A run without the name that it is given to, if 16 characters or more are left."""
-    value = F.regexp_replace(whole, r"^(?:[A-Za-z0-9_\-]{1,30}[=:])?[\x22']?", "")
-    return F.when(F.length(value) >= 16, value).otherwise(whole)
+    return _once(F.regexp_replace(whole, _NAMED, ""), lambda v: F.when(F.length(v) >= 16, v).otherwise(whole))
 
 
 def _name(whole: Column) -> Column:
@@ -59,11 +66,8 @@ def _features(value: Column, before: Column, name: Column, word: Column, bare: C
     blanks, `bare` that without what is cut off by quotes, commas and the like."""
     n = F.greatest(F.length(value), F.lit(1))
     near = F.lower(F.concat_ws(" ", before, name, after))
-    entropy = F.aggregate(
-        F.array_distinct(F.split(value, "")),
-        F.lit(0.0),
-        lambda s, c: s + F.when(c == "", 0.0).otherwise(-(F.length(value) - F.length(F.replace(value, c, F.lit("")))) / n * F.log2((F.length(value) - F.length(F.replace(value, c, F.lit("")))) / n)),
-    )
+    counts = F.transform(F.filter(F.array_distinct(F.split(value, "")), lambda c: c != ""), lambda c: F.length(value) - F.length(F.replace(value, c, F.lit(""))))
+    entropy = F.aggregate(counts, F.lit(0.0), lambda s, k: s - k / n * F.log2(k / n))
     columns = {
         "length": F.length(value),
         "changes": (F.regexp_count(value, F.lit(r"[a-z](?=[A-Z0-9])")) + F.regexp_count(value, F.lit(r"[A-Z](?=[a-z0-9])")) + F.regexp_count(value, F.lit(r"[0-9](?=[A-Za-z])"))) / n,
@@ -78,7 +82,7 @@ def _features(value: Column, before: Column, name: Column, word: Column, bare: C
         "wanted": F.when(near.rlike(FOR), 1).otherwise(0),
         "unwanted": F.when(near.rlike(AGAINST), 1).otherwise(0),
         "assigned": F.when(F.concat_ws(" ", before, word).rlike(r"[=:]\s*[\x22']?\S{12,}"), 1).otherwise(0),
-        "prefix": F.when(value.rlike("^(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk[_-]|pk_live|xox[abprs]-|glpat-|AIza|ya29|eyJ|npm_)"), 1).otherwise(0),
+        "prefix": F.when(value.rlike("^(?:AKIA|ASIA|gh[pousr]_|github_pat_|[sr]k[_-]|pk_live|whsec_|hf_|xox[abprs]-|glpat-|AIza|ya29|eyJ|npm_)"), 1).otherwise(0),
         "repeats": F.when(value.rlike(r"(.)\1{4}|(..)\2{3}|123456|abcdef"), 1).otherwise(0),
         "at_sign": F.when(F.instr(bare, "@") > 0, 1).otherwise(0),
     }
@@ -102,20 +106,30 @@ def _around(runs: Column, gaps: Column, i: Column) -> tuple[Column, Column]:
 def _given(whole: Column) -> Column:
     """Array of struct(name, value) of a run: its value, and if there are equals signs in
     it, the parts between them that could be values of their own."""
-    main = F.struct(_name(whole).alias("name"), _value(whole).alias("value"))
-    pieces = F.split(whole, "=")
-    parts = F.transform(pieces, lambda p, j: F.struct(F.regexp_extract(F.coalesce(F.get(pieces, j - 1), F.lit("")), r"([A-Za-z0-9_\-]{1,30})$", 1).alias("name"), p.alias("value")))
-    own = F.filter(parts, lambda p: (F.length(p["value"]) >= 16) & p["value"].rlike("[0-9]|[A-Z]{16}") & (p["value"] != main["value"]))
-    return F.when(_value(whole).rlike("[^=]=[^=]") | whole.rlike(f"^{_OWN}="), F.concat(F.array(main), own)).otherwise(F.array(main))
+
+    def parts(main: Column) -> Column:
+        pieces = F.split(whole, "=")
+        named = F.transform(pieces, lambda p, j: F.struct(F.regexp_extract(F.right(F.coalesce(F.get(pieces, j - 1), F.lit("")), F.lit(30)), r"([A-Za-z0-9_\-]{1,30})$", 1).alias("name"), p.alias("value")))
+        own = F.filter(named, lambda p: (F.length(p["value"]) >= 16) & p["value"].rlike("[0-9]|[A-Z]{16}") & (p["value"] != main["value"]))
+        several = main["value"].rlike("[^=]=[^=]") | whole.rlike(f"^{_OWN}=")
+        return F.when(several, F.concat(F.array(main), own)).otherwise(F.array(main))
+
+    return _once(F.struct(_name(whole).alias("name"), _value(whole).alias("value")), parts)
+
+
+def _split(text: Column) -> Column:
+    """Struct of a text's runs and of the gaps around them: gap 0, run 0, gap 1, ... are the text."""
+    none = F.array().cast("array<string>")
+    runs = F.when(text.rlike(_CHEAP), F.regexp_extract_all(text, F.lit(f"({_RUN})"), 1)).otherwise(none)
+    gaps = F.when(text.rlike(_CHEAP), F.split(text, _RUN, -1)).otherwise(none)
+    return F.struct(runs.alias("runs"), gaps.alias("gaps"))
 
 
 def candidates(text: Column) -> Column:
     """Array of candidates of a text in order: value and features. Every run of key characters
     is one, wherever it stands in a word and however long that is; each has its own
-    surroundings, so that neighbours don't take them from each other."""
-    none = F.array().cast("array<string>")
-    found = F.when(text.rlike(_CHEAP), F.regexp_extract_all(text, F.lit(f"({_RUN})"), 1)).otherwise(none)
-    parts = F.struct(found.alias("runs"), F.when(text.rlike(_CHEAP), F.split(text, _RUN, -1)).otherwise(none).alias("gaps"))
+    surroundings, so that neighbours don't take them from each other. A text is read a fixed
+    number of times and each run's surroundings are bounded, so the work is linear in it."""
 
     def placed(p: Column) -> Column:
         def one(run: Column, i: Column) -> Column:
@@ -137,21 +151,38 @@ def candidates(text: Column) -> Column:
             "after": F.regexp_extract(c["after"], r"^\S{0,200}[ \t]{1,3}(\S{1,40})", 1),
         }
         around = F.struct(*[v.alias(k) for k, v in own.items()], outer.alias("outer"))
-        return F.transform(_given(c["run"]), lambda g: F.struct(g["value"].alias("value"), F.when(g["name"] != "", g["name"]).otherwise(around["outer"]).alias("name"), *[around[k].alias(k) for k in own]))
+        each = lambda w: F.transform(_given(c["run"]), lambda g: F.struct(g["value"].alias("value"), F.when(g["name"] != "", g["name"]).otherwise(w["outer"]).alias("name"), *[w[k].alias(k) for k in own]))
+        return _once(around, each)
 
-    each = F.flatten(F.flatten(F.transform(F.array(parts), lambda p: F.transform(placed(p), seen))))
+    each = F.flatten(_once(_split(text), lambda p: F.transform(placed(p), seen)))
     scored = F.transform(each, lambda c: _features(*[c[k] for k in ("value", "before", "name", "word", "bare", "after")]))
     return F.filter(scored, lambda c: F.length(c["value"]) >= 16)
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
+def _marked(text: Column, values: Column, mark: str) -> Column:
+    """A text whose runs have each of `values` in them replaced: as a whole value, or between
+    equals signs. Runs and gaps are put together again, so the text is written once."""
+    m = F.lit(mark)
+
+    def clean(run: Column) -> Column:
+        between = lambda t: F.array_join(F.transform(F.split(t, "="), lambda p: F.when(F.array_contains(values, p), m).otherwise(p)), "=")
+        whole = lambda v: F.when(F.array_contains(values, v), F.concat(between(F.left(run, F.length(run) - F.length(v))), m)).otherwise(between(run))
+        return _once(_value(run), whole)
+
+    put = lambda p: F.concat(p["gaps"][0], F.array_join(F.zip_with(p["runs"], F.slice(p["gaps"], F.lit(2), F.size(p["runs"])), lambda r, g: F.concat(clean(r), g)), ""))
+    return F.when(F.size(values) > 0, _once(_split(text), put)).otherwise(text)
+
+
+def labelled_findings(spark: SparkSession, rows: int = 6000, first: int = 0) -> DataFrame:
     """before, word, after and label of findings made by rule from a hash of their number:
     keys, tokens and passwords in use, and hosts, paths, addresses, hashes of content,
-    identifiers, placeholders and long names that scanners mistake for them."""
+    identifiers, placeholders, encoded contents and long names that scanners mistake for
+    them. `first` is the first number."""
     n = F.col("id")
     hexes, more = F.sha2(n.cast("string"), 256), F.sha2(F.concat(n.cast("string"), F.lit("x")), 256)
     caps = F.translate(F.upper(F.base64(F.unhex(hexes))), "0189+/=", "QRSTUVW")
     mixed = F.regexp_replace(F.base64(F.unhex(F.concat(hexes, more))), "[+/=\r\n]", "q")
+    content = F.regexp_replace(F.base64(F.unhex(F.concat(*[F.sha2(F.concat(n.cast("string"), F.lit(f"c{k}")), 256) for k in range(18)]))), "[\r\n]", "")
     word = F.translate(F.substring(more, 1, 9), "0123456789", "aeioutrnsl")
     pick = lambda *options: F.element_at(F.array(*[F.lit(o) if isinstance(o, str) else o for o in options]), (F.pmod(F.xxhash64(n, F.lit(7)), F.lit(len(options))) + 1).cast("int"))
     q = F.lit('"')
@@ -180,10 +211,15 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0, plain, F.concat(F.upper(word), F.upper(F.substring(word, 1, 9)))),
         (1, plain, F.substring(mixed, 5, 28), pick("token", "secret.", "(password)", "apikey")),
         (0, plain, F.substring(more, 1, 40), pick("commit", "checksum", "(sha1)", "revision")),
+        (0, F.lit(""), F.substring(content, 1, 76)),
+        (0, plain, F.concat(pick("src=", "url(", "", "href="), F.lit("data:"), pick("image/png", "font/woff", "text/css"), F.lit(";base64,"), F.substring(content, 1, F.pmod(F.xxhash64(n), F.lit(500)).cast("int") + 150))),
+        (0, pick("content:", "body", "attachment", ""), F.substring(content, 1, F.pmod(F.xxhash64(n), F.lit(500)).cast("int") + 250)),
+        (1, F.lit(""), F.concat(pick("ghp_", "gho_", "sk_live_", "glpat-"), F.substring(mixed, 1, 36))),
+        (1, F.lit(""), F.concat(F.lit("AKIA"), F.substring(caps, 1, 16))),
     ]
     kind = F.pmod(n, F.lit(len(cases)))
     case = F.element_at(F.array(*[F.struct(F.lit(y).alias("label"), b.alias("before"), w.alias("word"), (a[0] if a else F.lit("")).alias("after")) for y, b, w, *a in cases]), (kind + 1).cast("int"))
-    return spark.range(0, rows, 1, 4).select(case.alias("c")).select("c.before", "c.word", "c.after", "c.label")
+    return spark.range(first, first + rows, 1, 4).select(case.alias("c")).select("c.before", "c.word", "c.after", "c.label")
 
 
 def train(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel:
@@ -225,7 +261,9 @@ def scan(documents: DataFrame, trees: list[tuple], threshold: float = 0.5) -> Da
     candidates to which a share over `threshold` of the trees says secret.
 
     Null and empty texts have none. The column is replaced if there is one of that name;
-    others pass through; repeated rows give equal results.
+    others pass through; repeated rows give equal results, and an empty table gives no rows.
+    Very long texts are read as a whole, in time linear in their length; a value may have any
+    length. A value that stands in a text several times is found each time.
     """
     score = lambda c: sum((_expression(t, c) for t in trees), F.lit(0.0)) / float(len(trees))
     scored = F.transform(candidates(F.col("text")), lambda c: F.struct(c["value"].alias("value"), score(c).alias("score")))
@@ -233,12 +271,15 @@ def scan(documents: DataFrame, trees: list[tuple], threshold: float = 0.5) -> Da
 
 
 def redact(documents: DataFrame, trees: list[tuple], mark: str = "[SECRET]") -> DataFrame:
-    """`documents`, with the same columns, with every secret's value replaced in `text`."""
+    """`documents`, with the same columns, with every secret's value replaced in `text`.
+
+    A value that is a secret in one place of a text is replaced wherever it is a value in it.
+    Null and empty texts stay as they are; texts of any length are read as a whole.
+    """
     rest = F.struct(F.lit(0).alias("text"), *[F.col(c) for c in documents.columns if c != "text"]).alias("_row")
     found = scan(documents.select("text", rest), trees)
-    # longest first, so that none is cut by another that it holds
-    longest = F.array_sort("secrets", lambda a, b: F.length(b["value"]) - F.length(a["value"]))
-    clean = F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(mark)))
+    values = F.array_distinct(F.transform("secrets", lambda s: s["value"]))
+    clean = F.transform(F.array(values), lambda v: _marked(F.col("text"), v, mark))[0]
     return found.select(*[clean.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in documents.columns])
 
 

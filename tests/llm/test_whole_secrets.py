@@ -59,3 +59,62 @@ def test_secrets_beside_each_other(spark, trees):
         for s in v:
             t = t.replace(s, "[SECRET]")
         assert c == t
+
+
+def test_every_offset_of_a_long_unspaced_text(spark, trees):
+    filler = '"k":[1,2],' * 10000
+    texts = [filler[: 997 * i + i % 10] + '"' + token(100 + i) + '",' + filler[997 * i :] for i in range(100)]
+    found, clean = values(spark, trees, texts)
+    assert found == [[token(100 + i)] for i in range(100)]
+    assert clean == [t.replace(token(100 + i), "[SECRET]") for i, t in enumerate(texts)]
+
+
+def test_very_long_words_take_linear_time(spark, trees):
+    blob = base64.b64encode(b"".join(hashlib.sha512(str(i).encode()).digest() for i in range(12000))).decode()[:1000000]
+    lines = "\n".join(blob[i : i + 76] for i in range(0, len(blob), 76))
+    several = ",".join(token(i) for i in range(2000))
+    found, clean = values(spark, trees, [blob, lines, f"{blob} {token(3)} {lines}", several, '"'.join([blob[:4000]] * 3)])
+    assert found[:3] == [[], [], [token(3)]] and len(found[3]) >= 1980 and found[4] == []
+    assert clean[0] == blob and clean[1] == lines and clean[2] == f"{blob} [SECRET] {lines}"
+
+
+def mixed(k, n):
+    return re.sub("[+/=]", "q", base64.b64encode(hashlib.sha512(f"z{k}".encode()).digest()).decode())[:n]
+
+
+def hexes(k, n):
+    return hashlib.sha512(f"{k}".encode()).hexdigest()[:n]
+
+
+#: Forms that the training rows do not have.
+OTHER_SECRETS = [
+    lambda k: f"clone with glpat-{mixed(k, 20)} please",
+    lambda k: f"slack xoxp-{hexes(k, 12)}-{mixed(k, 24)}",
+    lambda k: f"client_secret: {hexes(k, 64)}",
+    lambda k: f'{{"user":"bo","auth_token":"{mixed(k, 32)}","n":3}}',
+    lambda k: f"export DB_PASSWORD={mixed(k, 22)}",
+    lambda k: f"https://h.example.org/a?access_token={mixed(k, 30)}&x=1",
+    lambda k: f"npm_{mixed(k, 36)}",
+    lambda k: f'  api_key: "{hexes(k, 32)}"',
+]
+OTHERS = [
+    lambda k: f"image@sha256:{hexes(k, 64)}",
+    lambda k: f'etag "{hexes(k, 32)}" seen',
+    lambda k: f"trace {hexes(k, 8)}-{hexes(k, 4)}-4{hexes(k, 3)}-a{hexes(k, 3)}-{hexes(k, 12)} end",
+    lambda k: f"see main.{hexes(k, 20)}.bundle.js loaded",
+    lambda k: f"/var/lib/app{k}/releases/2024/current/index.html",
+    lambda k: f"package-lock-2.{k}.0-x86_64-unknown-linux-gnu",
+    lambda k: f"call +49-30-{k * 7919 % 10000000:07d}-{k * 31 % 10000:04d}",
+    lambda k: f"https://cdn{k}.images-static.com/assets/img{k}/photo-large.jpg",
+    lambda k: f"donaudampfschiff{k}fahrtsgesellschaft",
+    lambda k: f"password=your_password_{k}_here",
+]
+
+
+def test_forms_that_were_not_learned(spark, trees):
+    rows = [(i, 1, f(n)) for i, f in enumerate(OTHER_SECRETS) for n in range(100)] + [(i, 0, f(n)) for i, f in enumerate(OTHERS) for n in range(100)]
+    counts = {}
+    for r in secret_scan.scan(spark.createDataFrame(rows, "form int, label int, text string"), trees).collect():
+        counts.setdefault((r["label"], r["form"]), []).append(len(r["secrets"]) > 0)
+    assert all(sum(v) >= 95 for (label, _), v in counts.items() if label == 1), {k: sum(v) for k, v in counts.items()}
+    assert all(sum(v) <= 1 for (label, _), v in counts.items() if label == 0), {k: sum(v) for k, v in counts.items()}
