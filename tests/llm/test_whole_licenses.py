@@ -1,12 +1,73 @@
-"""Sentences of licenses that have a stop inside them."""
+"""Licenses as they stand in files: with stops inside, wrapped, in comments, as tags and notices."""
+
+import re
+import textwrap
+
+import duckdb
+import pandas as pd
+import pytest
 
 from sondage.llm import licenses
 
+S = licenses.SENTENCES
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+MIT = " ".join([S["mit_1"], "", S["mit_2"], S["mit_3"], S["mit_4"]])
+BSD = f"Copyright (c) 2020, A. B. All rights reserved. {S['bsd_1']} 1. {S['bsd_2']} 2. {S['bsd_3']} 3. {S['bsd_4']} THIS SOFTWARE IS PROVIDED BY"
+APACHE = 'Copyright 2019 A. B. Licensed under the Apache License, Version 2.0 (the "License"); ' + " ".join(S[k] for k in ("apache_2", "apache_3", "apache_4", "apache_5"))
+
+
+def found(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: list(r["licenses"]) for r in rows}
+    return [got[i] for i in range(len(texts))]
+
 
 def test_whole_sentences_decide(spark):
-    gpl, mpl = licenses.SENTENCES["gpl_1"], licenses.SENTENCES["mpl_1"]
-    gpl2 = gpl.replace("software:", "software;").replace("version 3", "version 2")
-    agpl = gpl.replace("GNU General", "GNU Affero General")
-    texts = [gpl, gpl2, agpl, "This program is free software.", mpl, mpl.replace("2.0", "1.1"), f"Other words. {gpl} And more."]
-    got = {r["doc_id"]: list(r["licenses"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(len(texts))] == [["GPL-3.0"], [], [], [], ["MPL-2.0"], [], ["GPL-3.0"]]
+    gpl2 = GPL.replace("software:", "software;").replace("version 3", "version 2")
+    agpl = GPL.replace("GNU General", "GNU Affero General")
+    texts = [GPL, gpl2, agpl, "This program is free software.", S["mpl_1"], S["mpl_1"].replace("2.0", "1.0"), f"Other words. {GPL} And more."]
+    assert found(spark, texts) == [["GPL-3.0"], ["GPL-2.0"], ["AGPL-3.0"], [], ["MPL-2.0"], [], ["GPL-3.0"]]
+
+
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// ", "    "])
+def test_wrapped_licenses(spark, leader):
+    known = [(MIT, ["MIT"]), (BSD, ["BSD-3-Clause", "all rights reserved"]), (APACHE, ["Apache-2.0"]), (GPL, ["GPL-3.0"])]
+    known += [(", ".join([S[i] for i in seq.split(",")]), [name]) for name, seqs in licenses.RULES.items() for seq in seqs if not re.search(r"=|gpl_[23]|gpl_[0-9]", seq)]
+    texts = [f"some words before\n{textwrap.indent(textwrap.fill(t, width), leader)}\nafter" for t, _ in known for width in (60, 76, 80)]
+    assert found(spark, texts) == [want for _, want in known for _ in range(3)]
+
+
+def test_tags_and_notices(spark):
+    texts = [
+        "// SPDX-License-Identifier: MIT\nint x;",
+        "# SPDX-License-Identifier: Apache-2.0 OR GPL-2.0-or-later WITH x\nthis or mit",
+        "/* SPDX-License-Identifier: (BSD-3-Clause AND ISC) */",
+        "This code is released under the MIT License.",
+        "It is distributed under the terms of the GNU General Public\n# License, version 2, see there",
+        "licensed under MIT and apache",
+        "published under the Mozilla Public License, v. 2.0!",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "Released under the BSD 3-Clause License",
+        "released under pressure of the MIT",
+        "",
+    ]
+    want = [["MIT"], ["Apache-2.0", "GPL-2.0"], ["BSD-3-Clause", "ISC"], ["MIT"], ["GPL-2.0"], ["MIT"], ["MPL-2.0"], ["LGPL-2.1"], ["BSD-3-Clause"], [], []]
+    assert found(spark, texts) == want
+
+
+def test_every_known_sentence_has_an_anchor_and_every_rule_known_sentences():
+    ids = set(licenses.known().values()) | {f"={x}" for x in licenses.NAMES}
+    assert all(i in ids for seqs in licenses.RULES.values() for seq in seqs for i in seq.split(","))
+    assert all(re.search(licenses.ANCHORS, s) for s in licenses.known())
+    assert len(set(licenses.RULES) | set(licenses.NAMES)) >= 40
+
+
+def test_sql_on_texts_of_all_kinds(spark):
+    texts = [MIT, BSD, APACHE, GPL, f"{MIT} {BSD}", textwrap.fill(f"{APACHE} {GPL}", 70), "SPDX-License-Identifier: MIT OR ISC", "released under the MIT license or mit", "Licensed under the Apache License, Version 2.0", None, ""]
+    texts += list(S.values()) + [f"{v} {b} {n} {a}" for v, b, n, a in zip(licenses.VERBS * 20, licenses.BETWEEN * 23, licenses._names(), licenses.AFTER * 67, strict=False)]
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": pd.Series(texts, dtype=object)})
+    db = duckdb.connect()
+    db.register("documents", frame)
+    want = {r[0]: r[1:] for r in db.execute(licenses.ORACLE).fetchall()}
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (len(r["license_sentences"]), ",".join(r["license_sentences"]), ",".join(r["licenses"])) for r in rows} == want
