@@ -6,9 +6,11 @@ longest match is tracked. A window is `n` consecutive words of an item, or a who
 shorter item; words inside a window's occurrence are hits.
 
 Only runs in which every pair of neighbours is a pair of neighbours of some item can
-hold a window, so vectorised hash lookups leave few words for the automaton.
-Documents are never shuffled. The automaton is broadcast only below `max_bytes` of
-item text; more items are dealt over several automata, one narrow pass each.
+hold a window, so vectorised hash lookups leave few words for the automaton, which then
+takes words by their bytes, never by a hash. Documents are never shuffled. Items are read in
+parts of about `max_bytes` of text. Each part makes one automaton, which is built on the driver,
+broadcast, and given up before the next part is read: neither grows with the benchmark. Each
+part is one narrow pass over the documents; between passes a checkpoint cuts the chain.
 """
 
 from __future__ import annotations
@@ -21,22 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint
 from . import text as T
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def item_words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(_LOWER))
+def item_words(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").encode().lower())  # lowers A-Z alone
 
 
 class Automaton:
     """Suffix automaton of several word sequences. State 0 is the empty match."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], n: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
         self.n = n
-        self.vocab: dict[str, int] = {}
+        self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ids = [i for i, _ in items]
@@ -80,46 +82,47 @@ class Automaton:
         return clone
 
     def _mark(self, sequences: list[list[int]]) -> None:
-        """holds: items that contain a state's window; ends: short items that end there, by length."""
+        """top: for a state of n words or more, that of its last n; holds: items by that state;
+        ends: short items that end in a state, by length; near: the nearest state on the way to
+        the root with such an end."""
         n, link, length = self.n, self.link, self.length
-        self.holds: list[set[int] | None] = [None] * len(link)
-        self.ends: list[dict[int, list[int]]] = [{} for _ in link]
+        self.ends: list[dict[int, list[int]] | None] = [None] * len(link)
+        self.top, self.near = [0] * len(link), [0] * len(link)
+        order = sorted(range(1, len(link)), key=length.__getitem__)
+        for at in order:
+            if length[at] >= n:
+                self.top[at] = at if length[link[at]] < n else self.top[link[at]]
+        self.holds: dict[int, set[int]] = {}
         for k, s in enumerate(sequences):
+            state = 0
+            for i, w in enumerate(s):
+                state = self.next[state][w]
+                if i + 1 >= n:
+                    self.holds.setdefault(self.top[state], set()).add(k)
             if 0 < len(s) < n:
-                state = 0
-                for w in s:
-                    state = self.next[state][w]
+                if self.ends[state] is None:
+                    self.ends[state] = {}
                 self.ends[state].setdefault(len(s), []).append(k)
-            else:
-                state = 0
-                for w in s:
-                    state = self.next[state][w]
-                    at = state
-                    while at > 0 and length[at] >= n:
-                        held = self.holds[at]
-                        if held is None:
-                            held = self.holds[at] = set()
-                        elif k in held:
-                            break
-                        held.add(k)
-                        at = link[at]
+        for at in order:
+            self.near[at] = at if self.ends[at] else self.near[link[at]]
         short = [len(s) for s in sequences if 0 < len(s) < n]
         self.least = min([n, *short])
 
     def _index(self, sequences: list[list[int]]) -> None:
-        words = sorted(self.vocab, key=self.vocab.get)
-        hashed = T.Words([" ".join(words).encode()], T.ALNUM).hashes() if words else np.empty(0, T.U)
-        order = np.argsort(hashed)
-        self.word_hash, self.word_id = hashed[order], order.astype(np.int64)
-        pairs = {a * len(words) + b for s in sequences for a, b in zip(s, s[1:], strict=False)}
+        """Words by hash, for the choice of runs alone: words of one hash count as one there."""
+        words = list(self.vocab)
+        hashed = T.Words([b" ".join(words)], T.ALNUM).hashes() if words else np.empty(0, T.U)
+        self.word_hash, number = np.unique(hashed, return_inverse=True)
+        number = number.ravel().tolist()
+        pairs = {number[a] * len(self.word_hash) + number[b] for s in sequences for a, b in zip(s, s[1:], strict=False)}
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
-        """Id of each word, -1 where no item has it."""
+        """Number of each word's hash, -1 where no item has it."""
         if not len(self.word_hash):
             return np.full(len(hashes), -1, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.word_hash, hashes), len(self.word_hash) - 1)
-        return np.where(self.word_hash[at] == hashes, self.word_id[at], -1)
+        return np.where(self.word_hash[at] == hashes, at, -1)
 
     def runs(self, ids: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the word runs that may hold a window."""
@@ -137,43 +140,51 @@ class Automaton:
         long = end - start >= self.least
         return start[long], end[long]
 
-    def stream(self, ids: list[int]) -> Iterator[tuple[int, int, set[int] | list[int]]]:
-        """(end, window length, items) of each window that occurs."""
-        nxt, link, length, n = self.next, self.link, self.length, self.n
+    def stream(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(end, window length, state) of each window that occurs; owners() has its items."""
+        nxt, link, length, n, vocab = self.next, self.link, self.length, self.n, self.vocab
         state, matched = 0, 0
-        for i, w in enumerate(ids):
+        for i, word in enumerate(words):
+            w = vocab.get(word, -1)
             while state and w not in nxt[state]:
                 state = link[state]
                 matched = length[state]
-            if w in nxt[state]:
-                state, matched = nxt[state][w], matched + 1
-            at, seen = state, matched
-            while at > 0:
-                if seen >= n and length[link[at]] < n:
-                    if self.holds[at]:
-                        yield i + 1, n, self.holds[at]
-                for size, items in self.ends[at].items():
-                    if size <= seen:
-                        yield i + 1, size, items
-                at = link[at]
-                seen = length[at]
-
-
-def automata(items: DataFrame, n: int, max_bytes: int) -> list[Automaton]:
-    """One automaton for each `max_bytes` of item text."""
-    parts: list[list[tuple[str, list[str]]]] = [[]]
+            if w not in nxt[state]:
+                continue
+            state, matched = nxt[state][w], matched + 1
+            if matched >= n and self.top[state]:
+                yield i + 1, n, self.top[state]
+            at = self.near[state]
+            while at:
+                for size in self.ends[at]:
+                    if size <= matched:
+                        yield i + 1, size, at
+                at = self.near[link[at]]
+
+    def owners(self, size: int, state: int) -> set[int] | list[int]:
+        return self.holds[state] if size == self.n else self.ends[state][size]
+
+
+def automata(items: DataFrame, n: int, max_bytes: int) -> Iterator[Automaton]:
+    """One automaton for each `max_bytes` of item text, one after another. A longer item is cut into
+    pieces that share n - 1 words, so that each of its windows is in one of them."""
+    part: list[tuple[str, list[bytes]]] = []
     size = 0
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        words = item_words(r["text"])
-        if not words or r["item_id"] is None:
-            continue
-        own = len(r["text"].encode())
-        if parts[-1] and size + own > max_bytes:
-            parts.append([])
-            size = 0
-        parts[-1].append((r["item_id"], words))
-        size += own
-    return [Automaton(p, n) for p in parts]
+    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").toLocalIterator():
+        words, at = item_words(r["text"]), 0
+        while at < len(words) and (at == 0 or len(words) - at >= n):
+            end, own = at, 0
+            while end < len(words) and (end - at < n or own < max_bytes):
+                own += len(words[end]) + 1
+                end += 1
+            if part and size + own > max_bytes:
+                yield Automaton(part, n)
+                part, size = [], 0
+            part.append((r["item_id"], words[at:end]))
+            size += own
+            at = end - n + 1 if end < len(words) else end
+    if part:
+        yield Automaton(part, n)
 
 
 def _scan(auto: Automaton, texts: list[bytes], limit: int) -> Iterator[tuple[int, np.ndarray, set[str]]]:
@@ -182,13 +193,14 @@ def _scan(auto: Automaton, texts: list[bytes], limit: int) -> Iterator[tuple[int
         words = T.Words(texts[low:high], T.ALNUM, lower=True)
         ids, owner = auto.known(words.hashes()), words.text_of()
         hit: dict[int, list[tuple[int, int]]] = {}
-        found: dict[int, set[int]] = {}
+        found: dict[int, set[tuple[int, int]]] = {}
         for a, b in zip(*(x.tolist() for x in auto.runs(ids, owner)), strict=True):
             doc = int(owner[a])
             base = a - int(words.first[doc])
-            for end, size, items in auto.stream(ids[a:b].tolist()):
+            own = [words.data[x:y].tobytes() for x, y in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)]
+            for end, size, state in auto.stream(own):
                 hit.setdefault(doc, []).append((base + end - size, base + end))
-                found.setdefault(doc, set()).update(items)
+                found.setdefault(doc, set()).add((size, state))
         for d, count in enumerate(words.counts.tolist()):
             if d not in hit:
                 yield count, np.empty(0, np.int64), set()
@@ -197,7 +209,7 @@ def _scan(auto: Automaton, texts: list[bytes], limit: int) -> Iterator[tuple[int
             for s, e in hit[d]:
                 edge[s] += 1
                 edge[e] -= 1
-            yield count, np.flatnonzero(np.cumsum(edge)[:-1] > 0), {auto.ids[k] for k in found[d]}
+            yield count, np.flatnonzero(np.cumsum(edge)[:-1] > 0), {auto.ids[k] for x in found[d] for k in auto.owners(*x)}
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 2 << 20, block_bytes: int = 1 << 20) -> DataFrame:
@@ -206,15 +218,20 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A null or
     wordless text has zero words and no hits. Items without words or without id take no
-    part; repeated items count under each id. Columns of the input with the added names
-    are replaced; repeated rows give repeated rows; an empty table gives no rows.
+    part; repeated items count under each id. A very long text is read as a whole, in time linear
+    in its length. Columns of the input with the added names are replaced; repeated rows give
+    repeated rows; an empty table gives no rows.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     T.small_batches(documents)
     out = documents.drop("n_words", "hit_words", "hit_items")
     out = out.withColumns({"n_words": F.lit(None).cast("long"), "hit_words": F.lit(None).cast("array<int>"), "hit_items": F.lit(None).cast("array<string>")})
+    shared = None
     for auto in automata(benchmark, n, max_bytes):
+        if shared is not None:
+            out = checkpoint(out)
+            shared.destroy()
         shared = documents.sparkSession.sparkContext.broadcast(auto)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -6,9 +6,10 @@ any two equal windows, wherever they stand, have a shift below `period` at which
 positions fall on D. So only runs of `window - period + 1` words that start at a
 position of D modulo `period` are hashed (3 of 7 positions by default), and each equal
 pair of windows shares such an anchor. Anchors that more than one document has are then
-extended: the windows around them are compared as a whole, by 95 bits.
+extended: the windows around them are compared as a whole, by 95 bits that come from two
+XXH64 of each word with different seeds.
 
-Documents are dealt to chunks of about `chunk_bytes` by a hash of doc_id. A chunk sends
+Documents are dealt to chunks of about `chunk_bytes` by a hash of doc_id and text. A chunk sends
 each of its different anchors once, and later each candidate window once with its
 smallest doc_id, in packed blocks by hash range; the answers come back by chunk. So a
 passage that a third of all documents share costs one record for each chunk, no key can
@@ -70,10 +71,11 @@ class Lookup:
 class Plan:
     """Parameters of a run, as every task needs them."""
 
-    def __init__(self, window: int, period: int, chunks: int, block_bytes: int):
+    def __init__(self, window: int, period: int, buckets: int, block_bytes: int):
         if not 1 <= period <= window:
             raise ValueError("period must be from 1 to window")
-        self.window, self.period, self.chunks, self.block_bytes = window, period, chunks, block_bytes
+        self.window, self.period, self.block_bytes = window, period, block_bytes
+        self.cuts = np.array([((1 << 64) * k + buckets - 1) // buckets for k in range(buckets)], dtype=U)
         self.anchor = window - period + 1
         self.on_cover = np.zeros(period, dtype=bool)
         self.on_cover[list(difference_cover(period))] = True
@@ -94,9 +96,9 @@ class Plan:
 
     def deal(self, chunk: int, hashes: np.ndarray, more: np.ndarray | None = None, docs: np.ndarray | None = None) -> pa.Table:
         """Packed rows of sorted hashes by hash range."""
-        cuts = np.searchsorted(hashes, np.array([((1 << 64) * k + self.chunks - 1) // self.chunks for k in range(self.chunks)], dtype=U))
-        cuts = np.append(cuts, len(hashes)).tolist()
-        pieces = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        cuts = np.append(np.searchsorted(hashes, self.cuts), len(hashes))
+        full = np.flatnonzero(cuts[1:] > cuts[:-1])
+        pieces = list(zip(full.tolist(), cuts[full].tolist(), cuts[full + 1].tolist(), strict=True))
         cut = lambda x: [None if x is None else x[a:b].tobytes() for _, a, b in pieces]
         return pa.table([pa.array([k for k, _, _ in pieces], pa.int32()), pa.array([chunk] * len(pieces), pa.int32()), *(pa.array(cut(x), pa.binary()) for x in (hashes, more, docs))], names=_NAMES)
 
@@ -217,8 +219,12 @@ def _send_windows(plan: Plan, table: pa.Table, shared: pa.Table) -> pa.Table:
 
 
 def _second(words: T.Words, start: np.ndarray, plan: Plan) -> np.ndarray:
-    """32 more bits for each window, from words hashed anew."""
-    return (T.sequence_hash(T.sequence_prefix(T.mix(words.hashes()), 1), start, plan.window, 1) >> U(32)).astype(SECOND)
+    """32 more bits for each window, from the bytes of its words hashed with another seed."""
+    edge = np.bincount(start, minlength=words.n + 1) - np.bincount(start + plan.window, minlength=words.n + 1)
+    used = np.flatnonzero(np.cumsum(edge)[: words.n])
+    hashes = np.zeros(words.n, dtype=U)
+    hashes[used] = T.xxh64(words.data, words.start[used], words.size[used], 0x9E3779B1)
+    return (T.sequence_hash(T.sequence_prefix(hashes, 1), start, plan.window, 1) >> U(32)).astype(SECOND)
 
 
 def _smallest(table: pa.Table) -> pa.Table:
@@ -282,14 +288,19 @@ def dedup(documents: DataFrame, window: int = 13, period: int = 7, chunk_bytes:
     Words are `[^\\x20\\x09-\\x0D]+`. A word goes if it is in a window whose words also
     start in a row with a smaller doc_id; windows are judged on the input. Null and wordless
     texts have no words and an empty kept_text. A null doc_id stands after every other; rows
-    of one doc_id don't cut each other. Other columns are left out. An empty table gives no
-    rows. One pass over the lengths of the texts sets the number of chunks.
+    of one doc_id don't cut each other. Other columns are left out, whatever their names. An
+    empty table gives no rows. A very long text is one row of a chunk like any other: it is read as
+    a whole, by one task. Words count as equal by two hashes with different seeds, not by
+    their bytes. One pass over the lengths of the texts sets the number of chunks; hash ranges
+    take the anchors of about four chunks each.
     """
     spark = documents.sparkSession
     size = documents.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / chunk_bytes), 1)
-    plan = Plan(window, period, chunks, block_bytes)
-    dealt = documents.select(F.expr(f"cast(pmod(xxhash64(doc_id), {chunks}) as int)").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    chunks = max(least, math.ceil(size / chunk_bytes))
+    plan = Plan(window, period, max(least, math.ceil(chunks / 4)), block_bytes)
+    # by the text too, so that rows without a doc_id or with one that repeats are dealt over many chunks
+    dealt = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     by_chunk = dealt.groupBy("chunk")
     anchors = by_chunk.applyInArrow(lambda t: _send_anchors(plan, t), PACKED)
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, MARKS)

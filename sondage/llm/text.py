@@ -44,9 +44,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-
-
 class Powers:
     """Powers of an odd number modulo 2**64 and of its inverse, grown on demand."""
 
@@ -64,7 +61,6 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_WORD = Powers(0xD1342543DE82EF95)
 _SEQ = (Powers(0x2545F4914F6CDD1D), Powers(0x9E3779B97F4A7C15))
 
 
@@ -155,13 +151,9 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """64 bits for each word, by its bytes alone."""
-        up, down = _WORD.upto(len(self.data) + 1)
-        total = np.empty(len(self.data) + 1, dtype=U)
-        total[0] = 0
-        np.cumsum(_BYTE[self.data] * up[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + self.size.astype(U))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """XXH64 of each word."""
+        return xxh64(self.data, self.start, self.size, seed)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """The words with one space after each, and where each begins (one more at the end)."""

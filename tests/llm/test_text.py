@@ -96,7 +96,7 @@ def test_automaton_against_brute_force():
     rng = random.Random(3)
     for n in (1, 2, 3, 5):
         items = [(str(k), [rng.choice("abc") for _ in range(rng.randint(1, 9))]) for k in range(6)]
-        auto = decontam.Automaton(items, n)
+        auto = decontam.Automaton([(k, [w.encode() for w in item]) for k, item in items], n)
         for _ in range(40):
             words = [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
             want = set()
@@ -104,8 +104,7 @@ def test_automaton_against_brute_force():
                 size = min(n, len(item))
                 for a in range(len(item) - size + 1):
                     want |= {(i + size, size, k) for i in range(len(words) - size + 1) if words[i : i + size] == item[a : a + size]}
-            ids = [auto.vocab.get(w, -1) for w in words]
-            got = {(end, size, k) for end, size, ks in auto.stream(ids) for k in ks}
+            got = {(end, size, k) for end, size, state in auto.stream([w.encode() for w in words]) for k in auto.owners(size, state)}
             assert got == want
 
 
