@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..storage import new_folder
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a local one only where the session names none."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    return f"{shared}/stream-{uuid4()}"
+    """A new folder in the shared folder."""
+    return new_folder(spark, "stream")
 
 
 def read(spark: SparkSession, path: str, like: DataFrame | None = None, files_per_trigger: int = 16) -> DataFrame:
