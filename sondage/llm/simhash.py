@@ -183,20 +183,20 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int, most: int = 1 <
     or `most` bytes."""
     kept: list[pa.RecordBatch] = []
     size = held = 0
+    last = None
     for b in batches:
         if not b.num_rows:
             continue
+        own = b.column("bucket").to_numpy()
+        # what is kept ends with the bucket `last`; only the new batch is searched for its end
+        cut = int(np.searchsorted(own, last, "right")) if last is not None and own[0] == last else 0
+        if kept and cut < len(own) and (size + cut >= rows or held >= most):
+            yield pa.Table.from_batches([*kept, b.slice(0, cut)] if cut else kept)
+            kept, size, held, b = [], 0, 0, b.slice(cut)
         kept.append(b)
         size += b.num_rows
         held += b.nbytes
-        if size >= rows or held >= most:
-            table = pa.Table.from_batches(kept)
-            buckets = table["bucket"].to_numpy()
-            cut = int(np.searchsorted(buckets, buckets[-1]))
-            if cut:
-                yield table.slice(0, cut)
-                kept, size = table.slice(cut).to_batches(), table.num_rows - cut
-                held = sum(x.nbytes for x in kept)
+        last = own[-1]
     if kept:
         yield pa.Table.from_batches(kept)
 
@@ -275,7 +275,17 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(a) + len(b) - common)
 
 
-def _sets(documents: DataFrame, shingle: int, keys: int, block_bytes: int = 1 << 20) -> DataFrame:
+def _views(table: pa.Table, name: str) -> list[np.ndarray]:
+    """The hashes of each row of a binary column, where they lie."""
+    out: list[np.ndarray] = []
+    for c in table[name].chunks:
+        edge = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].tolist()
+        raw = memoryview(c.buffers()[2] or b"")
+        out += [np.frombuffer(raw[a:b], np.uint32) for a, b in zip(edge, edge[1:], strict=False)]
+    return out
+
+
+def _sets(documents: DataFrame, shingle: int, keys: int, carry: list[str], block_bytes: int = 1 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = T.byte_list(b.column("text"))
@@ -295,15 +305,20 @@ def _sets(documents: DataFrame, shingle: int, keys: int, block_bytes: int = 1 <<
                 if spread:
                     prints.append(majority(np.concatenate(spread), np.array(sizes[first:], dtype=np.int64)))
             fp = np.concatenate(prints).view(np.int64) if prints else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(whole, pa.int64()), pa.array(smallest, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "fingerprint", "n", "whole", "keys", "own"])
+            yield pa.RecordBatch.from_arrays([b.column("_ident"), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(whole, pa.int64()), pa.array(smallest, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["_ident", "fingerprint", "n", "whole", "keys", "own"])
 
     T.small_batches(documents)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(T.lean(run), "doc_id long, fingerprint long, n long, whole long, keys array<long>, own binary")
+    doc = F.col("doc_id").cast("long")
+    ident = F.struct(doc.isNull().alias("none"), doc.alias("doc_id"), F.struct(F.lit(0).alias("_"), *carry).alias("carry"))
+    rows = documents.select(ident.alias("_ident"), F.col("text").cast("string").alias("text"))
+    kind = dict(rows.dtypes)["_ident"]
+    return rows.mapInArrow(T.lean(run), f"_ident {kind}, fingerprint long, n long, whole long, keys array<long>, own binary")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, keys: int = 6, rows: int = 20_000, set_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable) of each row, by shingle sets.
+def near_duplicates(documents: DataFrame, carry: list[str] | None = None, shingle: int = 5, similarity: float = 0.8, radius: int = 24, keys: int = 6, rows: int = 8_000, set_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, the columns `carry`, component_id (smallest doc_id reachable) and is_first of each row,
+    by shingle sets. is_first holds for the rows with the smallest doc_id and then the smallest
+    carried values of a group; a null doc_id stands behind all others.
 
     Rows with equal shingle sets are one node. Different nodes are compared when they share
     one of their `keys` smallest shingle hashes and the Gray-order index finds their
@@ -311,35 +326,38 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float =
     whole sets, of any size, is `similarity` or more. Fingerprints
     are of the sets: repeated shingles count once. README has what keys and radius lose. Texts with
     fewer words than `shingle` are one shingle; null and wordless texts are equal to each
-    other. A null doc_id gets a null component_id when its group has no other.
+    other. A very long text is read as a whole; its set takes four bytes a shingle. A null doc_id
+    gets a null component_id when its group has no other. Other columns are left out, repeated
+    rows repeat in the result, and an empty table gives no rows.
     """
-    prints = checkpoint(_sets(documents, shingle, keys).withColumn("node", F.xxhash64("n", "whole")))
+    carry = carry or []
+    prints = checkpoint(_sets(documents, shingle, keys, carry).withColumn("node", F.xxhash64("n", "whole")))
     pairs = prints.select("node", F.explode("keys").alias("bucket")).distinct()
     shared = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     # sets travel only to buckets where they meet another
     wanted = pairs.join(shared, "bucket", "left_semi").groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
     nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("n").alias("n"), F.first("own").alias("own"))
-    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = prints.groupBy("node").agg(F.min("_ident").alias("least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_buckets(batches, rows, set_bytes):
             order, buckets, own = _sorted(table)
             ids, sizes = table["node"].to_numpy()[order], table["n"].to_numpy()[order]
-            raw = table["own"].cast(pa.large_binary()).combine_chunks()
-            at = order.tolist()
+            sets, at = _views(table, "own"), order.tolist()
 
-            def same(a: int, b: int, raw=raw, at=at, sizes=sizes) -> bool:
+            def same(a: int, b: int, sets=sets, at=at, sizes=sizes) -> bool:
                 n, m = int(sizes[a]), int(sizes[b])
-                if min(n, m) < similarity * max(n, m):
-                    return False
-                return _jaccard(*(np.frombuffer(raw[at[x]].as_buffer(), np.uint32) for x in (a, b))) >= similarity
+                return min(n, m) >= similarity * max(n, m) and _jaccard(sets[at[a]], sets[at[b]]) >= similarity
 
             i, j = link(buckets, own, radius, same)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+            del table, sets, same
+            T.tidy()
 
     dealt = nodes.join(wanted, "node").select("node", "fingerprint", "n", "own", F.explode("buckets").alias("bucket"))
     star = components(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long"))
     roots = least.join(star.select(F.col("u").alias("node"), "v"), "node", "left").select("node", "least", F.coalesce("v", "node").alias("root"))
     roots = checkpoint(roots)
-    found = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(roots.join(found, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    found = roots.groupBy("root").agg(F.min("least").alias("first"))
+    out = prints.select("_ident", "node").join(roots.join(found, "root").select("node", "first"), "node")
+    return out.select("_ident.doc_id", *[F.col("_ident.carry")[c].alias(c) for c in carry], F.col("first.doc_id").alias("component_id"), F.col("_ident").eqNullSafe(F.col("first")).alias("is_first"))
