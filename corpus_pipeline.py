@@ -7,12 +7,10 @@ and BPE encoding adds token ids and their decoding.
 
 from __future__ import annotations
 
-import os
-from uuid import uuid4
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sondage import storage
 from sondage.llm import bpe, decontam, langid, secret_scan, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,11 +29,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates (five-word
-    shingles, similarity 0.8 or more). Documents without doc_id stay."""
-    groups = simhash.near_duplicates(docs)
-    later = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or
+    more): the one with the smallest doc_id. Rows are told apart by all their columns, so rows
+    that share a doc_id stay or go on their own; of rows that are equal in all columns one stays."""
+    keys = {"_k1": F.xxhash64(*COLUMNS), "_k2": F.xxhash64(F.lit(1), *reversed(COLUMNS))}
+    keyed = docs.select(*COLUMNS).withColumns(keys)
+    groups = simhash.near_duplicates(keyed, carry=list(keys))
+    later = groups.where(~F.col("is_first")).select(*keys).distinct()
+    kept = keyed.join(later, list(keys), "left_anti")
+    # the join has dealt and sorted by the keys, so that looking for equal rows moves nothing again
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return kept.withColumn("_again", again).where("_again = 1").select(*COLUMNS)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,17 +68,19 @@ STAGES = [
     ("BPE encoding", encode),
 ]
 
-#: The stages learn, hash and search in ways that SQL has no words for; tests/llm holds them
-#: against brute force.
+#: The stages learn, hash and search in ways that SQL has no words for; tests/llm holds each stage
+#: against a plain version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; what each returns is written to the shared folder and read again."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = os.path.join(folder, f"pipeline-{uuid4()}")
+    """The stages over documents; what each returns is written to the shared folder and read again,
+    and deleted when the next one is written."""
+    folder = storage.new_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            storage.delete(spark, f"{folder}/{k - 1}")
     return docs
