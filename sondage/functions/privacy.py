@@ -69,3 +69,19 @@ def sanitize_json(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(one)
+
+
+@F.pandas_udf(T.StringType())
+def sanitize_parameters(texts: pd.Series) -> pd.Series:
+    """As sanitize_json, and without the sensitive keys of the top level."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            value = None if t is None else json.loads(t)
+        except ValueError:
+            return None
+        if isinstance(value, dict):
+            value = {k: v for k, v in value.items() if k not in SENSITIVE}
+        return None if value is None else json.dumps(_clean(value), ensure_ascii=False)
+
+    return texts.map(one)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,35 @@ def standardize(rows: DataFrame, key: str, vector: str, train: Column | None = N
     return rows.crossJoin(F.broadcast(table)).select(key, z.alias("z"))
 
 
-def _vector_sum(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
-    """by and `_sum`: componentwise sum of each group's vectors, combined before the shuffle."""
-    cells = rows.select(*by, F.posexplode(F.col(vector)).alias("_i", "_x"))
-    sums = cells.groupBy(*by, "_i").agg(F.sum("_x").alias("_x"))
-    out = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_s"))
-    return out.select(*by, F.transform("_s", lambda s: s["_x"]).alias("_sum"))
+def _grid(table: pa.Table, side: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j and unit vectors of one image's patches, in the order of (i, j)."""
+    i, j = table["i"].to_numpy(), table["j"].to_numpy()
+    order = np.lexsort((j, i))
+    v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(i), -1)[order]
+    if side is not None and (len(i) != side * side or (i[order] != np.repeat(np.arange(side), side)).any() or (j[order] != np.tile(np.arange(side), side)).any()):
+        raise ValueError("patches are no full grid")
+    return i[order], j[order], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _apart(unit: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    return 1 - (unit * (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12))).sum(axis=1)
+
+
+def _local(unit: np.ndarray, side: int) -> np.ndarray:
+    grid = np.pad(unit.reshape(side, side, -1), ((1, 1), (1, 1), (0, 0)), mode="edge")
+    near = sum(grid[1 + a : 1 + a + side, 1 + b : 1 + b + side] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
+    return _apart(unit, near.reshape(side * side, -1) / 8)
+
+
+def _global(unit: np.ndarray) -> np.ndarray:
+    return _apart(unit, unit.mean(axis=0, keepdims=True))
+
+
+def _by_image(patches: DataFrame, img: str, run, schema: str) -> DataFrame:
+    """`run` over each image's patches, which meet in one shuffle; an image's grid fits in a task."""
+    kind = dict(patches.dtypes)[img]
+    rows = patches.select(img, "i", "j", F.col("v").cast("array<double>").alias("v"))
+    return rows.groupBy(img).applyInArrow(lambda t: run(t), f"{img} {kind}, {schema}")
 
 
 def local_deviation(patches: DataFrame, side: int, img: str = "img") -> DataFrame:
@@ -52,24 +77,22 @@ def local_deviation(patches: DataFrame, side: int, img: str = "img") -> DataFram
     `patches` has img, i, j and v, a full grid of side x side for each image. Beyond the border the
     nearest patch stands in, so at a border a patch may be among its own neighbours.
     """
-    unit = patches.select(img, "i", "j", l2_normalize(F.col("v")).alias("v"))
-    # every patch is sent to the places whose neighbourhood, moved inside the border, holds it
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-    inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(side - 1), c))
-    wanted = unit.select(img, "i", "j", F.explode(steps).alias("s")).select(img, "i", "j", inside(F.col("i") + F.col("s.a")).alias("ni"), inside(F.col("j") + F.col("s.b")).alias("nj"))
-    near = wanted.join(unit.select(img, F.col("i").alias("ni"), F.col("j").alias("nj"), "v"), [img, "ni", "nj"])
-    sums = _vector_sum(near, [img, "i", "j"], "v")
-    mean = l2_normalize(F.transform("_sum", lambda x: x / 8))
-    return unit.join(sums, [img, "i", "j"]).select(img, "i", "j", (1 - dot(F.col("v"), mean)).alias("dev"))
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j, unit = _grid(t, side)
+        return pa.table({img: t[img], "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "dev": _local(unit, side)})
+
+    return _by_image(patches, img, run, "i int, j int, dev double")
 
 
 def global_deviation(patches: DataFrame, img: str = "img") -> DataFrame:
     """img, i, j, dev: one less the cosine between each patch and its image's mean patch."""
-    unit = patches.select(img, "i", "j", l2_normalize(F.col("v")).alias("v"))
-    sums = _vector_sum(unit, [img], "v")
-    count = unit.groupBy(img).agg(F.count(F.lit(1)).alias("_n"))
-    mean = l2_normalize(F.transform("_sum", lambda x: x / F.col("_n")))
-    return unit.join(sums.join(count, img).select(img, mean.alias("_mean")), img).select(img, "i", "j", (1 - dot(F.col("v"), F.col("_mean"))).alias("dev"))
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j, unit = _grid(t, None)
+        return pa.table({img: t[img], "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "dev": _global(unit)})
+
+    return _by_image(patches, img, run, "i int, j int, dev double")
 
 
 STATS = ("max", "p99", "p95", "media", "desvio", "pico_media")
@@ -85,11 +108,21 @@ def summarize(devs: DataFrame, img: str = "img", prefix: str = "") -> DataFrame:
 def anomaly_vector(patches: DataFrame, side: int, img: str = "img") -> DataFrame:
     """img and twelve statistics: six of the local and six of the global deviations.
 
-    An image whose number of patches is not side * side is an error.
+    An image whose patches are no full grid of side * side is an error.
     """
-    sizes = patches.groupBy(img).agg(F.count(F.lit(1)).alias("_n"))
-    checked = patches.join(sizes, img).where(F.when(F.col("_n") != side * side, F.raise_error(F.lit("patches are no full grid")).cast("boolean")).otherwise(F.lit(True))).select(*patches.columns)
-    return summarize(local_deviation(checked, side, img), img, "local_").join(summarize(global_deviation(checked, img), img, "global_"), img)
+
+    def six(dev: np.ndarray) -> list[float]:
+        spread = dev.std(ddof=1) if len(dev) > 1 else float("nan")
+        return [dev.max(), np.quantile(dev, 0.99), np.quantile(dev, 0.95), dev.mean(), spread, dev.max() / (dev.mean() + 1e-6)]
+
+    names = [f"{kind}_{s}" for kind in ("local", "global") for s in STATS]
+
+    def run(t: pa.Table) -> pa.Table:
+        _, _, unit = _grid(t, side)
+        values = six(_local(unit, side)) + six(_global(unit))
+        return pa.table({img: t[img][:1]} | {n: pa.array([float(v)]) for n, v in zip(names, values, strict=True)})
+
+    return _by_image(patches, img, run, ", ".join(f"{n} double" for n in names))
 
 
 def boundary_ratio(v: Column, period: int = 8) -> Column:
@@ -99,5 +132,3 @@ def boundary_ratio(v: Column, period: int = 8) -> Column:
     edge = F.filter(steps, lambda s: s["k"] % period == 0)
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e["d"]) / F.greatest(F.size(a), F.lit(1))
     return mean(edge) / (mean(steps) + 1e-6)
-
-

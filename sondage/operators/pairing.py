@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import fields
+from ..functions.fields import once
+from ..functions.hashing import hash_rank
 
 
 def sidecar(items: DataFrame, sidecars: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,18 +16,31 @@ def sidecar(items: DataFrame, sidecars: DataFrame, keys: list[str]) -> DataFrame
     return items.join(sidecars, keys, "left")
 
 
-def donors(rows: DataFrame, key: str, kind: str) -> DataFrame:
-    """key and donor: for each row the others of its kind, or all others where its kind has none.
+def donors(rows: DataFrame, key: str, kind: str, quota: int, single: int = 21) -> DataFrame:
+    """target, place (from 0) and donor: for each row `quota` others of its kind, or of all kinds where
+    its own has no other.
 
-    The partners are asked for in full by the operation, so its output is their product within
-    a kind; the pairs come from an equality join on the kind. Only rows that are alone in
-    their kind meet all others.
+    Each target goes round its partners from a place of its own, again and again if they are
+    fewer than `quota`; a target with only one partner gets it `single` times at most. Rows are
+    numbered in hash order, so a partner is looked up by its number: what comes out is targets
+    times quota, and never all pairs of a kind.
     """
-    a, b = rows.select(F.col(key).alias("target"), F.col(kind).alias("_k")), rows.select(F.col(key).alias("donor"), F.col(kind).alias("_k"))
-    own = a.join(b, "_k").where("target != donor").select("target", "donor")
-    alone = a.join(a.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")), "_k").where("_n = 1").select("target")
-    rest = alone.join(b.select("donor"), F.col("target") != F.col("donor"))
-    return own.unionAll(rest)
+    plain = rows.select(F.col(key).alias("k"), F.col(kind).alias("kind"))
+    placed = hash_rank(hash_rank(plain, ["kind"], "k", "at"), [], "k", "over")
+    sizes = plain.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    total = plain.agg(F.count(F.lit(1)).alias("total"))
+    own = placed.join(sizes, placed["kind"].eqNullSafe(sizes["kind"])).select(placed["*"], "n").crossJoin(F.broadcast(total))
+    alone = F.col("n") == 1
+    count, at = F.when(alone, F.col("total")).otherwise(F.col("n")), F.when(alone, F.col("over")).otherwise(F.col("at")) - 1
+    others = count - 1
+    wanted = own.where(others > 0).select(F.col("k").alias("target"), F.when(~alone, F.col("kind")).alias("among"), alone.alias("alone"), count.alias("n"), at.alias("at"), F.explode(F.sequence(F.lit(0), F.when(others == 1, min(quota, single)).otherwise(quota) - 1)).alias("place"))
+    start = F.conv(F.substring(F.md5(F.concat(F.col("target").cast("string"), F.lit("/"))), 1, 8), 16, 10).cast("long")
+    asked = wanted.withColumn("to", (F.col("at") + 1 + F.pmod(start + F.col("place"), F.col("n") - 1)) % F.col("n"))
+    within = placed.select(F.lit(False).alias("alone"), F.col("kind").alias("among"), (F.col("at") - 1).alias("to"), F.col("k").alias("donor"))
+    overall = placed.select(F.lit(True), F.lit(None).cast(dict(placed.dtypes)["kind"]), F.col("over") - 1, "k")
+    there = within.unionAll(overall)
+    same = (asked["alone"] == there["alone"]) & asked["among"].eqNullSafe(there["among"]) & (asked["to"] == there["to"])
+    return asked.join(there, same).select("target", F.col("place").cast("int").alias("place"), "donor")
 
 
 def nearest_label(values: DataFrame, labels: DataFrame, doc: str, value_place: list[str], label_name: str, label_place: list[str]) -> DataFrame:
@@ -57,21 +72,31 @@ def values_of_labels(words: DataFrame, is_label: Column, doc: str, ident: str, r
     until a line with another label word; lines whose words are all blank are passed over.
     Result: doc, ident of the label, kind, x, y, w, h, n words.
     """
-    marked = words.withColumn("_is", is_label)
-    labels = marked.where("_is").select(doc, F.col(ident).alias("label"), "block", "line", F.col("x").alias("_lx"), F.col("y").alias("_ly"), F.col("w").alias("_lw"), F.col("h").alias("_lh"))
-    beside = labels.join(marked, [doc, "block", "line"]).where("x > _lx + _lw")
-    same = beside.groupBy(doc, "label").agg(F.min("x").alias("x"), F.least(F.min("y"), F.min("_ly")).alias("y"), F.max(F.col("x") + F.col("w")).alias("_x2"), F.greatest(F.max(F.col("y") + F.col("h")), F.max(F.col("_ly") + F.col("_lh"))).alias("_y2"), F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(0))
-    lines = marked.groupBy(doc, "block", "line").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_x2"), F.max(F.col("y") + F.col("h")).alias("_y2"), F.count(F.lit(1)).alias("n"), F.bool_or("_is").alias("_stop"), F.bool_or(F.trim("texto") != "").alias("_some"))
-    # a block's lines stand in one array, so that the next lines are looked up without a join by range
-    order = lines.groupBy(doc, "block").agg(F.sort_array(F.collect_list("line")).alias("_lines"))
-    placed = lines.join(order, [doc, "block"]).withColumn("_at", F.array_position("_lines", F.col("line")))
-    from_line = labels.select(doc, "label", "block", "line").join(placed.select(doc, "block", "line", F.col("_at").alias("_from")), [doc, "block", "line"])
-    steps = from_line.select(doc, "label", "block", "_from", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("kind")).withColumn("_at", F.col("_from") + F.col("kind"))
-    below = steps.join(placed.drop("line", "_lines"), [doc, "block", "_at"])
-    stops = below.where("_stop and _some").groupBy(doc, "label").agg(F.min("kind").alias("_first"))
-    below = below.join(stops, [doc, "label"], "left").where("_some and (_first is null or kind < _first)")
-    out = same.select(doc, "label", "kind", "x", "y", "_x2", "_y2", "n").unionByName(below.select(doc, "label", "kind", "x", "y", "_x2", "_y2", "n"))
-    return out.select(doc, "label", "kind", "x", "y", (F.col("_x2") - F.col("x")).alias("w"), (F.col("_y2") - F.col("y")).alias("h"), "n")
+    one = F.struct("line", "x", "y", (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.col(ident).alias("ident"), F.coalesce(is_label, F.lit(False)).alias("stop"), F.coalesce(F.trim("texto") != "", F.lit(False)).alias("some"))
+    # a block's words stand in one row; all that follows is within the row
+    per = words.groupBy(doc, "block").agg(F.collect_list(one).alias("w")).where(F.exists("w", lambda w: w["stop"]))
+    least = lambda ws, side: F.array_min(F.transform(ws, lambda w: w[side]))
+    most = lambda ws, side: F.array_max(F.transform(ws, lambda w: w[side]))
+    box = lambda ws: {"x": least(ws, "x"), "y": least(ws, "y"), "x2": most(ws, "x2"), "y2": most(ws, "y2"), "n": F.size(ws).cast("long")}
+    named = lambda cols: [c.alias(k) for k, c in cols.items()]
+    numbers = F.array_sort(F.array_distinct(F.transform("w", lambda w: w["line"])))
+    per = per.withColumn("numbers", numbers)
+    line = lambda k: once(F.filter("w", lambda w: w["line"] == k), lambda ws: F.struct(*named(box(ws)), F.exists(ws, lambda w: w["stop"]).alias("stop"), F.exists(ws, lambda w: w["some"]).alias("some")))
+    per = per.withColumn("lines", F.transform("numbers", line))
+
+    def of(label: Column) -> Column:
+        right = F.filter("w", lambda w: (w["line"] == label["line"]) & (w["x"] > label["x2"]))
+        taken = lambda ws: F.struct(F.lit(0).alias("kind"), *named(box(ws) | {"y": F.least(least(ws, "y"), label["y"]), "y2": F.greatest(most(ws, "y2"), label["y2"])}))
+        same = F.transform(F.filter(F.array(right), lambda ws: F.size(ws) > 0), taken)
+        after = F.slice("lines", (F.array_position("numbers", label["line"]) + 1).cast("int"), F.lit(reach))
+        below = F.filter(F.transform(after, lambda s, i: F.struct((i + 1).alias("kind"), *[s[c].alias(c) for c in ("x", "y", "x2", "y2", "n", "stop", "some")])), lambda s: s["some"])
+        until = F.array_position(F.transform(below, lambda s: s["stop"]), F.lit(True)).cast("int")
+        kept = F.when(until > 0, F.slice(below, F.lit(1), F.greatest(until - 1, F.lit(0)))).otherwise(below)
+        plain = F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "x", "y", "x2", "y2", "n")]))
+        return F.transform(F.concat(same, plain), lambda s: F.struct(label["ident"].alias("label"), *[s[c].alias(c) for c in ("kind", "x", "y", "x2", "y2", "n")]))
+
+    found = per.select(doc, F.explode(F.flatten(F.transform(F.filter("w", lambda w: w["stop"]), of))).alias("r"))
+    return found.select(doc, "r.label", "r.kind", "r.x", "r.y", (F.col("r.x2") - F.col("r.x")).alias("w"), (F.col("r.y2") - F.col("r.y")).alias("h"), "r.n")
 
 
 def axis_vote(rows: DataFrame, doc: str) -> DataFrame:
@@ -118,3 +143,20 @@ def classify_fields(rows: DataFrame, doc: str, place: list[str], keywords: dict[
     out = data.join(near.select(doc, *place, F.col("label").alias("_near")), [doc, *place], "left")
     kind = F.when((F.col("tipo") == "nome") & (F.col("_near") == "FILIACAO"), "filiacao").otherwise(F.col("tipo"))
     return out.select(doc, *place, kind.alias("tipo"), "texto")
+
+
+def load_documents(documents: DataFrame, boxes: DataFrame, scores: DataFrame, doc: str, place: list[str], keywords, label, least: float = 60.0) -> DataFrame:
+    """doc, rotation, n_boxes and fields (array of tipo, texto and place) of the documents that can be used.
+
+    `documents` has doc, width and height; a document goes when it has no boxes, when its rotation
+    stays undecided, or when none of its upright boxes holds editable data. `keywords` and
+    `label` are functions of no arguments that give the tests of classify_fields.
+    """
+    turned = rotation(boxes, scores, doc, least)
+    known = documents.join(turned, doc)
+    upright = boxes.join(known, doc).withColumn("_b", B.rotate(F.struct(*B.SIDES), F.col("width"), F.col("height"), F.col("rotation")))
+    upright = upright.withColumns({s: F.col("_b")[s] for s in B.SIDES}).drop("_b")
+    found = classify_fields(upright, doc, place, keywords(), label())
+    lists = found.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("tipo", "texto", *place))).alias("fields"))
+    counts = boxes.groupBy(doc).agg(F.count(F.lit(1)).alias("n_boxes"))
+    return known.select(doc, "rotation").join(counts, doc).join(lists, doc).select(doc, "rotation", "n_boxes", "fields")

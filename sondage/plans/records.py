@@ -24,11 +24,14 @@ def index_left_join(spark, d):
     return out.select("doc_id", F.coalesce(F.col("toxic").cast("string"), F.lit("pasta")).alias("rotulo"), "quality")
 
 
-@query("pair_candidates", """WITH a AS (SELECT s_suppkey AS target, s_nationkey AS k FROM supplier)
-  SELECT a.target, b.target AS donor FROM a JOIN a b ON a.k = b.k AND a.target <> b.target
-  UNION ALL SELECT a.target, b.target FROM a JOIN a b ON a.target <> b.target WHERE a.k IN (SELECT k FROM a GROUP BY k HAVING count(*) = 1)""")
+@query("pair_candidates", """WITH a AS (
+    SELECT s_suppkey AS target, s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY md5(CAST(s_suppkey AS VARCHAR)), s_suppkey) - 1 AS at, count(*) OVER (PARTITION BY s_nationkey) AS n,
+      row_number() OVER (ORDER BY md5(CAST(s_suppkey AS VARCHAR)), s_suppkey) - 1 AS over_all, count(*) OVER () AS total, CAST('0x' || substr(md5(s_suppkey || '/'), 1, 8) AS UBIGINT) AS start FROM supplier),
+  w AS (SELECT *, unnest(range(0, CASE WHEN n = 2 OR (n = 1 AND total = 2) THEN least(30, 21) ELSE 30 END)) AS place FROM a WHERE n > 1 OR total > 1)
+  SELECT w.target, CAST(w.place AS INT) AS place, b.target AS donor FROM w JOIN a b ON w.n > 1 AND b.k = w.k AND b.at = (w.at + 1 + (w.start + w.place) % (w.n - 1)) % w.n
+  UNION ALL SELECT w.target, CAST(w.place AS INT), b.target FROM w JOIN a b ON w.n = 1 AND b.over_all = (w.over_all + 1 + (w.start + w.place) % (w.total - 1)) % w.total""")
 def pair_candidates(spark, d):
-    return pairing.donors(table(spark, d, "supplier"), "s_suppkey", "s_nationkey")
+    return pairing.donors(table(spark, d, "supplier"), "s_suppkey", "s_nationkey", 30)
 
 
 @query("union_groups", "SELECT 'customer' AS grupo, c_name AS nome FROM customer UNION ALL SELECT 'supplier', s_name FROM supplier")

@@ -5,6 +5,11 @@ MANIFEST = (
     "documento_origem string, arquivo_gerado string, campo_alterado string, valor_original string, valor_substituto string, "
     "metodo_inpaint string, fonte string, parametros variant, parametros_captura variant, timestamp string"
 )
+#: Columns of a sample: a manifest without the names of its document.
+SAMPLE = [
+    "id", "rotulo", "tecnica", "gerador", "tipo_documento", "dificuldade", "campo_alterado", "metodo_inpaint",
+    "fonte_tipografica", "fonte_dados", "documento_id", "arquivo", "parametros", "parametros_captura", "timestamp",
+]
 FEATURE = "key string, X array<float>, X_anomalia array<float>, y int, tecnica string, documento_origem string, tipo_documento string, gerador string, fonte string, caminho string"
 EVENT = (
     "run_id string, ts double, tipo string, dispositivo string, epocas int, n_treino int, n_val int, epoca int, "

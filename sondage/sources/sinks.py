@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..operators import merge
+
 
 def write_table(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Parquet over whatever was there; an earlier generation is gone."""
@@ -20,6 +23,42 @@ def append_events(rows: DataFrame, path: str, run_id: str) -> None:
     rows.withColumns({"run_id": run, "ts": ts}).write.mode("append").option("ignoreNullFields", True).json(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of a merged table, in order."""
+    return sorted(int(n.removeprefix("version=")) for n in storage.children(spark, path) if n.startswith("version=") and storage.exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last finished version of a merged table; None where there is none."""
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
+
+
+def merge_table(rows: DataFrame, path: str, keys: list[str], by_field: bool = False) -> DataFrame:
+    """Upsert `rows` (one for each key) into a table; one row says how many keys were inserted,
+    modified or the same. With `by_field` a null leaves what was there.
+
+    The merged table is written as a new version beside the old one, which is deleted only when
+    the new one is finished: a reader or a job that is repeated never meets half a table.
+    """
+    spark = rows.sparkSession
+    found, old = _versions(spark, path), read_table(spark, path)
+    variants = [c for c, kind in rows.dtypes if kind == "variant"]
+    plain = lambda f: f.select(*[F.to_json(c).alias(c) if c in variants else F.col(c) for c in rows.columns])
+    fields = [c for c in rows.columns if c not in keys]
+    before = rows.limit(0) if old is None else old
+    to = f"{path}/version={(found[-1] if found else 0) + 1}"
+    both = before.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+    merged = merge.field_merge(both, keys, ["_new"], fields).select(*rows.columns) if by_field else merge.latest(both, keys, ["_new"]).drop("_new")
+    merged.write.mode("overwrite").parquet(to)
+    after = spark.read.parquet(to)
+    told = plain(after).join(rows.select(*keys), keys, "left_semi")
+    counts = storage.checkpoint(merge.affected(plain(before), told, keys, fields))
+    for n in found:
+        storage.delete(spark, f"{path}/version={n}")
+    return counts
+
+
 def write_manifests(rows: DataFrame, path: str) -> None:
     """JSON objects, many lines to a file where one file each would burden the file system."""
     rows.write.mode("append").json(path)

@@ -28,8 +28,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def delete(spark: SparkSession, folder: str) -> None:
     """Delete a folder with all that is in it, wherever Spark can write."""
+    store, at = _path(spark, folder)
+    store.delete(at, True)
+
+
+def _path(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _path(spark, path)
+    return store.exists(at)
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    store, at = _path(spark, folder)
+    return [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
 
 
 def checkpoint(frame: DataFrame) -> DataFrame:
