@@ -39,6 +39,15 @@ def group_kfold(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
     return rows.withColumn("fold", fold_of(F.col(group), folds))
 
 
+def stratified_group_kfold(rows: DataFrame, group: str, label: str = "y", folds: int = 5) -> DataFrame:
+    """`rows` with `fold`; all rows of a group are in one fold, and folds have about the same share of
+    positives: groups of like size and like share of positives are dealt in turn, in hash order."""
+    n, p = F.count(F.lit(1)), F.count_if(F.col(label) == 1)
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.floor(F.log2(n)).cast("int").alias("_size"), F.round(4 * p / n).cast("int").alias("_share"))
+    dealt = hash_rank(sizes, ["_size", "_share"], "_group", "_at").select("_group", F.pmod(F.col("_at") + F.col("_size") + F.col("_share"), F.lit(folds)).cast("int").alias("fold"))
+    return rows.join(dealt, rows[group].eqNullSafe(dealt["_group"])).select(*rows.columns, "fold")
+
+
 def leak_check(folded: DataFrame, group: str) -> DataFrame:
     """One row: number of groups, and of those found in more than one fold."""
     per = folded.groupBy(group).agg(F.min("fold").alias("a"), F.max("fold").alias("b"))
@@ -112,26 +121,36 @@ def held_out_auc(rows: DataFrame, key: str, same_source: bool = True, source: st
     return plain.join(signs, plain[key] == signs["_key"]).select(key, "n_pos", "n_neg", F.when(F.col("_sign") < 0, 1 - F.col("auc")).otherwise(F.col("auc")).alias("auc"))
 
 
-def snapshot(rows: DataFrame, key: str, group: str, source: str = "fonte", label: str = "y", score: str = "score", folds: int = 5) -> DataFrame:
-    """One row on the state of a data set: counts after balancing, the source-only AUC before it,
-    the mean grouped AUC and the lowest and highest held-out technique AUC after it."""
-    even = group_kfold(balance_by_source(rows, key, source, label), group, folds)
+def snapshot(rows: DataFrame, key: str, group: str, source: str = "fonte", label: str = "y", score: str = "score", technique: str = "tecnica", generator: str = "gerador", folds: int = 5) -> DataFrame:
+    """One row on the state of a data set: counts and maps of counts after balancing, the source-only
+    AUC before it, the mean grouped AUC, and the AUC of each technique and generator held out (maps
+    loto and logo, with loto's lowest and highest) after it."""
+    # the samples are read once; all else needs these columns alone
+    narrow = checkpoint(rows.select(key, group, source, technique, generator, label, score))
+    even = group_kfold(balance_by_source(narrow, key, source, label), group, folds)
     # all that follows needs no more than how often each combination occurs
-    cells = checkpoint(even.groupBy("fold", source, "tecnica", label, score).agg(F.count(F.lit(1)).alias("_c")))
-    y = F.col(label)
-    counts = cells.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_amostras"), F.coalesce(F.sum(F.when(y == 1, F.col("_c"))), F.lit(0)).alias("n_fraude"), F.coalesce(F.sum(F.when(y == 0, F.col("_c"))), F.lit(0)).alias("n_legitimo"), F.countDistinct(source).alias("n_fontes"))
-    by_fold = cells.groupBy("fold", F.col(score).alias("score")).agg(F.sum(F.when(y == 1, F.col("_c")).otherwise(0)).alias("p"), F.sum(F.when(y == 0, F.col("_c")).otherwise(0)).alias("n"))
+    cells = checkpoint(even.groupBy("fold", source, technique, generator, label, score).agg(F.count(F.lit(1)).alias("_c")))
+    y, many = F.col(label), lambda test: F.coalesce(F.sum(F.when(test, F.col("_c"))), F.lit(0))
+    counts = cells.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_amostras"), many(y == 1).alias("n_fraude"), many(y == 0).alias("n_legitimo"), F.countDistinct(source).alias("n_fontes"))
+    by_fold = cells.groupBy("fold", F.col(score).alias("score")).agg(many(y == 1).alias("p"), many(y == 0).alias("n"))
+    as_map = lambda name: F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "auc")))).alias
+    small = [held_out_auc(cells.groupBy(source, k, label, score).agg(F.sum("_c").alias("_c")), k, True, source, label, score, "_c") for k in (technique, generator)]
     parts = [
-        auc_source_only(rows, source, label).select(F.col("auc").alias("auc_fonte_sozinha")),
+        counts_as_map(cells.where(y == 1), technique, "por_tecnica", "_c"),
+        counts_as_map(cells.where(y == 1), generator, "por_gerador", "_c"),
+        counts_as_map(cells, source, "por_fonte", "_c"),
+        auc_source_only(narrow, source, label).select(F.col("auc").alias("auc_fonte_sozinha")),
         A.from_histogram(by_fold, ("fold",)).agg(F.avg("auc").alias("auc_agrupada")),
-        held_out_auc(cells, "tecnica", True, source, label, score, "_c").agg(F.min("auc").alias("loto_min"), F.max("auc").alias("loto_max")),
+        small[0].agg(F.min("auc").alias("loto_min"), F.max("auc").alias("loto_max"), as_map(technique)("loto")),
+        small[1].agg(as_map(generator)("logo")),
     ]
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts, counts)
 
 
-def counts_as_map(rows: DataFrame, name: str, out: str) -> DataFrame:
-    """One row: map of value -> number of rows, empty and null values under an empty key."""
-    counts = rows.groupBy(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("k")).agg(F.count(F.lit(1)).alias("v"))
+def counts_as_map(rows: DataFrame, name: str, out: str, count: str | None = None) -> DataFrame:
+    """One row: map of value -> number of rows, empty and null values under an empty key. `count`
+    names a column that says how many rows a row stands for."""
+    counts = rows.groupBy(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("k")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("v"))
     return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(out))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import auc as A
 from ..operators import evaluation as ev
-from ..operators import grouping
+from ..operators import grouping, protocols
 from . import views
 from .registry import D, E, L, auc, balanced, fold, held_auc, held_hist, hist, query, r6
 
@@ -48,7 +49,7 @@ def group_kfold(spark, d):
     return ev.group_kfold(views.samples(spark, d), "documento_id").groupBy("documento_id", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("kfold_leak_check", f"WITH {L} SELECT count(DISTINCT documento_id) AS n_groups, CAST(0 AS BIGINT) AS n_leaks FROM L")
+@query("kfold_leak_check", f"WITH {L} SELECT count(*) AS n_groups, count(*) FILTER (n > 1) AS n_leaks FROM (SELECT documento_id, count(DISTINCT {fold('documento_id')}) AS n FROM L GROUP BY documento_id)")
 def kfold_leak_check(spark, d):
     return ev.leak_check(ev.group_kfold(views.samples(spark, d), "documento_id"), "documento_id")
 
@@ -110,14 +111,64 @@ def logo_auc(spark, d):
     return ev.held_out_auc(views.samples(spark, d), "gerador").withColumn("auc", r6("auc")).orderBy("auc", "gerador")
 
 
+_PAIRS = "string_agg({0} || '=' || {1}, ';' ORDER BY {0})"
+_SIX = "printf('%.6f', auc)"
+
+
+def _shown(m: str, number: bool) -> Column:
+    """A map as text, its keys in order."""
+    value = (lambda e: F.format_string("%.6f", e["value"])) if number else (lambda e: e["value"].cast("string"))
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), value(e))), ";").alias(m)
+
+
 @query("snapshot", f"""WITH {L}, {_SOURCE_ONLY.format('L')}, bal AS ({balanced('L', 'key')}), f AS (SELECT *, {fold('documento_id')} AS fold FROM bal), h AS ({hist('f', 'fold')}),
-  lo AS ({held_auc('tecnica', True, 'bal', None)})
+  lo AS ({held_auc('tecnica', True, 'bal', None)}), lg AS ({held_auc('gerador', True, 'bal', None)})
   SELECT (SELECT count(*) FROM bal) AS n_amostras, (SELECT count(*) FROM bal WHERE y = 1) AS n_fraude, (SELECT count(*) FROM bal WHERE y = 0) AS n_legitimo, (SELECT count(DISTINCT fonte) FROM bal) AS n_fontes,
+    (SELECT {_PAIRS.format('k', 'n')} FROM (SELECT coalesce(tecnica, '') AS k, count(*) AS n FROM bal WHERE y = 1 GROUP BY 1)) AS por_tecnica,
+    (SELECT {_PAIRS.format('k', 'n')} FROM (SELECT coalesce(gerador, '') AS k, count(*) AS n FROM bal WHERE y = 1 GROUP BY 1)) AS por_gerador,
+    (SELECT {_PAIRS.format('k', 'n')} FROM (SELECT fonte AS k, count(*) AS n FROM bal GROUP BY 1)) AS por_fonte,
     (SELECT auc FROM ({auc('rh')})) AS auc_fonte_sozinha, (SELECT round(avg(auc), 6) FROM ({auc('h', 'fold', None)})) AS auc_agrupada,
-    (SELECT round(min(auc), 6) FROM lo) AS loto_min, (SELECT round(max(auc), 6) FROM lo) AS loto_max""")
+    (SELECT round(min(auc), 6) FROM lo) AS loto_min, (SELECT round(max(auc), 6) FROM lo) AS loto_max,
+    (SELECT {_PAIRS.format('tecnica', _SIX)} FROM lo) AS loto, (SELECT {_PAIRS.format('gerador', _SIX)} FROM lg) AS logo""")
 def snapshot(spark, d):
     out = ev.snapshot(views.samples(spark, d), "key", "documento_id")
-    return out.withColumns({c: r6(c) for c in ("auc_fonte_sozinha", "auc_agrupada", "loto_min", "loto_max")})
+    rounded = out.withColumns({c: r6(c) for c in ("auc_fonte_sozinha", "auc_agrupada", "loto_min", "loto_max")})
+    return rounded.withColumns({m: _shown(m, m in ("loto", "logo")) for m in ("por_tecnica", "por_gerador", "por_fonte", "loto", "logo")})
+
+
+@query("stratified_kfold", f"""WITH {L}, g AS (SELECT documento_id, count(*) AS n, CAST(floor(log2(count(*))) AS INT) AS size, CAST(round(4.0 * sum(y) / count(*)) AS INT) AS share FROM L GROUP BY documento_id)
+  SELECT documento_id, CAST((row_number() OVER (PARTITION BY size, share ORDER BY md5(CAST(documento_id AS VARCHAR)), documento_id) + size + share) % 5 AS INT) AS fold, n FROM g""")
+def stratified_kfold(spark, d):
+    return ev.stratified_group_kfold(views.samples(spark, d), "documento_id").groupBy("documento_id", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _vectors(spark, d):
+    return views.vectors(spark, d).withColumns({"tecnica": F.when(F.col("y") == 1, F.concat(F.lit("t"), (F.col("vec_id") % 3).cast("string"))), "gerador": F.when(F.col("y") == 1, F.concat(F.lit("g"), (F.col("vec_id") % 2).cast("string")))})
+
+
+@query("cv_logistic_auc")
+def cv_logistic_auc(spark, d):
+    return protocols.grouped_cv(_vectors(spark, d), "embedding", "grupo")
+
+
+@query("loto_logistic_auc")
+def loto_logistic_auc(spark, d):
+    return protocols.held_out(_vectors(spark, d), "embedding", "tecnica")
+
+
+@query("logo_logistic_auc")
+def logo_logistic_auc(spark, d):
+    return protocols.held_out(_vectors(spark, d), "embedding", "gerador", least_keys=2)
+
+
+@query("loto_logistic_all_negatives")
+def loto_logistic_all_negatives(spark, d):
+    return protocols.held_out(_vectors(spark, d), "embedding", "tecnica", same_source=False)
+
+
+@query("training_events")
+def training_events(spark, d):
+    return protocols.training_events(_vectors(spark, d), "embedding", "vec_id", "grupo", "run")
 
 
 @query("verdict_generalization", f"WITH {L} SELECT count(*) AS n_keys, round(max(auc) - min(auc), 6) AS amplitude, max(auc) - min(auc) < 0.1 AS ok FROM ({held_auc('tecnica', True, 'L', None)}) WHERE n_pos >= 20 HAVING count(*) >= 2")
@@ -125,10 +176,12 @@ def verdict_generalization(spark, d):
     return grouping.gated_range(ev.held_out_auc(views.samples(spark, d), "tecnica")).withColumn("amplitude", r6("amplitude"))
 
 
-@query("counts_as_map")
+@query("counts_as_map", f"""WITH {L} SELECT (SELECT {_PAIRS.format('k', 'n')} FROM (SELECT coalesce(tecnica, '') AS k, count(*) AS n FROM L WHERE y = 1 GROUP BY 1)) AS por_tecnica,
+  (SELECT {_PAIRS.format('k', 'n')} FROM (SELECT coalesce(fonte, '') AS k, count(*) AS n FROM L GROUP BY 1)) AS por_fonte""")
 def counts_as_map(spark, d):
     rows = views.samples(spark, d)
-    return ev.counts_as_map(rows.where("y = 1"), "tecnica", "por_tecnica").crossJoin(F.broadcast(ev.counts_as_map(rows, "fonte", "por_fonte")))
+    maps = ev.counts_as_map(rows.where("y = 1"), "tecnica", "por_tecnica").crossJoin(F.broadcast(ev.counts_as_map(rows, "fonte", "por_fonte")))
+    return maps.select(_shown("por_tecnica", False), _shown("por_fonte", False))
 
 
 @query("summary_counts", f"WITH {L} SELECT count(*) AS total, count(*) FILTER (y = 1) AS fraude, count(*) FILTER (y = 0) AS legitimo FROM L")

@@ -272,3 +272,24 @@ def classify_fields(spark, d):
     plain = fields.strip_accents(F.col("texto"))
     keywords = {k: F.contains(plain, F.lit(k)) for k in ("NOME", "FILIACAO")}
     return pairing.classify_fields(rows, "doc", ["key"], keywords, fields.is_label(F.regexp_replace("texto", ":", " ")))
+
+
+_ROT = """V AS (SELECT doc, CASE WHEN count(*) FILTER (w >= h) >= count(*) FILTER (w < h) THEN 0 ELSE 90 END AS axis, round(sum(conf)) AS conf, count(*) AS n_boxes FROM B GROUP BY doc),
+  S AS (SELECT doc, r.rot, axis, n_boxes, conf * ((doc + r.rot // 90) % 4) AS score FROM V, (VALUES (0), (90), (180), (270)) r(rot)),
+  R AS (SELECT doc, rot AS rotation, n_boxes FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, rot) AS k FROM S WHERE rot % 180 = axis % 180) WHERE k = 1 AND score >= 60)"""
+
+
+@query("load_documents", f"""WITH {BOXES}, {_ROT},
+  U AS (SELECT key, B.doc, {_CASES} AS texto, R.rotation, R.n_boxes, CASE WHEN rotation IN (90, 270) THEN h ELSE w END AS uw, CASE WHEN rotation IN (90, 270) THEN w ELSE h END AS uh FROM B JOIN R ON B.doc = R.doc)
+  SELECT doc, rotation, n_boxes, count(*) AS n_fields, count(*) FILTER (regexp_matches(texto, '^[0-9]{{2}}/')) AS n_dates FROM U
+  WHERE uw > uh AND NOT contains(texto, 'NOME') AND NOT contains(texto, 'FILIACAO') GROUP BY doc, rotation, n_boxes""")
+def load_documents(spark, d):
+    rows = views.boxes(spark, d)
+    per = rows.groupBy("doc").agg(F.round(F.sum("conf")).alias("conf")).withColumn("rot", F.explode(F.array(*map(F.lit, (0, 90, 180, 270)))))
+    scores = per.select("doc", "rot", (F.col("conf") * ((F.col("doc") + F.floor(F.col("rot") / 90)) % 4)).alias("score"))
+    n = F.col("line") % 5
+    text = F.when(n == 0, "01/02/2024").when(n == 1, F.concat("texto", F.lit(" da Silva"))).when(n == 2, "1234567890").when(n == 3, F.concat(F.lit("NOME: "), "texto")).otherwise(F.concat(F.lit("FILIACAO "), "texto"))
+    documents = rows.select("doc").distinct().select("doc", F.lit(1600).alias("width"), F.lit(600).alias("height"))
+    plain = fields.strip_accents(F.col("texto"))
+    out = pairing.load_documents(documents, rows.withColumn("texto", text), scores, "doc", ["key"], lambda: {k: F.contains(plain, F.lit(k)) for k in ("NOME", "FILIACAO")}, lambda: fields.is_label(F.regexp_replace("texto", ":", " ")))
+    return out.select("doc", "rotation", "n_boxes", F.size("fields").cast("long").alias("n_fields"), F.size(F.filter("fields", lambda f: f["tipo"] == "data")).cast("long").alias("n_dates"))

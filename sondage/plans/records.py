@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import privacy
-
-from ..operators import anomaly, grouping, merge, pairing
+from .. import schemas, storage
+from ..operators import anomaly, grouping, ingest, merge, pairing
+from ..sources import sinks
 from ..sources.files import table
 from ..streaming import runs
 from . import views
@@ -138,6 +139,45 @@ def project_sample(spark, d):
     return rows.select(F.col("key").alias("id"), label.alias("rotulo"), "tecnica", "gerador", source.alias("fonte_dados"), doc.alias("documento_id"), F.when(source == "reais", privacy.sanitize_file_name(name, doc)).otherwise(name).alias("arquivo"))
 
 
+def _manifests(rows, version: int):
+    """The samples of the view L as manifests, of which a later version has another difficulty."""
+    k = F.col("key")
+    params = F.concat(F.lit('{"modo": "alinhado", "texto_original": "nome", "fonte_rosto": "img/'), k, F.lit('.jpg", "lista": [1, {"p": "a/b"}]}'))
+    values = {
+        "id": k, "rotulo": F.when(F.col("y") == 0, "legitimo"), "tecnica": F.col("tecnica"), "gerador": F.col("gerador"), "dificuldade": F.lit(str(version)),
+        "documento_origem": F.concat(F.lit("docs/"), F.col("documento_id").cast("string"), F.lit(".jpg")), "arquivo_gerado": F.concat(k, F.lit("__edicao.png")),
+        "parametros": F.when(F.col("documento_id") % 3 != 0, F.parse_json(params)), "timestamp": F.lit(f"2024-01-0{version}"), "fonte_dados": F.when(F.col("fonte").isin("ASIA", "EUROPE"), "reais").otherwise("bid"),
+    }
+    kinds = dict(c.split(" ", 1) for c in schemas.MANIFEST.split(", ")) | {"fonte_dados": "string"}
+    return rows.select(*[values.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+
+
+_REAL = "fonte IN ('ASIA', 'EUROPE')"
+_DOC = "substr(sha256('docs/' || documento_id || '.jpg'), 1, 16)"
+
+
+@query("ingest_samples", f"""WITH {L} SELECT key AS id, CASE WHEN y = 1 THEN 'fraude' ELSE 'legitimo' END AS rotulo, tecnica, gerador, CASE WHEN documento_id % 2 = 0 THEN '2' ELSE '1' END AS dificuldade, CASE WHEN {_REAL} THEN 'reais' ELSE 'bid' END AS fonte_dados,
+  {_DOC} AS documento_id, CASE WHEN {_REAL} THEN {_DOC} || '__edicao.png' ELSE key || '__edicao.png' END AS arquivo, CASE WHEN documento_id % 3 <> 0 THEN 'alinhado' END AS modo,
+  CASE WHEN documento_id % 3 <> 0 AND NOT ({_REAL}) THEN 'nome' END AS texto_original, CASE WHEN documento_id % 3 <> 0 THEN CASE WHEN {_REAL} THEN substr(sha256('img/' || key || '.jpg'), 1, 16) ELSE 'img/' || key || '.jpg' END END AS fonte_rosto,
+  CASE WHEN documento_id % 3 <> 0 THEN CASE WHEN {_REAL} THEN substr(sha256('a/b'), 1, 16) ELSE 'a/b' END END AS fundo FROM L""")
+def ingest_samples(spark, d):
+    """A table is filled with the first version of all samples; a later version of every other document follows."""
+    rows, to = views.samples(spark, d), storage.new_folder(spark, "amostras")
+    ingest.ingest_manifests(_manifests(rows, 1), to)
+    ingest.ingest_manifests(_manifests(rows.where("documento_id % 2 = 0"), 2), to)
+    of = lambda path: F.variant_get("parametros", path, "string")
+    out = sinks.read_table(spark, to)
+    return out.select("id", "rotulo", "tecnica", "gerador", "dificuldade", "fonte_dados", "documento_id", "arquivo", of("$.modo").alias("modo"), of("$.texto_original").alias("texto_original"), of("$.fonte_rosto").alias("fonte_rosto"), of("$.lista[1].p").alias("fundo"))
+
+
+@query("ingest_events", f"WITH {V} SELECT 'metricas' AS destino, count(DISTINCT (run, epoca)) AS n_inserted FROM V WHERE tipo = 'epoca' UNION ALL SELECT 'avaliacoes', count(DISTINCT (run, ts)) FROM V WHERE tipo = 'estado_gerador'")
+def ingest_events(spark, d):
+    rows = views.run_events(spark, d).select(F.col("run").cast("string").alias("run_id"), F.unix_micros("ts").alias("ts"), "tipo", "epoca", F.col("value").alias("loss_treino"))
+    folder = storage.new_folder(spark, "eventos")
+    epochs, states = ingest.ingest_events(rows, f"{folder}/metricas", f"{folder}/avaliacoes")
+    return epochs.select(F.lit("metricas").alias("destino"), "n_inserted").unionAll(states.select(F.lit("avaliacoes"), "n_inserted"))
+
+
 def _norm(v: str) -> str:
     return f"list_transform({v}, lambda x: x / greatest(sqrt(list_inner_product({v}, {v})), 1e-12))"
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..storage import new_folder
+from .. import storage
 
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder in the shared folder."""
-    return new_folder(spark, "stream")
+    return storage.new_folder(spark, "stream")
 
 
 def read(spark: SparkSession, path: str, like: DataFrame | None = None, files_per_trigger: int = 16) -> DataFrame:
@@ -44,6 +44,23 @@ def ingest(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.parquet(to).drop("batch")
 
 
+def snapshot_and_tail(stream: DataFrame, folder: str) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """All events there are now, and a function that gives those which have come since it was
+    last called. The checkpoint in `folder` keeps the place: nothing is told twice or left out,
+    and nothing is dropped for a slow reader."""
+    spark, to = stream.sparkSession, f"{folder}/events"
+    history = ingest(stream, folder)
+    told = [n for n in storage.children(spark, to) if n.startswith("batch=")]
+
+    def more() -> DataFrame:
+        ingest(stream, folder)
+        new = [n for n in storage.children(spark, to) if n.startswith("batch=") and n not in told]
+        told.extend(new)
+        return spark.read.schema(history.schema).parquet(*[f"{to}/{n}" for n in new]) if new else history.limit(0)
+
+    return history, more
+
+
 _OUT = "run bigint, starts bigint, n_epochs bigint, epochs array<int>"
 
 
@@ -63,7 +80,9 @@ def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
 def fold_runs(stream: DataFrame, folder: str) -> DataFrame:
     """State of each run after all events there are: run, starts, n_epochs, epochs since the last start.
 
-    Events of a batch are taken in the order of (ts, event_id), batches in that of arrival.
+    Events of a batch are taken in the order of (ts, event_id), batches in that of arrival, so the
+    result is that of grouping.run_state as long as no batch brings events older than an
+    earlier one's. A run's state holds its epochs since its last start, no more.
     """
     used = stream.where(F.col("tipo").isin("inicio", "epoca"))
     states = used.groupBy("run").applyInPandasWithState(_fold, _OUT, "starts bigint, epochs array<int>", "update", GroupStateTimeout.NoTimeout)
@@ -79,15 +98,20 @@ def fold_runs(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def tumbling(stream: DataFrame, folder: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """start, event_type, n: events by window and type. Windows still open at the end are there too."""
+    """start, event_type, n: events by window and type. Windows still open at the end are there too.
+
+    Each batch writes only the counts that it changes; the last of each window is its count. Windows
+    that the watermark has passed leave the state.
+    """
     counts = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
     to = f"{folder}/windows"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("window.start").alias("start"), "event_type", "n").write.mode("overwrite").parquet(to)
+        batch.select(F.col("window.start").alias("start"), "event_type", "n").write.mode("overwrite").parquet(f"{to}/batch={number}")
 
-    drain(counts, "complete", folder, put)
-    return stream.sparkSession.read.schema("start timestamp, event_type string, n bigint").parquet(to)
+    drain(counts, "update", folder, put)
+    rows = stream.sparkSession.read.schema("start timestamp, event_type string, n bigint, batch bigint").parquet(to)
+    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 def once(stream: DataFrame, ident: str, late: str = "1 day") -> DataFrame:
