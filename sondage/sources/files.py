@@ -40,12 +40,19 @@ def events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(schemas.EVENT).option("mode", "DROPMALFORMED").json(path)
 
 
+def _windows() -> tuple[str, str]:
+    """Characters of Latin-1 that Windows-1252 has other characters for, and those."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, c in pairs if c), "".join(c for _, c in pairs)
+
+
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8 without a mark at its start, else Windows-1252, else (where that has no
     character for a byte) Latin-1, which has one for every byte."""
     utf8 = F.try_validate_utf8(content.cast("string"))
     gap = F.hex(content).rlike("^(?:..)*(?:81|8D|8F|90|9D)")
-    return F.when(utf8.isNotNull(), F.regexp_replace(utf8, "^\ufeff", "")).when(~gap, F.decode(content, "windows-1252")).otherwise(F.decode(content, "ISO-8859-1"))
+    latin = F.decode(content, "ISO-8859-1")
+    return F.when(utf8.isNotNull(), F.regexp_replace(utf8, "^\ufeff", "")).when(gap, latin).otherwise(F.translate(latin, *_windows()))
 
 
 def boxes_of(spark: SparkSession, path: str) -> DataFrame:
