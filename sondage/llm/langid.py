@@ -4,7 +4,7 @@ Texts become vectors of hashed letter n-grams (bytes 2 and 3 long within words a
 their edges), weighted by counts and a smoothed inverse document frequency and scaled to unit
 length. Each language of the labelled sample gets several centroids by spherical
 k-means. A text takes the language of its nearest centroid by cosine; its score is that
-cosine. A text too far from every centroid for its length is marked as rejected.
+cosine. The smoothing was chosen on a split of training rows alone. A text too far from every centroid for its length is marked as rejected.
 
 The model is fitted on a bounded sample (about `per_language` labelled rows of each
 language, by a hash of doc_id) on the driver and broadcast: a few hundred KB, set by the
@@ -31,9 +31,10 @@ _FOLD[:0x80][~np.isin(np.arange(0x80), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 
 
 def vectors(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of hashed n-grams (texts x size), and the number of n-grams of each text."""
-    begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    raw = _FOLD[np.frombuffer(b" ".join(texts) + b"   ", dtype=np.uint8)]
+    """Counts of hashed n-grams (texts x size), and the number of n-grams of each text. Each text
+    stands between spaces of its own, so that its n-grams don't depend on the texts beside it."""
+    begin = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))
+    raw = _FOLD[np.frombuffer(b"".join(b" " + t + b" " for t in texts) + b"  ", dtype=np.uint8)]
     upper = np.flatnonzero((raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)) + 1
     raw[upper] += 0x20  # capital letters of Latin-1
     a, b, c = (raw[k : k + begin[-1]].astype(np.uint32) for k in range(3))
@@ -99,7 +100,7 @@ def _length_class(total: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(total, 1)).astype(np.int64), 15)
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, max_rows: int = 8000, clusters: int = 4, size: int = 4096) -> Model:
+def fit(labelled: DataFrame, per_language: int = 1000, max_rows: int = 8000, clusters: int = 4, size: int = 4096, smooth: float = 2.0) -> Model:
     """A model from the columns doc_id, text and lang; rows with a null in any of them and
     texts without letters teach nothing. About `per_language` rows of a language are used, and
     about `max_rows` in all."""
@@ -109,12 +110,12 @@ def fit(labelled: DataFrame, per_language: int = 1000, max_rows: int = 8000, clu
         return Model([], np.zeros(size, np.float32), np.zeros((0, size), np.float32), np.zeros(0, np.int64), np.zeros(16))
     per_language = min(per_language, max_rows / len(counts))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     sample = rows.where(place < share[F.col("lang")]).select("lang", "text").toArrow()
     names, texts = sample["lang"].to_pylist(), T.byte_list(sample["text"])
     counts_of, totals = zip(*(vectors(texts[i:j], size) for i, j in T.spans(texts, 1 << 20)), strict=True)
     x, total = np.concatenate(counts_of), np.concatenate(totals)
-    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(2)  # smoothed: a rare passage in another language must not outweigh the rest
+    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(smooth)  # smoothed: a rare passage in another language must not outweigh the rest
     x = _unit(x * weights)
     languages = sorted(set(names))
     label = np.array([languages.index(n) for n in names])
@@ -131,7 +132,9 @@ def fit(labelled: DataFrame, per_language: int = 1000, max_rows: int = 8000, clu
 
 def predict(documents: DataFrame, model: Model, block_bytes: int = 1 << 20) -> DataFrame:
     """`documents` with lang_pred (`und` for a null text or one without a letter), lang_score
-    (0 to 1) and lang_rejected. Columns of these names are replaced, others pass through."""
+    (0 to 1) and lang_rejected. A very long text is read as a whole; of equally near centroids the
+    first language in order wins. Rows are independent: repeated rows give equal results, and an
+    empty table gives no rows. Columns of these names are replaced, others pass through."""
     T.small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     out = documents.drop("lang_pred", "lang_score", "lang_rejected")

@@ -213,7 +213,9 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_r
 
 def score(documents: DataFrame, lexicon: Lexicon, block_bytes: int = 1 << 20) -> DataFrame:
     """`documents` with `toxicity` (0 to 1). Null and empty texts have no hits and get the
-    score of such texts. A column of that name is replaced, others pass through."""
+    score of such texts. A very long text is read as a whole. Rows are independent: repeated rows
+    give equal results, and an empty table gives no rows. A column of that name is replaced,
+    others pass through."""
     T.small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
     out = documents.drop("toxicity").withColumn("toxicity", F.lit(None).cast("double"))

@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sondage.llm import bpe, decontam, simhash, substring_dedup, text, token_pack, toxicity
+from sondage.llm import bpe, decontam, langid, simhash, substring_dedup, text, token_pack, toxicity
 
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 texts = st.lists(st.text(alphabet="aB 1\n\té\x0b\x85Å.", max_size=40), min_size=1, max_size=8)
@@ -131,3 +131,24 @@ def test_encoder_is_the_library():
         at = np.concatenate(([0], np.cumsum(counts)))
         for d, a, b in zip(own, at, at[1:], strict=False):
             assert ids[a:b].tolist() == library.encode(d, add_special_tokens=False).ids, d
+
+
+def test_encoder_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    library, coder = Tokenizer.from_file(bpe.default_path()), bpe.Encoder(bpe.Vocabulary(bpe.default_path()))
+    points = [c for c in range(0x20, 0x33500) if not 0xD800 <= c < 0xE000] + [*range(0x3CFF0, 0x3D010), *range(0x3FC30, 0x3FC50), *range(0xE0000, 0xE0200)]
+    for low in range(0, len(points), 20000):
+        own = [f"a{chr(c)}.b" for c in points[low : low + 20000]]
+        ids, counts = coder.encode(own)
+        at = np.concatenate(([0], np.cumsum(counts)))
+        for d, e, a, b in zip(own, library.encode_batch(own, add_special_tokens=False), at, at[1:], strict=False):
+            assert ids[a:b].tolist() == e.ids, d.encode("unicode_escape")
+
+
+def test_ngrams_do_not_depend_on_neighbours():
+    texts = [b"one two", b"", b"x", "\u00c9t\u00e9 und".encode(), b"last"]
+    together, n = langid.vectors(texts, 1024)
+    for i, t in enumerate(texts):
+        alone, m = langid.vectors([t], 1024)
+        assert (alone[0] == together[i]).all() and m[0] == n[i]
