@@ -300,7 +300,7 @@ def _sets(documents: DataFrame, shingle: int, keys: int, carry: list[str], block
                     sizes.append(len(own))
                     spread.append(T.mix(own.astype(U) + U(1)))
                     whole.append(int(spread[-1].sum(dtype=U).view(np.int64)) if len(own) else 0)
-                    smallest.append(own[:keys].astype(np.int64).tolist())
+                    smallest.append(own[: 2 * keys].astype(np.int64).tolist())
                     sets.append(own.tobytes())
                 if spread:
                     prints.append(majority(np.concatenate(spread), np.array(sizes[first:], dtype=np.int64)))
@@ -315,7 +315,51 @@ def _sets(documents: DataFrame, shingle: int, keys: int, carry: list[str], block
     return rows.mapInArrow(T.lean(run), f"_ident {kind}, fingerprint long, n long, whole long, keys array<long>, own binary")
 
 
-def near_duplicates(documents: DataFrame, carry: list[str] | None = None, shingle: int = 5, similarity: float = 0.8, radius: int = 24, keys: int = 6, rows: int = 8_000, set_bytes: int = 16 << 20) -> DataFrame:
+def _cells(bucket: list[str], kind: int, split: int) -> Column:
+    """The buckets that a node of such a bucket goes to. A bucket of weight over `split` is
+    parted by a hash of node into parts of half of `split`, and any two parts meet in one."""
+    part = F.pmod(F.xxhash64("node", *bucket), F.col("parts"))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != part)
+    pairs = F.transform(other, lambda o: F.xxhash64(F.lit(kind + 1), *bucket, F.least(o, part), F.greatest(o, part)))
+    return F.when(F.col("weight") > split, pairs).otherwise(F.array(F.xxhash64(F.lit(kind), *bucket)))
+
+
+def _deal(prints: DataFrame, keys: int, split: int) -> DataFrame:
+    """node and bucket, so that nodes which share one of their `keys` smallest hashes meet in a bucket,
+    and no bucket has much more than the weight `split` (a node weighs one, and one more for each
+    thousand shingles).
+
+    The nodes of a large bucket are dealt again by a second shared hash, out of twice as many
+    smallest ones: similar sets share many, others few. Where that would move more rows than
+    dealing the bucket in parts of which any two meet, as for thousands of texts that are all
+    near to each other, the bucket is dealt in such parts. Neither drops a node.
+    """
+
+    def weigh(rows: DataFrame, *by: str) -> DataFrame:
+        met = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight")).where("n > 1")
+        return met.withColumn("parts", F.least(F.ceil(2 * F.col("weight") / split), F.col("n")))
+
+    moved = F.sum(F.col("weight") * F.when(F.col("weight") > split, F.col("parts") - 1).otherwise(1))
+    pairs = prints.select("node", (1 + F.floor(F.col("n") / 1000)).alias("w"), F.explode(F.slice("keys", 1, keys)).alias("x")).distinct()
+    met = checkpoint(pairs.join(weigh(pairs, "x"), "x"))
+    large = met.where(F.col("weight") > split)
+    if large.isEmpty():
+        return met.select("node", F.xxhash64(F.lit(0), "x").alias("bucket"))
+    others = prints.select("node", "keys").distinct()
+    seconds = large.select("node", "w", "x").join(others, "node").select("node", "w", "x", F.explode("keys").alias("y")).where("x != y")
+    second = checkpoint(weigh(seconds, "x", "y"))
+    cost = large.select("x", "weight", "parts").distinct().groupBy("x").agg(moved.alias("plain"))
+    dense = second.groupBy("x").agg(moved.alias("finer")).join(cost, "x").where("finer >= plain").select("x")
+    fine = seconds.join(dense, "x", "left_anti").join(second, ["x", "y"])
+    parts = [
+        met.where(F.col("weight") <= split).select("node", F.array(F.xxhash64(F.lit(0), "x")).alias("to")),
+        large.join(dense, "x", "left_semi").select("node", _cells(["x"], 1, split).alias("to")),
+        fine.select("node", _cells(["x", "y"], 3, split).alias("to")),
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).select("node", F.explode("to").alias("bucket"))
+
+
+def near_duplicates(documents: DataFrame, carry: list[str] | None = None, shingle: int = 5, similarity: float = 0.8, radius: int = 24, keys: int = 6, split: int = 2_000, rows: int = 8_000, set_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, the columns `carry`, component_id (smallest doc_id reachable) and is_first of each row,
     by shingle sets. is_first holds for the rows with the smallest doc_id and then the smallest
     carried values of a group; a null doc_id stands behind all others.
@@ -323,7 +367,8 @@ def near_duplicates(documents: DataFrame, carry: list[str] | None = None, shingl
     Rows with equal shingle sets are one node. Different nodes are compared when they share
     one of their `keys` smallest shingle hashes and the Gray-order index finds their
     fingerprints within `radius` bits; they link when the similarity of their
-    whole sets, of any size, is `similarity` or more. Fingerprints
+    whole sets, of any size, is `similarity` or more. Buckets of more than `split` nodes are
+    dealt over many tasks (see `_deal`). Fingerprints
     are of the sets: repeated shingles count once. README has what keys and radius lose. Texts with
     fewer words than `shingle` are one shingle; null and wordless texts are equal to each
     other. A very long text is read as a whole; its set takes four bytes a shingle. A null doc_id
@@ -332,10 +377,8 @@ def near_duplicates(documents: DataFrame, carry: list[str] | None = None, shingl
     """
     carry = carry or []
     prints = checkpoint(_sets(documents, shingle, keys, carry).withColumn("node", F.xxhash64("n", "whole")))
-    pairs = prints.select("node", F.explode("keys").alias("bucket")).distinct()
-    shared = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     # sets travel only to buckets where they meet another
-    wanted = pairs.join(shared, "bucket", "left_semi").groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    wanted = _deal(prints, keys, split).groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
     nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("n").alias("n"), F.first("own").alias("own"))
     least = prints.groupBy("node").agg(F.min("_ident").alias("least"))
 
