@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, conversation_trie, decontam, importance, langid, licenses, secret_scan, simhash, substring_dedup, token_pack, toxicity
+from . import ann, bpe, conversation_trie, decontam, importance, langid, licenses, quality, secret_scan, simhash, substring_dedup, token_pack, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ann": ann.op9_ann,
     "op10_licenses": licenses.op10_licenses,
     "op11_trie": conversation_trie.op11_trie,
+    "op12_quality": quality.op12_quality,
     "op13_importance": importance.op13_importance,
 }
 ORACLES = {"op1_substring_dedup": substring_dedup.ORACLE, "op6_decontam": decontam.ORACLE, "op10_licenses": licenses.ORACLE, "op11_trie": conversation_trie.ORACLE, "op13_importance": importance.ORACLE}
