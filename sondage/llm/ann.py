@@ -341,12 +341,13 @@ class _Search:
         return both.repartition("block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(run, _RESULT)
 
     def answers(self) -> DataFrame:
-        """Answers of all blocks that a query demands."""
-        first = self.found(checkpoint(self.routed(self.asked.withColumn("bound", F.lit(float("-inf"))), False)))
+        """Answers of all blocks that a query demands. The second round's test may pass over points that
+        gave the bound, so those of the first round are answers too."""
+        first = checkpoint(self.found(checkpoint(self.routed(self.asked.withColumn("bound", F.lit(float("-inf"))), False))))
         per = first.groupBy("query_id").agg(F.min("score").alias("_least"), F.count("vec_id").alias("_n"))
         bound = F.when(F.col("_n") >= self.k, F.col("_least")).otherwise(float("-inf"))
         bounded = self.asked.join(per, self.asked["vec_id"] == per["query_id"], "left").withColumn("bound", F.coalesce(bound, F.lit(float("-inf"))))
-        return self.found(checkpoint(self.routed(bounded, True)))
+        return self.found(checkpoint(self.routed(bounded, True))).withColumn("round", F.lit(2)).unionByName(first.withColumn("round", F.lit(1)))
 
 
 def _clean(frame: DataFrame) -> DataFrame:
@@ -365,13 +366,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, m: int = 24, su
     Ties go to the smaller vec_id. With fewer than k candidates all come back. Other columns are
     left out, whatever their names; an empty table gives no rows.
 
+    Each query gets k answers, or all candidates if they are fewer: those of its nearest cell count with the rest.
     The upper tree is split by about `sample_rows` rows and has at most `most_cells` cells, so that
     its boxes (broadcast) take some 25 MB at most; every row is in a cell.
     """
     search = _Search(vectors, queries, k, m, sure, leaf, data_rows, query_rows, sample_rows, most_cells)
     if not search.rows:
         return search.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ranked = search.answers().where("vec_id is not null").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = search.answers().where("vec_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a point may be found twice
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -379,7 +382,7 @@ def verified_share(vectors: DataFrame, queries: DataFrame, **options) -> float:
     """Share of all pairs of a query and a vector whose inner product nearest() computes in its second round."""
     defaults = dict(k=20, m=24, sure=0.9, leaf=64, data_rows=65536, query_rows=262144, sample_rows=32768, most_cells=65536)
     search = _Search(vectors, queries, **defaults | options)
-    per = search.answers().groupBy("query_id", "block").agg(F.max("verified").alias("v"))
+    per = search.answers().where("round = 2").groupBy("query_id", "block").agg(F.max("verified").alias("v"))
     return (per.agg(F.sum("v")).first()[0] or 0) / max(1, search.rows * search.asked.count())
 
 
