@@ -36,7 +36,7 @@ def item_words(text: str | None) -> list[bytes]:
 class Automaton:
     """Suffix automaton of several word sequences. State 0 is the empty match."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], n: int):
         self.n = n
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -166,11 +166,12 @@ class Automaton:
 
 
 def automata(items: DataFrame, n: int, max_bytes: int) -> Iterator[Automaton]:
-    """One automaton for each `max_bytes` of item text, one after another. A longer item is cut into
+    """One automaton for each `max_bytes` of item text, one after another; an empty one if there is no word at all, so
+    that documents are scanned in any case. A longer item is cut into
     pieces that share n - 1 words, so that each of its windows is in one of them."""
-    part: list[tuple[str, list[bytes]]] = []
-    size = 0
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").toLocalIterator():
+    part: list[tuple[str | None, list[bytes]]] = []
+    size, made = 0, False
+    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         words, at = item_words(r["text"]), 0
         while at < len(words) and (at == 0 or len(words) - at >= n):
             end, own = at, 0
@@ -179,11 +180,11 @@ def automata(items: DataFrame, n: int, max_bytes: int) -> Iterator[Automaton]:
                 end += 1
             if part and size + own > max_bytes:
                 yield Automaton(part, n)
-                part, size = [], 0
+                part, size, made = [], 0, True
             part.append((r["item_id"], words[at:end]))
             size += own
             at = end - n + 1 if end < len(words) else end
-    if part:
+    if part or not made:
         yield Automaton(part, n)
 
 
@@ -217,8 +218,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int
     (array of item ids as strings, sorted).
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A null or
-    wordless text has zero words and no hits. Items without words or without id take no
-    part; repeated items count under each id. A very long text is read as a whole, in time linear
+    wordless text has zero words and no hits. Items without words have no windows, so an empty or wordless benchmark hits
+    nothing; the windows of an item without id count, but it is not named. Repeated items count under each id. A very long text is read as a whole, in time linear
     in its length. Columns of the input with the added names are replaced; repeated rows give
     repeated rows; an empty table gives no rows.
     """
@@ -241,7 +242,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int
                 for i, (count, own, names) in enumerate(_scan(shared.value, texts, block_bytes)):
                     counts.append(count)
                     marked[i] = np.union1d(own, marked[i]).astype(np.int32) if marked[i] else own.astype(np.int32)
-                    items[i] = sorted(names.union(items[i] or ()))
+                    items[i] = sorted(names.union(items[i] or ()), key=lambda x: (x is None, x))
                 columns = dict(zip(b.schema.names, b.columns, strict=True))
                 columns |= {"n_words": pa.array(counts, pa.int64()), "hit_words": pa.array(marked, pa.list_(pa.int32())), "hit_items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -255,7 +256,9 @@ def remove_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_cov
 
     A document with more than `max_coverage` of its words hit goes as a whole; in any
     other, hit words and the separators after them are cut out of the text. Documents
-    without hits come back unchanged, null texts included.
+    without hits come back unchanged, null texts included, and so do all with a benchmark that is empty or has no words.
+    A very long text is read as a whole; repeated rows give repeated rows; an empty table gives no rows. Columns that
+    share names with those of hits() keep their values.
     """
     columns = documents.columns
     rest = F.struct(F.lit(0).alias("text"), *[F.col(c) for c in columns if c != "text"]).alias("_row")
