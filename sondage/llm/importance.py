@@ -32,7 +32,7 @@ def words(text: Column) -> Column:
 
 
 def featured(frame: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """`frame` with _own (words) and _buckets: the bucket of each run of one to three words, repeats included."""
+    """`frame` (with text) with _own (words) and _buckets: the bucket of each run of one to three words, repeats included."""
     number = lambda x: F.crc32(x) % buckets
     joined = lambda a, b: F.concat(a, F.lit(" "), b)
     less = lambda k: F.greatest(F.size("_own") - k, F.lit(0))
@@ -70,17 +70,19 @@ def scored(documents: DataFrame, gain: list[int], seed: int = 42) -> DataFrame:
     A null text is an empty one: no words, no features, weight 0. A null doc_id counts as empty in the
     random number's text `<seed>:<doc_id>`. A very long text is read as a whole, in time linear in its
     length. Rows are independent: repeated rows give equal results. Columns of these names are replaced, others
-    pass through; an empty table gives no rows.
+    pass through whatever their names; an empty table gives no rows.
     """
+    added_names = ["n_words", "n_features", "weight", "score"]
+    columns = [c for c in documents.columns if c not in added_names]
     buckets = len(gain)
     literal = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<bigint>")  # Catalyst folds it to one array literal
     added = F.aggregate("_buckets", F.lit(0).cast("long"), lambda total, b: total + F.element_at(literal, (b + 1).cast("int")))
     id_text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(id_text, 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / F.lit(4294967296.0)))).cast("long")
-    out = featured(documents.drop("n_words", "n_features", "weight", "score"), buckets)
+    out = featured(documents.select("doc_id", "text", F.struct(*columns).alias("_row")), buckets)
     out = out.withColumns({"n_words": F.size("_own").cast("long"), "n_features": F.size("_buckets").cast("long"), "weight": added})
-    return out.withColumn("score", F.col("weight") + noise).drop("_own", "_buckets")
+    return out.withColumn("score", F.col("weight") + noise).select(*[F.col("_row")[c].alias(c) for c in columns], *added_names)
 
 
 def draw(rows: DataFrame, percent: int = 5, least_words: int = 20) -> DataFrame:
@@ -88,10 +90,12 @@ def draw(rows: DataFrame, percent: int = 5, least_words: int = 20) -> DataFrame:
     scores of the N rows with at least `least_words` words, ties to the smaller doc_id (null last); null for all others.
 
     The rows are written to the shared folder first, so select the columns that are wanted before. Rows
-    that are equal in score and doc_id rank in an order of their own. A column rank is replaced.
+    that are equal in score and doc_id rank in an order of their own. A column rank is replaced, others pass through
+    whatever their names; an empty table gives no rows.
     """
     spark = rows.sparkSession
-    rows = checkpoint(rows.drop("rank"))
+    columns = [c for c in rows.columns if c != "rank"]
+    rows = checkpoint(rows.select("doc_id", "n_words", "score", F.struct(*columns).alias("_row")))
     fit = F.coalesce(F.col("n_words") >= least_words, F.lit(False))
     order = [F.desc("score"), F.asc_nulls_last("doc_id")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -106,8 +110,9 @@ def draw(rows: DataFrame, percent: int = 5, least_words: int = 20) -> DataFrame:
     ranked = placed.join(F.broadcast(offsets), "_range")
     place = F.col("_before") + F.col("_place") + 1
     drawn = F.floor(F.col("_all") * percent / 100)
-    ranked = ranked.select(*rows.columns, F.when(place <= drawn, place).cast("long").alias("rank"))
-    return ranked.unionByName(rows.where(~fit).withColumn("rank", F.lit(None).cast("long")))
+    ranked = ranked.select("_row", F.when(place <= drawn, place).cast("long").alias("rank"))
+    both = ranked.unionByName(rows.where(~fit).select("_row", F.lit(None).cast("long").alias("rank")))
+    return both.select(*[F.col("_row")[c].alias(c) for c in columns], "rank")
 
 
 def resample(documents: DataFrame, target: DataFrame, percent: int = 5, least_words: int = 20, buckets: int = BUCKETS, seed: int = 42) -> DataFrame:

@@ -38,15 +38,16 @@ def statistics(documents: DataFrame) -> DataFrame:
     occur twice or more; windows are compared by a chain of 64-bit hashes), n_distinct (different words), n_upper
     (capitals of Latin letters) and n_stops (of `.,;:!?`). A null text counts as empty. A very long text is
     read as a whole, sorted in n log n. Rows are independent: repeated rows give equal counts; an empty
-    table gives no rows. Columns of these names are replaced, others pass through.
+    table gives no rows. Columns of these names are replaced, others pass through whatever their names.
     """
+    columns = [c for c in documents.columns if c not in COUNTS]
     text = F.coalesce(F.col("text"), F.lit(""))
     found = lambda kind: (F.size(F.split(text, kind)) - 1).cast("long")  # noqa: E731  single characters of a kind
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     less = F.greatest(F.size("_w") - 2, F.lit(0))
     two = F.zip_with(F.slice("_w", 1, less), F.slice("_w", 2, less), lambda a, b: F.xxhash64(a, b))
     three = F.zip_with(two, F.slice("_w", 3, less), lambda h, c: F.xxhash64(h, c))
-    out = documents.drop(*COUNTS).withColumns({"_w": F.array_remove(F.split(text, _SPACE), ""), "_lines": lines})
+    out = documents.select("text", F.struct(*columns).alias("_row")).withColumns({"_w": F.array_remove(F.split(text, _SPACE), ""), "_lines": lines})
     out = out.withColumn("_h", three)
     # windows in the order of their hashes: those with an equal neighbour occur twice or more
     again = F.size(F.array_distinct("_h")) < F.size("_h")
@@ -67,7 +68,7 @@ def statistics(documents: DataFrame) -> DataFrame:
         "n_upper": found("[A-ZÀ-ÖØ-Þ]"),
         "n_stops": found("[.,;:!?]"),
     }
-    return out.withColumns({k: c.cast("long") for k, c in counts.items()}).drop("_w", "_lines", "_h", "_o", "_at")
+    return out.select(*[F.col("_row")[c].alias(c) for c in columns], *[c.cast("long").alias(k) for k, c in counts.items()])
 
 
 def base_failed(least_words: int = 50, most_repeated: int = 50) -> Column:
@@ -238,10 +239,11 @@ def judged(counted: DataFrame, least_rows: int = 200, alpha: float = 0.75, sure:
     `least_rows` rows has no estimate: its distance is null and it is kept. Null and empty languages
     and sources are values of their own. Equal rows get equal verdicts. The rows are written to the shared folder first,
     so select the columns that are wanted before. Columns of the added names are replaced, others pass
-    through; an empty table gives no rows.
+    through whatever their names; an empty table gives no rows.
     """
-    rows = counted.drop("base_failed", "distance", "kept").withColumn("base_failed", base_failed(**limits))
-    rows = checkpoint(rows.withColumns(dict(zip(X, _vector(), strict=True))))
+    columns = [c for c in counted.columns if c not in ("base_failed", "distance", "kept")]
+    rows = counted.select("lang", "source", F.struct(*columns).alias("_row"), base_failed(**limits).alias("base_failed"), *[v.alias(x) for x, v in zip(X, _vector(), strict=True)])
+    rows = checkpoint(rows)
     good, count = _grouped(rows.where(~F.col("base_failed")), least_rows)
     good = checkpoint(good)
     found = estimates(good.select("_g", *X), count, alpha, steps).where(F.col("_n") >= least_rows)
@@ -249,9 +251,10 @@ def judged(counted: DataFrame, least_rows: int = 200, alpha: float = 0.75, sure:
     met = good.join(found, "_g", "left").withColumn("distance", _distance() / F.col("scale"))
     limit = quantile(sure, P)
     out = met.withColumn("kept", F.coalesce(F.col("distance") <= limit, F.lit(True)))
-    columns = [c for c in rows.columns if c not in X]
     failed = rows.where("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
-    return out.select(*columns, "distance", "kept").unionByName(failed.select(*columns, "distance", "kept"))
+    added = ["base_failed", "distance", "kept"]
+    both = out.select("_row", *added).unionByName(failed.select("_row", *added))
+    return both.select(*[F.col("_row")[c].alias(c) for c in columns], *added)
 
 
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
