@@ -23,15 +23,20 @@ def _text_changed(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labelled documents of its
-    input; null texts, texts without letters and texts far from every language go."""
-    found = langid.predict(docs.select(*COLUMNS), langid.fit(docs))
-    return found.where(~F.col("lang_rejected")).select(*COLUMNS)
+    input; null texts, texts without letters and texts far from every language go. Where no labelled
+    text has a letter nothing can be learned, and every document stays. A very long text is read as a whole;
+    repeated rows share a verdict; an empty table gives an empty one; columns beyond those of documents go."""
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs.select(*COLUMNS)
+    return langid.predict(docs.select(*COLUMNS), model).where(~F.col("lang_rejected")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or
     more): the one with the smallest doc_id. Rows are told apart by all their columns, so rows
-    that share a doc_id stay or go on their own; of rows that are equal in all columns one stays."""
+    that share a doc_id stay or go on their own; of rows that are equal in all columns one stays. Null, empty and
+    wordless texts are equal to each other. Very long texts are compared as a whole; an empty table gives an empty one."""
     keys = {"_k1": F.xxhash64(*COLUMNS), "_k2": F.xxhash64(F.lit(1), *reversed(COLUMNS))}
     keyed = docs.select(*COLUMNS).withColumns(keys)
     groups = simhash.near_duplicates(keyed, carry=list(keys))
@@ -44,19 +49,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of ten words of a benchmark item; a document of which more
-    than half is such passages goes."""
+    than half is such passages goes. Null texts and all documents of an empty or wordless benchmark stay as they are;
+    very long texts are read as a whole; an empty table gives an empty one."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return _text_changed(decontam.remove_hits(docs.select(*COLUMNS), items))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark. Null and empty texts stay; very long texts are read
+    as a whole; repeated rows are treated alike; an empty table gives an empty one."""
     trees = secret_scan.forest(secret_scan.train(secret_scan.labelled_findings(spark)))
     return _text_changed(secret_scan.redact(docs.select(*COLUMNS), trees))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids, how many they are, and the text decoded from them."""
+    """All documents with their token ids, how many they are, and the text decoded from them; a null text has none and
+    decodes to an empty one. Very long texts are encoded as a whole; an empty table gives an empty one."""
     return bpe.encode(docs.select(*COLUMNS), decoded="decoded").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
