@@ -146,6 +146,26 @@ def test_encoder_on_every_code_point():
             assert ids[a:b].tolist() == e.ids, d.encode("unicode_escape")
 
 
+def test_pairs_of_marks():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+    from tokenizers.normalizers import NFC
+
+    library = NFC().normalize_str
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))] + ["\U00011930", "\U00011935"]
+    for a in marks:
+        for base in "qe":
+            got = [bpe.nfc(base + a + b) for b in marks]
+            assert got == [library(base + a + b) for b in marks], hex(ord(a))
+    known, coder = Tokenizer.from_file(bpe.default_path()), bpe.Encoder(bpe.Vocabulary(bpe.default_path()))
+    own = [f"x{base}{a}{b}y" for base in "qe" for a in ("\u0301", "\u094d", "\u0323") for b in marks] + [f"x{b}{a}\u0327" for a in ("\u0301", "\u0345") for b in marks]
+    ids, counts = coder.encode(own)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for d, e, a, b in zip(own, known.encode_batch(own, add_special_tokens=False), at, at[1:], strict=False):
+        assert ids[a:b].tolist() == e.ids, d.encode("unicode_escape")
+
+
 def test_ngrams_do_not_depend_on_neighbours():
     texts = [b"one two", b"", b"x", "\u00c9t\u00e9 und".encode(), b"last"]
     together, n = langid.vectors(texts, 1024)
