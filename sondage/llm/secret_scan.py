@@ -1,9 +1,10 @@
 """Secret scans with a random forest against false positives, in DataFrame expressions alone.
 
-Candidates are long strings of key characters in their surroundings. Each gets features: its
+Candidates are long strings of key characters, values of any length that a name such as password or a URL's user
+gives away, and private key blocks, in their surroundings. Each gets features: its
 length, the changes between character classes along it, its entropy and shares of
-character classes, how much of it common word parts cover, whether it looks like a path or
-host name, and whether neighbouring words speak for or against a secret. A random forest
+character classes, how much of it common word parts cover, whether it looks like a path, a
+host name or a signed token, and whether neighbouring words speak for or against a secret. A random forest
 trained from labelled findings decides. The trained trees are written out as one SQL
 expression over the candidates of a row, so scanning is one narrow pass without joins,
 shuffles or Python; only candidates, never texts, reach the trees.
@@ -18,20 +19,37 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint
+
 _KEY = r"A-Za-z0-9_\-+/=.~"
 #: A name before a value that is a key itself, as in id:secret.
 _OWN = r"(?=[A-Za-z_\-]*[0-9])(?:gh[pousr]_)?[A-Za-z0-9]{16,}"
-#: A whole run of 16 key characters or more, with a digit or 16 capitals, and the name it is given to.
-_RUN = rf"(?<![{_KEY}])(?:(?!{_OWN}[=:])[A-Za-z0-9_\-]{{1,30}}[=:][\x22']?)?(?=[{_KEY}]*(?:[0-9]|[A-Z]{{16}}))[{_KEY}]{{16,}}"
-_CHEAP = rf"[{_KEY}]{{16}}"
+#: 16 key characters or more, with a digit or 16 capitals among them.
+_CORE = rf"(?=[{_KEY}]*(?:[0-9]|[A-Z]{{16}}))[{_KEY}]{{16,}}"
+#: User and password of a URL, up to the at sign.
+_URL = r"://[^\s:/@\x22'<>]{1,64}:[^\s/@\x22'<>]{3,128}(?=@)"
+#: A whole run of such key characters, and the name it is given to. It begins where no key character stands before it, or
+#: behind a percent escape.
+_RUN = rf"(?:(?<![{_KEY}%])|(?<=%[0-9A-Fa-f]{{2}}))(?:(?!{_OWN}[=:])[A-Za-z0-9_\-]{{1,30}}[=:](?!/{_URL[2:]})[\x22']?)?{_CORE}"
+#: A block of a private key, its dashes and all.
+_PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_SECRET = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_\-]?key|credential)s?"
+_TO = r"[\x22']?[ \t]{0,3}[=:][ \t]{0,3}[\x22']?"
+#: Any other value of four characters or more that is given to a name that speaks of a secret.
+_TOLD = rf"{_SECRET}{_TO}(?!{_CORE})[^\s\x22'<>,;&(){{}}\[\]|\\]{{4,128}}"
+_ANY = f"{_PEM}|{_URL}|{_TOLD}|{_RUN}"
+_CHEAP = rf"[{_KEY}]{{16}}|{_SECRET}{_TO}|://[^\s:/@]{{1,64}}:[^\s/@]{{3}}"
 _VALUE = rf"((?:[A-Za-z0-9_\-]{{1,30}}[=:])?[\x22']?(?=[{_KEY}]*[0-9A-Z])[{_KEY}]{{16,}})"
 
 #: Word parts of ordinary names, hosts, paths and code.
-PARTS = ["example", "localhost", "google", "github", "mail", "http", "www", "com", "org", "net", "html", "json", "index", "image", "static", "assets", "users", "local", "share", "python", "linux", "config", "version", "release", "update", "file", "path", "test", "data", "user", "name", "time", "date", "page", "item", "node", "server", "client", "public", "private", "default", "change", "your", "here", "pass", "word", "sample", "dummy", "placeholder", "the", "and", "ing", "tion", "ent", "lib", "usr", "src", "bin", "var", "tmp", "home"]
+PARTS = [
+    "1234567890", "12345678", "123456", "12345", "1234", "123", "qwerty", "letmein", "replace", "insert", "example", "localhost", "google", "github", "mail", "http", "www", "com", "org", "net", "html", "json", "index", "image", "static", "assets", "users", "local", "share", "python", "linux", "config", "version", "release", "update", "file", "path", "test", "data", "user", "name", "time", "date", "page", "item", "node", "server", "client", "public", "private", "default", "change", "your", "here", "pass", "word", "sample", "dummy", "placeholder", "the", "and", "ing", "tion", "ent", "lib", "usr", "src", "bin", "var", "tmp", "home",
+    "string", "null", "none", "true", "false", "required", "optional", "undefined", "hidden", "field", "value", "type", "input", "form", "login", "forgot", "reset", "confirm", "hash", "length", "must", "should", "enter", "new", "old", "wrong", "correct", "valid", "check", "empty", "secret", "token", "key", "number", "code", "service", "module", "system", "process", "request", "response", "handler", "manager", "factory", "model", "view", "table", "column", "error", "message", "content", "document", "window", "frame", "list", "map", "set", "get", "post", "put", "read", "write", "open", "close", "start", "stop", "first", "last", "all", "any", "not", "for", "from", "with", "this", "that", "are", "was", "has", "have", "over", "under", "long", "short", "small", "large", "red", "green", "blue", "one", "two", "three", "admin", "root", "guest", "master", "monkey", "welcome", "hello", "world", "env", "prod", "dev", "local", "main", "core", "app", "web", "api", "img", "photo", "map", "sheet", "pack", "age", "able", "ment", "ness", "ous", "ive", "er", "ed", "ly", "al", "re", "un", "in",
+]
 #: Neighbouring words for and against a secret.
 FOR = "token|secret|passw|passwd|pwd|api.?key|apikey|auth|bearer|credential|access.?key|private.?key|aws|akia|signature"
 AGAINST = "commit|sha1|sha256|md5|checksum|digest|uuid|guid|build|version|revision|order|invoice|example|sample|dummy|placeholder|isbn|tracking|mail|http|www"
-FEATURES = ["length", "changes", "entropy", "digits", "upper", "lower", "hexes", "covered", "path", "dots", "wanted", "unwanted", "assigned", "prefix", "repeats", "at_sign"]
+FEATURES = ["length", "changes", "entropy", "digits", "upper", "lower", "hexes", "covered", "path", "dots", "wanted", "unwanted", "assigned", "prefix", "repeats", "at_sign", "told", "form", "symbols", "consonants"]
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -47,18 +65,25 @@ _NAMED = r"^(?:[A-Za-z0-9_\-]{1,30}[=:])?[\x22']?"
 
 
 def _value(whole: Column) -> Column:
-    """A run without the name that it is given to, if 16 characters or more are left."""
-    return _once(F.regexp_replace(whole, _NAMED, ""), lambda v: F.when(F.length(v) >= 16, v).otherwise(whole))
+    """A match of _ANY without the name that it is given to; a run keeps its name if fewer than 16 characters would be left."""
+    bare = _once(F.regexp_replace(whole, _NAMED, ""), lambda v: F.when(F.length(v) >= 16, v).otherwise(whole))
+    block = F.startswith(whole, F.lit("-----BEGIN "))
+    url = F.startswith(whole, F.lit("://"))
+    told = whole.rlike(f"^{_SECRET}{_TO}")
+    return F.when(block, whole).when(url, F.regexp_extract(whole, r"^://[^:]*:(.*)$", 1)).when(told, F.regexp_replace(whole, f"^{_SECRET}{_TO}", "")).otherwise(bare)
 
 
 def _name(whole: Column) -> Column:
-    return F.regexp_extract(whole, r"^([A-Za-z0-9_\-]{1,30})[=:]", 1)
+    return F.regexp_extract(whole, r"^([A-Za-z0-9_\-]{1,30})[\x22']?[ \t]{0,3}[=:]", 1)
 
 
 def features(before: Column, word: Column, after: Column) -> Column:
     """Struct of value and FEATURES of a word with one candidate between the words around it."""
     whole = F.regexp_extract(word, _VALUE, 1)
-    return _features(_value(whole), before, _name(whole), word, word, after)
+    special = F.regexp_extract(word, f"({_PEM}|{_URL}|{_TOLD})", 1)
+    bare = F.regexp_replace(F.regexp_replace(word, r"^[\x22']|[\x22']$", ""), r"[\x22',;]+$", "")
+    whole = F.when(special != "", special).when(whole != "", whole).otherwise(bare)
+    return _features(F.when(whole == bare, bare).otherwise(_value(whole)), before, _name(whole), word, word, after)
 
 
 def _features(value: Column, before: Column, name: Column, word: Column, bare: Column, after: Column) -> Column:
@@ -85,6 +110,10 @@ def _features(value: Column, before: Column, name: Column, word: Column, bare: C
         "prefix": F.when(value.rlike("^(?:AKIA|ASIA|gh[pousr]_|github_pat_|[sr]k[_-]|pk_live|whsec_|hf_|xox[abprs]-|glpat-|AIza|ya29|eyJ|npm_)"), 1).otherwise(0),
         "repeats": F.when(value.rlike(r"(.)\1{4}|(..)\2{3}|123456|abcdef"), 1).otherwise(0),
         "at_sign": F.when(F.instr(bare, "@") > 0, 1).otherwise(0),
+        "told": F.when(F.concat_ws(" ", before, name).rlike(rf"(?:^|[^A-Za-z]){_SECRET}[\x22']?\s*[=:]?[\x22']?$"), 1).otherwise(0),
+        "form": F.when(value.rlike(r"^eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}$"), 1).when(F.startswith(value, F.lit("-----BEGIN ")), 2).when(F.instr(word, "://") > 0, F.when(F.contains(word, F.concat(F.lit(":"), value, F.lit("@"))), 3).otherwise(0)).otherwise(0),
+        "symbols": _share(value, r"[^A-Za-z0-9]"),
+        "consonants": F.when(F.lower(value).rlike("[bcdfghjklmnpqrstvwxz]{5}"), 1).otherwise(0),
     }
     return F.struct(value.alias("value"), *[c.cast("double").alias(k) for k, c in columns.items()])
 
@@ -111,7 +140,7 @@ def _given(whole: Column) -> Column:
         pieces = F.split(whole, "=")
         named = F.transform(pieces, lambda p, j: F.struct(F.regexp_extract(F.right(F.coalesce(F.get(pieces, j - 1), F.lit("")), F.lit(30)), r"([A-Za-z0-9_\-]{1,30})$", 1).alias("name"), p.alias("value")))
         own = F.filter(named, lambda p: (F.length(p["value"]) >= 16) & p["value"].rlike("[0-9]|[A-Z]{16}") & (p["value"] != main["value"]))
-        several = main["value"].rlike("[^=]=[^=]") | whole.rlike(f"^{_OWN}=")
+        several = (main["value"].rlike("[^=]=[^=]") | whole.rlike(f"^{_OWN}=")) & ~F.startswith(whole, F.lit("-----BEGIN "))
         return F.when(several, F.concat(F.array(main), own)).otherwise(F.array(main))
 
     return _once(F.struct(_name(whole).alias("name"), _value(whole).alias("value")), parts)
@@ -120,16 +149,18 @@ def _given(whole: Column) -> Column:
 def _split(text: Column) -> Column:
     """Struct of a text's runs and of the gaps around them: gap 0, run 0, gap 1, ... are the text."""
     none = F.array().cast("array<string>")
-    runs = F.when(text.rlike(_CHEAP), F.regexp_extract_all(text, F.lit(f"({_RUN})"), 1)).otherwise(none)
-    gaps = F.when(text.rlike(_CHEAP), F.split(text, _RUN, -1)).otherwise(none)
+    runs = F.when(text.rlike(_CHEAP), F.regexp_extract_all(text, F.lit(f"({_ANY})"), 1)).otherwise(none)
+    gaps = F.when(text.rlike(_CHEAP), F.split(text, _ANY, -1)).otherwise(none)
     return F.struct(runs.alias("runs"), gaps.alias("gaps"))
 
 
 def candidates(text: Column) -> Column:
-    """Array of candidates of a text in order: value and features. Every run of key characters
-    is one, wherever it stands in a word and however long that is; each has its own
-    surroundings, so that neighbours don't take them from each other. A text is read a fixed
-    number of times and each run's surroundings are bounded, so the work is linear in it."""
+    """Array of candidates of a text in order: value and features. Every run of 16 key characters with a digit or 16
+    capitals among them is one, wherever it stands in a word and however long that is; so are the password
+    of a URL, a block of a private key, and a value of four characters or more that is given to a name like password,
+    secret or token. Each has its own
+    surroundings, so that neighbours don't take them from each other: 300 characters and 20 runs on either side.
+    A text is read a fixed number of times and each run's surroundings are bounded, so the work is linear in it."""
 
     def placed(p: Column) -> Column:
         def one(run: Column, i: Column) -> Column:
@@ -156,7 +187,7 @@ def candidates(text: Column) -> Column:
 
     each = F.flatten(_once(_split(text), lambda p: F.transform(placed(p), seen)))
     scored = F.transform(each, lambda c: _features(*[c[k] for k in ("value", "before", "name", "word", "bare", "after")]))
-    return F.filter(scored, lambda c: F.length(c["value"]) >= 16)
+    return F.filter(scored, lambda c: (F.length(c["value"]) >= 16) | (c["told"] == 1) | (c["form"] == 3))
 
 
 def _marked(text: Column, values: Column, mark: str) -> Column:
@@ -173,9 +204,9 @@ def _marked(text: Column, values: Column, mark: str) -> Column:
     return F.when(F.size(values) > 0, _once(_split(text), put)).otherwise(text)
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6000, first: int = 0) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 13000, first: int = 0) -> DataFrame:
     """before, word, after and label of findings made by rule from a hash of their number:
-    keys, tokens and passwords in use, and hosts, paths, addresses, hashes of content,
+    keys, tokens, passwords in use, key blocks and credentials in URLs, and hosts, paths, addresses, hashes of content,
     identifiers, placeholders, encoded contents and long names that scanners mistake for
     them. `first` is the first number."""
     n = F.col("id")
@@ -217,16 +248,54 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, first: int = 0) ->
         (1, F.lit(""), F.concat(pick("ghp_", "gho_", "sk_live_", "glpat-"), F.substring(mixed, 1, 36))),
         (1, F.lit(""), F.concat(F.lit("AKIA"), F.substring(caps, 1, 16))),
     ]
+    consonants = F.translate(F.substring(more, 1, 24), "0123456789abcdef", "kdjfhsqwrtzxbvnm")
+    named = pick("password:", "passwd =", "pwd:", "secret:", "token =", "api_key:")
+    given = pick("password=", "passwd=", "pwd:", "secret=", "token:", 'password="', "DB_PASSWORD=")
+    size = F.pmod(F.xxhash64(n, F.lit(3)), F.lit(9)).cast("int")
+    short = F.concat(F.substring(mixed, 1, 4), pick("!", "@", "#", "$", "%", "-", "_"), F.substring(mixed, 7, size), F.lit("7"))
+    prose = pick("required", "string", "optional", "none", "hidden", "minimum", "********", "true", "null", "confirm", "forgotten", "incorrect", "must", "undefined", "changeme", "password", "your_token", "<empty>", "Optional[str]", "the", "os.environ", "${SECRET}", "config.password", "getenv", "None", "True", "False", "NULL", "nil", "str,", "Any")
+    body = F.regexp_replace(F.substring(F.concat(content, F.reverse(content), F.lower(content), content), 1, F.pmod(F.xxhash64(n), F.lit(2200)).cast("int") + 100), "(.{64})", "$1\n")
+    pem = F.concat(F.lit("-----BEGIN "), pick("RSA ", "EC ", "", "OPENSSH ", "ENCRYPTED "), F.lit("PRIVATE KEY-----\n"), body, F.lit("\n-----END PRIVATE KEY-----"))
+    jwt = F.concat(F.lit("eyJ"), F.substring(mixed, 1, 33), F.lit(".eyJ"), F.substring(F.translate(content, "+/=", "-_q"), 1, F.pmod(F.xxhash64(n), F.lit(120)).cast("int") + 30), F.lit("."), F.substring(mixed, 5, 43))
+    url = lambda secret: F.concat(pick("postgres://", "https://", "mysql://", "redis://", "amqp://"), pick("user", "admin", word, "svc1"), F.lit(":"), secret, F.lit("@"), word, F.lit(".example.org:5432/db"))
+    cases += [
+        (1, named, short),
+        (1, plain, F.concat(given, short)),
+        (1, named, F.substring(consonants, 1, size + 12)),
+        (1, plain, F.concat(given, F.substring(consonants, 1, size + 12))),
+        (1, plain, F.concat(given, F.substring(mixed, 1, size + 7))),
+        (1, plain, pem),
+        (1, F.lit(""), pem),
+        (1, plain, jwt),
+        (1, pick("token:", "Bearer", "jwt =", "the"), jwt),
+        (1, plain, url(short)),
+        (1, plain, url(F.substring(mixed, 1, size + 7))),
+        (1, plain, url(F.substring(consonants, 1, size + 8))),
+        (0, named, prose),
+        (0, F.lit(""), F.substring(content, 100, 76)),
+        (0, F.lit(""), F.substring(content, 200, 64)),
+        (0, F.lit(""), F.substring(content, 300, 60)),
+        (0, plain, F.concat(given, pick("changeme12345678", "changeme123", "change-me-1234", "your-secret-12345678", "replace_me_123", "insert_token_here_1"))),
+        (0, named, word),
+        (0, plain, F.concat(given, prose)),
+        (0, plain, F.concat(given, word)),
+        (0, plain, url(pick("password", "pass", "secret", "changeme", "${PASSWORD}", "example", "guest", "root"))),
+        (0, plain, F.concat(F.lit("https://"), word, F.lit(".example/services/v"), (n % 9).cast("string"), F.lit("/item"), F.substring(F.translate(more, "abcdef", "123456"), 1, 2), pick("?lang=", "?q=", "?sort=", "/?page="), word, F.reverse(word))),
+        (0, pick("cache", "node", "blob", "object", "layer", "the"), F.substring(hexes, 1, 32)),
+        (0, plain, F.concat(word, F.lit("-"), F.substring(hexes, 1, 20), pick(".min.js", ".chunk.css", ".map", ".svg"))),
+        (0, plain, F.concat(F.lit("com.example."), word, F.lit("."), F.substring(word, 2, 6), F.lit(".impl2.Handler"))),
+    ]
     kind = F.pmod(n, F.lit(len(cases)))
     case = F.element_at(F.array(*[F.struct(F.lit(y).alias("label"), b.alias("before"), w.alias("word"), (a[0] if a else F.lit("")).alias("after")) for y, b, w, *a in cases]), (kind + 1).cast("int"))
     return spark.range(first, first + rows, 1, 4).select(case.alias("c")).select("c.before", "c.word", "c.after", "c.label")
 
 
-def train(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel:
+def train(findings: DataFrame, trees: int = 15, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel:
     """A forest from labelled findings (before, word, after, label 0 or 1)."""
     rows = findings.select("label", features(F.col("before"), F.col("word"), F.col("after")).alias("f")).select(F.col("label").cast("double").alias("label"), *[F.col("f")[k].alias(k) for k in FEATURES])
-    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(table)
+    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(checkpoint(rows))  # read several times
+    # half of the features at each node: a few say all of some forms
+    return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, featureSubsetStrategy="0.5", seed=seed).fit(table)
 
 
 _IF = re.compile(r"^(\s*)If \(feature (\d+) (<=|>) (\S+)\)")

@@ -96,6 +96,12 @@ OTHER_SECRETS = [
     lambda k: f"https://h.example.org/a?access_token={mixed(k, 30)}&x=1",
     lambda k: f"npm_{mixed(k, 36)}",
     lambda k: f'  api_key: "{hexes(k, 32)}"',
+    lambda k: f"authorization eyJhbGciOiJIUzI1NiJ9.{base64.urlsafe_b64encode(hexes(k, 50).encode()).decode().rstrip('=')}.{mixed(k, 43)} sent",
+    lambda k: "config:\n-----BEGIN EC PRIVATE KEY-----\n" + "\n".join(base64.b64encode(hashlib.sha384(f"{k}{i}".encode()).digest()).decode() for i in range(k % 20 + 2)) + "\n-----END EC PRIVATE KEY-----\nend",
+    lambda k: f"connect to postgres://shop:p{mixed(k, 5)}W0rd{k}x@db.internal/main now",
+    lambda k: f"/cb?next=%2Fhome%26token%3Dghp_{mixed(k, 36)}%26x%3D1",
+    lambda k: f"password: S3cr{mixed(k, 3)}!Pa{k}w",
+    lambda k: "passwd=" + hexes(k, 18 + k % 5).translate(str.maketrans("0123456789abcdef", "hjklgfdsqwrtpzxc")) + " set",
 ]
 OTHERS = [
     lambda k: f"image@sha256:{hexes(k, 64)}",
@@ -108,6 +114,9 @@ OTHERS = [
     lambda k: f"https://cdn{k}.images-static.com/assets/img{k}/photo-large.jpg",
     lambda k: f"donaudampfschiff{k}fahrtsgesellschaft",
     lambda k: f"password=your_password_{k}_here",
+    lambda k: ["the password: must have a letter", "password: string", "token = None", "secret: the gardener did it", 'api_key: ""', "passwd: files sss", "Password: forgotten?", "credentials: include", "token: undefined", "pwd: /home"][k % 10],
+    lambda k: f"see http://localhost:80{k % 100:02d}/@user and git@host.org:team/app{k}.git",
+    lambda k: f"-----BEGIN CERTIFICATE-----\n{base64.b64encode(hashlib.sha384(str(k).encode()).digest()).decode()}\n-----END CERTIFICATE-----",
 ]
 
 
@@ -118,3 +127,26 @@ def test_forms_that_were_not_learned(spark, trees):
         counts.setdefault((r["label"], r["form"]), []).append(len(r["secrets"]) > 0)
     assert all(sum(v) >= 95 for (label, _), v in counts.items() if label == 1), {k: sum(v) for k, v in counts.items()}
     assert all(sum(v) <= 1 for (label, _), v in counts.items() if label == 0), {k: sum(v) for k, v in counts.items()}
+
+
+def test_trees_are_the_model(spark):
+    """The trees written as SQL say what the model says, on findings that it was trained on and others."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    trees = secret_scan.forest(model)
+    rows = secret_scan.labelled_findings(spark, 15000).select(secret_scan.features(F.col("before"), F.col("word"), F.col("after")).alias("f")).select("f.*").cache()
+    table = VectorAssembler(inputCols=secret_scan.FEATURES, outputCol="features").transform(rows)
+    assert len(model.trees) == len(trees)
+    for one, written in zip(model.trees, trees, strict=True):
+        both = one.transform(table).select("prediction", secret_scan._expression(written, F.struct(*secret_scan.FEATURES)).alias("q"))
+        assert both.where("prediction != q").count() == 0 and both.select("q").distinct().count() == 2
+
+
+def test_key_blocks_are_cut_out_whole(spark, trees):
+    block = "-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n" + "\n".join(base64.b64encode(hashlib.sha384(f"b{i}".encode()).digest()).decode() for i in range(30)) + "=\n-----END PRIVATE KEY-----"
+    texts = [f"a {block} b", f"{block}\n{block}", "-----BEGIN PRIVATE KEY-----\n" * 3000 + "no end", "mysql://root:Xk9!pQ2zW7@h/db and again Xk9!pQ2zW7"]
+    found, clean = values(spark, trees, texts)
+    assert found[:3] == [[block], [block, block], []] and clean[:3] == ["a [SECRET] b", "[SECRET]\n[SECRET]", texts[2]]
+    assert clean[3] == "mysql://root:[SECRET]@h/db and again Xk9!pQ2zW7"
