@@ -39,12 +39,40 @@ def group_kfold(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
     return rows.withColumn("fold", fold_of(F.col(group), folds))
 
 
+def dealt_folds(sizes: list[tuple[int, int, int]], folds: int) -> list[tuple[int, int, int, int]]:
+    """n, p, place and fold of the groups that even dealing leaves over.
+
+    `sizes` has n rows, p positives and how many groups are like that. Of like groups every fold gets the same number
+    first, which leaves the folds' differences as they are; the others, largest first, go one by one to
+    the fold in which they add least to the spread of the class counts over folds, each class as a share of all its
+    rows; the first such fold on a tie. Whole numbers decide, so that nothing is rounded.
+    """
+    all_p = sum(p * m for _, p, m in sizes) or 1
+    all_n = sum((n - p) * m for n, p, m in sizes) or 1
+    pos, neg, out = [0] * folds, [0] * folds, []
+    for n, p, m in sorted(sizes, key=lambda x: (-x[0], -x[1])):
+        for place in range(1, m % folds + 1):
+            f = min(range(folds), key=lambda k: (p * (2 * pos[k] + p) * all_n**2 + (n - p) * (2 * neg[k] + n - p) * all_p**2, k))
+            pos[f] += p
+            neg[f] += n - p
+            out.append((n, p, place, f))
+    return out
+
+
 def stratified_group_kfold(rows: DataFrame, group: str, label: str = "y", folds: int = 5) -> DataFrame:
-    """`rows` with `fold`; all rows of a group are in one fold, and folds have about the same share of
-    positives: groups of like size and like share of positives are dealt in turn, in hash order."""
-    n, p = F.count(F.lit(1)), F.count_if(F.col(label) == 1)
-    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.floor(F.log2(n)).cast("int").alias("_size"), F.round(4 * p / n).cast("int").alias("_share"))
-    dealt = hash_rank(sizes, ["_size", "_share"], "_group", "_at").select("_group", F.pmod(F.col("_at") + F.col("_size") + F.col("_share"), F.lit(folds)).cast("int").alias("fold"))
+    """`rows` with `fold`; all rows of a group are in one fold, and folds have as nearly as greedy dealing gets the same
+    rows of each class. The greedy choice runs over the histogram of (rows, positives) of
+    groups (see dealt_folds), which comes to the driver, and groups that are alike are dealt in hash order: its cost
+    doesn't grow with the number of groups."""
+    per = rows.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(label) == 1).alias("_pos"))
+    sizes = [tuple(r) for r in per.groupBy("_rows", "_pos").agg(F.count(F.lit(1)).alias("m")).toLocalIterator()]
+    chosen = dealt_folds(sizes, folds)
+    left = rows.sparkSession.createDataFrame(chosen, "_rows long, _pos long, _place long, _fold int")
+    left = F.broadcast(left) if len(chosen) <= 20_000 else left
+    ranked = hash_rank(per, ["_rows", "_pos"], "_group", "_at")
+    same = (ranked["_rows"] == left["_rows"]) & (ranked["_pos"] == left["_pos"]) & (ranked["_at"] == left["_place"])
+    # places up to m % folds of m like groups go where the greedy choice puts them, all others in turn
+    dealt = ranked.join(left, same, "left").select("_group", F.coalesce("_fold", F.pmod(F.col("_at"), F.lit(folds)).cast("int")).alias("fold"))
     return rows.join(dealt, rows[group].eqNullSafe(dealt["_group"])).select(*rows.columns, "fold")
 
 
@@ -152,19 +180,3 @@ def counts_as_map(rows: DataFrame, name: str, out: str, count: str | None = None
     names a column that says how many rows a row stands for."""
     counts = rows.groupBy(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("k")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("v"))
     return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(out))
-
-
-def fit_logistic(rows: DataFrame, vector: str, label: str = "y", c: float = 1.0):
-    """A logistic regression on standardised vectors, as summed loss with an L2 penalty of
-    1/c: the averaged loss that is minimised here takes 1/(c * n). Needs a vector column of
-    equal lengths; returns the fitted pipeline and its loss at each iteration."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    table = rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
-    scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    model = LogisticRegression(regParam=1.0 / (c * max(1, table.count())), elasticNetParam=0.0, standardization=False, maxIter=200)
-    fitted = Pipeline(stages=[scale, model]).fit(table)
-    return fitted, list(fitted.stages[-1].summary.objectiveHistory)

@@ -1,14 +1,16 @@
 """The evaluation protocols with a trained model, and the events of a training run.
 
-The protocols train one model for each fold or held-out key, which is what they ask for; each fit
-and each scoring is a Spark job over all its rows. Keys and folds are few, rows are not.
+All folds or held-out keys are trained together: each step of all models is one pass over the rows (see learning.py),
+so neither jobs nor plans grow with their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,48 +18,71 @@ from .. import schemas
 from ..storage import checkpoint
 from . import auc as A
 from . import evaluation as ev
+from . import learning
 
 
-def scored(model, rows: DataFrame, vector: str, out: str = "score") -> DataFrame:
-    """`rows` with the probability of label 1."""
-    ready = rows.withColumn("raw", array_to_vector(F.col(vector).cast("array<double>")))
-    return model.transform(ready).select(*rows.columns, vector_to_array("probability")[1].alias(out))
+def _scores(rows: DataFrame, models: learning.Logistic) -> DataFrame:
+    """k, y and score of each of `rows` (ks: the models that score it, y, v) by each of its fitted models."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                own = b.slice(i, 2048)
+                x, ks = learning.matrix(own.column("v")), own.column("ks")
+                sizes = np.asarray(ks.value_lengths().fill_null(0))
+                at, k = np.repeat(np.arange(len(x)), sizes), ks.flatten().to_numpy(zero_copy_only=False)
+                good = shared.value.fitted[k]
+                at, k = at[good], k[good]
+                score = shared.value.scores(x)[at, k]
+                y = own.column("y").to_numpy(zero_copy_only=False)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(y, pa.int32()), pa.array(score)], names=["k", "y", "score"])
+
+    return rows.select("ks", F.col("y").cast("int").alias("y"), "v").mapInArrow(run, "k int, y int, score double")
 
 
 def grouped_cv(rows: DataFrame, vector: str, group: str, label: str = "y", folds: int = 5) -> DataFrame:
     """fold, n_pos, n_neg and auc of a model for each fold, trained on the others; no group is on
     both sides. Folds without both classes in training or test have no row."""
-    folded = checkpoint(ev.stratified_group_kfold(rows, group, label, folds).select("fold", label, vector))
-    counts = {(r[0], r[1]): r[2] for r in folded.groupBy("fold", label).count().collect()}
-    parts = []
-    for k in range(folds):
-        if all(counts.get((k, y)) and sum(n for (f, c), n in counts.items() if f != k and c == y) for y in (0, 1)):
-            model, _ = ev.fit_logistic(folded.where(F.col("fold") != k), vector, label)
-            parts.append(scored(model, folded.where(F.col("fold") == k), vector).select("fold", label, "score"))
-    return A.auc(reduce(DataFrame.unionAll, parts, folded.select("fold", label, F.lit(0.0).alias("score")).limit(0)), ("fold",), label)
+    folded = ev.stratified_group_kfold(rows.where(F.col(label).isin(0, 1)), group, label, folds)
+    folded = checkpoint(folded.select(F.col("fold").alias("k"), F.col(label).alias("y"), F.col(vector).cast("array<double>").alias("v")))
+    models = learning.fit_excluding(folded, folds)
+    tested = _scores(folded.select(F.array("k").alias("ks"), "y", "v"), models)
+    return A.auc(tested.select(F.col("k").alias("fold"), F.col("y").alias(label), "score"), ("fold",), label)
 
 
-def held_out(rows: DataFrame, vector: str, key: str, same_source: bool = True, source: str = "fonte", label: str = "y", least_keys: int = 1) -> DataFrame:
+def held_out(rows: DataFrame, vector: str, key: str, same_source: bool = True, source: str = "fonte", label: str = "y", least_keys: int = 1, most_models: int = 2048) -> DataFrame:
     """key, n_pos, n_neg and auc with each key of the positives held out in turn.
 
     Trained on all but the held-out positives; tested on these and on the negatives of their
     sources, or all negatives. Empty and null keys are not held out; a key without negatives to
     compare with, or without other positives to learn from, has no row, and with fewer than
-    `least_keys` keys there is none at all.
+    `least_keys` keys there is none at all. Up to `most_models` keys are trained together; more
+    come in as many blocks.
     """
-    narrow = checkpoint(rows.select(key, source, label, vector))
-    masks = ev.held_out_masks(narrow, key, source, label).orderBy(key).collect()
+    named = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
+    narrow = checkpoint(rows.where(F.col(label).isin(0, 1)).select(F.when(named & (F.col(label) == 1), F.col(key)).alias("key"), F.col(source).alias("source"), F.col(label).alias("y"), F.col(vector).cast("array<double>").alias("v")))
+    kind = dict(narrow.dtypes)["key"]
+    keys = [r[0] for r in narrow.where("key is not null").select("key").distinct().orderBy("key").toLocalIterator()]
     parts = []
-    for m in masks if len(masks) >= least_keys else []:
-        held = F.coalesce((F.col(label) == 1) & (F.col(key) == F.lit(m[key])), F.lit(False))
-        negatives = narrow.where(F.col(label) == 0)
-        if same_source:  # a key's sources are few: one row each
-            negatives = negatives.join(F.broadcast(narrow.where(held).select(source).distinct()), source, "left_semi")
-        if m["n_train_pos"] and (m["n_test_neg"] or not same_source):
-            model, _ = ev.fit_logistic(narrow.where(~held), vector, label)
-            test = narrow.where(held).select(label, vector).unionAll(negatives.select(label, vector))
-            parts.append(scored(model, test, vector).select(F.lit(m[key]).cast(dict(rows.dtypes)[key]).alias(key), label, "score"))
-    return A.auc(reduce(DataFrame.unionAll, parts, narrow.select(key, label, F.lit(0.0).alias("score")).limit(0)), (key,), label)
+    for i in range(0, len(keys) if len(keys) >= least_keys else 0, most_models):
+        own = keys[i : i + most_models]
+        # a row for each of at most `most_models` keys
+        numbers = F.broadcast(narrow.sparkSession.createDataFrame([(x, k) for k, x in enumerate(own)], f"key {kind}, k int"))
+        parted = checkpoint(narrow.join(numbers, "key", "left").select("source", "y", "v", F.coalesce("k", F.lit(-1)).alias("k")))
+        models = learning.fit_excluding(parted, len(own))
+        positives = parted.where("k >= 0").select(F.array("k").alias("ks"), "y", "v")
+        negatives = parted.where("y = 0")
+        if same_source:
+            of = parted.where("k >= 0").groupBy("source").agg(F.collect_set("k").alias("ks"))
+            negatives = negatives.join(of, "source").select("ks", "y", "v")
+        else:
+            negatives = negatives.select(F.sequence(F.lit(0), F.lit(len(own) - 1)).alias("ks"), "y", "v")
+        tested = _scores(positives.unionAll(negatives), models)
+        parts.append(A.auc(tested, ("k",)).join(numbers, "k").select(F.col("key").alias(key), "n_pos", "n_neg", "auc"))
+    if not parts:
+        return narrow.sparkSession.createDataFrame([], f"{key} {kind}, n_pos long, n_neg long, auc double")
+    return reduce(DataFrame.unionAll, parts)
 
 
 def separability(rows: DataFrame, vector: str, group: str, source: str = "fonte", folds: int = 5) -> float | None:
@@ -96,38 +121,43 @@ def generator_state(rows: DataFrame, vector: str, key: str, group: str, source:
     return out.withColumns(values)
 
 
-def training_events(rows: DataFrame, vector: str, key: str, group: str, run_id: str, source: str = "fonte", technique: str = "tecnica", generator: str | None = "gerador", label: str = "y") -> DataFrame:
-    """The events of one training run (schemas.EVENT), in their order: inicio, estado_gerador, an epoca
-    for each iteration with its training loss, and fim. The validation loss and AUC, also by
-    technique, are those of the finished model and stand in the last epoch."""
+def training_events(rows: DataFrame, vector: str, key: str, group: str, run_id: str, source: str = "fonte", technique: str = "tecnica", generator: str | None = "gerador", label: str = "y", epochs: int = 120, patience: int | None = None, **head) -> DataFrame:
+    """The events of one training run of the network head (schemas.EVENT), in their order: inicio, estado_gerador, an
+    epoca for each epoch, and fim.
+
+    Rows are balanced by source and a fifth of their groups is held for validation. Each epoch has its mean loss in
+    training and validation, and the AUC in validation, of all rows and of each technique against the negatives of its
+    sources. Scores of all epochs come from one pass over the validation rows, and their areas from
+    one aggregation each. Without both classes in validation auc_val is null.
+    """
     spark = rows.sparkSession
-    even = checkpoint(ev.stratified_group_kfold(ev.balance_by_source(rows, key, source, label), group, label, 5))
-    train, test = even.where("fold <> 0"), even.where("fold = 0")
-    model, loss = ev.fit_logistic(train, vector, label)
-    tested = scored(model, test, vector)
-    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("score")))
-    val = tested.agg(F.avg(-F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
-    whole = [r["auc"] for r in A.auc(tested, (), label).collect()]
-    by = {str(r[0]): r["auc"] for r in A.auc_of_held_out(tested, technique, True, source, label).collect()}
-    n = len(loss)
-    base = spark.range(n + 3).select(F.col("id"), F.lit(run_id).alias("run_id"), (F.unix_millis(F.current_timestamp()) / 1000.0 + F.col("id") / 1e6).alias("ts"), F.when(F.col("id") == 0, "inicio").when(F.col("id") == 1, "estado_gerador").when(F.col("id") == n + 2, "fim").otherwise("epoca").alias("tipo"))
-    epoch = F.when(F.col("tipo") == "epoca", F.col("id") - 1).cast("int")
-    last, first = epoch == n, F.col("tipo") == "inicio"
-    curve = F.array(*[F.lit(float(x)) for x in loss])
+    even = ev.stratified_group_kfold(ev.balance_by_source(rows.where(F.col(label).isin(0, 1)), key, source, label), group, label, 5)
+    even = checkpoint(even.select(F.col(label).alias("y"), F.col(vector).cast("array<double>").alias("v"), F.col(source).cast("string").alias("source"), F.col(technique).cast("string").alias("technique"), (F.col("fold") == 0).cast("int").alias("held")))
+    heads, losses, held_losses = learning.train_head(even, epochs=epochs, patience=patience, **head)
+    counts = {r[0]: r[1] for r in even.groupBy("held").count().collect()}
+    n = len(heads)
+    tested = checkpoint(learning.head_scores(even.where("held = 1"), heads, "v", ["y", "source", "technique"]))
+    whole = A.auc(tested, ("epoca",)).select("epoca", F.col("auc").alias("auc_val"))
+    # a technique's negatives are those of its sources in the same epoch
+    own = lambda c: F.when(F.col(c) != "", F.concat_ws(":", "epoca", c))
+    each = A.auc_of_held_out(tested.withColumns({"key": own("technique"), "fonte": F.concat_ws(":", "epoca", F.coalesce("source", F.lit("")))}), "key")
+    cut = F.split("key", ":", 2)
+    maps = each.groupBy(cut[0].cast("int").alias("epoca")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(cut[1].alias("k"), "auc")))).alias("auc_por_tecnica"))
+    curve = spark.createDataFrame([(k + 1, losses[k], held_losses[k]) for k in range(n)], "epoca int, loss_treino double, loss_val double")
+    curve = curve.join(whole, "epoca", "left").join(maps, "epoca", "left")
+    kinds = F.when(F.col("id") == 0, "inicio").when(F.col("id") == 1, "estado_gerador").when(F.col("id") == n + 2, "fim").otherwise("epoca")
+    base = spark.range(n + 3).select(F.col("id"), F.lit(run_id).alias("run_id"), (F.unix_millis(F.current_timestamp()) / 1000.0 + F.col("id") / 1e6).alias("ts"), kinds.alias("tipo"))
+    first = F.col("tipo") == "inicio"
     series = {
-        "epoca": epoch,
+        "epoca": F.when(F.col("tipo") == "epoca", F.col("id") - 1).cast("int"),
         "epocas": F.when(F.col("tipo").isin("inicio", "fim"), n),
         "dispositivo": F.when(first, "spark"),
-        "n_treino": F.when(first, train.count()).cast("int"),
-        "n_val": F.when(first, test.count()).cast("int"),
-        "loss_treino": F.when(epoch.isNotNull(), F.get(curve, epoch - 1)),
-        "loss_val": F.when(last, F.lit(val)).cast("double"),
-        "auc_val": F.when(last, F.lit(whole[0] if whole else None)).cast("double"),
-        "auc_por_tecnica": F.when(last, F.create_map(*[F.lit(x) for pair in sorted(by.items()) for x in pair]).cast("map<string,double>")),
+        "n_treino": F.when(first, counts.get(0, 0)).cast("int"),
+        "n_val": F.when(first, counts.get(1, 0)).cast("int"),
     }
     state = generator_state(rows, vector, key, group, source, technique, generator, label)
-    own = [c for c in state.columns if c != "tipo"]
-    out = base.withColumns(series).join(state.select("tipo", *own), "tipo", "left").orderBy("id")
+    own_columns = [c for c in state.columns if c != "tipo"]
+    out = base.withColumns(series).join(curve, "epoca", "left").join(state.select("tipo", *own_columns), "tipo", "left").orderBy("id")
     names = [c.split()[0] for c in schemas.EVENT.split(", ")]
-    kinds = dict(c.split(" ", 1) for c in schemas.EVENT.split(", "))
-    return out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names])
+    types = dict(c.split(" ", 1) for c in schemas.EVENT.split(", "))
+    return out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(types[c]).alias(c) for c in names])

@@ -136,8 +136,24 @@ def snapshot(spark, d):
     return rounded.withColumns({m: _shown(m, m in ("loto", "logo")) for m in ("por_tecnica", "por_gerador", "por_fonte", "loto", "logo")})
 
 
-@query("stratified_kfold", f"""WITH {L}, g AS (SELECT documento_id, count(*) AS n, CAST(floor(log2(count(*))) AS INT) AS size, CAST(round(4.0 * sum(y) / count(*)) AS INT) AS share FROM L GROUP BY documento_id)
-  SELECT documento_id, CAST((row_number() OVER (PARTITION BY size, share ORDER BY md5(CAST(documento_id AS VARCHAR)), documento_id) + size + share) % 5 AS INT) AS fold, n FROM g""")
+_COST = "i.p * (2 * pos[k] + i.p) * all_n * all_n + (i.n - i.p) * (2 * neg[k] + i.n - i.p) * all_p * all_p"
+_ADDED = "list_transform(range(1, 6), lambda k: CASE WHEN k = best THEN {0}[k] + {1} ELSE {0}[k] END)"
+
+
+@query("stratified_kfold", f"""WITH RECURSIVE {L}, g AS (SELECT documento_id, count(*) AS n, CAST(sum(y) AS BIGINT) AS p FROM L GROUP BY documento_id),
+  sz AS (SELECT n, p, count(*) AS m FROM g GROUP BY n, p),
+  item AS (SELECT n, p, place, row_number() OVER (ORDER BY n DESC, p DESC, place) AS step FROM (SELECT n, p, unnest(range(1, m % 5 + 1)) AS place FROM sz)),
+  t AS (SELECT CAST(greatest(sum(p * m), 1) AS HUGEINT) AS all_p, CAST(greatest(sum((n - p) * m), 1) AS HUGEINT) AS all_n FROM sz),
+  run AS (
+    SELECT CAST(0 AS BIGINT) AS step, [CAST(0 AS HUGEINT), 0, 0, 0, 0] AS pos, [CAST(0 AS HUGEINT), 0, 0, 0, 0] AS neg, CAST(0 AS BIGINT) AS best
+    UNION ALL
+    SELECT step, {_ADDED.format('pos', 'p')}, {_ADDED.format('neg', '(n - p)')}, best FROM (
+      SELECT i.step, pos, neg, CAST(i.p AS HUGEINT) AS p, CAST(i.n AS HUGEINT) AS n,
+        CAST(list_position(list_transform(range(1, 6), lambda k: {_COST}), list_min(list_transform(range(1, 6), lambda k: {_COST}))) AS BIGINT) AS best
+      FROM run JOIN item i ON i.step = run.step + 1, t)),
+  r AS (SELECT documento_id, n, p, row_number() OVER (PARTITION BY n, p ORDER BY md5(CAST(documento_id AS VARCHAR)), documento_id) AS at FROM g)
+  SELECT documento_id, CAST(coalesce(run.best - 1, r.at % 5) AS INT) AS fold, r.n
+  FROM r LEFT JOIN item i ON i.n = r.n AND i.p = r.p AND i.place = r.at LEFT JOIN run ON run.step = i.step""")
 def stratified_kfold(spark, d):
     return ev.stratified_group_kfold(views.samples(spark, d), "documento_id").groupBy("documento_id", "fold").agg(F.count(F.lit(1)).alias("n"))
 
@@ -168,7 +184,7 @@ def loto_logistic_all_negatives(spark, d):
 
 @query("training_events")
 def training_events(spark, d):
-    return protocols.training_events(_vectors(spark, d), "embedding", "vec_id", "grupo", "run")
+    return protocols.training_events(_vectors(spark, d), "embedding", "vec_id", "grupo", "run", epochs=30)
 
 
 @query("verdict_generalization", f"WITH {L} SELECT count(*) AS n_keys, round(max(auc) - min(auc), 6) AS amplitude, max(auc) - min(auc) < 0.1 AS ok FROM ({held_auc('tecnica', True, 'L', None)}) WHERE n_pos >= 20 HAVING count(*) >= 2")

@@ -100,18 +100,55 @@ def _stream(spark, d):
 
 @query("stream_ingest", f"WITH {V} SELECT event_id, run, tipo, epoca FROM V")
 def stream_ingest(spark, d):
-    return runs.ingest(_stream(spark, d), runs.work_folder(spark)).select("event_id", "run", "tipo", "epoca")
+    folder = runs.work_folder(spark)
+    return storage.kept(runs.ingest(_stream(spark, d), folder).select("event_id", "run", "tipo", "epoca"), folder)
+
+
+def _folded(spark, d):
+    folder = runs.work_folder(spark)
+    out = runs.fold_runs(_stream(spark, d), folder)
+    return storage.kept(out.withColumn("epochs", F.array_join(F.col("epochs").cast("array<string>"), ",")), folder)
 
 
 @query("stream_fold", _FOLD)
 def stream_fold(spark, d):
-    out = runs.fold_runs(_stream(spark, d), runs.work_folder(spark))
-    return out.withColumn("epochs", F.array_join(F.col("epochs").cast("array<string>"), ","))
+    return _folded(spark, d).select("run", "starts", "n_epochs", "epochs")
+
+
+@query("run_overview", f"""WITH {V}, used AS (SELECT * FROM V WHERE tipo IN ('inicio', 'epoca')),
+  st AS (SELECT run, event_id, row_number() OVER (PARTITION BY run ORDER BY ts DESC, event_id DESC) AS k FROM V WHERE tipo = 'estado_gerador'),
+  cur AS (SELECT run FROM used ORDER BY ts DESC, event_id DESC LIMIT 1)
+  SELECT r.run, st.event_id AS state_event, r.run = cur.run AS is_current FROM (SELECT DISTINCT run FROM used) r CROSS JOIN cur LEFT JOIN st ON st.run = r.run AND st.k = 1""")
+def run_overview(spark, d):
+    """The last generator state of each run, and which run is the current one, from the stream of events."""
+    return _folded(spark, d).select("run", "state_event", "is_current")
 
 
 @query("tumbling_counts", f"WITH {V} SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS start, event_type, count(*) AS n FROM V GROUP BY ALL")
 def tumbling_counts(spark, d):
-    return runs.tumbling(_stream(spark, d), runs.work_folder(spark)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    folder = runs.work_folder(spark)
+    counts, _ = runs.tumbling(_stream(spark, d), folder)
+    return storage.kept(counts.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")), folder)
+
+
+@query("late_events", f"""WITH {V}, p AS (SELECT *, event_id % 3 AS f FROM V), m AS (SELECT k AS f, (SELECT max(ts) FROM p WHERE f < k) - INTERVAL 1 DAY AS mark FROM range(3) t(k))
+  SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS start, event_type, count(*) FILTER (mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark) AS n,
+    count(*) FILTER (date_trunc('day', ts) + INTERVAL 1 DAY <= mark) AS n_late, count(*) AS n_all FROM p JOIN m ON p.f = m.f GROUP BY ALL""")
+def late_events(spark, d):
+    """The events in three files, each over the whole time, so that most of the second and third come late: what was counted
+    in time and what went to the table of late events."""
+    folder = runs.work_folder(spark)
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for k in range(3):  # a file after another, in the order of their names
+        rows.where(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"{folder}/in/part={k}")
+    counts = None
+    for k in range(3):
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/part=[0-{k}]")
+        counts, behind = runs.tumbling(stream, f"{folder}/out")
+    late = behind.groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n_late"))
+    both = counts.join(late, ["start", "event_type"], "full").fillna(0, ["n", "n_late"])
+    out = both.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "n_late", (F.col("n") + F.col("n_late")).alias("n_all"))
+    return storage.kept(out, folder)
 
 
 @query("session_counts", f"WITH {V}, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY run ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM V), s AS (SELECT *, sum(new) OVER (PARTITION BY run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, run, count(*) AS n FROM s GROUP BY run, k")
@@ -167,7 +204,8 @@ def ingest_samples(spark, d):
     ingest.ingest_manifests(_manifests(rows.where("documento_id % 2 = 0"), 2), to)
     of = lambda path: F.variant_get("parametros", path, "string")
     out = sinks.read_table(spark, to)
-    return out.select("id", "rotulo", "tecnica", "gerador", "dificuldade", "fonte_dados", "documento_id", "arquivo", of("$.modo").alias("modo"), of("$.texto_original").alias("texto_original"), of("$.fonte_rosto").alias("fonte_rosto"), of("$.lista[1].p").alias("fundo"))
+    rows = out.select("id", "rotulo", "tecnica", "gerador", "dificuldade", "fonte_dados", "documento_id", "arquivo", of("$.modo").alias("modo"), of("$.texto_original").alias("texto_original"), of("$.fonte_rosto").alias("fonte_rosto"), of("$.lista[1].p").alias("fundo"))
+    return storage.kept(rows, to)
 
 
 @query("ingest_events", f"WITH {V} SELECT 'metricas' AS destino, count(DISTINCT (run, epoca)) AS n_inserted FROM V WHERE tipo = 'epoca' UNION ALL SELECT 'avaliacoes', count(DISTINCT (run, ts)) FROM V WHERE tipo = 'estado_gerador'")
@@ -175,7 +213,8 @@ def ingest_events(spark, d):
     rows = views.run_events(spark, d).select(F.col("run").cast("string").alias("run_id"), F.unix_micros("ts").alias("ts"), "tipo", "epoca", F.col("value").alias("loss_treino"))
     folder = storage.new_folder(spark, "eventos")
     epochs, states = ingest.ingest_events(rows, f"{folder}/metricas", f"{folder}/avaliacoes")
-    return epochs.select(F.lit("metricas").alias("destino"), "n_inserted").unionAll(states.select(F.lit("avaliacoes"), "n_inserted"))
+    out = epochs.select(F.lit("metricas").alias("destino"), "n_inserted").unionAll(states.select(F.lit("avaliacoes"), "n_inserted"))
+    return storage.kept(out, folder)
 
 
 def _norm(v: str) -> str:

@@ -23,42 +23,81 @@ def append_events(rows: DataFrame, path: str, run_id: str) -> None:
     rows.withColumns({"run_id": run, "ts": ts}).write.mode("append").option("ignoreNullFields", True).json(path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a merged table, in order."""
-    return sorted(int(n.removeprefix("version=")) for n in storage.children(spark, path) if n.startswith("version=") and storage.exists(spark, f"{path}/{n}/_SUCCESS"))
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last finished version of a merged table; None where there is none."""
-    found = _versions(spark, path)
-    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
-
-
-def merge_table(rows: DataFrame, path: str, keys: list[str], by_field: bool = False) -> DataFrame:
+def _current(spark: SparkSession, path: str) -> tuple[int, dict[int, list[int]]]:
+    """Number of buckets of a merged table, 0 where there is none, and the versions of each bucket, in order."""
+    kinds = [n.removeprefix("buckets=") for n in storage.children(spark, path) if n.startswith("buckets=")]
+    if not kinds:
+        return 0, {}
+    top, found = f"{path}/buckets={kinds[0]}", {}
+    for n in storage.children(spark, top):
+        if n.startswith("bucket="):
+            found[int(n[7:])] = sorted(int(v[8:]) for v in storage.children(spark, f"{top}/{n}") if v.startswith("version="))
+    return int(kinds[0]), {b: v for b, v in found.items() if v}
+
+
+def read_table(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """A merged table as it is now, or some of its buckets; None where there is none. The frame keeps to the files it
+    found, which a later merge leaves in place."""
+    count, versions = _current(spark, path)
+    paths = [f"{path}/buckets={count}/bucket={b}/version={v[-1]}" for b, v in sorted(versions.items()) if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def merge_table(rows: DataFrame, path: str, keys: list[str], by_field: bool = False, buckets: int = 16, keep: int = 1) -> DataFrame:
     """Upsert `rows` (one for each key) into a table; one row says how many keys were inserted,
     modified or the same. With `by_field` a null leaves what was there.
 
-    The merged table is written as a new version beside the old one, which is deleted only when
-    the new one is finished: a reader or a job that is repeated never meets half a table.
+    The table is parted by a hash of the key into `buckets`, a number that is fixed when the table is made. A merge reads
+    and writes only the buckets of its keys, each as a new version that replaces the old one by the rename of a folder
+    (dynamic partition overwrite). The last `keep` versions before it stay, so that a reader that has begun finishes;
+    older ones go. A merge that is stopped between renames has merged some buckets; repeated, it merges the
+    rest. One writer at a time: two that meet would take the same version.
     """
     spark = rows.sparkSession
-    found, old = _versions(spark, path), read_table(spark, path)
+    count, versions = _current(spark, path)
+    count = count or buckets
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
+    rows = storage.checkpoint(rows)
+    touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # at most `buckets` numbers
+    old = read_table(spark, path, touched)
+    version = max((v[-1] for v in versions.values()), default=0) + 1
     variants = [c for c, kind in rows.dtypes if kind == "variant"]
     plain = lambda f: f.select(*[F.to_json(c).alias(c) if c in variants else F.col(c) for c in rows.columns])
     fields = [c for c in rows.columns if c not in keys]
     before = rows.limit(0) if old is None else old
-    to = f"{path}/version={(found[-1] if found else 0) + 1}"
     both = before.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
     merged = merge.field_merge(both, keys, ["_new"], fields).select(*rows.columns) if by_field else merge.latest(both, keys, ["_new"]).drop("_new")
-    merged.write.mode("overwrite").parquet(to)
-    after = spark.read.parquet(to)
+    placed = merged.withColumns({"buckets": F.lit(count), "bucket": bucket, "version": F.lit(version)})
+    if touched:
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket", "version").parquet(path)
+    after = read_table(spark, path, touched) if touched else rows
     told = plain(after).join(rows.select(*keys), keys, "left_semi")
     counts = storage.checkpoint(merge.affected(plain(before), told, keys, fields))
-    for n in found:
-        storage.delete(spark, f"{path}/version={n}")
+    for b in touched:
+        for v in versions.get(b, [])[: -keep or None]:
+            storage.delete(spark, f"{path}/buckets={count}/bucket={b}/version={v}")
     return counts
 
 
+def write_bucketed(rows: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:
+    """A table of the catalog, bucketed and sorted by its keys; returns it. Joins and groupings by these keys read it
+    without a shuffle: the physical form of an index. With `path` its files are there, not in the warehouse."""
+    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def upsert_bucketed(table: DataFrame, rows: DataFrame, keys: list[str], by_field: bool = False) -> DataFrame:
+    """`table` (as write_bucketed() gives it) with `rows` (one for each key) over it. A full outer join by the keys, for
+    which only `rows` are shuffled; with `by_field` a null leaves what was there."""
+    fields = [c for c in table.columns if c not in keys]
+    # merge: a hint for the join that takes both sides in the order of their buckets
+    joined = table.alias("o").join(rows.withColumn("_there", F.lit(True)).alias("n").hint("merge"), keys, "full")
+    new = F.coalesce("_there", F.lit(False))
+    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if by_field else F.when(new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    return joined.select(*keys, *[pick(c).alias(c) for c in fields]).select(*table.columns)
+
+
 def write_manifests(rows: DataFrame, path: str) -> None:
     """JSON objects, many lines to a file where one file each would burden the file system."""
     rows.write.mode("append").json(path)

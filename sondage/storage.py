@@ -55,3 +55,10 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return frame.checkpoint()
+
+
+def kept(frame: DataFrame, folder: str) -> DataFrame:
+    """`frame`, written as a checkpoint, so that the folder it was read from can go."""
+    out = checkpoint(frame)
+    delete(frame.sparkSession, folder)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import storage
 
@@ -61,57 +61,117 @@ def snapshot_and_tail(stream: DataFrame, folder: str) -> tuple[DataFrame, Callab
     return history, more
 
 
-_OUT = "run bigint, starts bigint, n_epochs bigint, epochs array<int>"
+_FOLDED = "run bigint, starts bigint, n_epochs bigint, since struct<ts: bigint, id: bigint>, epochs array<struct<ts: bigint, id: bigint, epoch: int>>, state struct<ts: bigint, id: bigint>, last struct<ts: bigint, id: bigint>"
 
 
-def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    starts, epochs = state.get if state.exists else (0, [])
-    epochs = list(epochs)
-    rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-    for kind, epoch in zip(rows["tipo"], rows["epoca"], strict=True):
-        if kind == "inicio":
-            starts, epochs = starts + 1, []
-        else:
-            epochs.append(None if pd.isna(epoch) else int(epoch))
-    state.update((starts, epochs))
-    yield pd.DataFrame({"run": [key[0]], "starts": [starts], "n_epochs": [len(epochs)], "epochs": [epochs]})
+class _Runs(StatefulProcessor):
+    """Keeps, for each run, how often it has started, when it did last, and which epochs came since: those are
+    looked at again only when a start turns out to lie behind some of them. All is ordered by (ts, event_id), not by arrival."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "starts bigint, ts bigint, id bigint, n bigint, sts bigint, sid bigint, lts bigint, lid bigint")
+        self.epochs = handle.getListState("epochs", "ts bigint, id bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        starts, ts, ident, n, *told = self.run.get() if self.run.exists() else (0, None, None, 0, None, None, None, None)
+        since, state, last = ((a, b) if a is not None else None for a, b in ((ts, ident), told[:2], told[2:]))
+        keys = list(zip(new["ts"].tolist(), new["event_id"].tolist(), strict=True))
+        kinds = new["tipo"].tolist()
+        of = lambda *names: [k for k, kind in zip(keys, kinds, strict=True) if kind in names]
+        greatest = lambda a, more: max([*([] if a is None else [a]), *more], default=None)
+        begun = greatest(since, of("inicio"))
+        starts += len(of("inicio"))
+        state, last = greatest(state, of("estado_gerador")), greatest(last, of("inicio", "epoca"))
+        if begun != since:
+            left = [tuple(x) for x in self.epochs.get() if tuple(x) > begun] if self.epochs.exists() else []
+            self.epochs.clear()
+            if left:
+                self.epochs.put(left)
+            n, since = len(left), begun
+        own = [(*k, None if pd.isna(e) else int(e)) for k, kind, e in zip(keys, kinds, new["epoca"].tolist(), strict=True) if kind == "epoca" and (since is None or k > since)]
+        if own:
+            self.epochs.appendList([x[:2] for x in own])
+            n += len(own)
+        pair = lambda x: (None, None) if x is None else x
+        self.run.update((starts, *pair(since), n, *pair(state), *pair(last)))
+        named = lambda x: None if x is None else {"ts": x[0], "id": x[1]}
+        yield pd.DataFrame({"run": [key[0]], "starts": [starts], "n_epochs": [n], "since": [named(since)], "epochs": [[{"ts": a, "id": b, "epoch": e} for a, b, e in own]], "state": [named(state)], "last": [named(last)]})
+
+    def close(self) -> None:
+        pass
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def fold_runs(stream: DataFrame, folder: str) -> DataFrame:
-    """State of each run after all events there are: run, starts, n_epochs, epochs since the last start.
+    """State of each run after all events there are: run, starts, n_epochs, epochs since the last start, state_event (the
+    last estado_gerador's event_id; the last wins) and is_current (of the run with the last inicio or epoca of all).
 
-    Events of a batch are taken in the order of (ts, event_id), batches in that of arrival, so the
-    result is that of grouping.run_state as long as no batch brings events older than an
-    earlier one's. A run's state holds its epochs since its last start, no more.
+    Events count in the order of (ts, event_id), in whatever files and batches they come, so the result is that of
+    grouping.run_state. What a batch writes are its own epochs and the numbers of its runs; state and
+    output grow with the batch, not with the runs' past.
     """
-    used = stream.where(F.col("tipo").isin("inicio", "epoca"))
-    states = used.groupBy("run").applyInPandasWithState(_fold, _OUT, "starts bigint, epochs array<int>", "update", GroupStateTimeout.NoTimeout)
-    to = f"{folder}/states"
+    spark, to = stream.sparkSession, f"{folder}/states"
+    used = stream.where(F.col("tipo").isin("inicio", "epoca", "estado_gerador")).select("run", F.unix_micros("ts").alias("ts"), "event_id", "tipo", "epoca")
+    states = used.groupBy("run").transformWithStateInPandas(_Runs(), _FOLDED, "Update", "None")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{to}/batch={number}")
 
-    drain(states, "update", folder, put)
-    rows = stream.sparkSession.read.schema(f"{_OUT}, batch bigint").parquet(to)
-    last = rows.groupBy("run").agg(F.max_by(F.struct("starts", "n_epochs", "epochs"), "batch").alias("s"))
-    return last.select("run", "s.*")
-
-
-def tumbling(stream: DataFrame, folder: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """start, event_type, n: events by window and type. Windows still open at the end are there too.
-
-    Each batch writes only the counts that it changes; the last of each window is its count. Windows
-    that the watermark has passed leave the state.
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        drain(states, "update", folder, put)
+    finally:
+        spark.conf.set(_STORE, before)
+    rows = spark.read.schema(f"{_FOLDED}, batch bigint").parquet(to)
+    last = rows.groupBy("run").agg(F.max_by(F.struct("starts", "n_epochs", "since", "state", "last"), "batch").alias("s")).where("s.last is not null").select("run", "s.*")
+    epochs = rows.select("run", F.explode("epochs").alias("e")).join(last.select("run", "since"), "run").where("since is null or e.ts > since.ts or (e.ts = since.ts and e.id > since.id)")
+    lists = epochs.groupBy("run").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["epoch"]).alias("epochs"))
+    current = last.agg(F.max_by("run", F.struct("last", "run")).alias("_current"))
+    out = last.join(lists, "run", "left").crossJoin(F.broadcast(current))
+    return out.select("run", "starts", "n_epochs", F.coalesce("epochs", F.array().cast("array<int>")).alias("epochs"), F.col("state.id").alias("state_event"), (F.col("run") == F.col("_current")).alias("is_current"))
+
+
+def tumbling(stream: DataFrame, folder: str, width: str = "1 day", late: str = "1 day", ident: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts (start, event_type, n) of events by window and type, windows that are still open among them, and the events that came
+    too late. With `ident` repeats of an event count once, as long as the watermark has not passed them.
+
+    An event is late when the watermark, the greatest ts of earlier batches less `late`, has passed the end of its
+    window. Spark drops such rows without a word, so each batch is parted before it is counted: what is late goes to a table of
+    its own, and nothing is lost: counts and late events together are all events. A batch writes the counts
+    of its own events, which add up; the watermark of each batch is kept beside them, so that a
+    batch that is repeated parts its events alike.
     """
-    counts = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    to = f"{folder}/windows"
+    spark, kind = stream.sparkSession, stream.schema
+
+    def watermark(number: int) -> DataFrame:
+        """One row: the watermark for a batch, null for the first."""
+        marks = spark.read.schema("mark timestamp, batch bigint").parquet(f"{folder}/marks") if storage.exists(spark, f"{folder}/marks") else spark.createDataFrame([], "mark timestamp, batch bigint")
+        return marks.where(F.col("batch") < number).agg((F.max("mark") - F.expr(f"interval {late}")).alias("_mark"))
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("window.start").alias("start"), "event_type", "n").write.mode("overwrite").parquet(f"{to}/batch={number}")
+        parted = storage.checkpoint(batch.withColumn("_window", F.window("ts", width)).crossJoin(F.broadcast(watermark(number))))
+        behind = F.coalesce(F.col("_window.end") <= F.col("_mark"), F.lit(False))
+        parted.where(behind).select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        fresh = parted.where(~behind)
+        if ident:
+            fresh = fresh.dropDuplicates([ident])
+            if storage.exists(spark, f"{folder}/seen"):
+                seen = spark.read.schema(f"{ident} {dict(stream.dtypes)[ident]}, ts timestamp, batch bigint").parquet(f"{folder}/seen").where(F.col("batch") < number)
+                fresh = fresh.join(seen.crossJoin(F.broadcast(watermark(number))).where("_mark is null or ts >= _mark").select(ident), ident, "left_anti")
+            fresh = storage.checkpoint(fresh)
+            fresh.select(ident, "ts").write.mode("overwrite").parquet(f"{folder}/seen/batch={number}")
+        counts = fresh.groupBy(F.col("_window.start").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{folder}/windows/batch={number}")
+        parted.agg(F.max("ts").alias("mark")).write.mode("overwrite").parquet(f"{folder}/marks/batch={number}")
 
-    drain(counts, "update", folder, put)
-    rows = stream.sparkSession.read.schema("start timestamp, event_type string, n bigint, batch bigint").parquet(to)
-    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    drain(stream, "append", folder, put)
+    counts = spark.read.schema("start timestamp, event_type string, n bigint, batch bigint").parquet(f"{folder}/windows")
+    behind = spark.read.schema(kind).parquet(f"{folder}/late")
+    return counts.groupBy("start", "event_type").agg(F.sum("n").alias("n")), behind
 
 
 def once(stream: DataFrame, ident: str, late: str = "1 day") -> DataFrame:

@@ -17,11 +17,11 @@ def digest(text):
 
 
 REAL = {
-    "id": "r1", "tecnica": "troca_foto", "documento_origem": "datasets\\reais\\legitimos\\WhatsApp Image 1.jpeg", "tipo_documento": "rg",
-    "arquivo_gerado": "WhatsApp Image 1__troca_foto_0.png", "rotulo": "fraude", "gerador": "x",
-    "parametros": {"modo": "alinhado", "fonte_rosto": "datasets/reais/outra pessoa.jpeg", "texto_original": "Fulano", "partes": [{"de": "a\\b", "n": 1}, 0.5]},
+    "id": "r1", "tecnica": "troca_foto", "documento_origem": "acervo\\cartorio\\pasta 7\\Escritura antiga.jpeg", "tipo_documento": "rg",
+    "arquivo_gerado": "Escritura antiga__lote9_3.png", "rotulo": "fraude", "gerador": "x",
+    "parametros": {"passo": 4, "vizinho": "acervo/cartorio/folha solta.jpeg", "texto_original": "Beltrana", "partes": [{"de": "a\\b", "n": 1}, 0.5]},
 }
-BID = {"id": "b1", "tecnica": "edicao_campos", "documento_origem": "datasets/BID/1_in.jpg", "arquivo_gerado": "1__edicao.png", "parametros": {"texto_original": "NOME SINTETICO", "origem": "bid"}}
+BID = {"id": "b1", "tecnica": "edicao_campos", "documento_origem": "gerados/lote2/17.jpg", "arquivo_gerado": "17__cor.png", "parametros": {"texto_original": "TEXTO INVENTADO", "semente": 17}}
 
 
 def put(folder, manifest, name):
@@ -46,10 +46,10 @@ def test_ingest_end_to_end(spark, root):
     assert set(rows) == {"r1", "b1", "l1"} and len(rows["r1"]) == 15
     real = rows["r1"]
     document = digest(REAL["documento_origem"])
-    assert (real["documento_id"], real["arquivo"], real["fonte_dados"]) == (document, f"{document}__troca_foto_0.png", "reais")
-    assert json.loads(real["parametros"]) == {"modo": "alinhado", "fonte_rosto": digest(REAL["parametros"]["fonte_rosto"]), "partes": [{"de": digest("a\\b"), "n": 1}, 0.5]}
-    assert not any(word in str(real) for word in ("WhatsApp", "legitimos", ".jpeg", "Fulano"))
-    assert json.loads(rows["b1"]["parametros"]) == BID["parametros"] and rows["b1"]["arquivo"] == "1__edicao.png" and rows["b1"]["rotulo"] == "fraude"
+    assert (real["documento_id"], real["arquivo"], real["fonte_dados"]) == (document, f"{document}__lote9_3.png", "reais")
+    assert json.loads(real["parametros"]) == {"passo": 4, "vizinho": digest(REAL["parametros"]["vizinho"]), "partes": [{"de": digest("a\\b"), "n": 1}, 0.5]}
+    assert not any(word in str(real) for word in ("Escritura", "cartorio", ".jpeg", "Beltrana"))
+    assert json.loads(rows["b1"]["parametros"]) == BID["parametros"] and rows["b1"]["arquivo"] == "17__cor.png" and rows["b1"]["rotulo"] == "fraude"
     assert (rows["l1"]["rotulo"], rows["l1"]["parametros"], rows["l1"]["parametros_captura"], rows["l1"]["arquivo"]) == ("legitimo", "{}", "{}", "")
     put(root / "in/bid_fraude/edicao", BID | {"dificuldade": "media"}, "b")
     put(root / "in/bid_fraude/edicao", BID | {"id": "b2"}, "e")
@@ -101,7 +101,7 @@ def test_annotation_encodings(spark, tmp_path, mark, raw, text):
 
 def newton(x, y, c=1.0):
     """Logistic regression with a summed loss and a penalty on all weights but the first."""
-    mean, sd = x.mean(axis=0), x.std(axis=0, ddof=1)
+    mean, sd = x.mean(axis=0), x.std(axis=0)
     a = np.column_stack((np.ones(len(x)), (x - mean) / sd))
     w, keep = np.zeros(a.shape[1]), np.diag([0.0] + [1 / c] * x.shape[1])
     for _ in range(50):
@@ -153,15 +153,16 @@ def test_folds_are_stratified(spark, samples):
 
 
 def test_training_events(spark, samples, tmp_path):
-    events = protocols.training_events(samples, "v", "key", "grupo", "run7")
+    events = protocols.training_events(samples, "v", "key", "grupo", "run7", epochs=25, hidden=16, rate=0.01)
     rows = events.collect()
     kinds = [r["tipo"] for r in rows]
-    assert kinds[:2] == ["inicio", "estado_gerador"] and kinds[-1] == "fim" and set(kinds[2:-1]) == {"epoca"}
-    loss = [r["loss_treino"] for r in rows[2:-1]]
-    assert loss[-1] < loss[0] and [r["epoca"] for r in rows[2:-1]] == list(range(1, len(loss) + 1))
+    assert kinds == ["inicio", "estado_gerador", *["epoca"] * 25, "fim"]
+    epochs = rows[2:-1]
+    assert epochs[-1]["loss_treino"] < epochs[0]["loss_treino"] and [r["epoca"] for r in epochs] == list(range(1, 26))
+    assert all(r["loss_val"] > 0 and 0 <= r["auc_val"] <= 1 and set(r["auc_por_tecnica"]) <= {"t0", "t1", "t2"} and r["auc_por_tecnica"] for r in epochs)
     state = rows[1]
     assert set(state["loto"]) == {"t0", "t1", "t2"} and set(state["logo"]) == {"g0", "g1"} and sum(state["por_tecnica"].values()) == state["n_fraude"] == state["n_legitimo"]
-    assert 0.5 < state["auc_agrupada"] <= 1 and 0 <= rows[-2]["auc_val"] <= 1 and rows[0]["n_treino"] > rows[0]["n_val"]
+    assert 0.5 < state["auc_agrupada"] <= 1 and rows[0]["n_treino"] > rows[0]["n_val"]
     to = str(tmp_path / "log")
     sinks.append_events(events, to, "run7")
     assert files.events(spark, to).count() == len(rows)
