@@ -69,8 +69,8 @@ def _value(whole: Column) -> Column:
     bare = _once(F.regexp_replace(whole, _NAMED, ""), lambda v: F.when(F.length(v) >= 16, v).otherwise(whole))
     block = F.startswith(whole, F.lit("-----BEGIN "))
     url = F.startswith(whole, F.lit("://"))
-    told = whole.rlike(f"^{_SECRET}{_TO}")
-    return F.when(block, whole).when(url, F.regexp_extract(whole, r"^://[^:]*:(.*)$", 1)).when(told, F.regexp_replace(whole, f"^{_SECRET}{_TO}", "")).otherwise(bare)
+    told = rf"^[A-Za-z0-9_\-]{{0,20}}?{_SECRET}{_TO}"
+    return F.when(block, whole).when(url, F.regexp_extract(whole, r"^://[^:]*:(.*)$", 1)).when(whole.rlike(told), F.regexp_replace(whole, told, "")).otherwise(bare)
 
 
 def _name(whole: Column) -> Column:
