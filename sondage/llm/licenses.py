@@ -33,7 +33,6 @@ SENTENCES = {
     "mit_3": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "mit_4": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "json_1": "The Software shall be used for Good, not Evil.",
-    "x11_1": "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium.",
     "ncsa_1": "to deal with the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "isc_1": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "isc_1b": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -63,8 +62,6 @@ SENTENCES = {
     "bsd_1": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd_2": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd_3": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd_4": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "bsd_4b": "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd_ad": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
     "mpl_1": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "mpl_2": "If a copy of the MPL was not distributed with this file, You can obtain one at",
@@ -180,7 +177,7 @@ RULES = {
     "MIT": ["mit_1,mit_2,mit_3,mit_4", "mit_1,mit_2,mit_3", "mit_1,mit_2"],
     "MIT-0": ["mit0_1,mit_3,mit_4", "mit0_1,mit_3"],
     "JSON": ["mit_1,mit_2,json_1,mit_3,mit_4", "mit_1,mit_2,json_1"],
-    "X11": ["mit_1,mit_2,mit_3,x11_1", "x11_1"],
+    "X11": ["mit_1,mit_2,mit_3,mit_4,x11_1", "mit_1,mit_2,mit_3,x11_1", "x11_1"],
     "NCSA": ["ncsa_1,bsd_2,bsd_3", "ncsa_1"],
     "ISC": ["isc_1", "isc_1b"],
     "0BSD": ["bsd0_1"],
@@ -196,8 +193,8 @@ RULES = {
     "AGPL-3.0": ["agpl3_title", "agpl_3.0,gpl_2,gpl_3,agpl_4", "agpl_3.0"],
     "GFDL-1.2": ["gfdl12_title"],
     "GFDL-1.3": ["gfdl13_title"],
-    "BSD-4-Clause": ["bsd_1,bsd_2,bsd_3,bsd_ad,bsd_4", "bsd_1,bsd_2,bsd_3,bsd_ad"],
-    "BSD-3-Clause": ["bsd_1,bsd_2,bsd_3,bsd_4", "bsd_1,bsd_2,bsd_3,bsd_4b"],
+    "BSD-4-Clause": ["bsd_1,bsd_2,bsd_3,bsd_ad,bsd_4", "bsd_1,bsd_2,bsd_3,bsd_ad", "bsd_1,bsd_2,bsd_ad,bsd_3"],
+    "BSD-3-Clause": ["bsd_1,bsd_2,bsd_3,bsd_4", "bsd_1,bsd_2,bsd_3,bsd_4b", "bsd_1,bsd_2,bsd_3,bsd_4c"],
     "BSD-2-Clause": ["bsd_1,bsd_2,bsd_3"],
     "MPL-1.1": ["mpl11_1"],
     "MPL-2.0": ["mpl_1,mpl_2", "mpl_1", "mpl_title"],
@@ -231,10 +228,25 @@ RULES = {
 
 #: How notices begin, between that and the name, and what may follow a name.
 VERBS = ["licensed", "licenced", "released", "distributed", "available", "published", "provided", "offered", "covered", "redistributed"]
-BETWEEN = ["under", "under the", "under a", "under an", "under the terms of", "under the terms of the", "under the terms and conditions of the", "under the conditions of the", "by the"]
+BETWEEN = ["under", "under the", "under a", "under an", "under the terms of", "under the terms of the", "under the terms and conditions of the", "under the conditions of the", "under either", "under either of", "under either the", "under either of the"]
+#: Beginnings after which a name counts only with the word license.
+NAMED = ["uses the", "use the", "using the", *(f"{v} by the" for v in VERBS)]
+#: Sentences with the name of a holder in them, as what stands before and after it, by identifier.
+HOLDERS = {
+    "bsd_4": ("neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "bsd_4c": ("neither the names of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "bsd_4b": ("the name of", "may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    "x11_1": ("except as contained in this notice the name of", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization"),
+}
+#: Words that a holder's name has at most.
+_HOLDER = 20
 AFTER = ["", "license", "licence"]
 TAG = "spdx license identifier"
 TAG_AFTER = ["", "only", "or later"]
+#: What "license:" and its like become, so that it differs from the word license before a name.
+COLON = "licensecolon"
+#: Words between the names of a list.
+AND = ["or", "and", "and or", "or the", "and the"]
 
 #: Every known sentence, notice and tag has a match of this in the text; texts without any need no look.
 ANCHORS = r"licen|permission|copyright|software|warrant|reserved|spdx|universal|charityware|redistribut|acknowledgement|mpl\W+was|to\W+deal|terms\W+and|do\W+what|this\W+notice|(?:released|distributed|available|published|provided|offered|covered)\W+(?:under|by)"
@@ -254,6 +266,9 @@ def _gnu() -> dict[str, str]:
                 head = f"This {work} is free software: you can redistribute it and/or modify it under the terms of the {name}"
                 to = f"{short}_{v if '.' in v else v + '.0'}"
                 out[_squeeze(f"{head} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version")] = to
+                out[_squeeze(f"{head} as published by the Free Software Foundation, either version {v}, or (at your option) any later version")] = to
+                out[_squeeze(f"{head} as published by the Free Software Foundation, version {v}")] = to
+                out[_squeeze(f"{head} as published by the Free Software Foundation; only version {v}")] = to
                 out[_squeeze(f"{head} version {v} as published by the Free Software Foundation")] = to
     return out
 
@@ -281,8 +296,17 @@ def _names() -> dict[str, str]:
     return {n: to for to, names in NAMES.items() for n in names}
 
 
-_NOTICE = rf"{_trie(VERBS)} {_trie(BETWEEN)} "
-_PATTERN = rf"(?<![a-z0-9])(?:{_trie(list(known()))}|{_NOTICE}{_trie(list(_names()))}(?: licen[sc]e)?|{TAG} {_trie([names[0] for names in NAMES.values()])}(?: only| or later)?)(?![a-z0-9])"
+def _licensed() -> list[str]:
+    """Names that have the word license in them."""
+    return [n for n in _names() if re.search("licen[sc]e", n)]
+
+
+_NAME = f"{_trie(list(_names()))}(?: licen[sc]e)?"
+_NOTICE = rf"(?:{_trie(VERBS)} {_trie(BETWEEN)}|{COLON}) "
+_BY = rf"{_trie(NAMED)} "
+_MORE = rf"(?: {_trie(AND)} {_NAME})*"
+_GAPS = "|".join(rf"{a} (?:[a-z0-9]+ ){{1,{_HOLDER}}}?{b}" for a, b in HOLDERS.values())
+_PATTERN = rf"(?<![a-z0-9])(?:{_trie(list(known()))}|{_GAPS}|{_NOTICE}{_NAME}{_MORE}|{_BY}(?:{_trie(list(_names()))} licen[sc]e|{_trie(_licensed())}){_MORE}|{TAG} {_trie([names[0] for names in NAMES.values()])}(?: only| or later)?)(?![a-z0-9])"
 
 
 def words(text: Column) -> Column:
@@ -295,6 +319,8 @@ def words(text: Column) -> Column:
         at = F.instr(x, tag)
         return F.when(at > 0, F.concat(F.left(x, at), F.regexp_replace(F.substring(x, at + 1, F.length(x)), r" (?:or|and) ", f" {tag} "))).otherwise(x)
 
+    # license: X, "license": "X"
+    folded = F.when(F.contains(folded, F.lit("licen")), F.regexp_replace(folded, r"\blicen[sc]es?\x22?[ \t]*[:=][ \t]*\x22?", f" {COLON} ")).otherwise(folded)
     tagged = F.when(F.contains(folded, F.lit(tag)), F.array_join(F.transform(F.split(folded, "\n"), line), "\n")).otherwise(folded)
     return F.trim(F.regexp_replace(tagged, "[^a-z0-9]+", " "))
 
@@ -322,11 +348,17 @@ def scan(documents: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     hits = F.regexp_extract_all(words(text), F.lit(f"({_PATTERN})"), 1)
-    bare = lambda s: F.regexp_replace(F.regexp_replace(s, rf"^(?:{_NOTICE}|{TAG} )", ""), "(?<=.) (?:licen[sc]e|only|or later)$", "")
-    whole = lambda s: F.regexp_replace(s, rf"^(?:{_NOTICE}|{TAG} )", "")
+    lead = rf"^(?:{_NOTICE}|{_BY}|{TAG} )"
+    bare = lambda s: F.regexp_replace(s, "(?<=.) (?:licen[sc]e|only|or later)$", "")
     sentences, names = _map(known()), _map({n: f"={to}" for n, to in _names().items()})
-    to = lambda s: F.coalesce(sentences[s], names[whole(s)], names[bare(s)])
-    found = F.when(text.rlike(f"(?i){ANCHORS}"), F.transform(hits, to)).otherwise(F.array().cast("array<string>"))
+    name = lambda s: F.coalesce(names[s], names[bare(s)])
+    # a list is cut before each word between names behind which another name stands
+    several = lambda s: F.transform(F.split(F.regexp_replace(s, rf" {_trie(AND)} (?={_NAME}(?: {_trie(AND)} |$))", ";"), ";"), name)
+    notice = lambda s: F.when(name(s).isNotNull(), F.array(name(s))).otherwise(F.filter(several(s), lambda x: x.isNotNull()))
+    holder = F.lit(None).cast("string")
+    gap = lambda s: F.coalesce(*[F.when(s.startswith(f"{a} ") & s.endswith(f" {b}"), F.lit(k)) for k, (a, b) in HOLDERS.items()], holder)
+    to = lambda s: F.when(sentences[s].isNotNull(), F.array(sentences[s])).when(gap(s).isNotNull(), F.array(gap(s))).otherwise(notice(F.regexp_replace(s, lead, "")))
+    found = F.when(text.rlike(f"(?i){ANCHORS}"), F.flatten(F.transform(hits, to))).otherwise(F.array().cast("array<string>"))
     out = documents.withColumn("license_sentences", found)
     # Each rule in turn takes its sequences out of the row's identifiers and leaves its name.
     rest = F.concat(F.lit(";"), F.array_join("license_sentences", ";;"), F.lit(";"))
@@ -352,20 +384,42 @@ def _oracle() -> str:
     for seq, name in _rules():
         rest = f"replace({rest}, {quote(';' + seq.replace(',', ';;') + ';')}, {quote('<' + name + '>')})"
     return rf"""
-WITH names(n, id) AS (VALUES {values((n, '=' + to) for n, to in _names().items())}),
+WITH RECURSIVE names(n, id) AS (VALUES {values((n, '=' + to) for n, to in _names().items())}),
 tags(n, id) AS (VALUES {values((names[0], '=' + to) for to, names in NAMES.items())}),
+lead AS (
+  SELECT v || ' ' || b AS p, false AS must FROM (VALUES {values((v,) for v in VERBS)}) v(v), (VALUES {values((b,) for b in BETWEEN)}) b(b)
+  UNION ALL SELECT '{COLON}', false UNION ALL SELECT p, true FROM (VALUES {values((v,) for v in NAMED)}) n(p)),
+called AS (SELECT DISTINCT n || a AS s, id, len(string_split(n || a, ' ')) AS k FROM names, (VALUES {values((f' {a}' if a else '',) for a in AFTER)}) a(a)),
 known AS (
-  SELECT s, id FROM (VALUES {values(known().items())}) k(s, id)
-  UNION ALL SELECT v || ' ' || b || ' ' || n || a, id FROM (VALUES {values((v,) for v in VERBS)}) v(v), (VALUES {values((b,) for b in BETWEEN)}) b(b), names, (VALUES {values((f' {a}' if a else '',) for a in AFTER)}) a(a)
-  UNION ALL SELECT '{TAG} ' || n || a, id FROM tags, (VALUES {values((f' {a}' if a else '',) for a in TAG_AFTER)}) a(a)),
-sized AS (SELECT s, min(id) AS id, len(string_split(s, ' ')) AS k, split_part(s, ' ', 1) AS first, split_part(s, ' ', 2) AS second FROM known GROUP BY s),
-d AS (SELECT row_number() OVER () AS ord, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+  SELECT s, id, 0 AS lead FROM (VALUES {values(known().items())}) k(s, id)
+  UNION ALL SELECT p || ' ' || s, id, 1 FROM lead, called WHERE NOT must OR regexp_matches(s, 'licen[sc]e')
+  UNION ALL SELECT '{TAG} ' || n || a, id, 0 FROM tags, (VALUES {values((f' {a}' if a else '',) for a in TAG_AFTER)}) a(a)),
+sized AS (SELECT s, min(id) AS id, max(lead) AS lead, len(string_split(s, ' ')) AS k, split_part(s, ' ', 1) AS first, split_part(s, ' ', 2) AS second FROM known GROUP BY s),
+holder(id, a, b) AS (VALUES {values((k, a, b) for k, (a, b) in HOLDERS.items())}),
+d AS (SELECT row_number() OVER () AS ord, doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\blicen[sc]es?"?[ \t]*[:=][ \t]*"?', ' {COLON} ', 'g') AS text FROM documents),
 line AS (SELECT ord, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS i FROM (SELECT ord, string_split(text, chr(10)) AS p FROM d)),
 tagged AS (
   SELECT ord, i, CASE WHEN contains(x, 'spdx-license-identifier:') THEN left(x, instr(x, 'spdx-license-identifier:')) || regexp_replace(substr(x, instr(x, 'spdx-license-identifier:') + 1), ' (or|and) ', ' spdx-license-identifier: ', 'g') ELSE x END AS x FROM line),
 w AS (SELECT ord, flatten(list(regexp_extract_all(x, '[a-z0-9]+') ORDER BY i)) AS w FROM tagged GROUP BY ord),
 spot AS (SELECT ord, w, unnest(range(1, len(w) + 1)) AS i FROM w),
-hit AS (SELECT ord, i, k, id FROM spot JOIN sized ON w[i] = first AND w[i + 1] = second AND array_to_string(w[i : i + k - 1], ' ') = s),
+plain AS (SELECT ord, w, i, k, id, lead FROM spot JOIN sized ON w[i] = first AND w[i + 1] = second AND array_to_string(w[i : i + k - 1], ' ') = s),
+longest AS (SELECT * FROM plain a WHERE lead = 1 AND NOT EXISTS (SELECT 1 FROM plain b WHERE b.ord = a.ord AND b.i = a.i AND b.k > a.k)),
+between AS (SELECT x, len(string_split(x, ' ')) AS k FROM (VALUES {values((a,) for a in AND)}) t(x)),
+best AS (
+  SELECT s.ord, s.i, arg_max(c.id, n.k * 100 + c.k) AS id, arg_max(n.k + c.k, n.k * 100 + c.k) AS k
+  FROM (SELECT * FROM spot WHERE ord IN (SELECT ord FROM longest) AND w[i] IN ('or', 'and')) s
+  JOIN between n ON array_to_string(s.w[s.i : s.i + n.k - 1], ' ') = n.x JOIN called c ON array_to_string(s.w[s.i + n.k : s.i + n.k + c.k - 1], ' ') = c.s GROUP BY s.ord, s.i),
+chain AS (
+  SELECT ord, i AS begun, i, k, id FROM longest
+  UNION ALL SELECT c.ord, c.begun, b.i, b.k, b.id FROM chain c JOIN best b ON b.ord = c.ord AND b.i = c.i + c.k),
+gap AS (
+  SELECT s.ord, s.i, h.id, min(e) - s.i + len(string_split(h.b, ' ')) AS k
+  FROM spot s JOIN holder h ON array_to_string(s.w[s.i : s.i + len(string_split(h.a, ' ')) - 1], ' ') = h.a,
+    LATERAL (SELECT unnest(range(s.i + len(string_split(h.a, ' ')) + 1, s.i + len(string_split(h.a, ' ')) + {_HOLDER} + 1)) AS e) l
+  WHERE array_to_string(s.w[e : e + len(string_split(h.b, ' ')) - 1], ' ') = h.b GROUP BY s.ord, s.i, h.id, h.b),
+hit AS (
+  SELECT ord, i, k, id FROM plain UNION ALL SELECT ord, i, k, id FROM gap
+  UNION ALL SELECT ord, i, k, id FROM chain c WHERE i > begun),
 free AS (SELECT * FROM hit a WHERE NOT EXISTS (SELECT 1 FROM hit b WHERE b.ord = a.ord AND b.k > a.k AND b.i <= a.i AND b.i + b.k >= a.i + a.k)),
 seq AS (SELECT ord, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids_comma, string_agg(id, ';;' ORDER BY i) AS ids FROM free GROUP BY ord),
 named AS (SELECT ord, n, ids_comma, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace({rest}, ';=([^;]+);', '<\1>', 'g'), '<([^>]+)>', 1))), ',') AS licenses FROM seq)

@@ -286,7 +286,7 @@ def test_secrets(spark, docs, empty):
 def test_licenses(spark, docs, empty):
     s = licenses.SENTENCES
     full = "\n".join(['Licensed under the Apache License, Version 2.0 (the "License");', *(s[k] for k in ("apache_2", "apache_3", "apache_4", "apache_5"))])
-    rows = [(1, f"Foo bar.\n{full}\nend"), (2, "x. Released under the MIT License. y"), (3, "This work is licensed under the GNU General Public License, version 3.".upper() + " Licensed under CC BY-NC 4.0."), (4, s["apache_2"]), (5, None), (6, "licensed to nobody"), (7, " ".join([s["bsd_1"], s["bsd_2"], s["bsd_3"], s["bsd_4"]])), (8, " ".join([s["bsd_1"], s["bsd_2"], s["bsd_3"]]))]
+    rows = [(1, f"Foo bar.\n{full}\nend"), (2, "x. Released under the MIT License. y"), (3, "This work is licensed under the GNU General Public License, version 3.".upper() + " Licensed under CC BY-NC 4.0."), (4, s["apache_2"]), (5, None), (6, "licensed to nobody"), (7, " ".join([s["bsd_1"], s["bsd_2"], s["bsd_3"], "Neither the name of Foo nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."])), (8, " ".join([s["bsd_1"], s["bsd_2"], s["bsd_3"]]))]
     got = {r["doc_id"]: list(r["licenses"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: ["CC-BY-NC-4.0", "GPL-3.0"], 4: [], 5: [], 6: [], 7: ["BSD-3-Clause"], 8: ["BSD-2-Clause"]}
     assert licenses.scan(docs).count() == len(corpus()) and licenses.scan(empty).count() == 0
