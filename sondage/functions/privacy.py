@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed value: a string with a slash or backslash, or that ends as an image file does.
 PATH_LIKE = r"(?i)[/\\]|\.(?:jpe?g|png|tif?f|bmp)$"
@@ -49,39 +43,28 @@ def drop_sensitive(values: Column, keys: tuple[str, ...] = SENSITIVE) -> Column:
     return F.map_filter(values, lambda k, v: ~k.isin(*keys))
 
 
-def _clean(v: object) -> object:
-    if isinstance(v, str):
-        return hashlib.sha256(v.encode()).hexdigest()[:16] if re.search(PATH_LIKE, v) else v
-    if isinstance(v, dict):
-        return {k: _clean(x) for k, x in v.items()}
-    return [_clean(x) for x in v] if isinstance(v, list) else v
-
+#: Tokens of JSON text: a string, with the colon behind it if it is a key, or what stands between strings.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[^"]++'
 
-@F.pandas_udf(T.StringType())
-def sanitize_json(texts: pd.Series) -> pd.Series:
-    """JSON text with every path-like string in it, at any depth, as its pseudonym. Null for a
-    text that is not JSON. The one place where depth is open, so it runs in Arrow batches."""
 
-    def one(t: str | None) -> str | None:
-        try:
-            return None if t is None else json.dumps(_clean(json.loads(t)), ensure_ascii=False)
-        except ValueError:
-            return None
+def sanitize_json(text: Column) -> Column:
+    """JSON text with every path-like string in it, at any depth, as its pseudonym; keys and all else stay
+    as they are written. Null for a text that is not JSON.
 
-    return texts.map(one)
+    The text is read as a sequence of strings and what stands between them, so that depth doesn't matter and nothing
+    leaves the JVM. A string is judged by its characters, its escapes resolved.
+    """
 
+    def clean(t: Column) -> Column:
+        plain = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]
+        return F.when(t.startswith('"') & t.endswith('"') & path_like(plain), F.concat(F.lit('"'), document_id(plain), F.lit('"'))).otherwise(t)
 
-@F.pandas_udf(T.StringType())
-def sanitize_parameters(texts: pd.Series) -> pd.Series:
-    """As sanitize_json, and without the sensitive keys of the top level."""
+    cleaned = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), 0), clean), "")
+    return F.when(F.try_parse_json(text).isNotNull(), cleaned)
 
-    def one(t: str | None) -> str | None:
-        try:
-            value = None if t is None else json.loads(t)
-        except ValueError:
-            return None
-        if isinstance(value, dict):
-            value = {k: v for k, v in value.items() if k not in SENSITIVE}
-        return None if value is None else json.dumps(_clean(value), ensure_ascii=False)
 
-    return texts.map(one)
+def sanitize_parameters(value: Column, keys: tuple[str, ...] = SENSITIVE) -> Column:
+    """A VARIANT as sanitize_json has it, and without the sensitive keys of its top level."""
+    top = F.try_variant_get(value, "$", "map<string,variant>")
+    text = F.when(top.isNotNull(), F.to_json(F.map_filter(top, lambda k, v: ~k.isin(*keys)))).otherwise(F.to_json(value))
+    return F.try_parse_json(sanitize_json(text))

@@ -21,8 +21,7 @@ def sample_rows(manifests: DataFrame) -> DataFrame:
     """
     real = F.col("fonte_dados").eqNullSafe("reais")
     empty = F.parse_json(F.lit("{}"))
-    text = F.to_json("parametros")
-    clean = F.when(real, F.try_parse_json(privacy.sanitize_parameters(F.when(real, text)))).otherwise(F.col("parametros"))
+    clean = F.when(real, privacy.sanitize_parameters(F.col("parametros"))).otherwise(F.col("parametros"))
     document = privacy.document_id(F.coalesce("documento_origem", F.lit("")))
     name = F.coalesce("arquivo_gerado", F.lit(""))
     values = {

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import display, fields, privacy
+from ..operators import auc as A
 from ..operators import grouping, pairing
 from ..sources.files import table
 from . import views
 from .registry import B as BOXES
-from .registry import GRID, query, r6
+from .registry import D, auc, hist, query, r6
 
 PATH = privacy.PATH_LIKE
 
@@ -136,29 +137,39 @@ def char_coverage(spark, d):
     return table(spark, d, "part").select("p_partkey", r6(fields.char_coverage(F.col("p_name"), bank)).alias("coverage"))
 
 
-@query("format_auc", f"WITH {GRID} SELECT CAST(i AS BIGINT) AS i, CASE WHEN v IS NULL OR isnan(v) THEN '—' ELSE replace(printf('%.3f', v), '.', ',') END AS shown FROM S")
+#: AUC of each source and language of documents, null where it has one class only, and of the source as a whole.
+_AREAS = f"""WITH {D}, h AS ({hist('D', 'fonte, tecnica')}), hs AS ({hist('D', 'fonte')}), per AS ({auc('h', 'fonte, tecnica', None)}), whole AS ({auc('hs', 'fonte', None)}),
+  A AS (SELECT g.fonte, g.tecnica, round(per.auc, 6) AS v, round(whole.auc, 6) AS sep FROM (SELECT DISTINCT source AS fonte, lang AS tecnica FROM documents) g LEFT JOIN per ON per.fonte = g.fonte AND per.tecnica = g.tecnica LEFT JOIN whole ON whole.fonte = g.fonte)"""
+
+
+def _areas(spark, d):
+    rows = views.texts(spark, d)
+    kinds = table(spark, d, "documents").select(F.col("source").alias("fonte"), F.col("lang").alias("tecnica")).distinct()
+    per, whole = A.auc(rows, ("fonte", "tecnica")), A.auc(rows, ("fonte",))
+    return kinds.join(per.select("fonte", "tecnica", r6("auc").alias("v")), ["fonte", "tecnica"], "left").join(whole.select("fonte", r6("auc").alias("sep")), "fonte", "left")
+
+
+@query("format_auc", f"{_AREAS} SELECT fonte, tecnica, CASE WHEN v IS NULL THEN '—' ELSE replace(printf('%.3f', v), '.', ',') END AS shown FROM A")
 def format_auc(spark, d):
-    return views.score_grid(spark).select("i", display.format_auc(F.col("v")).alias("shown"))
+    return _areas(spark, d).select("fonte", "tecnica", display.format_auc(F.col("v")).alias("shown"))
 
 
-@query("auc_band", f"""WITH {GRID} SELECT CAST(i AS BIGINT) AS i, CASE WHEN v IS NULL OR isnan(v) THEN 'info' WHEN v < 0.55 THEN 'ok' WHEN v < 0.7 THEN 'info' WHEN v < 0.9 THEN 'warn' ELSE 'bad' END AS variante,
-  CASE WHEN v IS NULL OR isnan(v) THEN '—' WHEN v < 0.55 THEN 'não distingue' WHEN v < 0.7 THEN 'sinal fraco' WHEN v < 0.9 THEN 'sinal forte' ELSE 'suspeito' END AS rotulo FROM S""")
+@query("auc_band", f"""{_AREAS} SELECT fonte, tecnica, CASE WHEN v IS NULL THEN 'info' WHEN v < 0.55 THEN 'ok' WHEN v < 0.7 THEN 'info' WHEN v < 0.9 THEN 'warn' ELSE 'bad' END AS variante,
+  CASE WHEN v IS NULL THEN '—' WHEN v < 0.55 THEN 'não distingue' WHEN v < 0.7 THEN 'sinal fraco' WHEN v < 0.9 THEN 'sinal forte' ELSE 'suspeito' END AS rotulo FROM A""")
 def auc_band(spark, d):
-    return views.score_grid(spark).select("i", display.band(F.col("v")).alias("b")).select("i", "b.*")
+    return _areas(spark, d).select("fonte", "tecnica", display.band(F.col("v")).alias("b")).select("fonte", "tecnica", "b.*")
 
 
-@query("verdict", f"""WITH {GRID}, P AS (SELECT a.i AS i, a.v AS auc, b.sep FROM S a, (SELECT 1 AS k, CAST(NULL AS DOUBLE) AS sep UNION ALL SELECT 2, 0.5 UNION ALL SELECT 3, 0.95) b WHERE a.i < 66)
-  SELECT CAST(i AS BIGINT) AS i, sep, CASE WHEN auc >= 0.7 AND (sep IS NULL OR sep < 0.9) THEN 'bom' WHEN auc >= 0.6 THEN 'meio' ELSE 'ruim' END AS verdict,
-  CASE WHEN auc < 0.55 THEN CASE WHEN i % 2 = 0 THEN 'esperado' ELSE 'sem sinal' END WHEN auc < 0.7 THEN 'sinal fraco' WHEN auc < 0.9 THEN 'consistente' ELSE 'atalho' END AS technique FROM P""")
+@query("verdict", f"""{_AREAS} SELECT fonte, tecnica, CASE WHEN v >= 0.7 AND (sep IS NULL OR sep < 0.9) THEN 'bom' WHEN v >= 0.6 THEN 'meio' ELSE 'ruim' END AS verdict,
+  CASE WHEN v < 0.55 THEN CASE WHEN tecnica = 'en' THEN 'esperado' ELSE 'sem sinal' END WHEN v < 0.7 THEN 'sinal fraco' WHEN v < 0.9 THEN 'consistente' ELSE 'atalho' END AS technique FROM A WHERE v IS NOT NULL""")
 def verdict(spark, d):
-    rows = views.score_grid(spark).where("i < 66").withColumn("sep", F.explode(F.array(F.lit(None).cast("double"), F.lit(0.5), F.lit(0.95))))
-    key = F.when(F.col("i") % 2 == 0, "edicao_campos").otherwise("troca_foto")
-    return rows.select("i", "sep", display.verdict(F.col("v"), F.col("sep")).alias("verdict"), display.technique_text(key, F.col("v")).alias("technique"))
+    key = F.when(F.col("tecnica") == "en", "edicao_campos").otherwise("troca_foto")
+    return _areas(spark, d).where("v is not null").select("fonte", "tecnica", display.verdict(F.col("v"), F.col("sep")).alias("verdict"), display.technique_text(key, F.col("v")).alias("technique"))
 
 
-@query("gauge_position", f"WITH {GRID} SELECT CAST(i AS BIGINT) AS i, round(greatest(0, least(1, (coalesce(CASE WHEN isnan(v) THEN 0.5 ELSE v END, 0.5) - 0.5) / 0.5)) * 100, 6) AS position FROM S")
+@query("gauge_position", f"{_AREAS} SELECT fonte, tecnica, round(greatest(0, least(1, (coalesce(v, 0.5) - 0.5) / 0.5)) * 100, 4) AS position FROM A")
 def gauge_position(spark, d):
-    return views.score_grid(spark).select("i", r6(display.gauge_position(F.col("v"))).alias("position"))
+    return _areas(spark, d).select("fonte", "tecnica", r6(display.gauge_position(F.col("v")), 4).alias("position"))
 
 
 @query("lookup_default", "SELECT event_id, CASE event_type WHEN 'click' THEN 'Clique' WHEN 'view' THEN 'Visita' ELSE event_type END AS nome, ['#4c8dff','#2ea56b','#a78bfa','#c8922a','#d9544d','#22b8cf'][CAST(event_id % 6 AS INT) + 1] AS cor FROM events")

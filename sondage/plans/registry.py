@@ -45,7 +45,6 @@ B = f"""B AS (
   SELECT {KEY} AS key, l_orderkey AS doc, CAST(l_partkey % 1000 AS INT) AS x, CAST(l_suppkey % 500 AS INT) AS y, CAST(l_quantity AS INT) * 10 AS w,
     CAST(round(l_discount * 100) AS INT) * 20 + 10 AS h, p_name AS texto, l_linenumber AS line, l_linenumber % 2 AS block, round(l_tax * 1000) AS conf
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
-GRID = "S AS (SELECT i, round(0.4 + i / 100.0, 2) AS v FROM range(0, 66) t(i) UNION ALL SELECT 66, CAST('NaN' AS DOUBLE) UNION ALL SELECT 67, NULL)"
 
 
 def fold(column: str, folds: int = 5) -> str:

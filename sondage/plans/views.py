@@ -73,11 +73,3 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 CHANGE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "price", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-
-
-def score_grid(spark: SparkSession) -> DataFrame:
-    """Scores from 0.4 to 1.05 by hundredths plus a NaN and a null."""
-    grid = spark.range(0, 66).select(F.col("id").alias("i"), (F.lit(0.4) + F.col("id") / 100).alias("v0"))
-    grid = grid.select("i", F.round("v0", 2).alias("v"))
-    odd = spark.range(66, 68).select(F.col("id").alias("i"), F.when(F.col("id") == 66, F.lit(float("nan"))).alias("v"))
-    return grid.unionByName(odd)
