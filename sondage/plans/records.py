@@ -271,3 +271,10 @@ def standardize(spark, d):
 @query("periodic_diff_ratio", f"WITH {E}, c AS (SELECT vec_id, unnest(range(1, len(v))) AS k, v FROM E), s AS (SELECT vec_id, k, abs(v[k + 1] - v[k]) AS d FROM c) SELECT vec_id, round(avg(d) FILTER (k % 8 = 0) / (avg(d) + 1e-6), 5) AS ratio FROM s GROUP BY vec_id")
 def periodic_diff_ratio(spark, d):
     return views.vectors(spark, d).select("vec_id", r6(anomaly.boundary_ratio(F.col("embedding")), 5).alias("ratio"))
+
+
+@query("raster_stats")
+def raster_stats(spark, d):
+    """The vectors as rasters of eight by eight cells."""
+    out = anomaly.raster_statistics(views.vectors(spark, d), "vec_id", "embedding", 8, period=4)
+    return out.select("vec_id", *[r6(c).alias(c) for c in anomaly.RASTER])
