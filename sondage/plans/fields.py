@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..functions import display, fields, privacy
 from ..operators import auc as A
-from ..operators import grouping, pairing
+from ..operators import grouping, pairing, regions
 from ..sources.files import table
 from . import views
 from .registry import B as BOXES
@@ -304,3 +304,25 @@ def load_documents(spark, d):
     plain = fields.strip_accents(F.col("texto"))
     out = pairing.load_documents(documents, rows.withColumn("texto", text), scores, "doc", ["key"], lambda: {k: F.contains(plain, F.lit(k)) for k in ("NOME", "FILIACAO")}, lambda: fields.is_label(F.regexp_replace("texto", ":", " ")))
     return out.select("doc", "rotation", "n_boxes", F.size("fields").cast("long").alias("n_fields"), F.size(F.filter("fields", lambda f: f["tipo"] == "data")).cast("long").alias("n_dates"))
+
+
+@query("region_union", f"""WITH RECURSIVE {BOXES}, q AS (SELECT doc, (line % 4) || ':' || key AS id, line % 4 AS r, texto, greatest(x - 3, 0) AS a, greatest(y - 3, 0) AS c,
+    least(x + w + 3, CASE WHEN line % 2 = 1 THEN 899 ELSE 1299 END) AS b, least(y + h + 3, CASE WHEN line % 2 = 1 THEN 1299 ELSE 899 END) AS d FROM B),
+  m AS (SELECT doc, id, r, texto, CASE r WHEN 0 THEN a WHEN 1 THEN c WHEN 2 THEN 1299 - b ELSE 1299 - d END AS x0, CASE r WHEN 0 THEN b WHEN 1 THEN d WHEN 2 THEN 1299 - a ELSE 1299 - c END AS x1,
+    CASE r WHEN 0 THEN c WHEN 1 THEN 899 - b WHEN 2 THEN 899 - d ELSE a END AS y0, CASE r WHEN 0 THEN d WHEN 1 THEN 899 - a WHEN 2 THEN 899 - c ELSE b END AS y1 FROM q WHERE a <= b AND c <= d),
+  reach AS (SELECT doc, id, id AS other FROM m UNION
+    SELECT reach.doc, reach.id, n.id FROM reach JOIN m o ON o.doc = reach.doc AND o.id = reach.other JOIN m n ON n.doc = o.doc AND n.x0 <= o.x1 + 1 AND o.x0 <= n.x1 + 1 AND n.y0 <= o.y1 + 1 AND o.y0 <= n.y1 + 1),
+  root AS (SELECT doc, id, min(other) AS root FROM reach GROUP BY doc, id),
+  xs AS (SELECT doc, e AS x, lead(e) OVER (PARTITION BY doc ORDER BY e) AS xe FROM (SELECT doc, x0 AS e FROM m UNION SELECT doc, x1 + 1 FROM m)),
+  ys AS (SELECT doc, e AS y, lead(e) OVER (PARTITION BY doc ORDER BY e) AS ye FROM (SELECT doc, y0 AS e FROM m UNION SELECT doc, y1 + 1 FROM m)),
+  cell AS (SELECT m.doc, m.id, (xe - x) * (ye - y) AS cells, row_number() OVER (PARTITION BY m.doc, x, y ORDER BY r, m.id DESC) AS k
+    FROM m JOIN xs ON xs.doc = m.doc AND x >= x0 AND x <= x1 AND xe IS NOT NULL JOIN ys ON ys.doc = m.doc AND y >= y0 AND y <= y1 AND ye IS NOT NULL),
+  seen AS (SELECT doc, id, sum(cells) AS cells FROM cell WHERE k = 1 GROUP BY doc, id)
+  SELECT m.doc, arg_min(m.id, lpad(CAST(1000000000 - coalesce(cells, 0) AS VARCHAR), 12, '0') || m.id) AS id, min(x0) AS x, min(y0) AS y, max(x1) - min(x0) + 1 AS w, max(y1) - min(y0) + 1 AS h, count(*) AS n,
+    arg_min(texto, lpad(CAST(1000000000 - coalesce(cells, 0) AS VARCHAR), 12, '0') || m.id) AS texto
+  FROM m JOIN root ON root.doc = m.doc AND root.id = m.id LEFT JOIN seen ON seen.doc = m.doc AND seen.id = m.id GROUP BY m.doc, root""")
+def region_union(spark, d):
+    """The boxes as regions of a document of 1300 by 900 cells turned by the quarters of their line."""
+    rotation = (F.col("line") % 4).cast("int")
+    rows = views.boxes(spark, d).withColumns({"rotation": rotation, "id": F.concat(rotation.cast("string"), F.lit(":"), "key"), "width": F.lit(1300), "height": F.lit(900)})
+    return regions.united(rows)
