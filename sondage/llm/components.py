@@ -1,7 +1,8 @@
-"""Connected components of links in a table, for the text operators."""
+"""Connected components of links in a table, and checkpoints, for the text operators."""
 
 from __future__ import annotations
 
 from ..operators.components import components
+from ..storage import checkpoint
 
-__all__ = ["components"]
+__all__ = ["checkpoint", "components"]
