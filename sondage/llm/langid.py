@@ -113,10 +113,17 @@ def fit(labelled: DataFrame, per_language: int = 1000, max_rows: int = 8000, clu
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     sample = rows.where(place < share[F.col("lang")]).select("lang", "text").toArrow()
     names, texts = sample["lang"].to_pylist(), T.byte_list(sample["text"])
-    counts_of, totals = zip(*(vectors(texts[i:j], size) for i, j in T.spans(texts, 1 << 20)), strict=True)
-    x, total = np.concatenate(counts_of), np.concatenate(totals)
-    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(smooth)  # smoothed: a rare passage in another language must not outweigh the rest
-    x = _unit(x * weights)
+    # one matrix, filled and scaled in place: the driver holds no second one
+    x, total = np.empty((len(texts), size), dtype=np.float32), np.empty(len(texts), dtype=np.int64)
+    seen = np.zeros(size, dtype=np.int64)
+    for i, j in T.spans(texts, 1 << 20):
+        for k in range(i, j, 512):
+            end = min(j, k + 512)
+            x[k:end], total[k:end] = vectors(texts[k:end], size)
+            seen += (x[k:end] > 0).sum(axis=0)
+    weights = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + np.float32(smooth)  # smoothed: a rare passage in another language must not outweigh the rest
+    for k in range(0, len(x), 512):
+        x[k : k + 512] = _unit(x[k : k + 512] * weights)
     languages = sorted(set(names))
     label = np.array([languages.index(n) for n in names])
     means = _unit(np.stack([x[label == k].mean(axis=0) for k in range(len(languages))]))
@@ -125,8 +132,10 @@ def fit(labelled: DataFrame, per_language: int = 1000, max_rows: int = 8000, clu
     centroids = [_clusters(x[own & (label == k)], clusters) for k in range(len(languages))]
     language_of = np.repeat(np.arange(len(languages)), [len(c) for c in centroids])
     centroids = np.concatenate(centroids)
-    best, length = (x[own] @ centroids.T).max(axis=1), _length_class(total[own])
+    best, length = (x @ centroids.T).max(axis=1)[own], _length_class(total[own])
     floors = np.array([0.3 * best[length == k].min() if (length == k).sum() >= 20 else 0.02 for k in range(16)])
+    del x, texts, sample
+    T.tidy()
     return Model(languages, weights, centroids, language_of, floors)
 
 
