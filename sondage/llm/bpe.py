@@ -351,7 +351,8 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text", id
     The ids are those of the tokenizers library with add_special_tokens=False, without
     truncation and padding. Null and empty texts have no ids. Other columns pass through;
     columns that already have the new names are replaced. Rows are independent: repeated
-    rows give equal results and an empty table gives no rows.
+    rows give equal results and an empty table gives no rows. A very long text is encoded as a whole; one without white
+    space is one piece for the heap of merges, in time n log n.
     """
     T.small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
@@ -380,7 +381,8 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", text: s
     """`tokens` with the string column `text` decoded from the column `ids`.
 
     As the tokenizers library's decode(ids, skip_special_tokens=False). No ids and null give an
-    empty text; an id outside the vocabulary is an error.
+    empty text; an id outside the vocabulary is an error. A column that has the new name is replaced, others pass
+    through. Very long lists are decoded as a whole; repeated rows give equal texts, and an empty table gives no rows.
     """
     shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
     out = tokens.drop(text).withColumn(text, F.lit(None).cast("string"))

@@ -64,7 +64,8 @@ def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42, block_b
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text with fewer words than
     `shingle` is one shingle; null and wordless texts have fingerprint 0. Each shingle counts
-    as often as it occurs. Other columns are left out; rows are independent.
+    as often as it occurs. Other columns are left out, whatever their names; rows are independent. A very long text is
+    read as a whole; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +253,8 @@ def groups(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
 
     Rows link when their fingerprints differ in `radius` bits or fewer; equal fingerprints
     are one node. A component whose doc_ids are all null has a null component_id; repeated
-    rows repeat in the result; an empty table gives no rows.
+    rows repeat in the result; an empty table gives no rows. Very long texts are read as a whole; columns other than
+    doc_id and text are left out, whatever their names.
     """
     prints = checkpoint(fingerprints(documents, shingle))
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))

@@ -114,8 +114,9 @@ def packed(documents: DataFrame, path: str | None = None, length: int = 2048, pa
     ids: `length` token ids, uint16 where the vocabulary fits and else uint32; positions:
     `length` int32; both padded behind n_tokens. A document's pieces in order of `piece`
     give back its ids. Null and empty texts have no tokens and no segment. Repeated rows are
-    packed each; a null doc_id stays null; other columns are left out. Special tokens'
-    spellings in a text are ordinary text.
+    packed each; a null doc_id stays null; other columns are left out, whatever their names. Special tokens'
+    spellings in a text are ordinary text. A very long text is cut into pieces of at most `length` tokens, none of
+    which is lost; an empty table gives no rows.
     """
     if length < 1:
         raise ValueError("length must be at least 1")
