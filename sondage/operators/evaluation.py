@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import fold_of, hash_rank
 from ..storage import checkpoint
 from . import auc as A
+from . import learning
 
 
 def auc_source_only(rows: DataFrame, source: str = "fonte", label: str = "y") -> DataFrame:
@@ -180,3 +181,9 @@ def counts_as_map(rows: DataFrame, name: str, out: str, count: str | None = None
     names a column that says how many rows a row stands for."""
     counts = rows.groupBy(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("k")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("v"))
     return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(out))
+
+
+def fit_logistic(rows: DataFrame, vector: str, label: str = "y", c: float = 1.0) -> tuple[learning.Logistic, list[float]]:
+    """A logistic regression on standardised vectors (population deviations) with a summed loss and an L2 penalty
+    of 1/c: the fitted model and its mean loss before each step. Rows with another label than 0 or 1 teach nothing."""
+    return learning.fit(rows.where(F.col(label).isin(0, 1)), vector, label, c)

@@ -144,6 +144,38 @@ def fit_excluding(rows: DataFrame, count: int, vector: str = "v", label: str = "
     return Logistic(ws[:p], ws[p], fitted)
 
 
+def fit(rows: DataFrame, vector: str = "v", label: str = "y", c: float = 1.0, tolerance: float = 1e-8, most_steps: int = 100) -> tuple[Logistic, list[float]]:
+    """One logistic regression of all rows (label 0 or 1), as fit_excluding() fits them, and its mean loss, without the
+    penalty, before each Newton step. A class that is missing leaves the model unfitted."""
+    first = rows.select(vector).first()
+    p = len(first[0]) if first else 0
+    if not p:
+        return Logistic(np.zeros((0, 1)), np.zeros(1), np.zeros(1, bool)), []
+    narrow = rows.select(F.col(vector).alias("v"), F.col(label).cast("double").alias("y"))
+    partitions = narrow.rdd.getNumPartitions()
+    none = lambda x: np.full(len(x), -1)
+    n, positives, *rest = total(narrow, "v", lambda x, o: _moments(x, o["y"], none(x), 0), 2 + 2 * p, partitions)
+    mean = np.array(rest[:p]) / n
+    scale = np.sqrt(np.maximum(np.array(rest[p:]) / n - mean * mean, 0))
+    scale[scale <= 1e-12 * (1 + np.abs(mean))] = 1.0
+
+    def newton(x: np.ndarray, o: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
+        a = np.column_stack((x, np.ones(len(x))))
+        z = a @ w
+        q = sigmoid(z)
+        return np.concatenate(([(np.logaddexp(0, z) - o["y"] * z).sum()], a.T @ (q - o["y"]), ((a * (q * (1 - q))[:, None]).T @ a).ravel()))
+
+    keep, w, losses = np.append(scale**2 / c, 0.0), np.zeros(p + 1), []
+    for _ in range(most_steps):
+        got = total(narrow, "v", lambda x, o, w=w: newton(x, o, w), 1 + (p + 1) * (p + 2), partitions)
+        losses.append(float(got[0] / n))
+        step = np.linalg.solve(got[p + 2 :].reshape(p + 1, p + 1) + np.diag(keep + 1e-9), got[1 : p + 2] + keep * w)
+        w = w - step
+        if np.abs(np.append(scale, 1) * step).max() < tolerance:
+            break
+    return Logistic(w[:p, None], w[p:], np.array([0 < positives < n])), losses
+
+
 @dataclass
 class Head:
     """Linear, ReLU and linear layer on standardised vectors; logits for label 1."""

@@ -42,6 +42,15 @@ def test_models_together_are_models_alone(many):
         assert np.allclose(got.weights[:, k], w, rtol=1e-5, atol=1e-6) and np.isclose(got.bias[k], b, rtol=1e-5, atol=1e-6)
 
 
+def test_one_model(many):
+    x, y, _, rows = many
+    model, loss = evaluation.fit_logistic(rows, "v")
+    w, b = alone(x, y)
+    z = x @ w + b
+    assert np.allclose(model.weights[:, 0], w, rtol=1e-6, atol=1e-8) and np.isclose(model.bias[0], b, rtol=1e-6) and model.fitted.all()
+    assert loss[0] == pytest.approx(np.log(2)) and loss[-1] == pytest.approx(np.mean(np.logaddexp(0, z) - y * z), rel=1e-6)
+
+
 def test_a_part_with_a_class_of_its_own_is_not_fitted(spark):
     rows = spark.createDataFrame([(0, 1, [1.0]), (0, 1, [2.0]), (-1, 0, [0.0]), (-1, 0, [1.0]), (1, 0, [1.0])], "k int, y int, v array<double>")
     assert learning.fit_excluding(rows, 2).fitted.tolist() == [False, True]
