@@ -2,7 +2,8 @@
 
 Regions are mapped back to the frame, a margin around each; what overlaps or touches is one region, whose text is
 that of the part with the most visible cells. Where regions overlap those of the earlier rotation are
-seen, and within a rotation the later ones. Overlaps are looked for within square tiles, to which regions are dealt:
+seen, and within a rotation the later ones. A document of few regions moves once and is united where it lies, from
+the pairs of its regions. In larger documents overlaps are looked for within square tiles, to which regions are dealt:
 a document of any number of regions is spread over its tiles, and a tile paints its regions one after
 another into one small array, whatever their number. Tiles give links and visible cells; connected components make the regions.
 """
@@ -88,15 +89,109 @@ def _tiles(placed: DataFrame, doc: str, tile: int) -> DataFrame:
     return together.select(doc, "id", "tx", "ty", "x0", "y0", "x1", "y1").mapInArrow(run, f"{doc} {kind}, a {name}, b {name}, cells long")
 
 
-def united(regions: DataFrame, doc: str = "doc", margin: int = 3, tile: int = 64, keep: tuple[str, ...] = ("texto",)) -> DataFrame:
+def _groups(sizes: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, ids: list) -> np.ndarray:
+    """The first row of those that each row is one region with; `sizes` are the numbers of rows of the documents, one after another."""
+    rows = np.arange(len(x0))
+    later = np.repeat(np.cumsum(sizes), sizes) - rows - 1
+    a = np.repeat(rows, later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+    meet = (x0[a] <= x1[b] + 1) & (x0[b] <= x1[a] + 1) & (y0[a] <= y1[b] + 1) & (y0[b] <= y1[a] + 1)
+    if len(set(ids)) < len(ids):  # rows of one id are one part
+        meet |= np.fromiter((ids[i] == ids[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+    a, b = a[meet], b[meet]
+    root = rows
+    while (root[a] != root[b]).any():
+        low, new = np.minimum(root[a], root[b]), root.copy()
+        for side in (a, b):
+            np.minimum.at(new, root[side], low)
+            np.minimum.at(new, side, low)
+        while (new[new] != new).any():
+            new = new[new]
+        root = new
+    return root
+
+
+def _visible(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Cells of each region that no later one covers, on the grid of all their edges."""
+    xs, ys = np.unique(np.concatenate((x0, x1 + 1))), np.unique(np.concatenate((y0, y1 + 1)))
+    seen = np.full((len(ys) - 1, len(xs) - 1), -1, np.int32)
+    edges = [np.searchsorted(*at).tolist() for at in ((ys, y0), (ys, y1 + 1), (xs, x0), (xs, x1 + 1))]
+    for k, (top, low, left, right) in enumerate(zip(*edges, strict=True)):
+        seen[top:low, left:right] = k
+    cells = np.diff(ys)[:, None] * np.diff(xs)
+    return np.bincount(seen.ravel() + 1, cells.ravel(), len(x0) + 1)[1:].astype(np.int64)
+
+
+def _whole(placed: DataFrame, doc: str, keep: tuple[str, ...], pairs: int = 1 << 20) -> DataFrame:
+    """The united regions of documents of few regions. Documents come one after another; those of about `pairs` pairs
+    of regions are united at once."""
+    together = placed.repartition(doc).sortWithinPartitions(doc, F.desc("rotation"), "id")
+    side = lambda a, b: (F.col(b) - F.col(a) + 1)
+    schema = placed.select(doc, "id", F.col("x0").alias("x"), F.col("y0").alias("y"), side("x0", "x1").alias("w"), side("y0", "y1").alias("h"), F.lit(0).cast("long").alias("n"), *keep).schema
+
+    def unite(b: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+        x0, y0, x1, y1 = (b.column(c).to_numpy().astype(np.int64) for c in ("x0", "y0", "x1", "y1"))
+        ids = b.column("id").to_pylist()
+        # ids are compared within a document alone
+        named = list(zip(np.repeat(np.arange(len(sizes)), sizes).tolist(), ids, strict=True))
+        root = _groups(sizes, x0, y0, x1, y1, named)
+        order = np.argsort(root, kind="stable")
+        firsts, at, n = np.unique(root[order], return_index=True, return_counts=True)
+        best = firsts.copy()
+        for k in np.flatnonzero(n > 1).tolist():
+            own = order[at[k] : at[k] + n[k]]
+            cells = _visible(x0[own], y0[own], x1[own], y1[own]).tolist()
+            sums = {}
+            for i, c in zip(own.tolist(), cells, strict=True):
+                sums[ids[i]] = sums.get(ids[i], 0) + c
+            best[k] = min(own.tolist(), key=lambda i: (-sums[ids[i]], ids[i]))
+        edge = lambda f, v: f.reduceat(v[order], at)
+        x, y, right, low = edge(np.minimum, x0), edge(np.minimum, y0), edge(np.maximum, x1), edge(np.maximum, y1)
+        chosen = b.take(pa.array(best))
+        numbers = [pa.array(v).cast(b.column(c).type) for v, c in ((x, "x0"), (y, "y0"), (right - x + 1, "x1"), (low - y + 1, "y1"))]
+        return pa.RecordBatch.from_arrays([chosen.column(doc), chosen.column("id"), *numbers, pa.array(n.astype(np.int64)), *[chosen.column(c) for c in keep]], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ready(b: pa.RecordBatch, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+            first = start = count = 0
+            for k, size in enumerate(sizes):
+                count += size * size
+                if count >= pairs or k + 1 == len(sizes):
+                    own = np.array(sizes[first : k + 1])
+                    yield unite(b.slice(start, int(own.sum())), own)
+                    first, start, count = k + 1, start + int(own.sum()), 0
+
+        rest = None
+        for b in batches:
+            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0] if rest is not None and rest.num_rows else b
+            keys = b.column(doc).to_pylist()
+            bounds = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]]
+            yield from ready(b, [q - p for p, q in zip(bounds, bounds[1:], strict=False)])
+            rest = b.slice(bounds[-1])  # the next batch may have more of the last document
+        if rest is not None and rest.num_rows:
+            yield from ready(rest, [rest.num_rows])
+
+    return together.mapInArrow(run, schema)
+
+
+def united(regions: DataFrame, doc: str = "doc", margin: int = 3, tile: int = 64, keep: tuple[str, ...] = ("texto",), most: int = 1000) -> DataFrame:
     """doc, id, x, y, w, h, n and `keep` of the united regions.
 
     `regions` have doc, id (unique in a document, in the order of rotation and place), rotation (quarters
     clockwise, 0 to 3), x, y, w, h in the turned document, width and height of the unturned one, and the columns of
     `keep`. A united region has the box around its n parts; id and `keep` are those of the part with the most
-    visible cells among them, the smaller id on a tie.
+    visible cells among them, the smaller id on a tie. A document of more than `most` regions is united by tiles.
     """
-    placed = checkpoint(mapped(regions.where(F.col(doc).isNotNull() & F.col("id").isNotNull()), margin).select(doc, "id", "rotation", "x0", "y0", "x1", "y1", *keep))
+    placed = mapped(regions.where(F.col(doc).isNotNull() & F.col("id").isNotNull()), margin).select(doc, "id", "rotation", "x0", "y0", "x1", "y1", *keep)
+    large = checkpoint(placed.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(doc))
+    if large.isEmpty():
+        return _whole(placed, doc, keep)
+    return _whole(placed.join(large, doc, "left_anti"), doc, keep).unionByName(_by_tiles(placed.join(large, doc, "left_semi"), doc, tile, keep))
+
+
+def _by_tiles(placed: DataFrame, doc: str, tile: int, keep: tuple[str, ...]) -> DataFrame:
+    """The united regions of documents of any number of regions."""
+    placed = checkpoint(placed)
     parts = checkpoint(_tiles(placed, doc, tile))
     node = lambda c: F.struct(F.col(doc).alias("d"), F.col(c).alias("i"))
     links = parts.where("b is not null").select(node("a").alias("u"), node("b").alias("v"))

@@ -77,6 +77,23 @@ def test_united_regions_are_painted_ones(spark, seed, margin, tile):
     assert got == {d: v for d, v in want.items() if v}
 
 
+@pytest.mark.parametrize("most", [0, 4, 12])
+def test_few_and_many_regions_give_the_same(spark, most):
+    rng = random.Random(most)
+    rows = [(doc, f"{i % 4}:{i:03d}", i % 4, rng.randint(0, 60), rng.randint(0, 60), rng.randint(0, 14), rng.randint(0, 9), W, H, f"t{i}") for doc in range(30) for i in range(rng.choice([1, 4, 5, 12, 13, 40]))]
+    frame = spark.createDataFrame(rows, "doc long, id string, rotation int, x int, y int, w int, h int, width int, height int, texto string").repartition(3)
+    want = sorted(map(tuple, regions.united(frame).collect()))
+    assert sorted(map(tuple, regions.united(frame, most=most).collect())) == want and sum(r[6] for r in want) == len(rows)
+
+
+def test_few_regions_move_once(spark, tmp_path):
+    """Copies for tiles, checkpoints of rows and joins of links would each move a small document again."""
+    rows = [(doc, f"{i % 4}:{i}", i % 4, 0, 0, 500, 300, 1300, 900, "t") for doc in range(50) for i in range(5)]
+    spark.createDataFrame(rows, "doc long, id string, rotation int, x int, y int, w int, h int, width int, height int, texto string").write.parquet(str(tmp_path / "in"))
+    plan = regions.united(spark.read.parquet(str(tmp_path / "in")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Join" not in plan and "FileScan" in plan
+
+
 def test_no_regions(spark):
     frame = spark.createDataFrame([], "doc int, id string, rotation int, x int, y int, w int, h int, width int, height int, texto string")
     assert regions.united(frame).count() == 0
