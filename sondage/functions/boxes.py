@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fields import once
+
 SIDES = ("x", "y", "w", "h")
+#: Fixed value: digits with a sign, and around them what a cast to a number leaves out.
+NUMBER = r"^[\x00-\x20\x7F]*[+-]?[0-9]+[\x00-\x20\x7F]*$"
 
 
 def geometry(b: Column) -> dict[str, Column]:
@@ -43,7 +49,9 @@ def squared_distance(a: Column, b: Column) -> Column:
 def parse(line: Column) -> Column:
     """Box of an annotation line x,y,w,h,text (the text may hold commas); null for a blank line, a
     header, or coordinates that are not whole numbers."""
-    parts = F.split(line, ",", 5)
-    whole = lambda i: F.trim(parts[i]).try_cast("int")
-    good = (F.trim(line) != "") & ~F.lower(line).startswith("x,") & (F.size(parts) == 5) & whole(0).isNotNull() & whole(1).isNotNull() & whole(2).isNotNull() & whole(3).isNotNull()
-    return F.when(good, F.struct(*[whole(i).alias(s) for i, s in enumerate(SIDES)], F.trim(parts[4]).alias("texto")))
+    # a cast that fails costs an exception, so what has no digits is not tried
+    whole = lambda part: F.when(part.rlike(NUMBER), F.trim(part).try_cast("int"))
+    sides = lambda parts: [whole(F.get(parts, F.lit(i))).alias(s) for i, s in enumerate(SIDES)]
+    read = once(F.split(line, ",", 5), lambda parts: F.struct(*sides(parts), F.trim(F.get(parts, F.lit(4))).alias("texto")))
+    # a blank line has one part, and a header's x is no number
+    return once(read, lambda b: F.when(reduce(lambda p, q: p & q, [b[c].isNotNull() for c in (*SIDES, "texto")]), b))

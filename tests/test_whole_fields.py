@@ -4,6 +4,9 @@ import hashlib
 import unicodedata
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from sondage.functions import boxes
 from sondage.plans import views
 from sondage.plans.catalog import QUERIES
 
@@ -52,3 +55,13 @@ def test_mode_label_counts_whole_labels(spark):
     want = {d: min((-n, t) for t, n in c.items()) for d, c in counts.items()}
     got = {r["doc"]: (-r["n"], r["texto"]) for r in QUERIES["mode_label"](spark, FOLDER).collect()}
     assert got == want and max(len(t) for _, t in got.values()) > 6
+
+
+def test_lines_of_boxes(spark):
+    """Lines that are no boxes cost no failed casts; what counts as a whole number is what the cast takes."""
+    lines = {"1,2,3,4,a, b": (1, 2, 3, 4, "a, b"), " +1 ,\t-2,3\r,04, t ": (1, -2, 3, 4, "t"), "1,2,3,4,": (1, 2, 3, 4, ""), "2147483647,0,0,0,m": (2147483647, 0, 0, 0, "m")}
+    bad = ["", "  ", "x,y,w,h,texto", "X,y,w,h,texto", "1.5,2,3,4,t", "1,2,3,4", "2147483648,0,0,0,m", "1,,3,4,t", "1e3,2,3,4,t", "- 1,2,3,4,t", "١,2,3,4,t", None]
+    frame = spark.createDataFrame([(x,) for x in [*lines, *bad]], "line string").select("line", boxes.parse(F.col("line")).alias("b"))
+    assert {r["line"]: r["b"] and tuple(r["b"]) for r in frame.collect()} == lines | dict.fromkeys(bad)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("RLIKE") == plan.count("try_cast") == 4
