@@ -9,6 +9,7 @@ from ..functions import boxes as B
 from ..functions import fields
 from ..functions.fields import once
 from ..functions.hashing import hash_rank
+from ..storage import checkpoint
 
 
 def sidecar(items: DataFrame, sidecars: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,9 +100,9 @@ def values_of_labels(words: DataFrame, is_label: Column, doc: str, ident: str, r
     return found.select(doc, "r.label", "r.kind", "r.x", "r.y", (F.col("r.x2") - F.col("r.x")).alias("w"), (F.col("r.y2") - F.col("r.y")).alias("h"), "r.n")
 
 
-def axis_vote(rows: DataFrame, doc: str) -> DataFrame:
-    """doc, horizontal, vertical and axis: horizontal when at least as many boxes are wide as are not."""
-    per = rows.groupBy(doc).agg(F.count_if(F.col("w") >= F.col("h")).alias("horizontal"), F.count_if(F.col("w") < F.col("h")).alias("vertical"))
+def axis_vote(rows: DataFrame, doc: str, **more: Column) -> DataFrame:
+    """doc, horizontal, vertical and axis: horizontal when at least as many boxes are wide as are not. more: other aggregates, by name."""
+    per = rows.groupBy(doc).agg(F.count_if(F.col("w") >= F.col("h")).alias("horizontal"), F.count_if(F.col("w") < F.col("h")).alias("vertical"), *[c.alias(k) for k, c in more.items()])
     return per.withColumn("axis", F.when(F.col("horizontal") >= F.col("vertical"), 0).otherwise(90))
 
 
@@ -120,7 +121,10 @@ def rotation(rows: DataFrame, scores: DataFrame, doc: str, least: float = 60.0)
     smaller turn of equals. A document whose better score is under `least` has no row.
     `scores` has doc, rot and score.
     """
-    vote = axis_vote(rows, doc).select(doc, "axis")
+    return _turn(axis_vote(rows, doc).select(doc, "axis"), scores, doc, least)
+
+
+def _turn(vote: DataFrame, scores: DataFrame, doc: str, least: float) -> DataFrame:
     fitting = scores.join(vote, doc).where(F.col("rot") % 180 == F.col("axis") % 180)
     best = fitting.groupBy(doc).agg(F.min(F.struct((-F.col("score")).alias("s"), "rot")).alias("b"))
     return best.where(-F.col("b.s") >= least).select(doc, F.col("b.rot").alias("rotation"))
@@ -134,11 +138,10 @@ def classify_fields(rows: DataFrame, doc: str, place: list[str], keywords: dict[
     label boxes (`keywords` says which texts make one, by name) is called FILIACAO.
     """
     wide = rows.where(F.col("w") > F.col("h"))
-    marks = [wide.where(test).select(doc, *B.SIDES, F.lit(name).alias("_name"), F.lit(i).alias("_kind"), *[F.col(p).alias(f"_p_{p}") for p in place]) for i, (name, test) in enumerate(keywords.items())]
-    labels = marks[0]
-    for m in marks[1:]:
-        labels = labels.unionByName(m)
-    data = wide.where(~label).withColumn("tipo", fields.shape(F.col("texto"))).where("tipo is not null")
+    mark = lambda i, name, test: F.when(test, F.struct(*B.SIDES, F.lit(name).alias("_name"), F.lit(i).alias("_kind"), *[F.col(p).alias(f"_p_{p}") for p in place]))
+    # one pass over the boxes for all keywords; tests of texts are dear, and what a generator makes is computed once a row
+    labels = wide.select(doc, F.inline(F.array(*[mark(i, name, test) for i, (name, test) in enumerate(keywords.items())]))).where("_name is not null")
+    data = wide.select(doc, *place, *B.SIDES, "texto", F.explode(F.array(F.when(~label, fields.shape(F.col("texto"))))).alias("tipo")).where("tipo is not null")
     near = nearest_label(data.where("tipo = 'nome'"), labels, doc, place, "_name", ["_kind", *[f"_p_{p}" for p in place]])
     out = data.join(near.select(doc, *place, F.col("label").alias("_near")), [doc, *place], "left")
     kind = F.when((F.col("tipo") == "nome") & (F.col("_near") == "FILIACAO"), "filiacao").otherwise(F.col("tipo"))
@@ -152,11 +155,12 @@ def load_documents(documents: DataFrame, boxes: DataFrame, scores: DataFrame, do
     stays undecided, or when none of its upright boxes holds editable data. `keywords` and
     `label` are functions of no arguments that give the tests of classify_fields.
     """
-    turned = rotation(boxes, scores, doc, least)
-    known = documents.join(turned, doc)
+    votes = checkpoint(axis_vote(boxes, doc, n_boxes=F.count(F.lit(1))))
+    turned = _turn(votes.select(doc, "axis"), scores, doc, least)
+    # small rows that all that follows reads again
+    known = checkpoint(documents.join(turned, doc).join(votes.select(doc, "n_boxes"), doc))
     upright = boxes.join(known, doc).withColumn("_b", B.rotate(F.struct(*B.SIDES), F.col("width"), F.col("height"), F.col("rotation")))
     upright = upright.withColumns({s: F.col("_b")[s] for s in B.SIDES}).drop("_b")
     found = classify_fields(upright, doc, place, keywords(), label())
     lists = found.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("tipo", "texto", *place))).alias("fields"))
-    counts = boxes.groupBy(doc).agg(F.count(F.lit(1)).alias("n_boxes"))
-    return known.select(doc, "rotation").join(counts, doc).join(lists, doc).select(doc, "rotation", "n_boxes", "fields")
+    return known.select(doc, "rotation", "n_boxes").join(lists, doc).select(doc, "rotation", "n_boxes", "fields")

@@ -9,6 +9,7 @@ from ..functions import display, fields, privacy
 from ..operators import auc as A
 from ..operators import grouping, pairing, regions
 from ..sources.files import table
+from ..storage import checkpoint
 from . import views
 from .registry import B as BOXES
 from .registry import D, auc, hist, query, r6
@@ -296,11 +297,11 @@ _ROT = """V AS (SELECT doc, CASE WHEN count(*) FILTER (w >= h) >= count(*) FILTE
   WHERE uw > uh AND NOT contains(texto, 'NOME') AND NOT contains(texto, 'FILIACAO') GROUP BY doc, rotation, n_boxes""")
 def load_documents(spark, d):
     rows = views.boxes(spark, d)
-    per = rows.groupBy("doc").agg(F.round(F.sum("conf")).alias("conf")).withColumn("rot", F.explode(F.array(*map(F.lit, (0, 90, 180, 270)))))
-    scores = per.select("doc", "rot", (F.col("conf") * ((F.col("doc") + F.floor(F.col("rot") / 90)) % 4)).alias("score"))
+    per = checkpoint(rows.groupBy("doc").agg(F.round(F.sum("conf")).alias("conf")))
+    scores = per.withColumn("rot", F.explode(F.array(*map(F.lit, (0, 90, 180, 270))))).select("doc", "rot", (F.col("conf") * ((F.col("doc") + F.floor(F.col("rot") / 90)) % 4)).alias("score"))
     n = F.col("line") % 5
     text = F.when(n == 0, "01/02/2024").when(n == 1, F.concat("texto", F.lit(" da Silva"))).when(n == 2, "1234567890").when(n == 3, F.concat(F.lit("NOME: "), "texto")).otherwise(F.concat(F.lit("FILIACAO "), "texto"))
-    documents = rows.select("doc").distinct().select("doc", F.lit(1600).alias("width"), F.lit(600).alias("height"))
+    documents = per.select("doc", F.lit(1600).alias("width"), F.lit(600).alias("height"))
     plain = fields.strip_accents(F.col("texto"))
     out = pairing.load_documents(documents, rows.withColumn("texto", text), scores, "doc", ["key"], lambda: {k: F.contains(plain, F.lit(k)) for k in ("NOME", "FILIACAO")}, lambda: fields.is_label(F.regexp_replace("texto", ":", " ")))
     return out.select("doc", "rotation", "n_boxes", F.size("fields").cast("long").alias("n_fields"), F.size(F.filter("fields", lambda f: f["tipo"] == "data")).cast("long").alias("n_dates"))
