@@ -46,7 +46,7 @@ def ingest_manifests(manifests: DataFrame, table: str) -> DataFrame:
 
 def latest_samples(manifests: DataFrame) -> DataFrame:
     rows = sample_rows(manifests).withColumns({"_text": F.to_json(F.struct(*schemas.SAMPLE)), "_ts": F.coalesce("timestamp", F.lit(""))})
-    return merge.latest(rows, ["id"], ["_ts", "_text"]).drop("_ts", "_text")
+    return merge.latest(rows, ["id"], ["_ts", "_text"], schemas.SAMPLE)
 
 
 def ingest_samples(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the last in `order`. Rows with a null or empty key part go.
+def latest(rows: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """One row of `columns` (all, if None) for each key: the last in `order`. Rows with a null or empty key part go.
 
     The last row is found by an aggregation that combines before the shuffle, so a key with
     any number of rows costs one record for each task.
     """
     present = [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys]
-    whole = F.struct(*[F.col(c).alias(c) for c in rows.columns])
+    columns = rows.columns if columns is None else columns
+    whole = F.struct(*[F.col(c).alias(c) for c in columns])
     kept = rows
     for p in present:
         kept = kept.where(p)
     last = kept.groupBy(*keys).agg(F.max_by(whole, F.struct(*order)).alias("_row"))
-    return last.select(*[F.col("_row")[c].alias(c) for c in rows.columns])
+    return last.select(*[F.col("_row")[c].alias(c) for c in columns])
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -205,7 +205,9 @@ def ingest_samples(spark, d):
     of = lambda path: F.variant_get("parametros", path, "string")
     out = sinks.read_table(spark, to)
     rows = out.select("id", "rotulo", "tecnica", "gerador", "dificuldade", "fonte_dados", "documento_id", "arquivo", of("$.modo").alias("modo"), of("$.texto_original").alias("texto_original"), of("$.fonte_rosto").alias("fonte_rosto"), of("$.lista[1].p").alias("fundo"))
-    return storage.kept(rows, to)
+    kept, _ = storage.staged(rows)
+    storage.delete(spark, to)
+    return kept
 
 
 @query("ingest_events", f"WITH {V} SELECT 'metricas' AS destino, count(DISTINCT (run, epoca)) AS n_inserted FROM V WHERE tipo = 'epoca' UNION ALL SELECT 'avaliacoes', count(DISTINCT (run, ts)) FROM V WHERE tipo = 'estado_gerador'")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import merge
+
+#: What became of a key in the merge that wrote its row.
+INSERTED, MODIFIED, SAME = 0, 1, 2
 
 
 def write_table(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -40,7 +42,7 @@ def read_table(spark: SparkSession, path: str, buckets: list[int] | None = None)
     found, which a later merge leaves in place."""
     count, versions = _current(spark, path)
     paths = [f"{path}/buckets={count}/bucket={b}/version={v[-1]}" for b, v in sorted(versions.items()) if buckets is None or b in buckets]
-    return spark.read.parquet(*paths) if paths else None
+    return spark.read.parquet(*paths).drop("_state") if paths else None
 
 
 def merge_table(rows: DataFrame, path: str, keys: list[str], by_field: bool = False, buckets: int = 16, keep: int = 1) -> DataFrame:
@@ -57,22 +59,35 @@ def merge_table(rows: DataFrame, path: str, keys: list[str], by_field: bool = Fa
     count, versions = _current(spark, path)
     count = count or buckets
     bucket = F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
-    rows = storage.checkpoint(rows)
+    rows, stage = storage.staged(rows)
     touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # at most `buckets` numbers
     old = read_table(spark, path, touched)
     version = max((v[-1] for v in versions.values()), default=0) + 1
-    variants = [c for c, kind in rows.dtypes if kind == "variant"]
-    plain = lambda f: f.select(*[F.to_json(c).alias(c) if c in variants else F.col(c) for c in rows.columns])
     fields = [c for c in rows.columns if c not in keys]
-    before = rows.limit(0) if old is None else old
-    both = before.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
-    merged = merge.field_merge(both, keys, ["_new"], fields).select(*rows.columns) if by_field else merge.latest(both, keys, ["_new"]).drop("_new")
-    placed = merged.withColumns({"buckets": F.lit(count), "bucket": bucket, "version": F.lit(version)})
+    both = rows.withColumn("_new", F.lit(1))
+    both = both if old is None else old.withColumn("_new", F.lit(0)).unionByName(both)
+    present = lambda k: F.col(k).isNotNull() & (F.col(k).cast("string") != "")
+    for k in () if by_field else keys:
+        both = both.where(present(k))
+    # the old and the new row of a key meet once, and what became of it is written beside it
+    whole, was, now = F.struct(*fields), F.col("_was"), F.col("_now")
+    met = both.groupBy(*keys).agg(F.max_by(whole, F.when(F.col("_new") == 0, 0)).alias("_was"), F.max_by(whole, F.when(F.col("_new") == 1, 1)).alias("_now"))
+    taken = F.struct(*[F.coalesce(now[c], was[c]).alias(c) for c in fields]) if by_field else F.coalesce(now, was)
+    met = met.withColumn("_row", taken)
+    variants = [c for c, kind in rows.dtypes if kind == "variant"]
+    plain = lambda row: F.struct(*[(F.to_json(row[c]) if c in variants else row[c]).alias(c) for c in fields])
+    counted = now.isNotNull()
+    for k in keys:
+        counted = counted & F.col(k).isNotNull()
+    state = F.when(~counted, None).when(was.isNull(), INSERTED).when(plain(was).eqNullSafe(plain(F.col("_row"))), SAME).otherwise(MODIFIED)
+    placed = met.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in rows.columns], state.cast("int").alias("_state"), F.lit(count).alias("buckets"), bucket.alias("bucket"), F.lit(version).alias("version"))
+    after = placed
     if touched:
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket", "version").parquet(path)
-    after = read_table(spark, path, touched) if touched else rows
-    told = plain(after).join(rows.select(*keys), keys, "left_semi")
-    counts = storage.checkpoint(merge.affected(plain(before), told, keys, fields))
+        after = spark.read.schema("_state int").parquet(*[f"{path}/buckets={count}/bucket={b}/version={v[-1]}" for b, v in _current(spark, path)[1].items() if b in touched])
+    told = {"n_inserted": INSERTED, "n_modified": MODIFIED, "n_same": SAME}
+    counts = storage.checkpoint(after.agg(*[F.count_if(F.col("_state") == v).alias(k) for k, v in told.items()]))
+    storage.delete(spark, stage)
     for b in touched:
         for v in versions.get(b, [])[: -keep or None]:
             storage.delete(spark, f"{path}/buckets={count}/bucket={b}/version={v}")

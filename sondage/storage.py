@@ -57,6 +57,14 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def staged(frame: DataFrame) -> tuple[DataFrame, str]:
+    """`frame`, written as compressed columns to a folder of its own in the shared folder, and that folder. Far smaller
+    than a checkpoint, and readers take the columns that they need."""
+    folder = new_folder(frame.sparkSession, "staged")
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder), folder
+
+
 def kept(frame: DataFrame, folder: str) -> DataFrame:
     """`frame`, written as a checkpoint, so that the folder it was read from can go."""
     out = checkpoint(frame)

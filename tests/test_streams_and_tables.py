@@ -1,6 +1,7 @@
 """Streams whose files come out of order, and tables that are merged under readers."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,21 @@ def test_merge_touches_only_its_buckets(spark, tmp_path):
     assert tuple(sinks.merge_table(few.limit(0), path, ["id"]).first()) == (0, 0, 0)
 
 
+def test_merge_stages_columns(spark, tmp_path):
+    """Rows wait as compressed columns, not as a checkpoint, which is many times as large, and their folder goes."""
+    shared, path = storage.shared_folder(spark), str(tmp_path / "wide")
+    of = lambda: {n for n in storage.children(spark, shared) if n.startswith("staged")}
+    files = lambda: sum(f.stat().st_size for f in Path(shared.removeprefix("file:")).rglob("part-*"))
+    rows = spark.range(20000).select("id", F.parse_json(F.lit('{"a": [1, 2]}')).alias("p"), F.repeat(F.lit("long text "), 50).alias("v"))
+    before, staged = files(), of()
+    assert tuple(sinks.merge_table(rows, path, ["id"]).first()) == (20000, 0, 0)
+    change = rows.where("id < 30").withColumn("p", F.when(F.col("id") < 10, F.parse_json(F.lit('{"a": [1]}'))).otherwise(F.col("p")))
+    assert tuple(sinks.merge_table(change, path, ["id"]).first()) == (0, 10, 20)
+    now = sinks.read_table(spark, path)
+    assert now.columns == ["id", "p", "v"] and now.count() == 20000
+    assert files() - before < 1_000_000 and of() == staged
+
+
 def test_bucketed_table_is_read_without_a_shuffle(spark, tmp_path):
     rows = spark.range(500).select((F.col("id") % 250).alias("a"), (F.col("id") >= 250).cast("int").alias("b"), F.col("id").alias("v"), F.lit("x").alias("w"))
     table = sinks.write_bucketed(rows, "by_key", ["a", "b"], 4, str(tmp_path / "by_key"))
