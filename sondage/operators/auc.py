@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+RANGES, STEP = 64, 8
 
 
 def histogram(rows: DataFrame, by: tuple[str, ...] = (), label: str = "y", score: str = "score") -> DataFrame:
@@ -24,7 +24,12 @@ def histogram(rows: DataFrame, by: tuple[str, ...] = (), label: str = "y", score
 def from_histogram(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """`by`, n_pos, n_neg and auc. A group with one class has no row."""
     cuts = hist.agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 2000).alias("cuts"))
-    placed = hist.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
+    # the number of cuts below a score: of every eighth first, then of the eight that follow these
+    coarse = F.transform(F.sequence(F.lit(STEP), F.lit(RANGES - STEP), F.lit(STEP)), lambda k: F.get("cuts", k - 1))
+    cuts = cuts.withColumn("coarse", coarse)
+    below = lambda some: F.size(F.filter(some, lambda c: c < F.col("score")))
+    placed = hist.crossJoin(F.broadcast(cuts)).withColumn("step", below(F.col("coarse")))
+    placed = placed.withColumn("range", F.col("step") * STEP + below(F.slice("cuts", F.col("step") * STEP + 1, STEP))).drop("cuts", "coarse", "step")
     inside = Window.partitionBy(*by, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     ranges = placed.groupBy(*by, "range").agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("n").alias("n"))

@@ -65,6 +65,12 @@ def stratified_group_kfold(rows: DataFrame, group: str, label: str = "y", folds:
     rows of each class. The greedy choice runs over the histogram of (rows, positives) of
     groups (see dealt_folds), which comes to the driver, and groups that are alike are dealt in hash order: its cost
     doesn't grow with the number of groups."""
+    dealt = stratified_groups(rows, group, label, folds)
+    return rows.join(dealt, rows[group].eqNullSafe(dealt["_group"])).select(*rows.columns, "fold")
+
+
+def stratified_groups(rows: DataFrame, group: str, label: str = "y", folds: int = 5) -> DataFrame:
+    """_group and fold: a row for each group, as stratified_group_kfold() deals them."""
     per = rows.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(label) == 1).alias("_pos"))
     sizes = [tuple(r) for r in per.groupBy("_rows", "_pos").agg(F.count(F.lit(1)).alias("m")).toLocalIterator()]
     chosen = dealt_folds(sizes, folds)
@@ -73,8 +79,7 @@ def stratified_group_kfold(rows: DataFrame, group: str, label: str = "y", folds:
     ranked = hash_rank(per, ["_rows", "_pos"], "_group", "_at")
     same = (ranked["_rows"] == left["_rows"]) & (ranked["_pos"] == left["_pos"]) & (ranked["_at"] == left["_place"])
     # places up to m % folds of m like groups go where the greedy choice puts them, all others in turn
-    dealt = ranked.join(left, same, "left").select("_group", F.coalesce("_fold", F.pmod(F.col("_at"), F.lit(folds)).cast("int")).alias("fold"))
-    return rows.join(dealt, rows[group].eqNullSafe(dealt["_group"])).select(*rows.columns, "fold")
+    return ranked.join(left, same, "left").select("_group", F.coalesce("_fold", F.pmod(F.col("_at"), F.lit(folds)).cast("int")).alias("fold"))
 
 
 def leak_check(folded: DataFrame, group: str) -> DataFrame:

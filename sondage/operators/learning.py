@@ -1,7 +1,7 @@
 """Training over distributed rows: sums of gradients, many logistic models at once, a network with one hidden layer.
 
-Vectors stay in their partitions. Each step is one job: every partition adds up what its rows
-contribute, in Arrow batches, and the sums meet in a tree. What reaches the driver is as large as the model.
+Vectors stay in their partitions, packed as blocks of bytes once. Each step is one job: every partition adds up what its
+rows contribute, and the sums meet in a tree. What reaches the driver is as large as the model.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint
+
 #: What a partition adds up: an array of a fixed size from the vectors (n x p) and other columns of a batch.
 Part = Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]
 
@@ -24,19 +26,63 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def _columns(batch: pa.RecordBatch, vector: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    others = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != vector}
-    return matrix(batch.column(vector)), others
+def numbers(rows: DataFrame, vector: str) -> Column:
+    """Vectors as floats where they are floats, as doubles otherwise."""
+    return F.col(vector) if dict(rows.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+
+
+@dataclass
+class Blocks:
+    """Rows for many passes: thousands to a row of `frame`, which has their vectors (`p` numbers of type `kind` each) and
+    each of `names` (doubles, NaN for null) as bytes, so that a pass copies bytes and converts nothing."""
+
+    frame: DataFrame
+    names: list[str]
+    kind: str
+    p: int
+    partitions: int
+
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows`, from a checkpoint or table, over all cores: what shuffles merged into few partitions by its bytes is little to
+    move but long to compute. The order within a partition doesn't depend on how blocks of the shuffle arrive."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores).sortWithinPartitions(F.xxhash64(*rows.columns))
 
-def total(rows: DataFrame, vector: str, part: Part, size: int, partitions: int, fan: int = 32, batch_rows: int = 4096) -> np.ndarray:
-    """The sum of part() over all rows. Beyond `fan` of their `partitions` sums meet in levels, each `fan` times fewer."""
+
+def packed(rows: DataFrame, columns: dict[str, Column], vector: str = "v", partition: tuple[str, ...] = (), most: int = 4096, most_bytes: int = 1 << 22) -> Blocks:
+    """`rows`, from a checkpoint or table, as blocks in a checkpoint over all cores, with `columns` and the number of the
+    partition (under the name in `partition`) as doubles. A block has `most` rows, or as many as `most_bytes` of vectors hold."""
+    kind, names = "float32" if dict(rows.dtypes)[vector] == "array<float>" else "float64", [*columns, *partition]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column("v")).astype(kind)
+            others = [b.column(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in names]
+            rows_each = max(1, min(most, most_bytes // max(x[0].nbytes, 1)))
+            for i in range(0, len(x), rows_each):
+                own = slice(i, i + rows_each)
+                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([x[own].tobytes()]), *[pa.array([o[own].tobytes()]) for o in others]], names=["p", "v", *names])
+
+    narrow = spread(rows.select(numbers(rows, vector).alias("v"), *[c.cast("double").alias(n) for n, c in columns.items()]))
+    narrow = narrow.withColumns({n: F.spark_partition_id().cast("double") for n in partition})
+    frame = checkpoint(narrow.mapInArrow(run, ", ".join(["p int", "v binary", *[f"{n} binary" for n in names]])))
+    first = frame.select("p").first()
+    return Blocks(frame, names, kind, first[0] if first else 0, frame.rdd.getNumPartitions())
+
+
+def total(blocks: Blocks, part: Part, size: int, fan: int = 32) -> np.ndarray:
+    """The sum of part() over all rows. Beyond `fan` partitions their sums meet in levels, each `fan` times fewer."""
+    names, kind, p = blocks.names, blocks.kind, blocks.p
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
         for b in batches:
-            for i in range(0, b.num_rows, batch_rows):
-                out += part(*_columns(b.slice(i, batch_rows), vector))
+            for v, *others in zip(*(b.column(n) for n in ("v", *names))):
+                x = np.frombuffer(v.as_buffer(), kind).reshape(-1, p).astype(np.float64)
+                out += part(x, {n: np.frombuffer(o.as_buffer()) for n, o in zip(names, others)})
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["sum"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,8 +92,8 @@ def total(rows: DataFrame, vector: str, part: Part, size: int, partitions: int,
                 out += np.frombuffer(x.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["sum"])
 
-    count = partitions
-    sums = rows.mapInArrow(add, "sum binary")
+    count = blocks.partitions
+    sums = blocks.frame.mapInArrow(add, "sum binary")
     while count > fan:
         count = -(-count // fan)
         sums = sums.repartition(count).mapInArrow(meet, "sum binary")
@@ -74,87 +120,131 @@ def _moments(x: np.ndarray, y: np.ndarray, k: np.ndarray, count: int) -> np.ndar
     """For each part and for all rows: number, positives, and sums of the vectors and of their squares."""
     each = np.column_stack((np.ones(len(x)), y, x, x * x))
     out = np.zeros((count + 1, each.shape[1]))
-    own = k >= 0
-    np.add.at(out, k[own], each[own])
+    order = np.argsort(k, kind="stable")[np.count_nonzero(k < 0) :]
+    parts, starts = np.unique(k[order], return_index=True)
+    if len(parts):
+        out[parts] = np.add.reduceat(each[order], starts)
     out[count] = each.sum(axis=0)
     return out.ravel()
 
 
+@dataclass
+class Problem:
+    """`count` models of the rows whose `label` is a number: model k is trained on all of them but those whose `part` is
+    `first` + k. Other parts and NaN are in all training sets."""
+
+    label: str
+    part: str
+    count: int
+    first: int = 0
+
+    def of(self, x: np.ndarray, o: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors, labels and parts (-1: none of these) of its rows."""
+        y, k = o[self.label], np.nan_to_num(o[self.part], nan=-1.0).astype(np.int64) - self.first
+        k[(k < 0) | (k >= self.count)] = -1
+        own = ~np.isnan(y)
+        return (x, y, k) if own.all() else (x[own], y[own], k[own])
+
+
 def fit_excluding(rows: DataFrame, count: int, vector: str = "v", label: str = "y", part: str = "k", c: float = 1.0, tolerance: float = 1e-7, most_steps: int = 100) -> Logistic:
-    """`count` logistic regressions, of which model k is trained on all rows but those whose `part` is k.
+    """`count` logistic regressions, of which model k is trained on all rows but those whose `part` is k, as fit_together()
+    fits them. Rows have a label 0 or 1, a vector of a common length and a part from 0 to count - 1, or -1 for rows that are
+    in all training sets."""
+    blocks = packed(rows, {"y": F.col(label), "k": F.col(part)}, vector)
+    return fit_together(blocks, [Problem("y", "k", count)], c, tolerance, most_steps)[0]
 
-    Rows have a label 0 or 1, a vector of a common length and a part from 0 to count - 1, or -1 for rows that are in
-    all training sets. Each model standardises by its own means and population deviations and minimises
+
+def fit_together(blocks: Blocks, problems: list[Problem], c: float = 1.0, tolerance: float = 1e-7, most_steps: int = 100) -> list[Logistic]:
+    """The logistic regressions of each problem; a step of all of them is one pass over the rows.
+
+    Each model standardises by its own means and population deviations and minimises
     the summed loss with a penalty of |w|^2 / 2c, as a model that is fitted alone does; sums of a training
     set are those of all rows less those of its part. A model without both classes is not fitted.
 
-    First one model of all rows takes Newton steps. It is near all others, which then go on from it together: an
-    aggregation gives the gradients of all models, and the Hessian of the first one turns them into steps. A part's rows
-    only lessen a model's own Hessian, so the steps don't overshoot there; where one would, it is halved.
-    The driver holds count * p numbers; count is the caller's to bound.
+    First one model of all rows of each label takes Newton steps. It is near all others of that label, which then go on from
+    it together: an aggregation gives the gradients of all models, and the Hessian of the first one turns them into steps. A
+    part's rows only lessen a model's own Hessian, so the steps don't overshoot there; where one would, it is halved.
+    The driver holds p numbers for each model of all problems; their number is the caller's to bound.
     """
-    first = rows.select(vector).first()
-    p = len(first[0]) if first else 0
+    p = blocks.p
     if not p:
-        return Logistic(np.zeros((0, count)), np.zeros(count), np.zeros(count, bool))
-    narrow = rows.select(F.col(vector).alias("v"), F.col(label).cast("double").alias("y"), F.col(part).cast("int").alias("k"))
-    partitions = narrow.rdd.getNumPartitions()
-    sums = total(narrow, "v", lambda x, o: _moments(x, o["y"], o["k"], count), (count + 1) * (2 + 2 * p), partitions).reshape(count + 1, -1)
-    left = np.vstack((sums[count] - sums[:count], sums[count]))  # the last is the model of all rows
-    n = np.maximum(left[:, :1], 1)
-    mean = left[:, 2 : 2 + p] / n
-    scale = np.sqrt(np.maximum(left[:, 2 + p :] / n - mean * mean, 0))
-    scale[scale <= 1e-12 * (1 + np.abs(mean))] = 1.0
-    fitted = (left[:count, 1] > 0) & (left[:count, 1] < left[:count, 0])
-
-    def newton(x: np.ndarray, o: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
+        return [Logistic(np.zeros((0, q.count)), np.zeros(q.count), np.zeros(q.count, bool)) for q in problems]
+    cuts = lambda sizes: np.cumsum(sizes)[:-1]
+    sizes = [(q.count + 1) * (2 + 2 * p) for q in problems]
+    moments = np.split(total(blocks, lambda x, o: np.concatenate([_moments(*q.of(x, o), q.count) for q in problems]), sum(sizes)), cuts(sizes))
+    scales, fitted = [], []
+    for q, sums in zip(problems, moments):
+        sums = sums.reshape(q.count + 1, -1)
+        left = np.vstack((sums[-1] - sums[:-1], sums[-1]))  # the last is the model of all rows
+        n = np.maximum(left[:, :1], 1)
+        mean = left[:, 2 : 2 + p] / n
+        scale = np.sqrt(np.maximum(left[:, 2 + p :] / n - mean * mean, 0))
+        scale[scale <= 1e-12 * (1 + np.abs(mean))] = 1.0
+        scales.append(scale)
+        fitted.append((left[:-1, 1] > 0) & (left[:-1, 1] < left[:-1, 0]))
+
+    def newton(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
         a = np.column_stack((x, np.ones(len(x))))
         q = sigmoid(a @ w)
-        return np.concatenate((a.T @ (q - o["y"]), ((a * (q * (1 - q))[:, None]).T @ a).ravel()))
+        return np.concatenate((a.T @ (q - y), ((a * (q * (1 - q))[:, None]).T @ a).ravel()))
 
-    # in the vectors' own units: the penalty of a weight is scale^2 w^2 / 2c
-    keep = np.append(scale[count] ** 2 / c, 0.0)
-    w, hessian = np.zeros(p + 1), np.eye(p + 1)
+    firsts = {q.label: (q, scale[-1]) for q, scale in zip(problems, scales)}
+    w, hessian = {name: np.zeros(p + 1) for name in firsts}, {}
+    going = [name for name in firsts if any(f.any() for q, f in zip(problems, fitted) if q.label == name)]
     for _ in range(most_steps):
-        got = total(narrow, "v", lambda x, o, w=w: newton(x, o, w), (p + 1) * (p + 2), partitions)
-        hessian = got[p + 1 :].reshape(p + 1, p + 1) + np.diag(keep + 1e-9)
-        step = np.linalg.solve(hessian, got[: p + 1] + keep * w)
-        w = w - step
-        if np.abs(np.append(scale[count], 1) * step).max() < 1e-4:
+        if not going:
             break
-
-    def gradients(x: np.ndarray, o: dict[str, np.ndarray], ws: np.ndarray) -> np.ndarray:
+        now = [(firsts[name][0], w[name]) for name in going]
+        got = total(blocks, lambda x, o, now=now: np.concatenate([newton(*q.of(x, o)[:2], u) for q, u in now]), len(now) * (p + 1) * (p + 2))
+        for name, g in zip(list(going), got.reshape(len(now), -1)):
+            # in the vectors' own units: the penalty of a weight is scale^2 w^2 / 2c
+            unit = firsts[name][1]
+            keep = np.append(unit**2 / c, 0.0)
+            hessian[name] = g[p + 1 :].reshape(p + 1, p + 1) + np.diag(keep + 1e-9)
+            step = np.linalg.solve(hessian[name], g[: p + 1] + keep * w[name])
+            w[name] = w[name] - step
+            if np.abs(np.append(unit, 1) * step).max() < 1e-4:
+                going.remove(name)
+
+    def gradients(x: np.ndarray, y: np.ndarray, k: np.ndarray, ws: np.ndarray) -> np.ndarray:
         a = np.column_stack((x, np.ones(len(x))))
-        r = sigmoid(a @ ws) - o["y"][:, None]
-        own = np.flatnonzero(o["k"] >= 0)
-        r[own, o["k"][own]] = 0.0
+        r = sigmoid(a @ ws) - y[:, None]
+        own = np.flatnonzero(k >= 0)
+        r[own, k[own]] = 0.0
         return (a.T @ r).ravel()
 
-    keeps = np.vstack(((scale[:count] ** 2 / c).T, np.zeros(count)))
-    units = np.vstack((scale[:count].T, np.ones(count)))
-    ws, damp, last = np.repeat(w[:, None], count, axis=1), np.ones(count), np.full(count, np.inf)
-    for _ in range(most_steps if fitted.any() else 0):
-        g = total(narrow, "v", lambda x, o, ws=ws: gradients(x, o, ws), (p + 1) * count, partitions).reshape(p + 1, count) + keeps * ws
-        size = np.sqrt(np.einsum("ik,ik->k", g, np.linalg.solve(hessian, g)))
-        damp = np.where(size > 1.01 * last, damp / 2, damp)
-        step = np.linalg.solve(hessian, g) * damp * fitted
-        ws, last = ws - step, size
-        if np.abs(units * step).max() < tolerance:
+    weights = [np.repeat(w[q.label][:, None], q.count, axis=1) for q in problems]
+    damps, lasts = [np.ones(q.count) for q in problems], [np.full(q.count, np.inf) for q in problems]
+    left = [i for i in range(len(problems)) if fitted[i].any()]
+    for _ in range(most_steps):
+        if not left:
             break
-    return Logistic(ws[:p], ws[p], fitted)
+        now = [(problems[i], weights[i]) for i in left]
+        sizes = [(p + 1) * q.count for q, _ in now]
+        got = total(blocks, lambda x, o, now=now: np.concatenate([gradients(*q.of(x, o), ws) for q, ws in now]), sum(sizes))
+        for i, g in zip(list(left), np.split(got, cuts(sizes))):
+            q, scale = problems[i], scales[i][:-1]
+            keeps, units = np.vstack(((scale**2 / c).T, np.zeros(q.count))), np.vstack((scale.T, np.ones(q.count)))
+            g = g.reshape(p + 1, q.count) + keeps * weights[i]
+            turned = np.linalg.solve(hessian[q.label], g)
+            size = np.sqrt(np.einsum("ik,ik->k", g, turned))
+            damps[i] = np.where(size > 1.01 * lasts[i], damps[i] / 2, damps[i])
+            step = turned * damps[i] * fitted[i]
+            weights[i], lasts[i] = weights[i] - step, size
+            if np.abs(units * step).max() < tolerance:
+                left.remove(i)
+    return [Logistic(ws[:p], ws[p], f) for ws, f in zip(weights, fitted)]
 
 
 def fit(rows: DataFrame, vector: str = "v", label: str = "y", c: float = 1.0, tolerance: float = 1e-8, most_steps: int = 100) -> tuple[Logistic, list[float]]:
     """One logistic regression of all rows (label 0 or 1), as fit_excluding() fits them, and its mean loss, without the
     penalty, before each Newton step. A class that is missing leaves the model unfitted."""
-    first = rows.select(vector).first()
-    p = len(first[0]) if first else 0
+    blocks = packed(rows, {"y": F.col(label)}, vector)
+    p = blocks.p
     if not p:
         return Logistic(np.zeros((0, 1)), np.zeros(1), np.zeros(1, bool)), []
-    narrow = rows.select(F.col(vector).alias("v"), F.col(label).cast("double").alias("y"))
-    partitions = narrow.rdd.getNumPartitions()
     none = lambda x: np.full(len(x), -1)
-    n, positives, *rest = total(narrow, "v", lambda x, o: _moments(x, o["y"], none(x), 0), 2 + 2 * p, partitions)
+    n, positives, *rest = total(blocks, lambda x, o: _moments(x, o["y"], none(x), 0), 2 + 2 * p)
     mean = np.array(rest[:p]) / n
     scale = np.sqrt(np.maximum(np.array(rest[p:]) / n - mean * mean, 0))
     scale[scale <= 1e-12 * (1 + np.abs(mean))] = 1.0
@@ -167,7 +257,7 @@ def fit(rows: DataFrame, vector: str = "v", label: str = "y", c: float = 1.0, to
 
     keep, w, losses = np.append(scale**2 / c, 0.0), np.zeros(p + 1), []
     for _ in range(most_steps):
-        got = total(narrow, "v", lambda x, o, w=w: newton(x, o, w), 1 + (p + 1) * (p + 2), partitions)
+        got = total(blocks, lambda x, o, w=w: newton(x, o, w), 1 + (p + 1) * (p + 2))
         losses.append(float(got[0] / n))
         step = np.linalg.solve(got[p + 2 :].reshape(p + 1, p + 1) + np.diag(keep + 1e-9), got[1 : p + 2] + keep * w)
         w = w - step
@@ -224,28 +314,26 @@ def new_head(p: int, hidden: int, seed: int) -> Head:
     return Head(layer(p, p, hidden), layer(p, hidden), layer(hidden, hidden), layer(hidden, 1), np.zeros(p), np.ones(p))
 
 
-def train_head(rows: DataFrame, vector: str = "v", label: str = "y", held: str = "held", hidden: int = 256, epochs: int = 120, rate: float = 1e-3, decay: float = 1e-4, dropout: float = 0.3, patience: int | None = None, seed: int = 42) -> tuple[list[Head], list[float], list[float]]:
+def train_head(rows: DataFrame | Blocks, vector: str = "v", label: str = "y", held: str = "held", hidden: int = 256, epochs: int = 120, rate: float = 1e-3, decay: float = 1e-4, dropout: float = 0.3, patience: int | None = None, seed: int = 42) -> tuple[list[Head], list[float], list[float]]:
     """The head after each epoch, and the mean loss of each epoch in training (with dropout) and, after its step, in
     validation (NaN without rows).
 
-    `rows` have a label, a vector and whether they are held for validation; write them to a table or checkpoint first,
-    since each epoch is a pass over all of them. An epoch is one Adam step on the gradient of all training rows, `decay`
+    `rows` have a label, a vector and whether they are held for validation, or are blocks of these; each epoch is a pass over
+    the blocks. An epoch is one Adam step on the gradient of all training rows, `decay`
     times the weights added. Means and population deviations are those of training rows. Dropout is drawn by seed, epoch,
     partition and row. With `patience` training ends when the validation loss has not fallen for so many epochs.
     The loss in validation comes from the pass of the next epoch, so that an epoch is one job.
     """
-    first = rows.select(vector).first()
-    if first is None:
+    blocks = rows if isinstance(rows, Blocks) else packed(rows, {"y": F.col(label), "held": F.col(held)}, vector, ("at",))
+    p = blocks.p
+    if not p:
         return [], [], []
-    p = len(first[0])
-    narrow = rows.select(F.col(vector).alias("v"), F.col(label).cast("double").alias("y"), F.col(held).cast("double").alias("held"), F.spark_partition_id().cast("double").alias("at"))
 
     def moments(x: np.ndarray, o: dict[str, np.ndarray]) -> np.ndarray:
         own = x[o["held"] == 0]
         return np.concatenate(([len(own), len(x) - len(own)], own.sum(axis=0), (own * own).sum(axis=0)))
 
-    partitions = narrow.rdd.getNumPartitions()
-    sums = total(narrow, "v", moments, 2 + 2 * p, partitions)
+    sums = total(blocks, moments, 2 + 2 * p)
     n, m = sums[:2]
     head = new_head(p, hidden, seed)
     head.mean = sums[2 : 2 + p] / max(n, 1)
@@ -256,14 +344,18 @@ def train_head(rows: DataFrame, vector: str = "v", label: str = "y", held: str =
     def step(epoch: int, head: Head) -> Part:
         def run(x: np.ndarray, o: dict[str, np.ndarray]) -> np.ndarray:
             train = o["held"] == 0
-            own, y = x[train], o["y"][train]
-            dropped = None
+            own, y, xv, yv = x[train], o["y"][train], x[~train], o["y"][~train]
+            out = np.zeros(2 + size)
             if dropout and len(own):
-                seen = int(np.abs(own[0]).sum() * 1e6) % (1 << 31)  # batches of a partition differ
+                seen = int(np.abs(own[0]).sum() * 1e6) % (1 << 31)  # blocks of a partition differ
                 rng = np.random.default_rng((seed, epoch, int(o["at"][0]), seen))
-                dropped = (rng.random((len(own), hidden)) >= dropout) / (1 - dropout)
-            loss, g = head.gradient(own, y, dropped)
-            return np.concatenate(([loss, head.loss(x[~train], o["y"][~train])], g))
+            for i in range(0, len(own), 512):  # what stays in a core's cache
+                some = own[i : i + 512]
+                loss, g = head.gradient(some, y[i : i + 512], (rng.random((len(some), hidden)) >= dropout) / (1 - dropout) if dropout else None)
+                out[0] += loss
+                out[2:] += g
+            out[1] = sum(head.loss(xv[i : i + 512], yv[i : i + 512]) for i in range(0, len(xv), 512))
+            return out
 
         return run
 
@@ -272,7 +364,7 @@ def train_head(rows: DataFrame, vector: str = "v", label: str = "y", held: str =
     best, since = np.inf, 0
     for epoch in range(1, epochs + 2):
         now = head.of(w)
-        got = total(narrow, "v", step(epoch, now), 2 + size, partitions)
+        got = total(blocks, step(epoch, now), 2 + size)
         if epoch > 1:
             held_losses.append(float(got[1] / m) if m else float("nan"))
             since = 0 if held_losses[-1] < best else since + 1

@@ -1,12 +1,14 @@
 """The evaluation protocols with a trained model, and the events of a training run.
 
 All folds or held-out keys are trained together: each step of all models is one pass over the rows (see learning.py),
-so neither jobs nor plans grow with their number.
+so neither jobs nor plans grow with their number. The state of a data set trains the models of all its protocols in the
+same passes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -21,33 +23,47 @@ from . import evaluation as ev
 from . import learning
 
 
-def _scores(rows: DataFrame, models: learning.Logistic) -> DataFrame:
-    """k, y and score of each of `rows` (ks: the models that score it, y, v) by each of its fitted models."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+@dataclass
+class _Test:
+    """The models of a problem, and the column `ks` of the models that score a row."""
+
+    problem: learning.Problem
+    ks: str
+    models: learning.Logistic | None = None
+
+
+def _scores(rows: DataFrame, tests: list[_Test]) -> DataFrame:
+    """test (its place in `tests`), k, y and score of each of `rows` (v, labels and ks) by each fitted model of its ks."""
+    shared = rows.sparkSession.sparkContext.broadcast(tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 own = b.slice(i, 2048)
-                x, ks = learning.matrix(own.column("v")), own.column("ks")
-                sizes = np.asarray(ks.value_lengths().fill_null(0))
-                at, k = np.repeat(np.arange(len(x)), sizes), ks.flatten().to_numpy(zero_copy_only=False)
-                good = shared.value.fitted[k]
-                at, k = at[good], k[good]
-                score = shared.value.scores(x)[at, k]
-                y = own.column("y").to_numpy(zero_copy_only=False)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(y, pa.int32()), pa.array(score)], names=["k", "y", "score"])
-
-    return rows.select("ks", F.col("y").cast("int").alias("y"), "v").mapInArrow(run, "k int, y int, score double")
+                x = learning.matrix(own.column("v"))
+                for place, t in enumerate(shared.value):
+                    ks = own.column(t.ks)
+                    sizes = np.asarray(ks.value_lengths().fill_null(0))
+                    at, k = np.repeat(np.arange(len(x)), sizes), ks.flatten().to_numpy(zero_copy_only=False)
+                    here = (k >= t.problem.first) & (k < t.problem.first + t.problem.count)
+                    at, k = at[here], k[here].astype(np.int64)
+                    good = t.models.fitted[k - t.problem.first]
+                    at, k = at[good], k[good]
+                    score = t.models.scores(x)[at, k - t.problem.first]
+                    y = own.column(t.problem.label).to_numpy(zero_copy_only=False)[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), place, np.int32)), pa.array(k.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(score)], names=["test", "k", "y", "score"])
+
+    labels = dict.fromkeys(t.problem.label for t in tests)
+    return rows.select("v", *[F.col(c).cast("int").alias(c) for c in labels], *dict.fromkeys(t.ks for t in tests)).mapInArrow(run, "test int, k int, y int, score double")
 
 
 def grouped_cv(rows: DataFrame, vector: str, group: str, label: str = "y", folds: int = 5) -> DataFrame:
     """fold, n_pos, n_neg and auc of a model for each fold, trained on the others; no group is on
     both sides. Folds without both classes in training or test have no row."""
     folded = ev.stratified_group_kfold(rows.where(F.col(label).isin(0, 1)), group, label, folds)
-    folded = checkpoint(folded.select(F.col("fold").alias("k"), F.col(label).alias("y"), F.col(vector).cast("array<double>").alias("v")))
+    folded = checkpoint(folded.select(F.col("fold").alias("k"), F.col(label).alias("y"), learning.numbers(folded, vector).alias("v")))
     models = learning.fit_excluding(folded, folds)
-    tested = _scores(folded.select(F.array("k").alias("ks"), "y", "v"), models)
+    tested = _scores(folded.select(F.array("k").alias("ks"), "y", "v"), [_Test(learning.Problem("y", "k", folds), "ks", models)])
     return A.auc(tested.select(F.col("k").alias("fold"), F.col("y").alias(label), "score"), ("fold",), label)
 
 
@@ -61,7 +77,7 @@ def held_out(rows: DataFrame, vector: str, key: str, same_source: bool = True, s
     come in as many blocks.
     """
     named = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
-    narrow = checkpoint(rows.where(F.col(label).isin(0, 1)).select(F.when(named & (F.col(label) == 1), F.col(key)).alias("key"), F.col(source).alias("source"), F.col(label).alias("y"), F.col(vector).cast("array<double>").alias("v")))
+    narrow = checkpoint(rows.where(F.col(label).isin(0, 1)).select(F.when(named & (F.col(label) == 1), F.col(key)).alias("key"), F.col(source).alias("source"), F.col(label).alias("y"), learning.numbers(rows, vector).alias("v")))
     kind = dict(narrow.dtypes)["key"]
     keys = [r[0] for r in narrow.where("key is not null").select("key").distinct().orderBy("key").toLocalIterator()]
     parts = []
@@ -78,7 +94,7 @@ def held_out(rows: DataFrame, vector: str, key: str, same_source: bool = True, s
             negatives = negatives.join(of, "source").select("ks", "y", "v")
         else:
             negatives = negatives.select(F.sequence(F.lit(0), F.lit(len(own) - 1)).alias("ks"), "y", "v")
-        tested = _scores(positives.unionAll(negatives), models)
+        tested = _scores(positives.unionAll(negatives), [_Test(learning.Problem("y", "k", len(own)), "ks", models)])
         parts.append(A.auc(tested, ("k",)).join(numbers, "k").select(F.col("key").alias(key), "n_pos", "n_neg", "auc"))
     if not parts:
         return narrow.sparkSession.createDataFrame([], f"{key} {kind}, n_pos long, n_neg long, auc double")
@@ -94,15 +110,85 @@ def separability(rows: DataFrame, vector: str, group: str, source: str = "fonte"
     return grouped_cv(named, vector, group, "_first", folds).agg(F.avg("auc")).first()[0]
 
 
+@dataclass
+class _Prepared:
+    """Rows in a checkpoint, with numbers for what is held out: _y, _first (whether its source is the first), _fold and
+    _first_fold of these two, and _technique and _generator of positives; and the keys with these numbers."""
+
+    rows: DataFrame
+    keys: dict[str, list]
+    sources: int
+
+
+def _prepared(rows: DataFrame, vector: str, group: str, source: str, technique: str, generator: str | None, label: str, folds: int) -> _Prepared:
+    named = {"_technique": technique} | ({"_generator": generator} if generator else {})
+    even = checkpoint(rows.select(*dict.fromkeys([label, source, group, *named.values()]), learning.numbers(rows, vector).alias("v")))
+    valid, y = F.col(label).isin(0, 1), F.when(F.col(label).isin(0, 1), F.col(label)).cast("int")
+    least, sources = even.agg(F.min(source), F.countDistinct(source)).first()
+    out = even.withColumns({"_y": y, "_first": (F.col(source) == F.lit(least)).cast("int") if sources > 1 else F.lit(None).cast("int")})
+    for name, chosen, of in (("_fold", even.where(valid), label), ("_first_fold", out.where(F.col("_first").isNotNull()), "_first")):
+        dealt = ev.stratified_groups(chosen, group, of, folds).withColumnsRenamed({"_group": f"{name}_group", "fold": name})
+        out = out.join(dealt, F.col(group).eqNullSafe(F.col(f"{name}_group")), "left").drop(f"{name}_group")
+    keys = {}
+    for name, c in named.items():
+        kind = dict(even.dtypes)[c]
+        held = even.where((F.col(label) == 1) & F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
+        keys[name] = [r[0] for r in held.select(c).distinct().orderBy(c).toLocalIterator()]
+        numbers = rows.sparkSession.createDataFrame([(x, k) for k, x in enumerate(keys[name])], f"_key {kind}, _k int")
+        numbers = F.broadcast(numbers) if len(keys[name]) <= 20_000 else numbers
+        out = out.join(numbers, F.col(c) == F.col("_key"), "left").withColumn(name, F.when(F.col("_y") == 1, F.col("_k"))).drop("_key", "_k")
+    return _Prepared(checkpoint(out), keys, sources)
+
+
+def _blocks(even: _Prepared) -> learning.Blocks:
+    """The prepared rows for training; the first of the folds is held for validation."""
+    numbers = {"_y": F.col("_y"), "_first": F.col("_first"), "_fold": F.col("_fold"), "_first_fold": F.col("_first_fold"), **{c: F.col(c) for c in even.keys}}
+    head = {"y": F.col("_y"), "held": (F.col("_fold") == 0).cast("int")}
+    return learning.packed(even.rows, numbers | head, partition=("at",))
+
+
+def _areas(even: _Prepared, blocks: learning.Blocks, source: str, folds: int, most_models: int = 2048) -> dict[str, dict[int, float]]:
+    """For the folds of _fold and _first_fold and the keys of each held-out column, their areas by number, as grouped_cv() and
+    held_out() have them. Up to `most_models` models are trained together; more come in as many rounds."""
+    wanted = [("_fold", "_y", folds), ("_first_fold", "_first", folds if even.sources > 1 else 0), *[(c, "_y", len(x)) for c, x in even.keys.items()]]
+    rounds, room = [], 0
+    for part, label, count in wanted:
+        for first in range(0, count, most_models):
+            own = min(count - first, most_models)
+            if own > room:
+                rounds.append([])
+                room = most_models
+            rounds[-1].append(_Test(learning.Problem(label, part, own, first), f"{part}_ks"))
+            room -= own
+    of = even.rows.where("_y = 1").groupBy(F.col(source).alias("_source")).agg(*[F.collect_set(c).alias(f"_of{c}") for c in even.keys])
+    ks = {c: F.when(F.col("_y") == 1, F.when(F.col(c).isNotNull(), F.array(c))).when(F.col("_y") == 0, F.col(f"_of{c}")) for c in even.keys}
+    ks |= {c: F.when(F.col(label).isNotNull() & F.col(c).isNotNull(), F.array(c)) for c, label in (("_fold", "_y"), ("_first_fold", "_first"))}
+    # a row for each source; few as a rule, and then rows stay where they are
+    of = F.broadcast(of) if even.sources * sum(map(len, even.keys.values())) <= 100_000 else of
+    scored = learning.spread(even.rows).join(of, F.col(source) == F.col("_source"), "left").withColumns({f"{c}_ks": x for c, x in ks.items()})
+    out = {part: {} for part, _, _ in wanted}
+    for tests in rounds:
+        for t, models in zip(tests, learning.fit_together(blocks, [t.problem for t in tests])):
+            t.models = models
+        for r in A.auc(checkpoint(_scores(scored, tests)), ("test", "k")).select("test", "k", "auc").toLocalIterator():
+            out[tests[r["test"]].problem.part][r["k"]] = r["auc"]
+    return out
+
+
 def generator_state(rows: DataFrame, vector: str, key: str, group: str, source: str = "fonte", technique: str = "tecnica", generator: str | None = "gerador", label: str = "y", balance: bool = True, folds: int = 5) -> DataFrame:
     """One row, the event estado_gerador: counts and maps of counts after balancing, the source-only
     AUC before it, grouped and held-out AUC of the model, and how far the sources can be told
     apart. Without a generator column logo is null and por_gerador empty."""
-    even = checkpoint(ev.balance_by_source(rows, key, source, label) if balance else rows)
+    even = _prepared(ev.balance_by_source(rows, key, source, label) if balance else rows, vector, group, source, technique, generator, label, folds)
+    return _state(rows, even, _blocks(even), source, technique, generator, label, balance, folds)
+
+
+def _state(rows: DataFrame, prepared: _Prepared, blocks: learning.Blocks, source: str, technique: str, generator: str | None, label: str, balance: bool, folds: int) -> DataFrame:
+    areas, even = _areas(prepared, blocks, source, folds), prepared.rows
     positives = even.where(F.col(label) == 1)
-    as_map = lambda f, k: {str(r[0]): r[1] for r in f.select(F.col(k).cast("string"), "auc").collect()}
-    loto = as_map(held_out(even, vector, technique, True, source, label), technique)
-    logo = as_map(held_out(even, vector, generator, True, source, label), generator) if generator else None
+    as_map = lambda c: {str(prepared.keys[c][k]): a for k, a in areas[c].items()}
+    mean = lambda c: float(np.mean(list(areas[c].values()))) if areas[c] else None
+    loto, logo = as_map("_technique"), as_map("_generator") if generator else None
     many = lambda m, kind: F.lit(None).cast(f"map<string,{kind}>") if m is None else F.create_map(*[F.lit(x) for pair in sorted(m.items()) for x in pair]).cast(f"map<string,{kind}>")
     counts = even.agg(F.count(F.lit(1)).cast("int").alias("n_amostras"), F.count_if(F.col(label) == 1).cast("int").alias("n_fraude"), F.count_if(F.col(label) == 0).cast("int").alias("n_legitimo"))
     maps = [ev.counts_as_map(positives, technique, "por_tecnica"), ev.counts_as_map(positives, generator, "por_gerador") if generator else None, ev.counts_as_map(even, source, "por_fonte")]
@@ -113,10 +199,10 @@ def generator_state(rows: DataFrame, vector: str, key: str, group: str, source:
         "tipo": F.lit("estado_gerador"),
         "auc_fonte_sozinha": F.lit(ev.auc_source_only(rows, source, label).first()["auc"]).cast("double"),
         "equilibrado_por_origem": F.lit(balance),
-        "auc_agrupada": F.lit(grouped_cv(even, vector, group, label, folds).agg(F.avg("auc")).first()[0]).cast("double"),
+        "auc_agrupada": F.lit(mean("_fold")).cast("double"),
         "loto": many(loto, "double"),
         "logo": many(logo, "double"),
-        "separabilidade_fonte": F.lit(separability(even, vector, group, source, folds)).cast("double"),
+        "separabilidade_fonte": F.lit(mean("_first_fold")).cast("double"),
     }
     return out.withColumns(values)
 
@@ -131,12 +217,14 @@ def training_events(rows: DataFrame, vector: str, key: str, group: str, run_id:
     one aggregation each. Without both classes in validation auc_val is null.
     """
     spark = rows.sparkSession
-    even = ev.stratified_group_kfold(ev.balance_by_source(rows.where(F.col(label).isin(0, 1)), key, source, label), group, label, 5)
-    even = checkpoint(even.select(F.col(label).alias("y"), F.col(vector).cast("array<double>").alias("v"), F.col(source).cast("string").alias("source"), F.col(technique).cast("string").alias("technique"), (F.col("fold") == 0).cast("int").alias("held")))
-    heads, losses, held_losses = learning.train_head(even, epochs=epochs, patience=patience, **head)
-    counts = {r[0]: r[1] for r in even.groupBy("held").count().collect()}
+    even = _prepared(ev.balance_by_source(rows, key, source, label), vector, group, source, technique, generator, label, 5)
+    blocks = _blocks(even)
+    heads, losses, held_losses = learning.train_head(blocks, epochs=epochs, patience=patience, **head)
+    held = (F.col("_fold") == 0).cast("int").alias("held")
+    counts = {r[0]: r[1] for r in even.rows.groupBy(held).count().collect()}
     n = len(heads)
-    tested = checkpoint(learning.head_scores(even.where("held = 1"), heads, "v", ["y", "source", "technique"]))
+    columns = learning.spread(even.rows).where("_fold = 0").select(F.col("_y").alias("y"), "v", F.col(source).cast("string").alias("source"), F.col(technique).cast("string").alias("technique"))
+    tested = checkpoint(learning.head_scores(columns, heads, "v", ["y", "source", "technique"]))
     whole = A.auc(tested, ("epoca",)).select("epoca", F.col("auc").alias("auc_val"))
     # a technique's negatives are those of its sources in the same epoch
     own = lambda c: F.when(F.col(c) != "", F.concat_ws(":", "epoca", c))
@@ -155,7 +243,7 @@ def training_events(rows: DataFrame, vector: str, key: str, group: str, run_id:
         "n_treino": F.when(first, counts.get(0, 0)).cast("int"),
         "n_val": F.when(first, counts.get(1, 0)).cast("int"),
     }
-    state = generator_state(rows, vector, key, group, source, technique, generator, label)
+    state = _state(rows, even, blocks, source, technique, generator, label, True, 5)
     own_columns = [c for c in state.columns if c != "tipo"]
     out = base.withColumns(series).join(curve, "epoca", "left").join(state.select("tipo", *own_columns), "tipo", "left").orderBy("id")
     names = [c.split()[0] for c in schemas.EVENT.split(", ")]

@@ -146,3 +146,47 @@ def test_folds_of_rows(spark, many):
     assert evaluation.leak_check(folded, "g").first()["n_leaks"] == 0 and folded.count() == 502
     per = [tuple(r) for r in folded.groupBy("fold").agg(F.count("*"), F.sum("y")).select("count(1)", "sum(y)").collect()]
     assert len(per) == 5 and max(n for n, _ in per) - min(n for n, _ in per) <= 12 and max(p for _, p in per) - min(p for _, p in per) <= 6
+
+
+def test_training_events_trains_all_models_in_the_same_passes(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        y = int(rng.random() < 0.5)
+        rows.append((i, i // 3, "abc"[i % 3], f"t{rng.integers(0, 4)}" if y else None, f"g{i % 2}" if y else "", y, (rng.standard_normal(5) + 0.7 * y + 0.2 * (i % 3)).tolist()))
+    frame = checkpoint(spark.createDataFrame(rows, "key long, grupo long, fonte string, tecnica string, gerador string, y int, v array<double>"))
+    passes, total = [], learning.total
+    monkeypatch.setattr(learning, "total", lambda *a, **b: (passes.append(1), total(*a, **b))[1])
+    state = protocols.training_events(frame, "v", "key", "grupo", "r", epochs=6, hidden=8).collect()[1]
+    together = len(passes)
+    even = checkpoint(evaluation.balance_by_source(frame, "key"))
+    mean = lambda f: np.mean([r["auc"] for r in f.collect()])
+    for name, key in (("loto", "tecnica"), ("logo", "gerador")):
+        assert state[name] == pytest.approx({r[key]: r["auc"] for r in protocols.held_out(even, "v", key).collect()}, abs=1e-9)
+    assert state["auc_agrupada"] == pytest.approx(mean(protocols.grouped_cv(even, "v", "grupo")), abs=1e-9)
+    assert state["separabilidade_fonte"] == pytest.approx(protocols.separability(even, "v", "grupo"), abs=1e-9)
+    # the head, then one fit for the four protocols; alone they take four
+    assert together - 8 < (len(passes) - together) / 2
+
+
+def test_blocks_lie_over_all_cores(spark):
+    rows = checkpoint(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "y int, v array<float>").coalesce(1))
+    blocks = learning.packed(rows, {"y": F.when(F.col("y") > 0, F.col("y"))}, most=7)
+    assert blocks.partitions >= spark.sparkContext.defaultParallelism and (blocks.kind, blocks.p) == ("float32", 2)
+    got = learning.total(blocks, lambda x, o: np.array([len(x), x[:, 0].sum(), np.nansum(o["y"]), np.isnan(o["y"]).sum(), len(x) > 7]), 5)
+    assert got.tolist() == [100, 4950, 4950, 1, 0]
+
+
+def test_state_leaves_out_what_no_protocol_takes(spark):
+    """Null sources, labels that are neither 0 nor 1, empty keys: as in each protocol alone; and many keys in rounds."""
+    rng = np.random.default_rng(2)
+    rows = [(i, i // 2, [None, "a", "b"][i % 3], ["", None, "t0", "t1", "t2"][i % 5], "g", [0, 1, 2, None][int(rng.integers(4))], rng.standard_normal(3).tolist()) for i in range(600)]
+    frame = checkpoint(spark.createDataFrame(rows, "key long, grupo long, fonte string, tecnica string, gerador string, y int, v array<double>"))
+    state = protocols.generator_state(frame, "v", "key", "grupo", balance=False).first()
+    assert state["loto"] == pytest.approx({r["tecnica"]: r["auc"] for r in protocols.held_out(frame, "v", "tecnica").collect()}, abs=1e-9)
+    assert state["logo"] == {} and state["n_amostras"] == 600
+    assert state["auc_agrupada"] == pytest.approx(np.mean([r["auc"] for r in protocols.grouped_cv(frame, "v", "grupo").collect()]), abs=1e-9)
+    assert state["separabilidade_fonte"] == pytest.approx(protocols.separability(frame.where("fonte is not null"), "v", "grupo"), abs=1e-9)
+    even = protocols._prepared(frame, "v", "grupo", "fonte", "tecnica", "gerador", "y", 5)
+    once, rounds = (protocols._areas(even, protocols._blocks(even), "fonte", 5, most) for most in (2048, 5))
+    assert all(once[c] == pytest.approx(rounds[c], abs=1e-9) for c in once) and len(once["_technique"]) == 3
