@@ -30,8 +30,12 @@ def missing(v: Column) -> Column:
 
 
 def format_auc(v: Column) -> Column:
-    """Three decimals with a comma; a dash for null and NaN."""
-    return F.when(missing(v), DASH).otherwise(F.replace(F.format_string("%.3f", v), F.lit("."), F.lit(",")))
+    """Three decimals with a comma, as the double itself rounds (its shortest digits do not: 0.5005 is below the half);
+    an exact half goes to the even digit. A dash for null and NaN."""
+    # 0.0005 lies above the half, but format_number() takes it for one
+    near = F.when(F.abs(v) == 0.0005, F.signum(v) * 0.001).otherwise(v)
+    text = F.translate(F.format_number(near, 3), ".,", ",")  # the point becomes a comma, separators of thousands go
+    return F.when(missing(v), DASH).when(F.abs(v) == float("inf"), v.cast("string")).otherwise(text)
 
 
 def band(v: Column) -> Column:

@@ -18,6 +18,12 @@ def test_auc_as_text(spark):
     assert shown(spark, display.format_auc, [None, NAN, 0.5, 0.12345, 1.0]) == ["—", "—", "0,500", "0,123", "1,000"]
 
 
+def test_auc_rounds_as_the_double_does(spark):
+    values = [k / 16 for k in range(17)] + [(2 * k + 1) / 2000 for k in range(1000)] + [-0.0005, 0.0004999, 0.4375005, 1234567.8915]
+    assert shown(spark, display.format_auc, values) == [f"{v:.3f}".replace(".", ",") for v in values]
+    assert shown(spark, display.format_auc, [math.inf, -math.inf]) == ["Infinity", "-Infinity"]
+
+
 def test_bands(spark):
     got = shown(spark, display.band, [None, NAN, 0.0, 0.5499, 0.55, 0.6999, 0.7, 0.8999, 0.9, 1.0])
     assert [tuple(r)[0] for r in got] == ["info", "info", "ok", "ok", "info", "info", "warn", "warn", "bad", "bad"]
