@@ -35,13 +35,16 @@ def sample_rows(manifests: DataFrame) -> DataFrame:
     return manifests.select(*[values.get(c, F.col(c)).alias(c) for c in schemas.SAMPLE])
 
 
-def ingest_manifests(manifests: DataFrame, table: str) -> DataFrame:
+def ingest_manifests(manifests: DataFrame, table: str, parts: int | None = None, keep: int = 1) -> DataFrame:
     """Upsert the samples of manifests into a table of samples by id.
 
     Of manifests with one id the last by timestamp and then by its whole row wins. Returns one
-    row: keys inserted, modified and left as they were.
+    row: keys inserted, modified and left as they were. With `parts` a new table is one for merges that change most
+    of it (sinks.merge_bucketed). The last `keep` versions before this one stay.
     """
-    return sinks.merge_table(latest_samples(manifests), table, ["id"])
+    parts = sinks.bucketed_versions(manifests.sparkSession, table)[0] or parts
+    rows = latest_samples(manifests)
+    return sinks.merge_bucketed(rows, table, ["id"], parts, keep) if parts else sinks.merge_table(rows, table, ["id"], keep=keep)
 
 
 def latest_samples(manifests: DataFrame) -> DataFrame:

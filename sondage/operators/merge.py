@@ -19,7 +19,8 @@ def latest(rows: DataFrame, keys: list[str], order: list[str], columns: list[str
     for p in present:
         kept = kept.where(p)
     last = kept.groupBy(*keys).agg(F.max_by(whole, F.struct(*order)).alias("_row"))
-    return last.select(*[F.col("_row")[c].alias(c) for c in columns])
+    # keys by their own name, so that Spark knows how the rows are dealt
+    return last.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in columns])
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions import privacy
@@ -199,15 +201,19 @@ _DOC = "substr(sha256('docs/' || documento_id || '.jpg'), 1, 16)"
   CASE WHEN documento_id % 3 <> 0 THEN CASE WHEN {_REAL} THEN substr(sha256('a/b'), 1, 16) ELSE 'a/b' END END AS fundo FROM L""")
 def ingest_samples(spark, d):
     """A table is filled with the first version of all samples; a later version of every other document follows."""
-    rows, to = views.samples(spark, d), storage.new_folder(spark, "amostras")
-    ingest.ingest_manifests(_manifests(rows, 1), to)
-    ingest.ingest_manifests(_manifests(rows.where("documento_id % 2 = 0"), 2), to)
+    folder = storage.new_folder(spark, "amostras")
+    # a part of 250,000 samples is sorted in some 400 MB
+    parts = max(spark.sparkContext.defaultParallelism, 1 + table(spark, d, "lineitem").count() // 250_000)
+    # the samples are joined and dealt by their ids once, while they are narrow; neither merge moves them again
+    rows, to, name = views.samples(spark, d).drop("score").repartition(parts, "key"), f"{folder}/tabela", f"amostras_{uuid4().hex}"
+    rows = sinks.write_bucketed(rows, name, ["key"], parts, f"{folder}/vista").sortWithinPartitions("key")
+    ingest.ingest_manifests(_manifests(rows, 1), to, parts, keep=0)
+    ingest.ingest_manifests(_manifests(rows.where("documento_id % 2 = 0"), 2), to, parts, keep=0)
+    spark.sql(f"DROP TABLE {name}")
+    storage.delete(spark, f"{folder}/vista")
     of = lambda path: F.variant_get("parametros", path, "string")
     out = sinks.read_table(spark, to)
-    rows = out.select("id", "rotulo", "tecnica", "gerador", "dificuldade", "fonte_dados", "documento_id", "arquivo", of("$.modo").alias("modo"), of("$.texto_original").alias("texto_original"), of("$.fonte_rosto").alias("fonte_rosto"), of("$.lista[1].p").alias("fundo"))
-    kept, _ = storage.staged(rows)
-    storage.delete(spark, to)
-    return kept
+    return out.select("id", "rotulo", "tecnica", "gerador", "dificuldade", "fonte_dados", "documento_id", "arquivo", of("$.modo").alias("modo"), of("$.texto_original").alias("texto_original"), of("$.fonte_rosto").alias("fonte_rosto"), of("$.lista[1].p").alias("fundo"))
 
 
 @query("ingest_events", f"WITH {V} SELECT 'metricas' AS destino, count(DISTINCT (run, epoca)) AS n_inserted FROM V WHERE tipo = 'epoca' UNION ALL SELECT 'avaliacoes', count(DISTINCT (run, ts)) FROM V WHERE tipo = 'estado_gerador'")

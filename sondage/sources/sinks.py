@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,9 @@ def _current(spark: SparkSession, path: str) -> tuple[int, dict[int, list[int]]]
 def read_table(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame | None:
     """A merged table as it is now, or some of its buckets; None where there is none. The frame keeps to the files it
     found, which a later merge leaves in place."""
+    parts, whole = bucketed_versions(spark, path)
+    if whole:
+        return spark.read.parquet(f"{path}/parts={parts}/version={whole[-1]}").drop("_state")
     count, versions = _current(spark, path)
     paths = [f"{path}/buckets={count}/bucket={b}/version={v[-1]}" for b, v in sorted(versions.items()) if buckets is None or b in buckets]
     return spark.read.parquet(*paths).drop("_state") if paths else None
@@ -85,8 +90,7 @@ def merge_table(rows: DataFrame, path: str, keys: list[str], by_field: bool = Fa
     if touched:
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket", "version").parquet(path)
         after = spark.read.schema("_state int").parquet(*[f"{path}/buckets={count}/bucket={b}/version={v[-1]}" for b, v in _current(spark, path)[1].items() if b in touched])
-    told = {"n_inserted": INSERTED, "n_modified": MODIFIED, "n_same": SAME}
-    counts = storage.checkpoint(after.agg(*[F.count_if(F.col("_state") == v).alias(k) for k, v in told.items()]))
+    counts = storage.checkpoint(_told(after))
     storage.delete(spark, stage)
     for b in touched:
         for v in versions.get(b, [])[: -keep or None]:
@@ -94,10 +98,68 @@ def merge_table(rows: DataFrame, path: str, keys: list[str], by_field: bool = Fa
     return counts
 
 
+def bucketed_versions(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """Number of parts of a table that merge_bucketed() made, 0 where there is none, and its whole versions, in order."""
+    kinds = [n for n in storage.children(spark, path) if n.startswith("parts=")]
+    if not kinds:
+        return 0, []
+    found = [n for n in storage.children(spark, f"{path}/{kinds[0]}") if n.startswith("version=")]
+    return int(kinds[0][6:]), sorted(int(n[8:]) for n in found if storage.exists(spark, f"{path}/{kinds[0]}/{n}/_SUCCESS"))
+
+
+def merge_bucketed(rows: DataFrame, path: str, keys: list[str], parts: int, keep: int = 1) -> DataFrame:
+    """Upsert `rows` (one for each key) into a table of which most is to change; one row says how many keys were inserted,
+    modified or the same.
+
+    The table is bucketed by its keys into `parts`, a number that is fixed when the table is made, and a merge writes
+    it whole, as a new version. What is there is read bucket by bucket and never shuffled; `rows` are, unless they come
+    dealt by their keys into as many parts (as those that are read from a table of as many buckets do). Readers of the
+    version before finish, as the last `keep` versions before it stay. A version counts when all of it is written, so
+    a merge that is stopped changes nothing. One writer at a time. Rows without a key go.
+    """
+    spark = rows.sparkSession
+    count, versions = bucketed_versions(spark, path)
+    count, top = count or parts, f"{path}/parts={count or parts}"
+    fields = [c for c in rows.columns if c not in keys]
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
+    names = [f"{kind}_{uuid4().hex}" for kind in ("was", "now")]
+    if versions:
+        columns = read_table(spark, path).schema.toDDL()
+        by, quoted = ", ".join(f"`{k}`" for k in keys), f"{top}/version={versions[-1]}".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {names[0]} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {count} BUCKETS LOCATION '{quoted}'")
+        there = spark.table(names[0]).select(*keys, F.struct(*fields).alias("_was"))
+        met = there.join(rows.select(*keys, F.struct(*fields).alias("_now")).hint("merge"), keys, "full")
+        was, now = F.col("_was"), F.col("_now")
+        variants = {c for c, kind in rows.dtypes if kind == "variant"}
+        text = lambda row, c: F.to_json(row[c]) if c in variants else row[c]
+        same = F.lit(True)
+        for c in sorted(fields, key=lambda c: c in variants):  # what is cheap to compare first
+            same = same & text(was, c).eqNullSafe(text(now, c))
+        state = F.when(now.isNull(), None).when(was.isNull(), INSERTED).when(same, SAME).otherwise(MODIFIED)
+        row = F.coalesce(now, was)
+        rows = met.select(*[F.col(c) if c in keys else row[c].alias(c) for c in rows.columns], state.cast("int").alias("_state"))
+    else:
+        rows = rows.withColumn("_state", F.lit(INSERTED))
+    at = f"{top}/version={max(versions, default=0) + 1}"
+    write_bucketed(rows, names[1], keys, count, at)
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # their files stay
+    counts = storage.checkpoint(_told(spark.read.schema("_state int").parquet(at)))
+    for v in versions[: -keep or None]:
+        storage.delete(spark, f"{top}/version={v}")
+    return counts
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    told = {"n_inserted": INSERTED, "n_modified": MODIFIED, "n_same": SAME}
+    return rows.agg(*[F.count_if(F.col("_state") == v).alias(k) for k, v in told.items()])
+
+
 def write_bucketed(rows: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:
     """A table of the catalog, bucketed and sorted by its keys; returns it. Joins and groupings by these keys read it
     without a shuffle: the physical form of an index. With `path` its files are there, not in the warehouse."""
-    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    writer = rows.write.mode("overwrite").format("parquet").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys)
     (writer.option("path", path) if path else writer).saveAsTable(name)
     return rows.sparkSession.table(name)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondage import storage
-from sondage.operators import grouping
+from sondage.operators import grouping, merge
 from sondage.sources import sinks
 from sondage.streaming import runs
 
@@ -122,3 +122,39 @@ def test_bucketed_table_is_read_without_a_shuffle(spark, tmp_path):
     plan = sinks.upsert_bucketed(table, new, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "SortMergeJoin" in text
     spark.sql("DROP TABLE by_key")
+
+
+def test_merge_of_a_bucketed_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.parse_json(F.lit('{"a": [1, 2]}')).alias("p"), F.lit("old").alias("v"))
+    assert tuple(sinks.merge_bucketed(rows, path, ["id"], 4).first()) == (3000, 0, 0)
+    reader = sinks.read_table(spark, path)
+    n = F.col("id").cast("long")
+    change = rows.where(n < 30).withColumns({"p": F.when(n < 10, F.parse_json(F.lit('{"a": 1}'))).otherwise(F.col("p")), "v": F.when(n == 20, "new").otherwise(F.col("v"))})
+    more = change.unionByName(rows.limit(1).withColumn("id", F.lit("more"))).unionByName(rows.limit(2).withColumn("id", F.when(F.col("id") == "0", "")))
+    assert tuple(sinks.merge_bucketed(more, path, ["id"], 9).first()) == (1, 11, 19)  # the number of parts stays
+    assert reader.count() == 3000 and reader.where("v = 'new'").count() == 0  # begun before the merge, it ends after it
+    now = sinks.read_table(spark, path)
+    assert now.columns == ["id", "p", "v"] and now.count() == 3001 and now.where("v = 'new'").count() == 1
+    assert now.where(F.to_json("p") == '{"a":1}').count() == 10
+    (tmp_path / "t/parts=4/version=3").mkdir()  # what a merge that was stopped leaves
+    assert tuple(sinks.merge_bucketed(rows.limit(0), path, ["id"], 4).first()) == (0, 0, 0)
+    assert sinks.read_table(spark, path).count() == 3001 and sinks.bucketed_versions(spark, path) == (4, [2, 3])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("was_", "now_"))]
+
+
+def test_ingestion_shuffles_narrow_rows_alone(spark):
+    from sondage.plans.catalog import QUERIES
+
+    moved = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = moved()
+    assert QUERIES["ingest_samples"](spark, "/root/testdata/sf0.001").count() == 6000
+    assert moved() - before < 120 * 6000  # more than 500 bytes of each row with its parameters and as text
+
+
+def test_latest_rows_stay_where_their_keys_were_dealt(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("v"))
+    table = sinks.write_bucketed(rows, "dealt", ["id"], 4, str(tmp_path / "dealt"))
+    both = merge.latest(table, ["id"], ["v"]).join(table.withColumnRenamed("v", "w").hint("merge"), ["id"], "full")
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString() and both.count() == 100
+    spark.sql("DROP TABLE dealt")
